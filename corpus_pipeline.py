@@ -1,13 +1,64 @@
-"""A corpus pipeline over ``documents``: its stages follow."""
+"""A training corpus from ``documents``: rejected documents go, one of each group of near copies stays, personal data
+is replaced, sources are mixed to target weights and the result is packed into sequences.
+
+Every stage takes ``(spark, docs, sf_dir)`` and works on all rows of ``docs``; ``run`` writes each stage's rows as
+Parquet and gives the next stage what it reads back. All but the last return the columns of ``documents``; extra
+columns of ``docs`` are carried along.
+
+Defined results: null and empty texts are kept or rejected by their score like others, count as copies of each other
+and take no part in the mix (they have no words); documents with a null ``doc_id`` cannot be told apart in the
+result and leave with the near copies; repeated rows are copies; an empty table stays empty.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandmill.llm import mixing, packing, pii, quality, simhash
+from strandmill.llm.common import written
+from strandmill.llm.queries import tokenizer_file
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose probability of the highest grade is at least one half."""
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality")
+    return quality.keep(docs, model)
+
+
+def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of linked fingerprints, the document with the smallest id."""
+    first = simhash.near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
+    kept = docs.join(first, docs.doc_id == first._first, "left_semi")
+    return kept.dropDuplicates(["doc_id"])
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by its kind, and ``n_chars`` that fits."""
+    return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, up to twice."""
+    times = mixing.mix(docs).where("taken > 0").select(F.col("doc_id").alias("_id"), F.expr("int(taken div size)").alias("_times"))
+    taken = docs.join(times, docs.doc_id == times._id).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times")))
+    return taken.select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of 2,048 tokens, one row per piece."""
+    return packing.pack(docs, tokenizer_file("word_bpe_49k.json"), seq_len=2048, end_id=1)
+
+
+STAGES = [("quality", keep_quality), ("near_copies", keep_one_of_copies), ("personal_data", redact), ("mix", mix), ("pack", pack)]
 
-STAGES: list = []
+#: SQL cannot express the trained stages.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to ``documents``."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages applied to ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
