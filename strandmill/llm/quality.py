@@ -1,9 +1,9 @@
 """Document quality by ordinal cumulative-link regression on graded ratings.
 
 P(grade <= k) = sigmoid(threshold_k - score): one set of weights on hashed text features for all grades, and ordered
-thresholds. A document's features are the shares of its tokens (runs of non-space characters): each token counts for
-its lower-case form and for its shape, in which runs of small letters, capitals and digits are one sign each. So the
-score is the mean of the token's weights, and scoring is one pass without a shuffle.
+thresholds. A document's features are shares of its tokens (runs of non-space characters): each token counts for its
+lower-case form, for its shape, in which runs of small letters, capitals and digits are one sign each, and for being
+the one before it once more. So the score is a mean over tokens, and scoring is one pass without a shuffle.
 
 Fitting takes at most ``sample`` rated documents: those whose ``doc_id`` comes first in a seeded hash order. Their
 hashed counts, not their texts, go to the driver; that is the only part that doesn't see all rows.
@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 import zlib
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -30,17 +31,22 @@ from pyspark.sql import types as T
 
 #: Tokens remembered per worker, those of up to so many characters.
 REMEMBER, REMEMBER_CHARS = 250_000, 40
-#: The features of a document sum up to this.
-SCALE = 20.0
+#: A document whose tokens all have a feature has this value of it.
+SCALE = 10.0
 
 _small, _large, _number = re.compile(r"[^\W\d_A-Z]+"), re.compile(r"[A-Z]+"), re.compile(r"[0-9]+")
 
 
 def token_features(token: str, dims: int) -> tuple[int, int]:
-    """The places of a token's lower-case form and of its shape."""
+    """The places of a token's lower-case form and of its shape; place 0 is for repeats."""
     shape = _number.sub("0", _large.sub("A", _small.sub("a", token)))
     half = dims // 2
-    return zlib.crc32(token.lower().encode("utf-8", "replace")) % half, half + zlib.crc32(shape.encode("utf-8", "replace")) % half
+    return 1 + zlib.crc32(token.lower().encode("utf-8", "replace")) % (half - 1), half + zlib.crc32(shape.encode("utf-8", "replace")) % half
+
+
+def repeats(tokens: list[str]) -> int:
+    """Tokens that equal the one before them."""
+    return sum(map(eq, tokens, tokens[1:]))
 
 
 @dataclass
@@ -94,20 +100,23 @@ def fit_ordinal(rows: np.ndarray, places: np.ndarray, values: np.ndarray, grade:
 
 
 def counted(docs: DataFrame, dims: int) -> DataFrame:
-    """``docs`` with ``places`` and ``counts`` in place of ``text``."""
+    """``docs`` with ``places``, ``counts`` and the number of tokens ``n`` in place of ``text``."""
     keep = [c for c in docs.columns if c != "text"]
 
     def run(batches):
         for b in batches:
-            places, counts = [], []
+            places, counts, sizes = [], [], []
             for text in b.column("text").to_pylist():
-                found = np.array([p for t in (text or "").split() for p in token_features(t, dims)], np.int64)
+                tokens = (text or "").split()
+                found = np.array([p for t in tokens for p in token_features(t, dims)] + [0] * repeats(tokens), np.int64)
                 at, n = np.unique(found, return_counts=True)
                 places.append(at)
                 counts.append(n)
-            yield pa.record_batch([*(b.column(c) for c in keep), pa.array(places, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))], names=[*keep, "places", "counts"])
+                sizes.append(len(tokens))
+            columns = [pa.array(places, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64())), pa.array(sizes, pa.int64())]
+            yield pa.record_batch([*(b.column(c) for c in keep), *columns], names=[*keep, "places", "counts", "n"])
 
-    schema = docs.select(*keep).schema.add("places", T.ArrayType(T.LongType())).add("counts", T.ArrayType(T.LongType()))
+    schema = docs.select(*keep).schema.add("places", T.ArrayType(T.LongType())).add("counts", T.ArrayType(T.LongType())).add("n", T.LongType())
     return docs.select(*keep, "text").mapInArrow(run, schema)
 
 
@@ -121,7 +130,7 @@ def fit(docs: DataFrame, ratings: DataFrame, grade: str, dims: int = 1 << 16, sa
     if pdf["grade"].nunique() < 2:
         return None
     rows = np.repeat(np.arange(len(pdf)), pdf["places"].map(len))
-    total = np.maximum(1, pdf["counts"].map(sum).to_numpy())
+    total = np.maximum(1, pdf["n"].to_numpy())
     values = np.concatenate(pdf["counts"].to_numpy()) / total[rows] * SCALE
     return fit_ordinal(rows, np.concatenate(pdf["places"].to_numpy()), values, pdf["grade"].to_numpy(), dims)
 
@@ -141,7 +150,7 @@ def scores(texts: list[str | None], model: Ordinal, known: dict[str, float]) ->
                     known[t] = v
             total += v
         if tokens:
-            out[i] = total * SCALE / (2 * len(tokens))
+            out[i] = (total + weights[0] * repeats(tokens)) * SCALE / len(tokens)
     return out
 
 
