@@ -53,6 +53,25 @@ def drop_written(df: DataFrame) -> None:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+class Recent(dict):
+    """A bounded memory of ``make(key)``: two tables of ``most`` keys, the older of which goes when the newer is
+    full, so that keys in frequent use stay. Keys longer than ``longest`` are made anew each time."""
+
+    def __init__(self, most: int, longest: int, make):
+        self.most, self.longest, self.make, self.old = most, longest, make, {}
+
+    def __missing__(self, key):
+        if len(key) > self.longest:
+            return self.make(key)
+        if (found := self.old.get(key)) is None:
+            found = self.make(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
+
 def salted_rank(df: DataFrame, keys: list[str], order: list, seed_col, name: str = "rank", per_task: int = 2000) -> DataFrame:
     """Adds ``name``: each row's number (from 0) among the rows of its ``keys``, without gaps.
 

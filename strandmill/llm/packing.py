@@ -20,62 +20,76 @@ result; columns other than ``doc_id`` and ``text`` are not looked at.
 
 from __future__ import annotations
 
+import re
+import sys
 import zlib
+from array import array
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import salted_rank, written
+from .common import Recent, salted_rank, written
 
-#: Runs of up to so many bytes are remembered, so many per worker.
-REMEMBER_BYTES, REMEMBER = 40, 250_000
+#: Runs of up to so many bytes are remembered, twice so many per worker.
+REMEMBER_BYTES, REMEMBER = 40, 300_000
+# small letters of ASCII and Latin-1
+_plain = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+# marks at the end of a run, after such a letter or an ASCII digit
+_closing = re.compile(rb"[.,!?;:#$%&*|](?:(?<=[a-z0-9].)|(?<=\xc3[\x9f-\xb6\xb8-\xbf].))[.,!?;:#$%&*|]*(?!\S)")
+# Byte-level BPE's signs for the bytes of those letters that don't stand for themselves.
+_byte_signs = {0x9F: 321, 0xA0: 322, 0xAD: 323}
 
 
 class RunEncoder:
-    """Token ids of whole texts, as bytes of little-endian unsigned 32-bit numbers."""
+    """Token ids of whole texts, as bytes of little-endian unsigned 32-bit numbers.
+
+    A text is lower-cased first where that changes nothing (the tokenizer does so itself, but finds its special
+    tokens before), and marks that end a run after a letter or digit are set off, where the tokenizer splits anyway:
+    fewer different runs are left.
+    """
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.known: dict[bytes, bytes] = {}
+        self.known = Recent(REMEMBER, REMEMBER_BYTES, self._encode)
 
-    def _encode(self, runs: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([r.decode("utf-8", "replace") for r in runs], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+    def _encode(self, run: bytes) -> bytes:
+        if _plain.fullmatch(run):  # the tokenizer's normalizing and splitting leave it whole
+            found = [t.id for t in self.tokenizer.model.tokenize(run.decode("latin-1").translate(_byte_signs))]
+        else:
+            found = self.tokenizer.encode(run.decode("utf-8", "replace"), add_special_tokens=False).ids
+        ids = array("I", found)
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        known = self.known
-        if len(known) > REMEMBER:
-            known.clear()
-        split = [t.encode("utf-8", "replace").split() if t else [] for t in texts]
-        new = list({r for runs in split for r in runs if r not in known})
-        fresh = dict(zip(new, self._encode(new)))
-        known.update((r, i) for r, i in fresh.items() if len(r) <= REMEMBER_BYTES)
-        return [b"".join([known[r] if r in known else fresh[r] for r in runs]) for runs in split]
+    def ids(self, text: str | None) -> bytes:
+        raw = text.encode("utf-8", "replace") if text else b""
+        if b"<|" not in raw:
+            raw = raw.lower()
+        return b"".join(map(self.known.__getitem__, _closing.sub(rb" \g<0>", raw).split()))
 
 
 _encoders: dict[str, RunEncoder] = {}
 
 
-def pieces(docs: DataFrame, tokenizer_file: str, seq_len: int, end_id: int, at_once: int = 256) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_file: str, seq_len: int, end_id: int) -> DataFrame:
     """``(doc_id, start, length, ids_crc32, doc_tokens)``: the documents' ids cut at multiples of ``seq_len``."""
 
     def run(batches):
         if tokenizer_file not in _encoders:
             _encoders[tokenizer_file] = RunEncoder(tokenizer_file)
-        encoder, end = _encoders[tokenizer_file], np.array([end_id], "<u4").tobytes()
+        encoder, end = _encoders[tokenizer_file], end_id.to_bytes(4, "little")
         for b in batches:
-            for at in range(0, b.num_rows, at_once):
-                part = b.slice(at, at_once)
-                rows = []
-                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.ids(part.column(1).to_pylist())):
-                    ids += end
-                    for k in range(0, len(ids), 4 * seq_len):
-                        piece = ids[k : k + 4 * seq_len]
-                        rows.append((doc_id, k // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4))
+            rows = []
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
+                ids = encoder.ids(text.as_py()) + end
+                for k in range(0, len(ids), 4 * seq_len):
+                    piece = ids[k : k + 4 * seq_len]
+                    rows.append((doc_id, k // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4))
+            if rows:
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")

@@ -27,8 +27,10 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Recent
+
 SPACE = "▁"
-#: Parts of up to so many characters are remembered, so many per worker.
+#: Parts of up to so many characters are remembered, twice so many per worker.
 REMEMBER_CHARS, REMEMBER = 40, 200_000
 _part = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n+")
 
@@ -53,7 +55,7 @@ class UnigramCounter:
             self.pieces.add_word(piece, (len(piece), int(score)))
         self.pieces.make_automaton()
         self.unknown = int(min(pieces.values(), default=0)) - 10
-        self.known: dict[str, tuple[int, int]] = {}
+        self.known = Recent(REMEMBER, REMEMBER_CHARS, self.part)
 
     def part(self, s: str) -> tuple[int, int]:
         """``(score, count)`` of the best path over one part."""
@@ -85,16 +87,9 @@ class UnigramCounter:
     def count(self, text: str | None) -> tuple[int, int]:
         """``(tokens, score)`` of a whole text."""
         tokens = total = 0
-        known = self.known
-        for s in _part.findall(SPACE + text.replace(" ", SPACE)) if text else ():
-            if (found := known.get(s)) is None:
-                found = self.part(s)
-                if len(s) <= REMEMBER_CHARS:
-                    if len(known) >= REMEMBER:
-                        known.clear()
-                    known[s] = found
-            total += found[0]
-            tokens += found[1]
+        for score, count in map(self.known.__getitem__, _part.findall(SPACE + text.replace(" ", SPACE)) if text else ()):
+            total += score
+            tokens += count
         return tokens, total
 
 
