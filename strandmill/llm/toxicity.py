@@ -1,20 +1,23 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, written and trained in numpy.
 
 Tokens are runs of letters and digits, lower-cased. A token's input is its own vector beside the mean of the vectors
-of its character n-grams (3 to 5, with edge marks), both hashed. Two gated recurrences run over a window of tokens,
+of its character n-grams (3 to 5, with edge marks), both hashed, and the log odds with which the token and its
+n-grams stand in toxic documents. Two gated recurrences run over a window of tokens,
 one in each direction; attention weighs their states, and the pooled state gives the window's logit. All windows of
 ``WIDTH`` tokens at every ``STEP`` tokens are scored, up to the end of the text; a document's score is a calibrated
 logistic function of its largest and its third largest window logit and of the number of windows.
 
 Labels are of documents, not of windows, so training alternates: windows of toxic documents with the largest logits
 are taken as toxic, those of other documents (the largest and random ones) as not toxic, and the network is fitted
-to them. It starts from the tokens' log odds, which are one part of the vectors.
+to them; the first choice goes by log odds. So that the network trusts log odds no more than unseen texts allow, a
+training document's are counted in the other folds, learned vectors are left out at random, and one fold is kept for
+calibration alone.
 
 Fitting takes at most ``per_class`` labelled documents with label 1 and as many with label 0, those that come first
 in a seeded hash order; that bounded sample is the only part that doesn't see all rows. Scoring is one pass over
 whole texts without a shuffle; inputs of known tokens are kept per worker, up to a bound.
 
-Defined results: null and empty texts have one window without tokens; any length of text is taken whole; null labels
+Defined results: null and empty texts, and others without tokens, score 0; any length of text is taken whole; null labels
 are left out; without two labels to learn from every score is the label's share (0.5 without any); a null ``doc_id``
 counts as the text "null" for the held-out rule; repeated rows stay; an empty table gives an empty result; columns
 other than ``doc_id`` and ``text`` are not looked at.
@@ -27,13 +30,14 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WIDTH, STEP = 24, 12
-WORDS, GRAMS, SIZE, HIDDEN = 1 << 14, 1 << 15, 12, 12
+WORDS, GRAMS, GRAM_SIZES, SIZE, HIDDEN = 1 << 14, 1 << 15, (3, 4, 5), 12, 12
 #: Tokens whose inputs a worker keeps, and windows that it scores at once.
 REMEMBER, AT_ONCE = 150_000, 4096
+BATCH = 192
 
 _token = re.compile(r"[^\W_]+")
 
@@ -42,23 +46,46 @@ def tokens_of(text: str | None) -> list[str]:
     return _token.findall(text.lower()) if text else []
 
 
-def hashed(token: str) -> tuple[int, list[int]]:
-    """Places of the token's own vector and of its n-grams' vectors; place 0 of each is left for no token."""
-    raw = token.encode("utf-8", "replace")
-    edged = b"<" + raw + b">"
-    grams = [1 + zlib.crc32(edged[i : i + n]) % (GRAMS - 1) for n in (3, 4, 5) for i in range(len(edged) - n + 1)]
-    return 1 + zlib.crc32(raw) % (WORDS - 1), grams
-
-
 class Inputs:
-    """Hashed places of a list of tokens, with the n-grams in one array."""
+    """Hashed places of a list of tokens' own vectors and of their n-grams' vectors; place 0 is left for no token.
+
+    The n-grams of all tokens are hashed at once, as polynomials over the tokens' bytes with an edge mark on either
+    side; those that would cross an edge are left out.
+    """
 
     def __init__(self, tokens: list[str]):
-        found = [hashed(t) for t in tokens]
-        self.word = np.array([w for w, _ in found], np.int64)
-        n = np.array([len(g) for _, g in found], np.int64)
-        self.gram = np.fromiter((x for _, g in found for x in g), np.int64, int(n.sum()))
-        self.start = np.r_[0, np.cumsum(n)]
+        raw = [b"<" + t.encode("utf-8", "replace") + b">" for t in tokens]
+        size = np.array([len(r) for r in raw], np.int64)
+        byte = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
+        owner = np.repeat(np.arange(len(raw)), size)
+        whole = np.array([zlib.crc32(r) for r in raw], np.int64)
+        self.word = 1 + whole % (WORDS - 1)
+        found = []
+        for n in GRAM_SIZES:
+            if len(byte) < n:
+                continue
+            h = np.full(len(byte) - n + 1, n, np.uint64)
+            for k in range(n):
+                h = h * np.uint64(1099511628211) ^ byte[k : len(byte) - n + 1 + k]
+            h ^= h >> np.uint64(29)
+            own = owner[: len(h)] == owner[n - 1 :]
+            found.append((owner[: len(h)][own], (1 + h[own] % np.uint64(GRAMS - 1)).astype(np.int64)))
+        of = np.concatenate([o for o, _ in found]) if found else np.zeros(0, np.int64)
+        gram = np.concatenate([g for _, g in found]) if found else np.zeros(0, np.int64)
+        self.gram = gram[np.argsort(of, kind="stable")]
+        self.start = np.r_[0, np.cumsum(np.bincount(of, minlength=len(raw)))]
+
+    def odds_of(self, which: np.ndarray, odds: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Log odds of some tokens, and the mean and largest of their n-grams' log odds."""
+        out = np.zeros((len(which), 3), "f4")
+        out[:, 0] = odds[0][self.word[which]]
+        grams, row = self.grams_of(which)
+        if len(grams):
+            begin = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+            value = odds[1][grams]
+            out[row[begin], 1] = np.add.reduceat(value, begin) / np.diff(np.r_[begin, len(grams)])
+            out[row[begin], 2] = np.maximum.reduceat(value, begin)
+        return out
 
     def grams_of(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The n-grams of some tokens and the row in ``which`` of each."""
@@ -74,7 +101,7 @@ def windows(n: int) -> list[int]:
 
 
 def _sig(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
 class Network:
@@ -83,23 +110,25 @@ class Network:
         m = lambda *s: (r.standard_normal(s) / np.sqrt(s[0])).astype("f4")
         self.p = {
             "word": (0.1 * r.standard_normal((WORDS, SIZE))).astype("f4"), "gram": (0.1 * r.standard_normal((GRAMS, SIZE))).astype("f4"),
-            "in": m(2 * SIZE, 6 * HIDDEN), "bias": np.zeros(6 * HIDDEN, "f4"), "back": m(HIDDEN, 3 * HIDDEN), "ahead": m(HIDDEN, 3 * HIDDEN),
+            "in": m(2 * SIZE + 3, 6 * HIDDEN), "bias": np.zeros(6 * HIDDEN, "f4"), "back": m(HIDDEN, 3 * HIDDEN), "ahead": m(HIDDEN, 3 * HIDDEN),
             "look": m(2 * HIDDEN, 1)[:, 0], "out": m(2 * HIDDEN, 1)[:, 0], "base": np.zeros(1, "f4"),
         }
+        self.odds = np.zeros(WORDS, "f4"), np.zeros(GRAMS, "f4")
         self.calibration = np.array([1.0, 0.0, 0.0, 0.0])
 
-    def vectors(self, inputs: Inputs, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def vectors(self, inputs: Inputs, which: np.ndarray, odds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         grams, row = inputs.grams_of(which)
         n = np.maximum(1, inputs.start[which + 1] - inputs.start[which])
         total = np.zeros((len(which), SIZE), "f4")
         if len(grams):
             begin = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
             total[row[begin]] = np.add.reduceat(self.p["gram"][grams], begin, axis=0)
-        return np.hstack([self.p["word"][inputs.word[which]], total / n[:, None]]).astype("f4"), grams, row, n
+        return np.hstack([self.p["word"][inputs.word[which]], total / n[:, None], odds]).astype("f4"), grams, row, n
 
-    def project(self, inputs: Inputs, which: np.ndarray) -> np.ndarray:
+    def project(self, inputs: Inputs, which: np.ndarray, at_once: int = 20_000) -> np.ndarray:
         """What the gates of both directions get from each token."""
-        return self.vectors(inputs, which)[0] @ self.p["in"] + self.p["bias"]
+        parts = [which[a : a + at_once] for a in range(0, len(which), at_once)] or [which]
+        return np.vstack([self.vectors(inputs, w, inputs.odds_of(w, self.odds))[0] @ self.p["in"] + self.p["bias"] for w in parts])
 
     def _run(self, g: np.ndarray, mask: np.ndarray, u: np.ndarray, keep: list | None) -> np.ndarray:
         """States (time, batch, hidden) of one direction; ``g`` (time, batch, gates)."""
@@ -148,11 +177,14 @@ class Network:
             d_h = d_h * ~m + new * z + d_a @ u.T
         return d_g, d_u
 
-    def gradients(self, inputs: Inputs, tok: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, dict]:
-        """Mean weighted log loss of windows of tokens (batch, time), and its gradients; those of vectors by place."""
-        which, at = np.unique(tok, return_inverse=True)
-        at = at.reshape(tok.shape)
-        vec, grams, row, n = self.vectors(inputs, which)
+    def gradients(self, inputs: Inputs, odds: np.ndarray, fold: np.ndarray, tok: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray, drop: np.random.Generator | None) -> tuple[float, dict]:
+        """Mean weighted log loss of windows of tokens (batch, time), and its gradients; those of vectors by place.
+        ``odds`` by fold and token; ``drop`` leaves out learned vectors of half the tokens."""
+        both, at = np.unique(tok * len(odds) + fold[:, None], return_inverse=True)
+        which, at = both // len(odds), at.reshape(tok.shape)
+        vec, grams, row, n = self.vectors(inputs, which, odds[both % len(odds), which])
+        left = np.ones((len(which), 1), "f4") if drop is None else 2 * drop.integers(0, 2, (len(which), 1)).astype("f4")
+        vec[:, : 2 * SIZE] *= left
         keep: dict = {}
         logit = self.forward((vec @ self.p["in"] + self.p["bias"])[at.T], mask.T, keep)
         p = _sig(logit)
@@ -171,7 +203,7 @@ class Network:
         begin = np.searchsorted(at.T.ravel()[order], np.arange(len(which)))
         by_token = np.add.reduceat(d_gate[order], begin, axis=0)
         g["in"], g["bias"] = vec.T @ by_token, by_token.sum(0)
-        d_vec = by_token @ self.p["in"].T
+        d_vec = by_token @ self.p["in"][: 2 * SIZE].T * left
         g["word"] = (inputs.word[which], d_vec[:, :SIZE])
         g["gram"] = (grams, (d_vec[:, SIZE:] / n[:, None])[row])
         return loss, g
@@ -189,9 +221,9 @@ class _Steps:
         self.n += 1
         for k, v in g.items():
             if isinstance(v, tuple):
-                place, at = np.unique(v[0], return_inverse=True)
-                total = np.zeros((len(place), SIZE), "f4")
-                np.add.at(total, at, v[1])
+                total = np.stack([np.bincount(v[0], d, len(self.net.p[k])) for d in v[1].T], 1)
+                place = np.flatnonzero(total.any(1))
+                total = total[place].astype("f4")
                 self.square[k][place] += total**2
                 self.net.p[k][place] -= self.vector_rate * total / (np.sqrt(self.square[k][place]) + 1e-6)
             else:
@@ -206,8 +238,14 @@ def summary(logits: np.ndarray) -> np.ndarray:
     return np.array([1.0, top[0], top[min(2, len(top) - 1)], np.log(len(top))])
 
 
-def train(texts: list[str | None], labels: np.ndarray, rounds: int = 5, seed: int = 10) -> Network:
-    """A network fitted to texts with labels 0 and 1, both present."""
+def log_odds(seen: np.ndarray, share: float, prior: float = 3.0) -> np.ndarray:
+    """From documents without (row 0) and with (row 1) the label that hold each place: how much it raises the odds."""
+    p = (seen[1] + prior * share) / (seen.sum(0) + prior)
+    return np.log(p / (1 - p) / (share / (1 - share))).astype("f4")
+
+
+def train(texts: list[str | None], labels: np.ndarray, rounds: int = 5, folds: int = 5, seed: int = 10) -> Network:
+    """A network fitted to texts with labels 0 and 1, both present; the last fold is for calibration."""
     r = np.random.default_rng(seed)
     net = Network(seed)
     docs = [tokens_of(t) for t in texts]
@@ -217,17 +255,24 @@ def train(texts: list[str | None], labels: np.ndarray, rounds: int = 5, seed: in
     empty = len(names)  # stands where a window has no token
     inputs.word, inputs.start = np.r_[inputs.word, 0], np.r_[inputs.start, inputs.start[-1]]
     flat = [np.array([index[t] for t in d], np.int64) for d in docs]
-    # log odds of being in a toxic document, by token and by n-gram, as one part of the vectors
-    seen_w, seen_g = np.zeros((2, WORDS)), np.zeros((2, GRAMS))
-    for ids, y in zip(flat, labels):
+    fold = np.empty(len(docs), np.int64)
+    for y in (0, 1):  # each label is dealt evenly
+        own = r.permutation(np.flatnonzero(labels == y))
+        fold[own] = np.arange(len(own)) % folds
+    last = folds - 1
+    words, grams = np.zeros((folds, 2, WORDS)), np.zeros((folds, 2, GRAMS))
+    for ids, y, f in zip(flat, labels, fold):
         if len(ids):
-            seen_w[y, np.unique(inputs.word[ids])] += 1
-            seen_g[y, np.unique(inputs.grams_of(np.unique(ids))[0])] += 1
-    share = np.bincount(labels, minlength=2)[:, None]
-    for k, seen in (("word", seen_w), ("gram", seen_g)):
-        rate = (seen + 0.5) / (share + 1)
-        net.p[k][:, 0] = np.clip(np.log(rate[1] / rate[0]) * (seen.sum(0) >= 3), -3, 3)
-    token_odds = net.vectors(inputs, np.arange(len(names) + 1))[0][:, [0, SIZE]].sum(1)
+            words[f, y, np.unique(inputs.word[ids])] += 1
+            grams[f, y, np.unique(inputs.grams_of(np.unique(ids))[0])] += 1
+    share = float(np.clip(labels.mean(), 1e-3, 1 - 1e-3))
+    every = np.array_split(np.arange(len(names) + 1), len(names) // 20_000 + 1)
+    odds = []
+    for f in range(folds):
+        used = [k for k in range(last) if k != f] or [0]
+        net.odds = log_odds(words[used].sum(0), share), log_odds(grams[used].sum(0), share)
+        odds.append(np.vstack([inputs.odds_of(w, net.odds) for w in every]))
+    odds = np.array(odds)  # those of the last fold, counted in all others, are the network's own
 
     tok, mask, doc = [], [], []
     for i, ids in enumerate(flat):
@@ -238,14 +283,15 @@ def train(texts: list[str | None], labels: np.ndarray, rounds: int = 5, seed: in
             doc.append(i)
     tok, mask, doc = np.array(tok, np.int64), np.array(mask), np.array(doc)
     first = np.searchsorted(doc, np.arange(len(docs) + 1))
-    logits = np.where(mask, token_odds[tok], -9).max(1)  # the first choice of windows
+    at_fold = fold[doc]
+    logits = np.where(mask, odds[at_fold[:, None], tok, 0], -9).max(1)  # the first choice of windows
     steps = _Steps(net)
-    for k in range(rounds):
+    for _ in range(rounds):
         pos, neg = [], []
-        for i, y in enumerate(labels):
+        for i in np.flatnonzero(fold != last):
             own = np.arange(first[i], first[i + 1])
             best = own[np.argsort(-logits[own])]
-            if y:
+            if labels[i]:
                 pos += best[: max(1, min(3, len(best) // 8))].tolist()
             else:
                 neg += [*best[:2].tolist(), *r.choice(own, min(3, len(own)), replace=False).tolist()]
@@ -253,13 +299,19 @@ def train(texts: list[str | None], labels: np.ndarray, rounds: int = 5, seed: in
         y = np.r_[np.ones(len(pos)), np.zeros(len(neg))]
         weight = np.where(y == 1, len(y) / (2 * max(1, len(pos))), len(y) / (2 * max(1, len(neg))))
         for _ in range(2):
-            for part in np.array_split(r.permutation(len(ids)), max(1, len(ids) // 128)):
-                net_loss, g = net.gradients(inputs, tok[ids[part]], mask[ids[part]], y[part], weight[part])
+            for part in np.array_split(r.permutation(len(ids)), max(1, len(ids) // BATCH)):
+                k = ids[part]
+                _, g = net.gradients(inputs, odds, at_fold[k], tok[k], mask[k], y[part], weight[part], r)
                 steps.take(g)
-        table = net.project(inputs, np.arange(len(names) + 1))
-        logits = np.concatenate([net.forward(table[tok[a : a + AT_ONCE].T], mask[a : a + AT_ONCE].T) for a in range(0, len(tok), AT_ONCE)])
-    x = np.array([summary(logits[a:b]) for a, b in zip(first[:-1], first[1:])])
-    net.calibration = _logistic(x, labels.astype(float))
+        logits = np.empty(len(tok))
+        for f in range(folds):
+            table = np.vstack([net.vectors(inputs, w, odds[f, w])[0] @ net.p["in"] + net.p["bias"] for w in every])
+            own = np.flatnonzero(at_fold == f)
+            for k in np.array_split(own, len(own) // AT_ONCE + 1):
+                logits[k] = net.forward(table[tok[k].T], mask[k].T)
+    kept = np.flatnonzero(fold == last)
+    x = np.array([summary(logits[first[i] : first[i + 1]]) for i in kept])
+    net.calibration = _logistic(x, labels[kept].astype(float))
     return net
 
 
@@ -298,6 +350,7 @@ class Scorer:
         return [np.fromiter(map(index.__getitem__, d), np.int64, len(d)) for d in docs], table
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
+        """A score per text; one without tokens has nothing toxic in it and scores 0."""
         rows, table = self._rows([tokens_of(t) for t in texts])
         tok, n_windows = [], []
         for ids in rows:
@@ -309,7 +362,7 @@ class Scorer:
         tok = np.concatenate(tok)
         logits = np.concatenate([self.net.forward(table[t.T], t.T > 0) for t in (tok[a : a + AT_ONCE] for a in range(0, len(tok), AT_ONCE))])
         x = np.array([summary(part) for part in np.split(logits, np.cumsum(n_windows)[:-1])])
-        return _sig(x @ self.net.calibration)
+        return _sig(x @ self.net.calibration) * np.array([len(ids) > 0 for ids in rows])
 
 
 def _no_token() -> Inputs:
@@ -332,7 +385,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, per_class: int = 2500, s
     return train(pdf["text"].tolist(), pdf["y"].to_numpy(np.int64), seed=seed)
 
 
-def held_out(doc_id) -> F.Column:
+def held_out(doc_id: Column) -> Column:
     """Whether crc32 of the id as text leaves 0 when divided by 5."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary")) % 5 == 0
 
