@@ -1,4 +1,245 @@
-"""The registered queries, and the DuckDB SQL that gives the same rows."""
+"""The registered queries, and the DuckDB SQL that gives the same rows.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+References are the documents and queries the benchmark passages, any byte being a base; signals are the events'
+values by user, or the embeddings' components.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..config import MapConfig
+from ..functions import sequence as S
+from ..mapper import Index, map_reads
+from ..operators import index as X
+from ..operators import search
+from ..operators import signal as N
+from ..operators.dynamic import DynamicIndex
+from ..sources import fasta, pore_model
+from . import oracles
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _refs(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "documents").select(F.col("doc_id").alias("ref_id"), F.concat(F.lit("d"), "doc_id").alias("name"), F.col("text").alias("seq"))
+
+
+def _passages(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "benchmark").select(F.col("item_id").alias("q_id"), F.concat(F.lit("b"), "item_id").alias("name"), F.col("text").alias("seq"))
+
+
+def _both_ways(spark: SparkSession, d: str) -> DataFrame:
+    q = _passages(spark, d)
+    back = q.select((F.col("q_id") * 2 + 1).alias("q_id"), F.concat("name", F.lit("r")).alias("name"), S.revcomp(F.col("seq")).alias("seq"))
+    return q.withColumn("q_id", F.col("q_id") * 2).unionByName(back)
+
+
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "benchmark").select(F.col("item_id").alias("ref_id"), F.col("text").alias("seq"))
+
+
+def _signals(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return _table(spark, d, "events").select(F.col("user_id").alias("read_id"), (F.row_number().over(w) - 1).cast("long").alias("i"), F.col("value").alias("x"))
+
+
+def _arrays(spark: SparkSession, d: str) -> DataFrame:
+    rows = _table(spark, d, "events").select("user_id", F.struct("ts", "event_id", "value").alias("s")).groupBy("user_id").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    return rows.select(F.col("user_id").alias("read_id"), F.transform("s", lambda s: s["value"]).alias("signal"))
+
+
+def _scaled(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "embeddings").select(F.col("vec_id").alias("read_id"), F.posexplode("embedding").alias("i", "x")).select("read_id", "i", (F.col("x").cast("double") * 8).alias("x"))
+
+
+def _map(refs: DataFrame, queries: DataFrame, cfg: MapConfig) -> DataFrame:
+    refs = X.both_strands(refs) if cfg.fr else refs
+    named = X.fragment_table(refs, cfg) if cfg.compat else refs.select("ref_id", "name")
+    return search.map_queries(queries, X.postings(refs, cfg), named, cfg)
+
+
+def _rounded(mapped: DataFrame) -> DataFrame:
+    return mapped.withColumn("support", F.round(F.col("support").cast("double"), 6))
+
+
+def encode_bytes(spark, d):
+    return _table(spark, d, "benchmark").select("item_id", S.codes(F.col("text")).alias("codes"))
+
+
+def revcomp(spark, d):
+    return _table(spark, d, "documents").select("doc_id", F.md5(S.revcomp(F.col("text"))).alias("revcomp_md5"))
+
+
+def kmer_extract(spark, d):
+    return X.positions(_items(spark, d), 15).select(F.col("ref_id").alias("item_id"), "pos", "kmer")
+
+
+def kmer_sql_equal(spark, d):
+    """Whether the Arrow k-mers of each passage equal those of the SQL functions."""
+    c = S.codes(F.col("text"))
+    rows = _table(spark, d, "benchmark").select("item_id", c.alias("c"), S.kmers(F.col("text"), 15).alias("fast"))
+    n = F.length("c") - 14
+    slow = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: S.encode_kmer(F.col("c"), i, 15))).otherwise(F.array().cast("array<int>"))
+    return rows.select("item_id", (F.col("fast") == slow).alias("equal"))
+
+
+def pack_posting(spark, d):
+    packed = X.positions(_items(spark, d), 15).select(S.pack_posting(F.col("ref_id"), F.col("pos")).alias("packed"))
+    return packed.select("packed", S.posting_ref(F.col("packed")).alias("ref_id"), S.posting_pos(F.col("packed")).alias("pos"))
+
+
+def shard_key(spark, d):
+    return kmer_extract(spark, d).select("item_id", "pos", S.shard(F.col("kmer"), 10).alias("shard"), S.shard_key(F.col("kmer"), 10).alias("skey"))
+
+
+def xxh64(spark, d):
+    return _table(spark, d, "benchmark").select("item_id", S.xxh64(F.col("item_id")).alias("hash"))
+
+
+def index_histogram(spark, d):
+    return X.histogram(X.positions(_refs(spark, d), 8))
+
+
+def index_offsets(spark, d):
+    return X.offsets(X.positions(_refs(spark, d), 8))
+
+
+def occ_profile(spark, d):
+    return X.occupancy(X.positions(_refs(spark, d), 15))
+
+
+def minimizers(spark, d):
+    return X.minimizers(X.positions(_items(spark, d), 10), 5).withColumnRenamed("ref_id", "item_id")
+
+
+def run_offsets(spark, d):
+    return X.run_offsets(X.positions(_items(spark, d), 1), "ref_id", "pos", "kmer").withColumnRenamed("ref_id", "item_id")
+
+
+def map_coordinate(spark, d):
+    return _rounded(_map(_refs(spark, d), _passages(spark, d), MapConfig()))
+
+
+def map_both_strands(spark, d):
+    return _rounded(_map(_refs(spark, d), _both_ways(spark, d), MapConfig()))
+
+
+def map_coordinate_fr(spark, d):
+    return _rounded(_map(_refs(spark, d), _both_ways(spark, d), MapConfig(fr=True)))
+
+
+def map_fragment(spark, d):
+    return _rounded(_map(_refs(spark, d), _passages(spark, d), MapConfig(jaccard=True)))
+
+
+def map_fragment_compressed(spark, d):
+    """By way of an index that is stored with the denser codec and loaded again."""
+    from ..sources import store
+    from ..storage import new_path
+
+    cfg, path = MapConfig(compressed=True), new_path(spark, "index")
+    refs = _refs(spark, d)
+    rows = X.postings(refs, cfg)
+    store.save_index(path, rows, X.fragment_table(refs, cfg), X.occupancy(rows), cfg)
+    postings, names, _, cfg = store.load_index(spark, path)
+    return _rounded(search.map_queries(_passages(spark, d), postings, names, cfg))
+
+
+def map_fragment_compat(spark, d):
+    return _rounded(_map(_refs(spark, d), _passages(spark, d), MapConfig(jaccard=True, compat=True)))
+
+
+def fragment_table(spark, d):
+    return X.fragment_table(_refs(spark, d), MapConfig(jaccard=True))
+
+
+def guard_short(spark, d):
+    q = _refs(spark, d).withColumnRenamed("ref_id", "q_id")
+    return search.long_enough(q, 15).select(F.col("q_id").alias("doc_id"), F.octet_length("seq").alias("bytes"))
+
+
+def support_threshold(spark, d):
+    return _rounded(_map(_refs(spark, d), _passages(spark, d), MapConfig(pf=0.6))).where("ref <> '*'").select("q_id", "ref", "fwd", "pos", "support")
+
+
+def strand_choice(spark, d):
+    return map_both_strands(spark, d).groupBy("fwd").agg(F.count(F.lit(1)).alias("n"))
+
+
+def dyn_two_batches(spark, d):
+    """Documents added in two batches, searched after the second merge."""
+    index = DynamicIndex(spark, MapConfig(num_shard_bits=4))
+    docs = _refs(spark, d).withColumnRenamed("ref_id", "ord")
+    middle = docs.agg(F.expr("max(ord) div 2")).first()[0]
+    for half in (docs.where(F.col("ord") <= middle), docs.where(F.col("ord") > middle)):
+        index.add_batch(half)
+        index.merge()
+    return _rounded(index.query_batch(_passages(spark, d)))
+
+
+def tsv_sink(spark, d):
+    return fasta.tsv_lines(_map(_refs(spark, d), _passages(spark, d), MapConfig()))
+
+
+def alignments(spark, d):
+    found = search.alignments(_map(_refs(spark, d), _passages(spark, d), MapConfig()))
+    return found.select("q_id", "alignment.*").withColumn("pres_frac", F.round(F.col("pres_frac").cast("double"), 6))
+
+
+def map_reads_query(spark, d):
+    reads = _table(spark, d, "benchmark").select(F.lit(1).alias("channel"), F.col("item_id").cast("string").alias("read_id"), F.col("text").alias("seq"), "item_id")
+    return map_reads(reads, Index.of(_refs(spark, d))).select("item_id", F.size("alignment_data").alias("n_alignments"))
+
+
+def signal_normalise(spark, d):
+    return N.normalise_long(_signals(spark, d)).withColumn("z", F.round("z", 4))
+
+
+def signal_tstat(spark, d):
+    return N.tstat(_signals(spark, d), 3).withColumn("t", F.round("t", 4))
+
+
+def quantise_static16(spark, d):
+    return _scaled(spark, d).select("read_id", "i", N.quantise_static(F.col("x")).alias("level"))
+
+
+def quantise_static8(spark, d):
+    return _scaled(spark, d).select("read_id", "i", N.quantise_static(F.col("x"), N.EDGES_8).alias("level"))
+
+
+def quantise_dynamic(spark, d):
+    return _scaled(spark, d).select("read_id", "i", N.quantise_dynamic(F.col("x")).alias("code"))
+
+
+def quantise_deadband(spark, d):
+    codes = _arrays(spark, d).select("read_id", N.quantise(F.col("signal")).alias("q"))
+    return codes.select("read_id", F.size("q").cast("long").alias("n"), F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x).alias("code_sum"))
+
+
+def segment_events(spark, d):
+    return N.events(_arrays(spark, d)).select("read_id", F.size("events").alias("n_events"), F.transform("events", lambda e: F.round(e, 6)).alias("events"))
+
+
+def squiggle(spark, d):
+    """Levels of a made-up 6-mer model."""
+    letters = lambda code: F.translate(F.lpad(F.conv(code.cast("string"), 10, 4), 6, "0"), "0123", S.LETTERS)
+    model = spark.range(4096).select(letters(F.col("id")).alias("kmer"), (F.col("id") * 7919 % 4096).cast("double").alias("level_mean"))
+    scored, k = pore_model.normalised(model)
+    return N.squiggles(_items(spark, d), scored, k).select(F.col("ref_id").alias("item_id"), "pos", F.round("level", 6).alias("level"))
+
+
+QUERIES = {
+    f.__name__.removesuffix("_query"): f
+    for f in (
+        map_coordinate, map_both_strands, map_coordinate_fr, map_fragment, map_fragment_compressed, map_fragment_compat, fragment_table,
+        encode_bytes, revcomp, kmer_extract, kmer_sql_equal, pack_posting, shard_key, xxh64, index_histogram, index_offsets, occ_profile,
+        minimizers, run_offsets, guard_short, support_threshold, strand_choice, dyn_two_batches, tsv_sink, alignments, map_reads_query,
+        signal_normalise, signal_tstat, quantise_static16, quantise_static8, quantise_dynamic, quantise_deadband, segment_events, squiggle,
+    )
+}
+
+ORACLE_SQL: dict[str, str] = oracles.all_sql(N.EDGES_16, N.EDGES_8)
