@@ -1,56 +1,13 @@
-"""Helpers that several operators share: written tables, skew-proof ranks and connected components."""
+"""Helpers that several operators share: bounded memories, skew-proof ranks and connected components."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import drop_written, new_path, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one in local mode only."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.split("[")[0] == "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    base = tempfile.mkdtemp(prefix="strandmill-", dir=_local_root())
-    atexit.register(shutil.rmtree, base, True)
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
-def _local_root() -> str:
-    import os
-
-    root = os.path.join(tempfile.gettempdir(), "checkpoints")
-    os.makedirs(root, exist_ok=True)
-    return root
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back: the lineage ends there, and losing an
-    executor loses nothing of it."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    back = df.sparkSession.read.schema(df.schema).parquet(path)
-    back._written_path = path
-    return back
-
-
-def drop_written(df: DataFrame) -> None:
-    """Deletes the files of a table that ``written`` made and that nothing reads any more."""
-    spark = df.sparkSession
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(df._written_path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+__all__ = ["Recent", "components", "drop_written", "new_path", "salted_rank", "written"]
 
 
 class Recent(dict):
