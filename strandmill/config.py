@@ -46,8 +46,8 @@ class MapConfig:
             raise ValueError("bw must be positive")
         if not 0 <= self.jc_frag_ovlp_len < self.jc_frag_len:
             raise ValueError("fragments must be longer than their overlap")
-        if not 0 <= self.num_shard_bits <= 2 * self.k:
-            raise ValueError("num_shard_bits must be from 0 to 2k")
+        if not 0 <= self.num_shard_bits <= 30:
+            raise ValueError("num_shard_bits must be from 0 to 30")
         if self.sort_blksz:
             size_in_bytes(self.sort_blksz)
 
