@@ -1,12 +1,13 @@
 """SimHash near-duplicates through a Gray-order hierarchical index.
 
-A document's 64-bit fingerprint is the bitwise majority of its word shingles' hashes; documents link when their
-fingerprints differ in at most ``max_diff`` bits. Distinct fingerprints only are compared: copies share one.
+A document's fingerprint of ``bits`` bits is the bitwise majority of its word shingles' hashes; documents link when
+their fingerprints differ in at most ``max_diff`` bits. Distinct fingerprints only are compared: copies share one.
 
-Distribution: the bits are cut into ``blocks`` blocks. Fingerprints within ``max_diff`` bits agree on at least
-``blocks - max_diff`` whole blocks, so each fingerprint goes once to every choice of so many blocks, under the value
-of those blocks, and every link has its two ends together at least once. A group of over ``cell_rows`` rows is
-dealt into cells that hold two salts each, so that each two salts meet and no task gets a whole group.
+Distribution: each fingerprint goes once to every route, under the value that a set of its bits has there.
+``block_routes`` are such that no link is lost: the bits are cut into blocks, and fingerprints within ``max_diff``
+bits agree on all but ``max_diff`` blocks. ``sampled_routes`` take bits at random and find links with a known
+probability, for differences that are too large for blocks. A group of over ``cell_rows`` rows is dealt into cells
+that hold two salts each, so that each two salts meet and no task gets a whole group.
 
 Within a group the fingerprints are sorted by Gray rank, which keeps similar ones together. Runs of ``FANOUT``
 become nodes that keep the bits all of them share (a mask and its pattern), runs of nodes become upper nodes, up to
@@ -22,6 +23,7 @@ an empty result; columns other than ``doc_id`` and ``text`` are not looked at.
 from __future__ import annotations
 
 from itertools import combinations
+from math import acos, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -37,37 +39,68 @@ STEP = 1 << 21
 SEED = 42
 
 
-def fingerprint(text: str | None, width: int = 4) -> int:
-    """The unsigned fingerprint of one text."""
+def _digests(shingle: bytes, bits: int) -> bytes:
+    if bits == 64:
+        return xxhash.xxh64_digest(shingle, SEED)
+    return b"".join([xxhash.xxh3_128_digest(shingle, SEED + k) for k in range(bits // 128)])
+
+
+def fingerprint(text: str | None, width: int = 4, bits: int = 64) -> bytes:
+    """The fingerprint of one text, most significant bit first. 64 bits are XXH64's, multiples of 128 are XXH3's."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
-        return 0
+        return bytes(bits // 8)
     if len(words) <= width:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
-    n, votes = len(words) - width + 1, np.zeros(64, np.int64)
+        return _digests(b" ".join(words), bits)
+    n, votes = len(words) - width + 1, np.zeros(bits, np.int64)
     for at in range(0, n, 65536):
-        h = np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), SEED) for i in range(at, min(n, at + 65536))), np.uint64)
-        votes += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(votes * 2 > n).tobytes(), "big")
+        raw = b"".join([_digests(b" ".join(words[i : i + width]), bits) for i in range(at, min(n, at + 65536))])
+        votes += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, bits // 8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(votes * 2 > n).tobytes()
 
 
-def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """``(doc_id, fp)``, ``fp`` the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, width: int = 4, bits: int = 64) -> DataFrame:
+    """``(doc_id, fp)``, ``fp`` the fingerprint's bytes."""
 
     def run(batches):
         for b in batches:
-            fp = np.array([fingerprint(t, width) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.record_batch([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.record_batch([b.column(0), pa.array([fingerprint(t, width, bits) for t in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "fp"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp binary")
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+def expected_diff(similarity: float, bits: int, deviations: float = 0.0) -> int:
+    """Differing bits to expect between texts whose shingle sets have this Jaccard similarity, and so many standard
+    deviations more."""
+    p = acos(2 * similarity / (1 + similarity)) / pi
+    return int(bits * p + deviations * sqrt(bits * p * (1 - p)))
+
+
+def block_routes(bits: int, max_diff: int, blocks: int) -> list[list[int]]:
+    """Bit places of each route; more blocks than ``max_diff + 1`` give more routes with longer keys."""
+    if blocks <= max_diff:
+        raise ValueError("blocks must exceed max_diff")
+    cut = np.array_split(np.arange(bits), blocks)
+    return [np.concatenate(c).tolist() for c in combinations(cut, blocks - max_diff)]
 
 
-def gray_rank(x: np.ndarray) -> np.ndarray:
-    """The place of each codeword in the reflected Gray sequence."""
-    x = x.copy()
-    for s in (1, 2, 4, 8, 16, 32):
-        x ^= x >> np.uint64(s)
-    return x
+def sampled_routes(bits: int, routes: int, key_bits: int) -> list[list[int]]:
+    """Places drawn at random: fingerprints that differ in a share p of their bits meet in a route with probability
+    ``(1 - p) ** key_bits``, and somewhere with ``1 - (1 - that) ** routes``."""
+    r = np.random.default_rng(SEED)
+    return [sorted(r.choice(bits, key_bits, replace=False).tolist()) for _ in range(routes)]
+
+
+def gray_order(fp: np.ndarray) -> list[np.ndarray]:
+    """Sort keys, most significant first, that order rows of words by their place in the reflected Gray sequence."""
+    keys, odd = [], np.zeros(len(fp), bool)
+    for word in fp.T:
+        x = word.copy()
+        for s in (1, 2, 4, 8, 16, 32):
+            x ^= x >> np.uint64(s)
+        keys.append(np.where(odd, ~x, x))
+        odd = odd ^ (np.bitwise_count(word) % 2 == 1)
+    return keys
 
 
 class _Labels:
@@ -90,7 +123,8 @@ class _Labels:
 
 
 def linked_rows(fp: np.ndarray, group: np.ndarray, max_diff: int) -> np.ndarray:
-    """For rows sorted by group, then Gray rank: the first row of each row's class among its group's links."""
+    """For fingerprints (row, word) sorted by group, then Gray rank: the first row of each row's class among its
+    group's links."""
     n = len(fp)
     labels = _Labels(n)
     if n < 2:
@@ -106,15 +140,15 @@ def linked_rows(fp: np.ndarray, group: np.ndarray, max_diff: int) -> np.ndarray:
         begins = np.maximum.accumulate(np.where(new, at, 0))
         start = np.flatnonzero((at - begins) % FANOUT == 0)
         first.append(np.r_[start, len(g)])
-        low.append(np.bitwise_and.reduceat(low[-1], start))
-        high.append(np.bitwise_or.reduceat(high[-1], start))
+        low.append(np.bitwise_and.reduceat(low[-1], start, axis=0))
+        high.append(np.bitwise_or.reduceat(high[-1], start, axis=0))
         of.append(g[start])
     fixed = [~(a ^ b) for a, b in zip(low, high)]
     top = len(low) - 1
     if top == 0:
         return labels.of
     roots = np.arange(len(low[top]))
-    stack = [(top, roots, roots, np.zeros(len(roots), np.uint8))]
+    stack = [(top, roots, roots, np.zeros(len(roots), np.int64))]
     lowest = highest = None
     while stack:
         level, a, b, so_far = stack.pop()
@@ -124,7 +158,7 @@ def linked_rows(fp: np.ndarray, group: np.ndarray, max_diff: int) -> np.ndarray:
             # rows already known to be of one class have nothing to add
             todo = ~((lowest[a] == highest[a]) & (lowest[b] == highest[b]) & (lowest[a] == lowest[b]))
             a, b, so_far = a[todo], b[todo], so_far[todo]
-        if len(a) > (most := max(1, STEP // FANOUT**2)):
+        if len(a) > (most := max(1, STEP // fp.shape[1] // FANOUT**2)):
             for k in range(0, len(a), most):
                 stack.append((level, a[k : k + most], b[k : k + most], so_far[k : k + most]))
             continue
@@ -138,7 +172,7 @@ def linked_rows(fp: np.ndarray, group: np.ndarray, max_diff: int) -> np.ndarray:
         x, y, parent = x[keep], y[keep], parent[keep]
         known = (fixed[level][a] & fixed[level][b])[parent]
         newly = fixed[below][x] & fixed[below][y] & ~known
-        diff = so_far[parent] + np.bitwise_count((low[below][x] ^ low[below][y]) & newly)
+        diff = so_far[parent] + np.bitwise_count((low[below][x] ^ low[below][y]) & newly).sum(axis=1, dtype=np.int64)
         keep = diff <= max_diff
         x, y, diff = x[keep], y[keep], diff[keep]
         if below:
@@ -149,33 +183,30 @@ def linked_rows(fp: np.ndarray, group: np.ndarray, max_diff: int) -> np.ndarray:
     return labels.of
 
 
-def _block_widths(blocks: int) -> list[int]:
-    return [64 // blocks + (i < 64 % blocks) for i in range(blocks)]
+def _routed(classes: DataFrame, routes: list[list[int]], with_fp: bool) -> DataFrame:
+    """``route, key`` for each class and route, and with them ``class, fp`` if asked for."""
 
+    def run(batches):
+        for b in batches:
+            fp = b.column(1)
+            bit = np.unpackbits(np.frombuffer(b"".join(fp.to_pylist()), np.uint8).reshape(b.num_rows, -1), axis=1)
+            for r, places in enumerate(routes):
+                key = bit[:, places].astype(np.int64) @ (1 << np.arange(len(places), dtype=np.int64))
+                columns = [pa.array(np.full(b.num_rows, r, np.int32)), pa.array(key)]
+                yield pa.RecordBatch.from_arrays(columns + [b.column(0), fp] * with_fp, names=["route", "key", "class", "fp"][: 2 + 2 * with_fp])
 
-def links(distinct_fp: DataFrame, max_diff: int = 4, blocks: int = 5, cell_rows: int = 4096) -> DataFrame:
-    """``(a, b)``: links between distinct fingerprints ``fp`` that span each class; every link's ends are connected.
+    return classes.select("class", "fp").mapInArrow(run, "route int, key long" + ", class long, fp binary" * with_fp)
 
-    ``blocks`` over ``max_diff + 1`` gives more routes with longer keys, for corpora where groups grow too large.
-    """
-    if blocks <= max_diff:
-        raise ValueError("blocks must exceed max_diff")
-    widths = _block_widths(blocks)
-    shifts = [sum(widths[:i]) for i in range(blocks)]
-    routes = []
-    for r, chosen in enumerate(combinations(range(blocks), blocks - max_diff)):
-        key = F.lit(0).cast("long")
-        for i in chosen:
-            part = F.shiftrightunsigned("fp", shifts[i]).bitwiseAND(F.lit((1 << widths[i]) - 1).cast("long"))
-            key = F.shiftleft(key, widths[i]).bitwiseOR(part)
-        routes.append(F.struct(F.lit(r).alias("route"), key.alias("key")))
-    rows = distinct_fp.select("fp", F.explode(F.array(*routes)).alias("x")).select("x.route", "x.key", "fp")
-    hot = rows.groupBy("route", "key").count().where(F.col("count") > cell_rows).select("route", "key", F.ceil(F.col("count") / cell_rows).cast("int").alias("salts"))
+
+def links(classes: DataFrame, max_diff: int, routes: list[list[int]], cell_rows: int = 4096) -> DataFrame:
+    """``(a, b)``: links between classes ``(class, fp)`` of distinct fingerprints that span what the links connect."""
+    hot = _routed(classes, routes, False).groupBy("route", "key").count().where(F.col("count") > cell_rows)
+    hot = written(hot.select("route", "key", F.ceil(F.col("count") / cell_rows).cast("int").alias("salts")), "groups")
     cells = (
-        rows.join(hot, ["route", "key"], "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+        _routed(classes, routes, True).join(hot, ["route", "key"], "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
         .withColumn("s", F.pmod(F.xxhash64("fp"), F.col("salts").cast("long")).cast("int"))
         .withColumn("t", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-        .select("route", "key", (F.least("s", "t") * F.col("salts") + F.greatest("s", "t")).alias("cell"), "fp")
+        .select("route", "key", (F.least("s", "t") * F.col("salts") + F.greatest("s", "t")).alias("cell"), "class", "fp")
     )
 
     def run(batches):
@@ -183,26 +214,28 @@ def links(distinct_fp: DataFrame, max_diff: int = 4, blocks: int = 5, cell_rows:
         if not tables:
             return
         t = pa.Table.from_batches(tables)
-        route, key, cell, fp = (t.column(i).to_numpy() for i in range(4))
-        fp = fp.view(np.uint64)
-        order = np.lexsort((gray_rank(fp), cell, key, route))
-        route, key, cell, fp = route[order], key[order], cell[order], fp[order]
+        route, key, cell, cls = (t.column(i).to_numpy() for i in range(4))
+        fp = np.frombuffer(b"".join(t.column(4).to_pylist()), ">u8").reshape(len(cls), -1).astype(np.uint64)
+        order = np.lexsort((*gray_order(fp)[::-1], cell, key, route))
+        route, key, cell, cls, fp = route[order], key[order], cell[order], cls[order], fp[order]
         group = np.cumsum(np.r_[0, (route[1:] != route[:-1]) | (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])])
         of = linked_rows(fp, group, max_diff)
         linked = np.flatnonzero(of != np.arange(len(of)))
-        fp = fp.view(np.int64)
-        yield pa.record_batch([pa.array(fp[linked]), pa.array(fp[of[linked]])], names=["a", "b"])
+        yield pa.record_batch([pa.array(cls[linked]), pa.array(cls[of[linked]])], names=["a", "b"])
 
     return cells.repartition("route", "key", "cell").mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, max_diff: int = 4, width: int = 4, blocks: int = 5) -> DataFrame:
-    """``(doc_id, fingerprint, component_id)``: ``component_id`` is the smallest ``doc_id`` reachable by links."""
-    fps = written(fingerprints(docs, width), "fingerprints")
+def near_duplicates(docs: DataFrame, width: int = 4, bits: int = 64, max_diff: int = 4, routes: list[list[int]] | None = None) -> DataFrame:
+    """``(doc_id, fingerprint, component_id)``: ``component_id`` is the smallest ``doc_id`` reachable by links.
+    Without ``routes`` those are taken that lose no link."""
+    routes = routes or block_routes(bits, max_diff, max_diff + 1)
+    fps = written(fingerprints(docs, width, bits), "fingerprints")
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    found = components(links(classes.select("fp"), max_diff, blocks))
-    named = classes.join(found, classes.fp == found.node, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
-    smallest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    classes = written(classes.withColumn("class", F.monotonically_increasing_id()), "distinct")
+    found = components(links(classes, max_diff, routes))
+    named = classes.join(found, F.col("class") == found.node, "left").select("fp", "first_id", F.coalesce("component", "class").alias("component"))
+    named = written(named, "named")
+    smallest = written(named.groupBy("component").agg(F.min("first_id").alias("component_id")), "smallest")
     by_fp = written(named.join(smallest, "component").select("fp", "component_id"), "classes")
-    text = F.lpad(F.lower(F.hex("fp")), 16, "0")
-    return fps.join(by_fp, "fp").select("doc_id", text.alias("fingerprint"), "component_id")
+    return fps.join(by_fp, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
