@@ -27,8 +27,13 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of linked fingerprints, the document with the smallest id."""
-    first = simhash.near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
+    """Of each class of near copies, the document with the smallest id. Near copies share eight of ten different
+    five-word shingles or more, which 256-bit fingerprints estimate: the limit is what is expected at that similarity
+    and half a standard deviation more. Of pairs at 0.8 nine in ten meet in a route, of pairs at 0.9 all but 3 in 1,000."""
+    routes = simhash.sampled_routes(bits=256, routes=32, key_bits=16)
+    limit = simhash.expected_diff(0.8, 256, deviations=0.5)
+    classes = simhash.near_duplicates(docs, width=5, bits=256, max_diff=limit, routes=routes)
+    first = classes.where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
     kept = docs.join(first, docs.doc_id == first._first, "left_semi")
     return kept.dropDuplicates(["doc_id"])
 
