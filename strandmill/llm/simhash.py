@@ -6,8 +6,9 @@ their fingerprints differ in at most ``max_diff`` bits. Distinct fingerprints on
 Distribution: each fingerprint goes once to every route, under the value that a set of its bits has there.
 ``block_routes`` are such that no link is lost: the bits are cut into blocks, and fingerprints within ``max_diff``
 bits agree on all but ``max_diff`` blocks. ``sampled_routes`` take bits at random and find links with a known
-probability, for differences that are too large for blocks. A group of over ``cell_rows`` rows is dealt into cells
-that hold two salts each, so that each two salts meet and no task gets a whole group.
+probability, for differences that are too large for blocks. Keys get longer and routes more with the number of
+fingerprints, so that groups stay as large while as many links are found. A group of over ``cell_rows`` rows is dealt
+into cells that hold two salts each, so that each two salts meet and no task gets a whole group.
 
 Within a group the fingerprints are sorted by Gray rank, which keeps similar ones together. Runs of ``FANOUT``
 become nodes that keep the bits all of them share (a mask and its pattern), runs of nodes become upper nodes, up to
@@ -22,8 +23,9 @@ an empty result; columns other than ``doc_id`` and ``text`` are not looked at.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
-from math import acos, pi, sqrt
+from math import acos, ceil, log, log2, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -39,40 +41,55 @@ STEP = 1 << 21
 SEED = 42
 
 
-def _digests(shingle: bytes, bits: int) -> bytes:
-    if bits == 64:
-        return xxhash.xxh64_digest(shingle, SEED)
-    return b"".join([xxhash.xxh3_128_digest(shingle, SEED + k) for k in range(bits // 128)])
+def _hashes(words: list[bytes], width: int) -> np.ndarray:
+    """XXH64 of each shingle, repeats included; of the whole where there are fewer words."""
+    shingles = max(1, len(words) - width + 1)
+    return np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), SEED) for i in range(shingles)), np.uint64, shingles)
 
 
-def fingerprint(text: str | None, width: int = 4, bits: int = 64) -> bytes:
-    """The fingerprint of one text, most significant bit first. 64 bits are XXH64's, multiples of 128 are XXH3's."""
+def _mixed(h: np.ndarray, words: int) -> np.ndarray:
+    """Rows of so many 64-bit words, of which each depends on all of a hash's bits."""
+    x = h[:, None] + np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ x >> np.uint64(shift)) * np.uint64(factor)
+    return x ^ x >> np.uint64(31)
+
+
+def fingerprint(text: str | None, width: int = 4, bits: int = 64, distinct: bool = False) -> bytes:
+    """The fingerprint of one text, most significant bit first. Of 64 bits the shingles' hashes are XXH64 itself, of
+    multiples of that they are mixed from it. With ``distinct`` a repeated shingle counts once."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
         return bytes(bits // 8)
-    if len(words) <= width:
-        return _digests(b" ".join(words), bits)
-    n, votes = len(words) - width + 1, np.zeros(bits, np.int64)
-    for at in range(0, n, 65536):
-        raw = b"".join([_digests(b" ".join(words[i : i + width]), bits) for i in range(at, min(n, at + 65536))])
-        votes += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, bits // 8), axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(votes * 2 > n).tobytes()
-
-
-def fingerprints(docs: DataFrame, width: int = 4, bits: int = 64) -> DataFrame:
+    h = _hashes(words, width)
+    if distinct:
+        h = np.unique(h)
+    votes = np.zeros(bits, np.int64)
+    for at in range(0, len(h), 16384):
+        part = h[at : at + 16384]
+        part = (part[:, None] if bits == 64 else _mixed(part, bits // 64)).astype(">u8")
+        votes += np.unpackbits(part.view(np.uint8).reshape(len(part), -1), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(votes * 2 > len(h)).tobytes()
+
+
+def fingerprints(docs: DataFrame, width: int = 4, bits: int = 64, distinct: bool = False) -> DataFrame:
     """``(doc_id, fp)``, ``fp`` the fingerprint's bytes."""
 
     def run(batches):
         for b in batches:
-            yield pa.record_batch([b.column(0), pa.array([fingerprint(t, width, bits) for t in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "fp"])
+            yield pa.record_batch([b.column(0), pa.array([fingerprint(t.as_py(), width, bits, distinct) for t in b.column(1)], pa.binary())], names=["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp binary")
 
 
+def share_of_bits(similarity: float) -> float:
+    """Of the bits that differ between texts whose shingle sets have this Jaccard similarity."""
+    return acos(2 * similarity / (1 + similarity)) / pi
+
+
 def expected_diff(similarity: float, bits: int, deviations: float = 0.0) -> int:
-    """Differing bits to expect between texts whose shingle sets have this Jaccard similarity, and so many standard
-    deviations more."""
-    p = acos(2 * similarity / (1 + similarity)) / pi
+    """Differing bits to expect at this similarity, and so many standard deviations more."""
+    p = share_of_bits(similarity)
     return int(bits * p + deviations * sqrt(bits * p * (1 - p)))
 
 
@@ -84,6 +101,14 @@ def block_routes(bits: int, max_diff: int, blocks: int) -> list[list[int]]:
     return [np.concatenate(c).tolist() for c in combinations(cut, blocks - max_diff)]
 
 
+def block_routes_for(n: int, bits: int, max_diff: int, rows: int = 2048) -> list[list[int]]:
+    """The fewest such routes whose groups have ``rows`` of ``n`` rows on average; all of them lose no link."""
+    blocks = max_diff + 1
+    while blocks < bits and n >> (blocks - max_diff) * (bits // blocks) > rows:
+        blocks += 1
+    return block_routes(bits, max_diff, blocks)
+
+
 def sampled_routes(bits: int, routes: int, key_bits: int) -> list[list[int]]:
     """Places drawn at random: fingerprints that differ in a share p of their bits meet in a route with probability
     ``(1 - p) ** key_bits``, and somewhere with ``1 - (1 - that) ** routes``."""
@@ -91,6 +116,13 @@ def sampled_routes(bits: int, routes: int, key_bits: int) -> list[list[int]]:
     return [sorted(r.choice(bits, key_bits, replace=False).tolist()) for _ in range(routes)]
 
 
+def sampled_routes_for(n: int, bits: int, similarity: float, recall: float = 0.98, rows: int = 512) -> list[list[int]]:
+    """Routes whose groups have ``rows`` of ``n`` rows on average and in which so many pairs of the similarity meet."""
+    key_bits = min(bits, max(8, ceil(log2(max(1, n) / rows))))
+    meet = (1 - share_of_bits(similarity)) ** key_bits
+    return sampled_routes(bits, ceil(log(1 - recall) / log(1 - meet)), key_bits)
+
+
 def gray_order(fp: np.ndarray) -> list[np.ndarray]:
     """Sort keys, most significant first, that order rows of words by their place in the reflected Gray sequence."""
     keys, odd = [], np.zeros(len(fp), bool)
@@ -226,14 +258,14 @@ def links(classes: DataFrame, max_diff: int, routes: list[list[int]], cell_rows:
     return cells.repartition("route", "key", "cell").mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, bits: int = 64, max_diff: int = 4, routes: list[list[int]] | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 4, bits: int = 64, max_diff: int = 4, distinct: bool = False, routes: Callable[[int], list[list[int]]] | None = None) -> DataFrame:
     """``(doc_id, fingerprint, component_id)``: ``component_id`` is the smallest ``doc_id`` reachable by links.
-    Without ``routes`` those are taken that lose no link."""
-    routes = routes or block_routes(bits, max_diff, max_diff + 1)
-    fps = written(fingerprints(docs, width, bits), "fingerprints")
+    ``routes`` gets the number of different fingerprints; without it those are taken that lose no link."""
+    fps = written(fingerprints(docs, width, bits, distinct), "fingerprints")
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     classes = written(classes.withColumn("class", F.monotonically_increasing_id()), "distinct")
-    found = components(links(classes, max_diff, routes))
+    n = classes.count()
+    found = components(links(classes, max_diff, routes(n) if routes else block_routes_for(n, bits, max_diff)))
     named = classes.join(found, F.col("class") == found.node, "left").select("fp", "first_id", F.coalesce("component", "class").alias("component"))
     named = written(named, "named")
     smallest = written(named.groupBy("component").agg(F.min("first_id").alias("component_id")), "smallest")
