@@ -1,8 +1,10 @@
 """Exact top-k by integer inner product through dual-tree search over cover trees.
 
 Queries and candidates are dealt into blocks; each block of queries meets each block of candidates in a task of its
-own, which holds the two blocks only. There both get a cover tree: a node has a centre and a covering radius, its
-children's centres lie apart by more than half its radius and cover it. The trees are searched together: for nodes
+own, which holds the two blocks only. Blocks have at most ``query_rows`` and ``block_rows`` rows, so that few copies
+of either side are shuffled, and fewer where there would otherwise be less than ``TASKS`` tasks. In a task both get a
+cover tree: a node has a centre and a covering radius, its children's centres lie apart by more than half its radius
+and cover it; where ``CHILDREN`` of them don't, rows go to the nearest and radii are what they are. The trees are searched together: for nodes
 with centres q, p and radii r, s no inner product below them exceeds ``q.p + r|p| + s|q| + r s``; a pair of nodes
 whose bound stays below the worst k-th score in the query node is dropped, the likeliest pairs are opened first, and
 leaves are scored by a matrix product. Where data have no structure to prune, that is a blocked product of all rows,
@@ -27,7 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-LEAF = 48
+LEAF, CHILDREN = 48, 64
+#: Blocks of candidates get smaller, down to so many rows, while there are fewer tasks than this.
+LEAST_ROWS, TASKS = 2048, 128
 LONG = (1 << 63) - 1
 
 
@@ -55,16 +59,16 @@ class CoverTree:
             return me
         # centres more than half the radius apart, each row with the nearest
         nearest, owner, k, found = far, np.zeros(len(rows), np.int64), 0, [0]
-        while (nearest > radius / 2).any():
-            if len(found) * LEAF > 4 * len(rows):  # nearly every row would be a child: nothing to cover, cut evenly
-                cut = [range(i, min(b, i + LEAF)) for i in range(a, b, LEAF)]
-                self.children[me] = [self._node(r.start, r.stop) for r in cut]
-                return me
+        most = min(CHILDREN, 2 * len(rows) // LEAF)  # children of half a leaf on average at least
+        while len(found) < most and (nearest > radius / 2).any():
             k = int(nearest.argmax())
             d = np.sqrt(((self.x[rows] - self.x[rows[k]]) ** 2).sum(1))
             owner = np.where(d < nearest, len(found), owner)
             nearest = np.minimum(nearest, d)
             found.append(k)
+        if np.bincount(owner).max() > 0.9 * len(rows) and (nearest > radius / 2).any():  # rows far from all alike: cut evenly
+            self.children[me] = [self._node(i, min(b, i + LEAF)) for i in range(a, b, LEAF)]
+            return me
         by = np.lexsort((np.arange(len(rows)) != np.array(found)[owner], owner))  # a child's centre comes first
         self.order[a:b] = rows[by]
         at = a + np.searchsorted(owner[by], np.arange(len(found) + 1))
@@ -134,15 +138,16 @@ def _search_whole(q: list, q_ids: np.ndarray, p: list, p_ids: np.ndarray, k: int
         yield [(max(-LONG - 1, min(LONG, -s)), n) for s, n in found]
 
 
-def top_k(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = 1024, query_rows: int = 4096, block_rows: int = 2048) -> DataFrame:
+def top_k(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = 1024, query_rows: int = 16384, block_rows: int = 32768) -> DataFrame:
     """``(query_id, rank, vec_id, score)`` for the rows whose ``vec_id`` is divisible by ``every`` against all rows."""
     plain = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
     usable = F.coalesce(F.col("vec_id").isNotNull() & (F.size("v") > 0) & F.forall("v", plain), F.lit(False))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where(usable)
     whole = written(rows.select("vec_id", F.transform("v", lambda x: F.floor(F.lit(float(scale)) * x)).alias("v")), "whole")
     queries = whole.where(F.col("vec_id") % every == 0).distinct()
-    size = queries.agg(F.count(F.lit(1)).alias("n")).crossJoin(whole.agg(F.count(F.lit(1)).alias("m"))).first()  # two counts
-    q_blocks, p_blocks = max(1, -(-size.n // query_rows)), max(1, -(-size.m // block_rows))
+    n, m = queries.count(), whole.count()
+    q_blocks = max(1, -(-n // query_rows))
+    p_blocks = max(1, -(-m // block_rows), min(-(-m // LEAST_ROWS), -(-TASKS // q_blocks)))
     deal = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("int")
     copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = queries.select(deal(q_blocks).alias("qb"), copies(p_blocks).alias("pb"), F.col("vec_id").alias("q_id"), F.col("v").alias("q"))
