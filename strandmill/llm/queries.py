@@ -76,6 +76,21 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    # base32 takes four signs from each five hexadecimal digits
+    "op6_warc": """
+        WITH p AS (
+          SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(encode(coalesce(html, ''))) AS hex FROM pages
+        ), f AS (
+          SELECT *, min(page_id) OVER (PARTITION BY hex) AS first_id FROM p
+        )
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+               (SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                                         1 + ((CAST('0x' || substr(hex, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31), 1), '' ORDER BY i)
+                FROM range(32) t(i)) AS payload_digest,
+               CASE WHEN page_id IS NOT DISTINCT FROM first_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+        FROM f
+    """,
     "op8_topk": """
         WITH v AS (
           SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS w

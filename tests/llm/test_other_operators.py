@@ -145,6 +145,19 @@ def test_warc_round_trip(spark, small):
     assert longer.where("record_type = 'revisit'").count() == 0
 
 
+def test_warc_query_equals_sql(spark, small, tmp_path):
+    pages = spark.read.parquet(f"{small}/pages.parquet")
+    again = pages.where("page_id % 5 = 0").withColumn("page_id", F.col("page_id") + 1000)
+    none = spark.createDataFrame([(5001, "u", None), (5002, "u", "é")], "page_id long, url string, html string")
+    pages.unionByName(again).unionByName(none.select(*pages.columns)).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    expected = con.sql(queries.ORACLE_SQL["op6_warc"]).df().sort_values("page_id", ignore_index=True)
+    found = queries.QUERIES["op6_warc"](spark, str(tmp_path)).toPandas().sort_values("page_id", ignore_index=True)
+    assert sorted(found.columns) == sorted(expected.columns) and (expected.record_type == "revisit").sum() == 10
+    assert found.astype(object).where(found.notna(), None).equals(expected[found.columns].astype(object).where(expected[found.columns].notna(), None))
+
+
 def test_warc_of_odd_pages_and_lookup(spark, monkeypatch):
     monkeypatch.setattr(warc, "BLOCK", 2)
     rows = [(5, "http://A.com/x", "same"), (3, "http://b.org", "same"), (9, None, None), (None, "http://a.com/x", "same"), (3, "http://b.org", "same"), (7, "bad url\n[", "é"), (1, "http://a.com/x", ""), (8, "http://a.com:99/?q=1#f", "long " * 40_000)]
