@@ -28,12 +28,12 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies, the document with the smallest id. Near copies share eight of ten different
-    five-word shingles or more, which 512-bit fingerprints estimate with a standard deviation of 0.04: the limit is
-    what is expected at that similarity and half a standard deviation more. Of pairs at 0.8, 98 of 100 meet in a
+    five-word shingles or more, which 1,024-bit fingerprints estimate with a standard deviation of 0.026: the limit
+    is what is expected at that similarity and 0.7 standard deviations more. Of pairs at 0.8, 98 of 100 meet in a
     route, and more of closer ones."""
-    limit = simhash.expected_diff(0.8, 512, deviations=0.5)
-    routes = lambda n: simhash.sampled_routes_for(n, 512, 0.8)
-    classes = simhash.near_duplicates(docs, width=5, bits=512, max_diff=limit, distinct=True, routes=routes)
+    limit = simhash.expected_diff(0.8, 1024, deviations=0.7)
+    routes = lambda n: simhash.sampled_routes_for(n, 1024, 0.8)
+    classes = simhash.near_duplicates(docs, width=5, bits=1024, max_diff=limit, distinct=True, routes=routes)
     first = classes.where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
     kept = docs.join(first, docs.doc_id == first._first, "left_semi")
     return kept.dropDuplicates(["doc_id"])

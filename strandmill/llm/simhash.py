@@ -39,6 +39,8 @@ FANOUT = 16
 #: Child pairs that one step of the traversal makes at most: bounds a task's memory.
 STEP = 1 << 21
 SEED = 42
+#: Bits of one place that a byte can count.
+RUN = 255
 
 
 def _hashes(words: list[bytes], width: int) -> np.ndarray:
@@ -65,10 +67,13 @@ def fingerprint(text: str | None, width: int = 4, bits: int = 64, distinct: bool
     if distinct:
         h = np.unique(h)
     votes = np.zeros(bits, np.int64)
-    for at in range(0, len(h), 16384):
-        part = h[at : at + 16384]
+    for at in range(0, len(h), 32 * RUN):
+        part = h[at : at + 32 * RUN]
         part = (part[:, None] if bits == 64 else _mixed(part, bits // 64)).astype(">u8")
-        votes += np.unpackbits(part.view(np.uint8).reshape(len(part), -1), axis=1).sum(axis=0, dtype=np.int64)
+        bit = np.unpackbits(part.view(np.uint8).reshape(len(part), -1), axis=1)
+        full = len(bit) // RUN * RUN
+        votes += bit[:full].reshape(-1, RUN, bits).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+        votes += bit[full:].sum(axis=0, dtype=np.uint8)
     return np.packbits(votes * 2 > len(h)).tobytes()
 
 

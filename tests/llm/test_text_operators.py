@@ -142,8 +142,8 @@ def test_long_fingerprints_find_similar_texts(spark):
         other = [w if r.random() < 0.9 else "else" for w in words]  # far below 0.8
         rows += [(i, " ".join(words)), (i + 1, " ".join(near)), (10_000 + i, " ".join(other))]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    limit = simhash.expected_diff(0.8, 512, deviations=0.5)
-    out = simhash.near_duplicates(docs, 5, 512, limit, True, lambda n: simhash.sampled_routes_for(n, 512, 0.8)).collect()
+    limit = simhash.expected_diff(0.8, 1024, deviations=0.7)
+    out = simhash.near_duplicates(docs, 5, 1024, limit, True, lambda n: simhash.sampled_routes_for(n, 1024, 0.8)).collect()
     found = {row.doc_id: row.component_id for row in out}
     assert sum(found[i + 1] == i for i in range(0, 400, 2)) >= 194
     assert all(found[i] == i for i in found if i >= 10_000 or i < 400 and i % 2 == 0)
@@ -161,6 +161,9 @@ def test_fingerprint_is_the_majority_of_shingle_hashes():
     assert simhash.fingerprint("One two") == xxhash.xxh64_digest(b"one two", 42)
     assert simhash.fingerprint("É a") == xxhash.xxh64_digest("É a".encode(), 42)  # A-Z only are lowered
     assert len(simhash.fingerprint(text, 5, 256)) == 32
+    long = " ".join(str(i * i) for i in range(20_003))
+    hashes = [xxhash.xxh64_intdigest(" ".join(long.split()[i : i + 4]).encode(), 42) for i in range(20_000)]
+    assert int.from_bytes(simhash.fingerprint(long), "big") == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > 20_000)
     assert simhash.fingerprint("a b c d e " * 9, 5, 512, distinct=True) == simhash.fingerprint("a b c d e " * 2 + "a b c d", 5, 512, distinct=True)
 
 
