@@ -7,13 +7,13 @@ again, or with ``append_offsets`` where the name's bases so far end. Searches lo
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import MapConfig
 from ..functions import sequence as S
 from ..storage import new_path, written
-from .index import positions
+from .index import positions, running
 from .search import map_queries
 
 NAMES = "ref_id long, name string, bases long"
@@ -48,10 +48,7 @@ class DynamicIndex:
         self.staged = []
         first = new.groupBy("name").agg(F.min(F.struct("batch", "ord")).alias("first"), F.sum(F.octet_length("seq")).alias("bases"))
         known = self.names.count()
-        from pyspark.sql import Window
-
-        # one task numbers the new names, of which it gets the name and two numbers
-        fresh = first.join(self.names, "name", "left_anti").withColumn("ref_id", F.row_number().over(Window.orderBy("first", "name")) - 1 + F.lit(known))
+        fresh = running(first.join(self.names, "name", "left_anti"), ["first", "name"], place=F.lit(1)).withColumn("ref_id", F.col("place") + F.lit(known))
         old = self.names.join(first.select("name", F.col("bases").alias("more")), "name", "left").select("ref_id", "name", (F.col("bases") + F.coalesce("more", F.lit(0))).alias("bases"))
         before = self.names.select("name", F.col("bases").alias("upto"))
         self.names = written(old.unionByName(fresh.select(F.col("ref_id").cast("long"), "name", "bases")), "names")

@@ -6,11 +6,12 @@ postings: ``kmer, ref_id, pos`` for diagonals, ``kmer, ref_id, frag`` for fragme
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import MapConfig
 from ..functions import sequence as S
+from ..storage import written
 
 
 def both_strands(refs: DataFrame) -> DataFrame:
@@ -33,14 +34,27 @@ def fragments_of(pos, n_kmers, length: int, stride: int):
     return F.sequence(first, F.floor(pos / stride).cast("int"))
 
 
+def running(rows: DataFrame, order: list[str], **amounts: Column | str) -> DataFrame:
+    """``rows`` with the sum of each amount over all rows that come before. The rows are sorted over all tasks and
+    written, each task sums its own, and the tasks' totals, of which there is one row each, are carried over."""
+    values = {f"_{name}": F.col(c) if isinstance(c, str) else c for name, c in amounts.items()}
+    ordered = rows.withColumns(values).repartitionByRange(*order).sortWithinPartitions(*order)
+    at = F.monotonically_increasing_id()  # the task's number above 33 bits of the row's
+    ordered = written(ordered.withColumn("_at", at).withColumn("_task", F.shiftright("_at", 33)), "ordered")
+    totals = ordered.groupBy("_task").agg(*[F.sum(c).alias(c) for c in values])
+    earlier = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select("_task", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_carried") for c in values])
+    own = Window.partitionBy("_task").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    inside = ordered.withColumns({f"{c}_inside": F.coalesce(F.sum(c).over(own), F.lit(0)) for c in values})
+    sums = [(F.col(f"_{name}_inside") + F.col(f"_{name}_carried")).cast("long").alias(name) for name in amounts]
+    return inside.join(F.broadcast(carried), "_task").select(*rows.columns, *sums)
+
+
 def fragment_table(refs: DataFrame, cfg: MapConfig) -> DataFrame:
-    """``ref_id, name, ordinal, frag_start, n_frags``: the fragments of each reference in one global numbering. One
-    task numbers the references, of which it gets two numbers and the name."""
+    """``ref_id, name, ordinal, frag_start, n_frags``: the fragments of each reference in one global numbering."""
     n = F.greatest(F.octet_length("seq") - cfg.k + 1, F.lit(0))
     counted = refs.select("ref_id", "name", F.ceil(n / cfg.stride).cast("int").alias("n_frags"))
-    order = Window.orderBy("ref_id")
-    before = F.coalesce(F.sum("n_frags").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
-    return counted.select("ref_id", "name", (F.row_number().over(order) - 1).alias("ordinal"), before.alias("frag_start"), "n_frags")
+    return running(counted, ["ref_id"], ordinal=F.lit(1), frag_start="n_frags").select("ref_id", "name", "ordinal", "frag_start", "n_frags")
 
 
 def postings(refs: DataFrame, cfg: MapConfig) -> DataFrame:
@@ -60,16 +74,9 @@ def histogram(rows: DataFrame) -> DataFrame:
     return rows.groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
 
 
-def offsets(rows: DataFrame, parts: int = 256) -> DataFrame:
-    """``kmer, n, offset``: where each k-mer's run begins among all postings in k-mer order. K-mers are cut into
-    ranges, summed within each, and the ranges' sums are carried over: no task sorts all k-mers."""
-    counted = histogram(rows)
-    top = counted.agg(F.max("kmer")).first()[0] or 0
-    counted = counted.withColumn("part", F.floor(F.col("kmer") * F.lit(parts) / F.lit(top + 1)).cast("int"))
-    sums = counted.groupBy("part").agg(F.sum("n").alias("total"))
-    carried = sums.select("part", F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inside = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("kmer").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return counted.withColumn("inside", inside).join(F.broadcast(carried), "part").select("kmer", "n", (F.col("inside") + F.col("before")).alias("offset"))
+def offsets(rows: DataFrame) -> DataFrame:
+    """``kmer, n, offset``: where each k-mer's run begins among all postings in k-mer order."""
+    return running(histogram(rows), ["kmer"], offset="n")
 
 
 def occupancy(rows: DataFrame) -> DataFrame:

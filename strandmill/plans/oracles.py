@@ -130,7 +130,7 @@ def all_sql(edges_16: tuple[float, ...], edges_8: tuple[float, ...]) -> dict[str
         "map_fragment_compressed": mapping(fragments=(180, 60)),
         "fragment_table": f"""
             WITH n AS (SELECT ref_id, name, CAST(ceil(greatest(octet_length(encode(seq)) - 14, 0) / 60) AS INTEGER) AS n_frags FROM ({DOCS}))
-            SELECT ref_id, name, row_number() OVER (ORDER BY ref_id) - 1 AS ordinal, CAST(coalesce(sum(n_frags) OVER (ORDER BY ref_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS frag_start, n_frags FROM n""",
+            SELECT ref_id, name, row_number() OVER (ORDER BY ref_id) - 1 AS ordinal, CAST(coalesce(sum(n_frags) OVER (ORDER BY ref_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS frag_start, n_frags FROM n""",
         "guard_short": "SELECT doc_id, octet_length(encode(text)) AS bytes FROM documents WHERE octet_length(encode(text)) > 30",
         "support_threshold": f"SELECT q_id, ref, fwd, pos, support FROM ({mapping(pf=0.6)}) WHERE ref <> '*'",
         "strand_choice": f"SELECT fwd, count(*) AS n FROM ({mapping(queries=both_ways)}) GROUP BY fwd",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SEQUENCE_FILES = (".fa", ".fasta", ".fna", ".fsa", ".fa.gz", ".fasta.gz")
@@ -11,18 +11,19 @@ SEQUENCE_FILES = (".fa", ".fasta", ".fna", ".fsa", ".fa.gz", ".fasta.gz")
 def read_fasta(spark: SparkSession, path: str, id_name: str = "ref_id") -> DataFrame:
     """``<id_name>, name, seq`` of one or more FASTA files. A record is one row: the reader splits text where a line
     begins with ``>``. The name is the header's first word; sequence lines are joined. Ids follow the order of names
-    in the files (file, then place), which one task works out from the places alone."""
+    in the files (file, then place). Rows keep their place in their split; what is ordered is one row per split."""
     raw = spark.read.text(path, lineSep="\n>").select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
     clean = F.regexp_replace("value", "^>", "")
     head = F.substring_index(clean, "\n", 1)
     body = F.substring(clean, F.length(head) + 2, F.length(clean))
     rows = raw.where(F.length(F.trim(clean)) > 0).select(
-        "file", "at", F.element_at(F.split(F.trim(head), r"\s+"), 1).alias("name"), F.regexp_replace(body, r"\s+", "").alias("seq")
+        "file", F.shiftright("at", 33).alias("split"), "at", F.element_at(F.split(F.trim(head), r"\s+"), 1).alias("name"), F.regexp_replace(body, r"\s+", "").alias("seq")
     )
-    from pyspark.sql import Window
-
-    order = rows.select("file", "at").withColumn(id_name, (F.row_number().over(Window.orderBy("file", "at")) - 1).cast("long"))
-    return rows.join(order, ["file", "at"]).select(id_name, "name", "seq")
+    splits = rows.groupBy("file", "split").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    earlier = Window.orderBy("file", "first").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.col("last") - F.col("first") + 1).over(earlier), F.lit(0))
+    shifts = splits.select("file", "split", (before - F.col("first")).alias("shift"))
+    return rows.join(shifts, ["file", "split"]).select((F.col("at") + F.col("shift")).cast("long").alias(id_name), "name", "seq")
 
 
 def write_tsv(mapped: DataFrame, path: str) -> None:
