@@ -258,6 +258,27 @@ def test_pipeline(spark):
     assert odd.count() > 0
 
 
+def test_copies_stage_against_brute_force(spark):
+    import corpus_pipeline as pipeline
+
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    kept = {r.doc_id for r in dict(pipeline.STAGES)["near_copies"](spark, docs, d).select("doc_id").collect()}
+    shingles, holders, shared = {}, {}, {}
+    for r in docs.collect():
+        words = r.text.encode().lower().split()
+        shingles[r.doc_id] = {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+    for i, own in shingles.items():
+        for s in own:
+            for j in holders.setdefault(s, []):
+                shared[j, i] = shared.get((j, i), 0) + 1
+            holders[s].append(i)
+    similar = {(a, b): n / (len(shingles[a]) + len(shingles[b]) - n) for (a, b), n in shared.items()}
+    assert not [p for p, x in similar.items() if x >= 0.86 and p[0] in kept and p[1] in kept]
+    near = {i for p, x in similar.items() if x >= 0.7 for i in p}
+    assert set(shingles) - kept <= near and len(kept) < len(shingles)
+
+
 def test_registered_queries_have_their_columns(spark, small):
     expected = {
         "op2_simhash": "doc_id fingerprint component_id", "op4_pii": "doc_id n_email n_ip n_card n_phone base_sha256 spans", "op5_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
