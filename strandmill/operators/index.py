@@ -89,14 +89,21 @@ def occupancy(rows: DataFrame) -> DataFrame:
     return ranked.agg(F.min("n").alias("min_occ"), at(F.expr("total div 2")).alias("median_occ"), at(F.expr("total * 99 div 100")).alias("p99_occ"), F.max("n").alias("max_occ"))
 
 
-def minimizers(rows: DataFrame, w: int) -> DataFrame:
-    """``ref_id, pos``: the leftmost smallest of each ``w`` consecutive k-mers, repeats of the one before left out."""
-    order = Window.partitionBy("ref_id").orderBy("pos")
-    last = F.max("pos").over(Window.partitionBy("ref_id"))
-    least = F.min(F.struct("kmer", "pos")).over(order.rowsBetween(0, w - 1))
-    chosen = rows.select("ref_id", F.col("pos").alias("at"), "pos", "kmer").select("ref_id", "at", least["pos"].alias("pos"), last.alias("last")).where(F.col("at") + w - 1 <= F.col("last"))
-    before = F.lag("pos").over(Window.partitionBy("ref_id").orderBy("at"))
-    return chosen.withColumn("before", before).where("before is null or before <> pos").select("ref_id", "pos")
+def minimizers(rows: DataFrame, w: int, stretch: int = 1 << 16) -> DataFrame:
+    """``ref_id, pos``: the leftmost smallest of each ``w`` consecutive k-mers, repeats of the one before left out.
+    A reference is cut into stretches that share the k-mers at their edges, so no task gets a long one whole."""
+    if w > stretch:
+        raise ValueError("a window must fit into a stretch")
+    part, at_edge = F.floor(F.col("pos") / stretch), F.col("pos") % stretch
+    # windows that begin in the stretch before reach in here, and the first window here needs the one before it
+    parts = F.array_compact(F.array(part, F.when(at_edge < w - 1, part - 1), F.when(at_edge == stretch - 1, part + 1)))
+    dealt = rows.select("ref_id", "pos", "kmer", F.explode(parts).alias("part"))
+    order = Window.partitionBy("ref_id", "part").orderBy("pos")
+    full = order.rowsBetween(0, w - 1)
+    chosen = dealt.select("ref_id", "part", F.col("pos").alias("at"), F.min(F.struct("kmer", "pos")).over(full)["pos"].alias("pos"), F.count(F.lit(1)).over(full).alias("n")).where(F.col("n") == w)
+    before = F.lag("pos").over(Window.partitionBy("ref_id", "part").orderBy("at"))
+    own = F.floor(F.col("at") / stretch) == F.col("part")
+    return chosen.withColumn("before", before).where(own & (F.col("before").isNull() | (F.col("before") != F.col("pos")))).select("ref_id", "pos")
 
 
 def run_offsets(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:

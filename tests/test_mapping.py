@@ -199,3 +199,16 @@ def test_hash_is_xxh64(spark):
     for x in (0, 1, -5, 1 << 40):
         expected = np.uint64(xxhash.xxh64_intdigest(int(x).to_bytes(8, "little", signed=True), 42)).astype(np.int64)
         assert spark.range(1).select(S.xxh64(F.lit(x))).first()[0] == expected
+
+
+@pytest.mark.parametrize("stretch", [6, 25, 1 << 16])
+def test_minimizers_by_stretches(spark, stretch):
+    k, w, seqs = 4, 6, [SEQ, SEQ[:9], SEQ[:8], "", "A" * 70]
+    refs = refs_of(spark, [(f"r{i}", s) for i, s in enumerate(seqs)])
+    found = sorted(map(tuple, X.minimizers(X.positions(refs, k), w, stretch).select("ref_id", "pos").collect()))
+    expected = []
+    for i, s in enumerate(seqs):
+        codes = kmers(s.encode(), k)
+        chosen = [min(range(a, a + w), key=lambda p: (codes[p], p)) for a in range(len(codes) - w + 1)]
+        expected += [(i, p) for n, p in enumerate(chosen) if n == 0 or chosen[n - 1] != p]
+    assert found == sorted(expected) and len(found) > 40
