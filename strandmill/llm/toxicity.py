@@ -57,7 +57,7 @@ class Inputs:
         raw = [b"<" + t.encode("utf-8", "replace") + b">" for t in tokens]
         size = np.array([len(r) for r in raw], np.int64)
         byte = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
-        owner = np.repeat(np.arange(len(raw)), size)
+        owner = np.repeat(np.arange(len(raw), dtype=np.int32), size)
         whole = np.array([zlib.crc32(r) for r in raw], np.int64)
         self.word = 1 + whole % (WORDS - 1)
         found = []
@@ -69,9 +69,9 @@ class Inputs:
                 h = h * np.uint64(1099511628211) ^ byte[k : len(byte) - n + 1 + k]
             h ^= h >> np.uint64(29)
             own = owner[: len(h)] == owner[n - 1 :]
-            found.append((owner[: len(h)][own], (1 + h[own] % np.uint64(GRAMS - 1)).astype(np.int64)))
-        of = np.concatenate([o for o, _ in found]) if found else np.zeros(0, np.int64)
-        gram = np.concatenate([g for _, g in found]) if found else np.zeros(0, np.int64)
+            found.append((owner[: len(h)][own], (1 + h[own] % np.uint64(GRAMS - 1)).astype(np.int32)))
+        of = np.concatenate([o for o, _ in found]) if found else np.zeros(0, np.int32)
+        gram = np.concatenate([g for _, g in found]) if found else np.zeros(0, np.int32)
         self.gram = gram[np.argsort(of, kind="stable")]
         self.start = np.r_[0, np.cumsum(np.bincount(of, minlength=len(raw)))]
 
@@ -248,14 +248,17 @@ def train(texts: list[str | None], labels: np.ndarray, rounds: int = 5, folds: i
     """A network fitted to texts with labels 0 and 1, both present; the last fold is for calibration."""
     r = np.random.default_rng(seed)
     net = Network(seed)
-    docs = [tokens_of(t) for t in texts]
-    names = sorted({t for d in docs for t in d})
-    index = {t: i for i, t in enumerate(names)}
+    index: dict[str, int] = {}
+    flat = []  # tokens become numbers text by text, so that their strings are kept once
+    for text in texts:
+        tokens = tokens_of(text)
+        flat.append(np.fromiter((index.setdefault(t, len(index)) for t in tokens), np.int32, len(tokens)))
+    names = list(index)
     inputs = Inputs(names)
+    del index
     empty = len(names)  # stands where a window has no token
     inputs.word, inputs.start = np.r_[inputs.word, 0], np.r_[inputs.start, inputs.start[-1]]
-    flat = [np.array([index[t] for t in d], np.int64) for d in docs]
-    fold = np.empty(len(docs), np.int64)
+    fold = np.empty(len(flat), np.int64)
     for y in (0, 1):  # each label is dealt evenly
         own = r.permutation(np.flatnonzero(labels == y))
         fold[own] = np.arange(len(own)) % folds
@@ -267,25 +270,25 @@ def train(texts: list[str | None], labels: np.ndarray, rounds: int = 5, folds: i
             grams[f, y, np.unique(inputs.grams_of(np.unique(ids))[0])] += 1
     share = float(np.clip(labels.mean(), 1e-3, 1 - 1e-3))
     every = np.array_split(np.arange(len(names) + 1), len(names) // 20_000 + 1)
-    odds = []
+    odds = np.empty((folds, len(names) + 1, 3), "f4")  # those of the last fold, counted in all others, are the network's own
     for f in range(folds):
         used = [k for k in range(last) if k != f] or [0]
         net.odds = log_odds(words[used].sum(0), share), log_odds(grams[used].sum(0), share)
-        odds.append(np.vstack([inputs.odds_of(w, net.odds) for w in every]))
-    odds = np.array(odds)  # those of the last fold, counted in all others, are the network's own
+        for w in every:
+            odds[f, w] = inputs.odds_of(w, net.odds)
 
-    tok, mask, doc = [], [], []
+    n_windows = np.array([len(windows(len(ids))) for ids in flat])
+    first = np.r_[0, np.cumsum(n_windows)]
+    doc = np.repeat(np.arange(len(flat)), n_windows)
+    tok = np.full((len(doc), WIDTH), empty, np.int32)
     for i, ids in enumerate(flat):
-        for s in windows(len(ids)):
+        for k, s in enumerate(windows(len(ids))):
             part = ids[s : s + WIDTH]
-            tok.append(np.r_[part, np.full(WIDTH - len(part), empty)])
-            mask.append(np.arange(WIDTH) < len(part))
-            doc.append(i)
-    tok, mask, doc = np.array(tok, np.int64), np.array(mask), np.array(doc)
-    first = np.searchsorted(doc, np.arange(len(docs) + 1))
+            tok[first[i] + k, : len(part)] = part
+    mask = tok != empty
     at_fold = fold[doc]
     logits = np.where(mask, odds[at_fold[:, None], tok, 0], -9).max(1)  # the first choice of windows
-    steps = _Steps(net)
+    steps, table = _Steps(net), np.empty((len(names) + 1, 6 * HIDDEN), "f4")
     for _ in range(rounds):
         pos, neg = [], []
         for i in np.flatnonzero(fold != last):
@@ -305,7 +308,8 @@ def train(texts: list[str | None], labels: np.ndarray, rounds: int = 5, folds: i
                 steps.take(g)
         logits = np.empty(len(tok))
         for f in range(folds):
-            table = np.vstack([net.vectors(inputs, w, odds[f, w])[0] @ net.p["in"] + net.p["bias"] for w in every])
+            for w in every:
+                table[w] = net.vectors(inputs, w, odds[f, w])[0] @ net.p["in"] + net.p["bias"]
             own = np.flatnonzero(at_fold == f)
             for k in np.array_split(own, len(own) // AT_ONCE + 1):
                 logits[k] = net.forward(table[tok[k].T], mask[k].T)
