@@ -6,16 +6,16 @@ Parquet and gives the next stage what it reads back. All but the last return the
 columns of ``docs`` are carried along.
 
 Defined results: null and empty texts are kept or rejected by their score like others, count as copies of each other
-and take no part in the mix (they have no words); documents with a null ``doc_id`` cannot be told apart in the
-result and leave with the near copies; repeated rows are copies; an empty table stays empty.
+and take no part in the mix (they have no words); documents with a null ``doc_id`` and different texts under one are
+rows like others; repeated rows are copies; an empty table stays empty.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmill.llm import mixing, packing, pii, quality, simhash
+from strandmill.llm import mixing, near_copies, packing, pii, quality
 from strandmill.llm.common import written
 from strandmill.llm.queries import tokenizer_file
 
@@ -26,17 +26,20 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.keep(docs, model)
 
 
+def row_key(docs: DataFrame) -> Column:
+    """A number that only equal rows share, made from all columns."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    return F.xxhash64("doc_id", "text", F.col("doc_id").isNull(), F.to_json(F.struct(F.lit(0).alias("_"), *others)))
+
+
 def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies, the document with the smallest id. Near copies share eight of ten different
-    five-word shingles or more, which 1,024-bit fingerprints estimate with a standard deviation of 0.026: the limit
-    is what is expected at that similarity and 0.7 standard deviations more. Of pairs at 0.8, 98 of 100 meet in a
-    route, and more of closer ones."""
-    limit = simhash.expected_diff(0.8, 1024, deviations=0.7)
-    routes = lambda n: simhash.sampled_routes_for(n, 1024, 0.8)
-    classes = simhash.near_duplicates(docs, width=5, bits=1024, max_diff=limit, distinct=True, routes=routes)
-    first = classes.where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    kept = docs.join(first, docs.doc_id == first._first, "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """Of each class of near copies, the document with the smallest id, null last; among equal ids that with the
+    smallest hash of its text. Near copies share eight of ten different five-word shingles or more."""
+    keyed = docs.withColumn("_row", row_key(docs))
+    ranked = keyed.select("text", "_row", F.col("doc_id").isNull().alias("_none"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"))
+    first = near_copies.classes(ranked, "_row", ["_none", "_id", "_hash"])
+    kept = keyed.join(first, F.col("_row") == F.col("first"), "left_semi")
+    return kept.dropDuplicates(["_row"]).select(*docs.columns)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -288,3 +288,31 @@ def test_registered_queries_have_their_columns(spark, small):
         assert queries.QUERIES[name](spark, small).columns == columns.split(), name
     assert len(queries.QUERIES) == 10
     assert pd.DataFrame(queries.op7_lattice(spark, small).dtypes).loc[3, 1] == "boolean"
+
+
+def edited(r, n, changed):
+    """Two texts of ``n`` different words, the second with so many words changed that lie far apart."""
+    words = [f"w{r.randrange(10**9)}" for _ in range(n)]
+    other = list(words)
+    for k in range(changed):
+        other[(2 * k + 1) * n // (2 * changed)] = "changed"
+    return " ".join(words), " ".join(other)
+
+
+def test_near_copies_are_exact_on_both_sides_of_the_limit(spark):
+    import corpus_pipeline as pipeline
+    from strandmill.llm import near_copies
+
+    r, rows, linked = random.Random(5), [], set()
+    for n, changed in [(225, k) for k in (4, 5, 6)] + [(104, 2), (104, 3), (46, 1), (44, 1), (500, 11), (500, 12)]:
+        for _ in range(8):
+            i = len(rows)
+            a, b = edited(r, n, changed)
+            rows += [(i, a), (i + 1, b)]
+            x, y = (near_copies.shingle_set(t) for t in (a, b))
+            if 5 * len(np.intersect1d(x, y)) >= 4 * len(np.union1d(x, y)):
+                linked.add(i + 1)
+    assert 0 < len(linked) < len(rows) // 2
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {x.doc_id for x in pipeline.keep_one_of_copies(spark, docs, "").select("doc_id").collect()}
+    assert kept == {i for i, _ in rows} - linked
