@@ -316,3 +316,24 @@ def test_near_copies_are_exact_on_both_sides_of_the_limit(spark):
     docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     kept = {x.doc_id for x in pipeline.keep_one_of_copies(spark, docs, "").select("doc_id").collect()}
     assert kept == {i for i, _ in rows} - linked
+
+
+def test_near_copies_of_short_texts_and_large_groups(spark):
+    import corpus_pipeline as pipeline
+    from strandmill.llm import near_copies
+
+    r, rows = random.Random(6), []
+    for n in (8, 9, 10, 11, 24):  # one word more: n - 4 of n - 3 shingles
+        for _ in range(10):
+            words = [f"w{r.randrange(10**9)}" for _ in range(n + 1)]
+            rows += [(len(rows), " ".join(words[:n])), (len(rows) + 1, " ".join(words))]
+    short = len(rows)
+    base = [f"w{k}" for k in range(60)]
+    rows += [(short + k, " ".join([*base, f"end{k}"])) for k in range(150)]  # one class
+    line = " ".join(f"l{k}" for k in range(12))
+    rows += [(short + 150 + k, line + " " + " ".join(f"o{k}_{x}" for x in range(10))) for k in range(150)]  # a line in common
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want = {*range(0, short, 2), short, *range(short + 150, short + 300)}
+    assert {x.doc_id for x in pipeline.keep_one_of_copies(spark, docs, "").select("doc_id").collect()} == want
+    keyed = docs.withColumn("_row", F.col("doc_id"))
+    assert {x.first for x in near_copies.classes(keyed, "_row", ["doc_id"], cell_rows=16).collect()} == want
