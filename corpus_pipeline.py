@@ -48,9 +48,11 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, up to twice."""
-    times = mixing.mix(docs).where("taken > 0").select(F.col("doc_id").alias("_id"), F.expr("int(taken div size)").alias("_times"))
-    taken = docs.join(times, docs.doc_id == times._id).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times")))
+    """Each document as often as the mix takes it, up to twice. Equal rows are taken together."""
+    keyed = docs.withColumn("_row", row_key(docs))
+    times = mixing.mix(keyed.select(F.col("_row").alias("doc_id"), "source", "text")).where("taken > 0")
+    times = times.groupBy("doc_id").agg(F.sum(F.expr("taken div size")).cast("int").alias("_times")).withColumnRenamed("doc_id", "_key")
+    taken = keyed.dropDuplicates(["_row"]).join(times, F.col("_row") == F.col("_key")).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times")))
     return taken.select(*docs.columns)
 
 

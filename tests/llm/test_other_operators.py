@@ -337,3 +337,16 @@ def test_near_copies_of_short_texts_and_large_groups(spark):
     assert {x.doc_id for x in pipeline.keep_one_of_copies(spark, docs, "").select("doc_id").collect()} == want
     keyed = docs.withColumn("_row", F.col("doc_id"))
     assert {x.first for x in near_copies.classes(keyed, "_row", ["doc_id"], cell_rows=16).collect()} == want
+
+
+def test_rows_under_null_and_repeated_ids_stay(spark):
+    import corpus_pipeline as pipeline
+
+    text = lambda k: " ".join(f"w{k}_{i}" for i in range(30))
+    rows = [(None, text(k)) for k in range(4)] + [(7, text(k)) for k in range(4, 8)] + [(1, text(9)), (7, text(9)), (None, text(0)), (None, text(9)), (8, text(4)), (1, text(9))]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = pipeline.keep_one_of_copies(spark, docs, "")
+    found = sorted(((x.doc_id or 0, x.text) for x in kept.collect()))
+    assert found == sorted([(0, text(k)) for k in range(4)] + [(7, text(k)) for k in range(4, 8)] + [(1, text(9))])
+    mixed = [x.text for x in pipeline.mix(spark, kept, "").collect()]
+    assert set(mixed) == {text(k) for k in (*range(8), 9)} and max(map(mixed.count, mixed)) == 2
