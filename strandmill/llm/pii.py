@@ -40,7 +40,8 @@ _phone = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _digit = re.compile(r"[0-9]")
 _not_digit = re.compile(r"[^0-9]+")
 
-_spelled_signs = ("(at)", "[at]", "{at}", " dot ", "(dot)", "[dot]", "{dot}", " @", "@ ")
+#: What every match of ``_spelled`` holds.
+_spelled_sign = re.compile(r"(?:[\[({]at[\])}] ?| at |@ ?)[\w-]{1,63}+(?: ?[\[({]dot[\])}] ?| dot |\.)[\w-]", re.I)
 _spelled = re.compile(r"(?<![\w.%+-])[\w.%+-]{1,64}+(?: ?[\[({]at[\])}] ?| at | ?@ ?)[\w-]{1,63}+(?:(?: ?[\[({]dot[\])}] ?| dot |\.)[\w-]{1,63}+){1,6}", re.I)
 _colons = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}(?:[0-9A-Fa-f]{1,4})(?![\w:])")
 _groups = re.compile(r"(?<![\w+.-])[0-9]{1,19}+(?:[ ./-][0-9]{1,19}+){0,6}(?![\w])")
@@ -95,8 +96,7 @@ def base_spans(text: str) -> list[Span]:
 def candidates(text: str) -> list[Span]:
     """Spans that may be personal data, of any kind and overlapping, base spans not left out."""
     found: set[Span] = set()
-    lower = text.lower() if "at" in text or "@" in text or "AT" in text else ""
-    if any(s in lower for s in _spelled_signs):
+    if _spelled_sign.search(text):
         found |= {(m.start(), m.end(), "email") for m in _spelled.finditer(text)}
     if _digit.search(text):
         if text.count(":") > 1:

@@ -286,6 +286,13 @@ def test_trees_accept_personal_and_leave_other_items():
     assert hit / n > 0.9 and wrong / clean < 0.05
 
 
+def test_spelled_templates_are_candidates():
+    for at, dot in [("(at)", "(dot)"), ("[at]", "[dot]"), (" at ", " dot "), (" [at] ", " [dot] "), ("{at}", "."), (" @ ", "."), (" at ", ".")]:
+        for case in (str, str.title, str.upper):
+            item = f"john{case(at)}example{case(dot)}com"
+            assert (6, 6 + len(item), "email") in pii.candidates(f"write {item}"), item
+
+
 def test_redaction_and_rows(spark):
     text = "write jo@ex.org, call +1 (503) 555-0199!"
     assert pii.redacted(text, pii.base_spans(text)) == "write [EMAIL], call [PHONE]!"
