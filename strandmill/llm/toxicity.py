@@ -13,7 +13,7 @@ to them; the first choice goes by log odds. So that the network trusts log odds
 training document's are counted in the other folds, learned vectors are left out at random, and one fold is kept for
 calibration alone.
 
-Fitting takes at most ``per_class`` labelled documents with label 1 and as many with label 0, those that come first
+Fitting takes one text and the highest label of an id, at most ``per_class`` labelled documents with label 1 and as many with label 0, those that come first
 in a seeded hash order; that bounded sample is the only part that doesn't see all rows. Scoring is one pass over
 whole texts without a shuffle; inputs of known tokens are kept per worker, up to a bound.
 
@@ -378,12 +378,14 @@ def _no_token() -> Inputs:
 def fit(docs: DataFrame, labels: DataFrame, label: str, per_class: int = 2500, seed: int = 10) -> Network | float:
     """The network, or the share of label 1 where there are no two labels to learn from."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
+    known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
     # two ordered limits, so that no task gets a whole label
     order = [F.xxhash64(F.lit(seed), "doc_id"), F.col("doc_id")]
     some = known.where("y = 0").orderBy(*order).limit(per_class).unionByName(known.where("y = 1").orderBy(*order).limit(per_class))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # a broadcast of 2 * per_class rows of two numbers at most
-    pdf = texts.join(F.broadcast(some), "doc_id").select("doc_id", "text", "y").toPandas().sort_values(["doc_id", "text"], ignore_index=True)
+    one = texts.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text", "y")).alias("one"))
+    pdf = one.select("doc_id", "one.text", "one.y").toPandas().sort_values(["doc_id", "text"], ignore_index=True)
     if pdf["y"].nunique() < 2:
         return float(pdf["y"].mean()) if len(pdf) else 0.5
     return train(pdf["text"].tolist(), pdf["y"].to_numpy(np.int64), seed=seed)

@@ -479,3 +479,14 @@ def test_toxicity_on_the_tables(spark):
     assert toxicity.score(no_docs(spark), model).count() == 0
     assert toxicity.fit(docs, labels.where("toxic = 0"), "toxic") == 0.0 and toxicity.fit(docs, labels.where("false"), "toxic") == 0.5
     assert toxicity.score(odd_docs(spark), 0.5).count() == len(ODD) + 3
+
+
+def test_fitting_takes_one_row_of_an_id(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(50)] + [(2, "good"), (3, "bad")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0, 0)] * 20 + [(2, 1, 1), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(quality, "fit_ordinal", lambda rows, places, values, grade, dims: seen.append(len(grade)))
+    monkeypatch.setattr(toxicity, "train", lambda texts, y, seed: seen.append(len(texts)))
+    quality.fit(docs, labels, "quality")
+    toxicity.fit(docs, labels, "toxic")
+    assert seen == [3, 3]
