@@ -5,7 +5,8 @@ thresholds. A document's features are shares of its tokens (runs of non-space ch
 lower-case form, for its shape, in which runs of small letters, capitals and digits are one sign each, and for being
 the one before it once more. So the score is a mean over tokens, and scoring is one pass without a shuffle.
 
-Fitting takes at most ``sample`` rated documents, one text and the lowest grade of an id: those whose ``doc_id`` comes first in a seeded hash order. Their
+Fitting takes at most ``sample`` rated documents, one text and the lowest grade of an id: those whose
+``doc_id`` comes first in a seeded hash order. Their
 hashed counts, not their texts, go to the driver; that is the only part that doesn't see all rows.
 
 Results: the expected grade, the probability of at least grade ``at_least`` (the highest rated grade by default) and

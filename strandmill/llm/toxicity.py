@@ -13,7 +13,8 @@ to them; the first choice goes by log odds. So that the network trusts log odds
 training document's are counted in the other folds, learned vectors are left out at random, and one fold is kept for
 calibration alone.
 
-Fitting takes one text and the highest label of an id, at most ``per_class`` labelled documents with label 1 and as many with label 0, those that come first
+Fitting takes one text and the highest label of an id, at most ``per_class`` labelled documents with
+label 1 and as many with label 0, those that come first
 in a seeded hash order; that bounded sample is the only part that doesn't see all rows. Scoring is one pass over
 whole texts without a shuffle; inputs of known tokens are kept per worker, up to a bound.
 
