@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, written
-from .simhash import _Labels
+from .simhash import Labels
 
 TABLES, BLOCKS, PROBES = 4, 2, 2
 #: The lattice's scale against unit vectors.
@@ -199,7 +199,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, cell_rows: int
             new[1:] |= c[1:] != c[:-1]
         starts = np.r_[np.flatnonzero(new), len(order)]
         names, place = np.unique(cls, return_inverse=True)
-        count, labels = np.zeros(len(names), np.int64), _Labels(len(names))
+        count, labels = np.zeros(len(names), np.int64), Labels(np.arange(len(names)))
         for a, b in zip(starts[:-1], starts[1:]):
             if b - a < 2:
                 continue

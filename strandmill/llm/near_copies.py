@@ -1,15 +1,18 @@
-"""Near copies by exact Jaccard similarity of the sets of five-word shingles: texts link at 0.8 or more.
+"""Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more link.
 
-Rows of equal sets are one node. Two sets of the similarity share one of the first ``n - ceil(0.8 n) + 1`` shingles of
-each under any common order, so a join on those loses no pair, of short texts neither. The order is by hash, with
-shingles that a sample finds frequent last; it decides about speed alone. A pair is proposed where the places of the
-shared shingle leave room for enough overlap (true of the first shared one of each pair that links) and kept if the
-whole sets, made from the texts, say so.
+SimHash fingerprints of ``BITS`` bits propose pairs through the Gray-order index, and the whole sets, made from the
+texts, decide. Rows of equal sets are one node, so copies are never expanded into pairs. A pair at the similarity is
+proposed if its fingerprints meet in a route (``RECALL`` of the pairs at 0.8, more of closer ones) and differ in no more
+than ``DEVIATIONS`` standard deviations over what is expected there (all but one of 30,000). Sets of few shingles lie further
+apart, so ``SIZES`` gives the share of differing bits by size; sets of under four shingles are alike only where they
+are equal.
 
-Large groups first compare their rows with one leader of about the same size, a few times; pairs that are connected by
-then need no check, all others that share a shingle get one. Groups over ``cell_rows`` are dealt into cells of two salts.
+First come pairs that are surely alike by their fingerprints, of which only a spanning forest is proposed; then all
+pairs that may be alike and that the forest leaves apart. Where a pair of the forest turns out not to be alike, its
+class is searched once more with what the checked pairs alone connect. So no pair is missed for the sake of another.
 
 Defined results: null and empty texts have equal sets; a text of fewer words than a shingle has one shingle, the whole.
+Sets are known by 64-bit hashes, their size included.
 """
 
 from __future__ import annotations
@@ -20,24 +23,38 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, drop_written, written
-from .simhash import SEED, _hashes
+from .common import Recent, components, drop_written, written
+from .simhash import SEED, expected_diff, majority, near_pairs, sampled_routes_for
 
-WIDTH = 5
-#: Texts of the sample, and in how many of them a shingle is frequent.
-SAMPLE, FREQUENT = 50_000, 20
-#: Groups of more rows are compared with leaders first, so many times.
-LARGE, LEADERS = 64, 3
+WIDTH, SIMILARITY = 5, 0.8
+BITS, DEVIATIONS, RECALL, ROWS = 1024, 4.0, 0.999, 256
+#: Sizes from, to (exclusive), and the most of their bits that differ on average between sets that link. Four shingles
+#: that are 2 to 2 and a fifth against them: 6/16 / 2; 12 of 15 shingles and larger sets: less than 0.162.
+SIZES = ((4, 6, 0.1875), (5, 1 << 62, 0.162))
+#: Rows, of 8 bytes, that a join broadcasts at most.
+BROADCAST_ROWS = 1_000_000
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingle_set(text: str | None) -> np.ndarray:
+def memory() -> Recent:
+    """Hashes of frequent words."""
+    return Recent(100_000, 40, lambda w: xxhash.xxh64_intdigest(w, SEED))
+
+
+def shingle_set(text: str | None, known: Recent) -> np.ndarray:
     """Hashes of the different shingles, sorted."""
-    return np.unique(_hashes(text.encode("utf-8", "surrogatepass").lower().split() if text else [], WIDTH))
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    n = max(1, len(h) - WIDTH + 1)
+    out = np.full(n, SEED, np.uint64)
+    for i in range(min(WIDTH, len(h))):
+        out = ((out ^ out >> np.uint64(29)) + h[i : i + n]) * _STEP
+    return np.unique(out ^ out >> np.uint64(32))
 
 
 def node_of(own: np.ndarray) -> int:
     """What rows of equal sets have in common."""
-    return xxhash.xxh64_intdigest(own.tobytes(), SEED) - (1 << 63)
+    return xxhash.xxh64_intdigest(own.tobytes(), len(own)) - (1 << 63)
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -53,93 +70,41 @@ def _slices(batches, rows: int = 256):
             yield b.slice(at, rows)
 
 
-def _prefixes(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """``shingle, node, size, rest``: the set's first shingles, its size and how many shingles come after."""
+def _nodes(docs: DataFrame, names: list[str]) -> DataFrame:
+    """``node, size, fp, least``: different sets, and the smallest row of each by ``names``."""
 
     def run(batches):
+        known = memory()
         for b in _slices(batches):
-            found = []
-            for t in b.column(0).to_pylist():
-                own = shingle_set(t)
-                n, node, first = len(own), node_of(own), own
-                if len(frequent):
-                    last = frequent[np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)] == own
-                    first = np.r_[own[~last], own[last]]
-                k = n - (4 * n + 4) // 5 + 1
-                found.append((first[:k].view(np.int64), np.full(k, node), np.full(k, n), n - 1 - np.arange(k)))
-            yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*found)], names=["shingle", "node", "size", "rest"])
-
-    return texts.select(F.col("text").cast("string")).mapInArrow(run, "shingle long, node long, size long, rest long")
-
-
-def _frequent(texts: DataFrame) -> np.ndarray:
-    """Shingles that are frequent among the first ones of a sample, and among those that then take their places."""
-    n = texts.count()
-    if n > SAMPLE:
-        texts = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < (1 << 20) * SAMPLE // n)
-    found = np.zeros(0, np.uint64)
-    for _ in range(2):
-        more = _prefixes(texts, found).groupBy("shingle").count().where(F.col("count") >= FREQUENT).select("shingle").toPandas()
-        found = np.union1d(found, more["shingle"].to_numpy(np.int64).view(np.uint64))
-    return found
-
-
-def _sets(texts: DataFrame) -> DataFrame:
-    def run(batches):
-        for b in _slices(batches):
-            own = [shingle_set(t) for t in b.column(0).to_pylist()]
-            yield pa.record_batch([pa.array([node_of(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], names=["node", "own"])
-
-    return texts.select(F.col("text").cast("string")).mapInArrow(run, "node long, own binary")
+            own = [shingle_set(t, known) for t in b.column(0).to_pylist()]
+            made = [pa.array([node_of(s) for s in own], pa.int64()), pa.array([len(s) for s in own], pa.int64()), pa.array([majority(s, BITS) for s in own], pa.binary())]
+            yield pa.RecordBatch.from_arrays(made + b.columns[1:], names=["node", "size", "fp", *names])
 
+    rows = docs.select(F.col("text").cast("string"), *names)
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
+    rows = rows.mapInArrow(run, f"node long, size long, fp binary, {types}")
+    return rows.groupBy("node").agg(F.min("size").alias("size"), F.min("fp").alias("fp"), F.min(F.struct(*names)).alias("least"))
 
-def _may_link(a: str, b: str):
-    """Size and place leave room for the similarity."""
-    size = lambda x: F.col(f"{x}size")
-    return (5 * F.least(size(a), size(b)) >= 4 * F.greatest(size(a), size(b))) & (9 * (1 + F.least(f"{a}rest", f"{b}rest")) >= 4 * (size(a) + size(b)))
 
+def _sets(docs: DataFrame, row: str, nodes: DataFrame) -> DataFrame:
+    """``node, own`` of some nodes, made from the texts of their least rows."""
 
-def _with_leader(rows: DataFrame, seed: int) -> DataFrame:
-    """``a, b``: rows of large groups beside one of their group of about their size."""
-    rows = rows.withColumn("bucket", F.floor(F.log("size") / F.log(F.lit(1.1))))
-    by = rows.groupBy("shingle", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64(F.lit(seed), "node").alias("h"), "node", "size", "rest", "comp")).alias("l"))
-    by = by.where(F.col("n") > LARGE).select("shingle", "bucket", *(F.col(f"l.{c}").alias(f"l{c}") for c in ("node", "size", "rest", "comp")))
-    met = rows.join(by, ["shingle", "bucket"]).where((F.col("comp") != F.col("lcomp")) & _may_link("", "l"))
-    return met.select(F.least("node", "lnode").alias("a"), F.greatest("node", "lnode").alias("b")).distinct()
+    def run(batches):
+        known = memory()
+        for b in _slices(batches):
+            own = [shingle_set(t, known) for t in b.column(0).to_pylist()]
+            yield pa.record_batch([pa.array([node_of(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], names=["node", "own"])
 
+    wanted = nodes.select(F.col(f"least.{row}").alias(row))
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    texts = docs.select(row, F.col("text").cast("string").alias("text")).join(wanted, row, "left_semi").dropDuplicates([row])
+    return texts.select("text").mapInArrow(run, "node long, own binary")
 
-def _all_pairs(rows: DataFrame, cell_rows: int) -> DataFrame:
-    """``a, b``: all pairs of a group that are not connected yet."""
-    hot = rows.groupBy("shingle").count().where(F.col("count") > cell_rows).select("shingle", F.ceil(F.col("count") / cell_rows).alias("salts"))
-    cells = (
-        rows.join(hot, "shingle", "left").withColumn("salts", F.coalesce("salts", F.lit(1))).withColumn("s", F.pmod("node", "salts"))
-        .withColumn("t", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-        .select("shingle", (F.least("s", "t") * F.col("salts") + F.greatest("s", "t")).alias("cell"), "node", "size", "rest", "comp")
-    )
 
-    def run(batches):
-        tables = [b for b in batches if b.num_rows]
-        if not tables:
-            return
-        shingle, cell, node, size, rest, comp = (c.to_numpy() for c in pa.Table.from_batches(tables).columns)
-        order = np.lexsort((cell, shingle))
-        shingle, cell, node, size, rest, comp = (x[order] for x in (shingle, cell, node, size, rest, comp))
-        group = np.cumsum(np.r_[0, (shingle[1:] != shingle[:-1]) | (cell[1:] != cell[:-1])])
-        i, step = np.arange(len(node)), 1
-        while len(i := i[i + step < len(node)]) and len(i := i[group[i] == group[i + step]]):
-            j = i + step
-            ok = (comp[i] != comp[j]) & (5 * np.minimum(size[i], size[j]) >= 4 * np.maximum(size[i], size[j]))
-            ok &= 9 * (1 + np.minimum(rest[i], rest[j])) >= 4 * (size[i] + size[j])
-            if ok.any():
-                a, b = node[i[ok]], node[j[ok]]
-                yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-            step += 1
-
-    return cells.repartition("shingle", "cell").mapInArrow(run, "a long, b long").distinct()
-
-
-def _kept(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _checked(pairs: DataFrame, docs: DataFrame, row: str, nodes: DataFrame) -> DataFrame:
     """Those pairs whose whole sets are alike."""
+    met = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "met")
+    sets = written(_sets(docs, row, written(nodes.join(met, "node", "left_semi"), "least")), "sets")
 
     def run(batches):
         for b in _slices(batches):
@@ -148,42 +113,37 @@ def _kept(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.record_batch([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
 
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    kept = written(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
+    drop_written(sets)
+    return kept
 
 
-def classes(docs: DataFrame, row: str, order: list[str], cell_rows: int = 2048) -> DataFrame:
+def _labelled(part: DataFrame, links: DataFrame) -> DataFrame:
+    """``part`` with the class that the links give as ``label``."""
+    found = written(components(links), "labels")
+    return part.join(found, F.col("class") == F.col("node"), "left").withColumn("label", F.coalesce("component", "class")).drop("node", "component")
+
+
+def classes(docs: DataFrame, row: str, order: list[str], cell_rows: int = 4096) -> DataFrame:
     """``first``: of each class of near copies of ``docs`` (with ``text``), the ``row`` of the row that is smallest by the
     columns ``order``. ``row`` is a number that only equal rows share."""
-
-    def nodes(batches):
-        for b in batches:
-            node = pa.array([node_of(shingle_set(t)) for t in b.column(0).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([node, *b.columns[1:]], names=["node", *names])
-
-    names = list(dict.fromkeys([*order, row]))
-    rest = docs.select(F.col("text").cast("string"), *names)
-    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rest.schema if f.name != "text")
-    ids = rest.mapInArrow(nodes, f"node long, {types}").groupBy("node").agg(F.min(F.struct(*names)).alias("least"))
-    ids = written(ids, "nodes")
-    prefixes = written(_prefixes(docs, _frequent(docs)), "prefixes")
-    several = prefixes.groupBy("shingle").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("shingle")
-    shared = written(prefixes.join(several, "shingle", "left_semi").distinct(), "shared")
-    drop_written(prefixes)
-    wanted = ids.join(shared.select("node").distinct(), "node", "left_semi").select(F.col(f"least.{row}").alias(row))
-    sets = written(_sets(docs.join(wanted, row, "left_semi").dropDuplicates([row])), "sets")
-    links = comps = None
-    for turn in range(LEADERS + 1):
-        rows = shared.withColumn("comp", F.col("node"))
-        if comps is not None:
-            rows = shared.join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-            apart = rows.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("shingle")
-            rows = rows.join(apart, "shingle", "left_semi")
-        pairs = written(_with_leader(rows, turn) if turn < LEADERS else _all_pairs(rows, cell_rows), "pairs")
-        if pairs.isEmpty():
-            continue
-        more = _kept(pairs, sets)
-        links = written(more if links is None else links.unionByName(more), "links")
-        comps = written(components(links), "components")
-    if comps is not None:
-        ids = ids.join(comps.distinct(), "node", "left").withColumn("node", F.coalesce("component", "node"))
+    nodes = written(_nodes(docs, list(dict.fromkeys([*order, row]))), "nodes")
+    links = None
+    for low, high, share in SIZES:
+        part = nodes.where((F.col("size") >= low) & (F.col("size") < high)).select(F.col("node").alias("class"), "fp", "size")
+        routes = sampled_routes_for(part.count(), BITS, share, RECALL, ROWS)
+        most = expected_diff(share, BITS, DEVIATIONS)
+        search = dict(routes=routes, ratio=SIMILARITY, cell_rows=cell_rows)
+        sure = written(near_pairs(part, expected_diff(share, BITS, -DEVIATIONS), spanning=True, **search), "sure")
+        labelled = written(_labelled(part, sure), "labelled")
+        found = _checked(written(sure.unionByName(near_pairs(labelled, most, **search)), "pairs"), docs, row, nodes)
+        failed = sure.join(found, ["a", "b"], "left_anti")
+        again = labelled.join(failed.select(F.col("a").alias("class")), "class", "left_semi").select("label").distinct()
+        again = written(labelled.join(again, "label", "left_semi").drop("label"), "again")
+        if not again.isEmpty():
+            more = written(near_pairs(written(_labelled(again, found), "labelled"), most, **search), "pairs")
+            found = found.unionByName(_checked(more, docs, row, nodes))
+        links = found if links is None else links.unionByName(found)
+    found = written(components(links).distinct(), "components")
+    ids = nodes.select("node", "least").join(found, "node", "left").withColumn("node", F.coalesce("component", "node"))
     return ids.groupBy("node").agg(F.min("least").alias("least")).select(F.col(f"least.{row}").alias("first"))

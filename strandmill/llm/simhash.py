@@ -14,7 +14,7 @@ Within a group the fingerprints are sorted by Gray rank, which keeps similar one
 become nodes that keep the bits all of them share (a mask and its pattern), runs of nodes become upper nodes, up to
 one root. The tree is joined with itself from the root: a pair of nodes carries the differences counted so far, a
 level adds those in the bits that it newly fixes, and a pair beyond ``max_diff`` is dropped with all below it. Only
-a spanning forest of each group's links leaves the task. Connected components of those give the classes.
+a spanning forest of a task's links leaves it. Connected components of those give the classes.
 
 Defined results: null and empty texts have fingerprint zero and link like others; a text of fewer words than a
 shingle has one shingle, the whole; a null ``doc_id`` gets its class's id; repeated rows stay; an empty table gives
@@ -23,7 +23,7 @@ an empty result; columns other than ``doc_id`` and ``text`` are not looked at.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import acos, ceil, log, log2, pi, sqrt
 
@@ -57,15 +57,9 @@ def _mixed(h: np.ndarray, words: int) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
-def fingerprint(text: str | None, width: int = 4, bits: int = 64, distinct: bool = False) -> bytes:
-    """The fingerprint of one text, most significant bit first. Of 64 bits the shingles' hashes are XXH64 itself, of
-    multiples of that they are mixed from it. With ``distinct`` a repeated shingle counts once."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not words:
-        return bytes(bits // 8)
-    h = _hashes(words, width)
-    if distinct:
-        h = np.unique(h)
+def majority(h: np.ndarray, bits: int) -> bytes:
+    """The bits that over half the hashes have, most significant first. Of 64 bits they are the hashes' own, of
+    multiples of that they are mixed from them."""
     votes = np.zeros(bits, np.int64)
     for at in range(0, len(h), 32 * RUN):
         part = h[at : at + 32 * RUN]
@@ -77,6 +71,15 @@ def fingerprint(text: str | None, width: int = 4, bits: int = 64, distinct: bool
     return np.packbits(votes * 2 > len(h)).tobytes()
 
 
+def fingerprint(text: str | None, width: int = 4, bits: int = 64, distinct: bool = False) -> bytes:
+    """The fingerprint of one text. With ``distinct`` a repeated shingle counts once."""
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    if not words:
+        return bytes(bits // 8)
+    h = _hashes(words, width)
+    return majority(np.unique(h) if distinct else h, bits)
+
+
 def fingerprints(docs: DataFrame, width: int = 4, bits: int = 64, distinct: bool = False) -> DataFrame:
     """``(doc_id, fp)``, ``fp`` the fingerprint's bytes."""
 
@@ -88,14 +91,13 @@ def fingerprints(docs: DataFrame, width: int = 4, bits: int = 64, distinct: bool
 
 
 def share_of_bits(similarity: float) -> float:
-    """Of the bits that differ between texts whose shingle sets have this Jaccard similarity."""
+    """Of the bits that differ between texts whose shingle sets are large and have this Jaccard similarity."""
     return acos(2 * similarity / (1 + similarity)) / pi
 
 
-def expected_diff(similarity: float, bits: int, deviations: float = 0.0) -> int:
-    """Differing bits to expect at this similarity, and so many standard deviations more."""
-    p = share_of_bits(similarity)
-    return int(bits * p + deviations * sqrt(bits * p * (1 - p)))
+def expected_diff(share: float, bits: int, deviations: float = 0.0) -> int:
+    """Differing bits where this share of them differs, and so many standard deviations more."""
+    return int(bits * share + deviations * sqrt(bits * share * (1 - share)))
 
 
 def block_routes(bits: int, max_diff: int, blocks: int) -> list[list[int]]:
@@ -115,16 +117,18 @@ def block_routes_for(n: int, bits: int, max_diff: int, rows: int = 2048) -> list
 
 
 def sampled_routes(bits: int, routes: int, key_bits: int) -> list[list[int]]:
-    """Places drawn at random: fingerprints that differ in a share p of their bits meet in a route with probability
-    ``(1 - p) ** key_bits``, and somewhere with ``1 - (1 - that) ** routes``."""
-    r = np.random.default_rng(SEED)
-    return [sorted(r.choice(bits, key_bits, replace=False).tolist()) for _ in range(routes)]
+    """Places drawn at random, none twice before all have been: fingerprints that differ in a share p of their bits
+    meet in a route with probability ``(1 - p) ** key_bits``, and somewhere with ``1 - (1 - that) ** routes``."""
+    r, whole = np.random.default_rng(SEED), bits // key_bits
+    drawn = np.concatenate([r.permutation(bits)[: whole * key_bits] for _ in range(ceil(routes / whole))])
+    return [sorted(x) for x in drawn.reshape(-1, key_bits)[:routes].tolist()]
 
 
-def sampled_routes_for(n: int, bits: int, similarity: float, recall: float = 0.98, rows: int = 512) -> list[list[int]]:
-    """Routes whose groups have ``rows`` of ``n`` rows on average and in which so many pairs of the similarity meet."""
+def sampled_routes_for(n: int, bits: int, share: float, recall: float = 0.98, rows: int = 512) -> list[list[int]]:
+    """Routes whose groups have ``rows`` of ``n`` rows on average and in which so many pairs meet that differ in this
+    share of their bits."""
     key_bits = min(bits, max(8, ceil(log2(max(1, n) / rows))))
-    meet = (1 - share_of_bits(similarity)) ** key_bits
+    meet = (1 - share) ** key_bits
     return sampled_routes(bits, ceil(log(1 - recall) / log(1 - meet)), key_bits)
 
 
@@ -140,32 +144,35 @@ def gray_order(fp: np.ndarray) -> list[np.ndarray]:
     return keys
 
 
-class _Labels:
-    """Row classes under growing links; a class is known by its smallest row."""
+class Labels:
+    """Row classes under growing links; a class is known by its smallest row. ``of`` may begin with classes."""
 
-    def __init__(self, n: int):
-        self.of = np.arange(n)
+    def __init__(self, of: np.ndarray):
+        self.of, self.changes = of, 0
 
-    def link(self, u: np.ndarray, v: np.ndarray) -> bool:
-        changed = False
+    def link(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Joins the classes of each pair and gives the places of pairs that span what was joined."""
+        left, used = np.arange(len(u)), []
         while True:
-            a, b = self.of[u], self.of[v]
-            if not (apart := a != b).any():
-                return changed
-            changed = True
-            u, v, a, b = u[apart], v[apart], a[apart], b[apart]
-            np.minimum.at(self.of, np.maximum(a, b), np.minimum(a, b))
+            a, b = self.of[u[left]], self.of[v[left]]
+            apart = a != b
+            left, a, b = left[apart], a[apart], b[apart]
+            if not len(left):
+                return np.concatenate(used) if used else left
+            # each larger class joins one smaller, so the pairs make no ring
+            high, one = np.unique(np.maximum(a, b), return_index=True)
+            self.of[high] = np.minimum(a, b)[one]
+            used.append(left[one])
             while not np.array_equal(up := self.of[self.of], self.of):
-                self.of = up
+                self.of[:] = up
+            self.changes += 1
 
 
-def linked_rows(fp: np.ndarray, group: np.ndarray, max_diff: int) -> np.ndarray:
-    """For fingerprints (row, word) sorted by group, then Gray rank: the first row of each row's class among its
-    group's links."""
-    n = len(fp)
-    labels = _Labels(n)
-    if n < 2:
-        return labels.of
+def near_rows(fp: np.ndarray, group: np.ndarray, max_diff: int, labels: Labels) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Batches of pairs ``x < y`` of fingerprints (row, word) of one group that differ in at most ``max_diff`` bits and
+    are not of one class. Rows come sorted by group, then Gray rank; the labels may grow between batches."""
+    if len(fp) < 2:
+        return
     low, high, of = [fp], [fp], [group]  # by level: bits set in all rows below, bits set in any, the group
     first: list[np.ndarray] = []  # first child of each node of the level above, and the end
     while True:
@@ -183,15 +190,15 @@ def linked_rows(fp: np.ndarray, group: np.ndarray, max_diff: int) -> np.ndarray:
     fixed = [~(a ^ b) for a, b in zip(low, high)]
     top = len(low) - 1
     if top == 0:
-        return labels.of
+        return
     roots = np.arange(len(low[top]))
     stack = [(top, roots, roots, np.zeros(len(roots), np.int64))]
-    lowest = highest = None
+    seen = None
     while stack:
         level, a, b, so_far = stack.pop()
         if level == 1:
-            if lowest is None:
-                lowest, highest = np.minimum.reduceat(labels.of, first[0][:-1]), np.maximum.reduceat(labels.of, first[0][:-1])
+            if seen != labels.changes:
+                seen, lowest, highest = labels.changes, np.minimum.reduceat(labels.of, first[0][:-1]), np.maximum.reduceat(labels.of, first[0][:-1])
             # rows already known to be of one class have nothing to add
             todo = ~((lowest[a] == highest[a]) & (lowest[b] == highest[b]) & (lowest[a] == lowest[b]))
             a, b, so_far = a[todo], b[todo], so_far[todo]
@@ -205,45 +212,56 @@ def linked_rows(fp: np.ndarray, group: np.ndarray, max_diff: int) -> np.ndarray:
         parent = np.repeat(np.arange(len(a)), each)
         k = np.arange(len(parent)) - np.repeat(np.cumsum(each) - each, each)
         x, y = begin[a][parent] + k // n_b[parent], begin[b][parent] + k % n_b[parent]
-        keep = (x < y) if below == 0 else (x <= y)
+        keep = (x < y) & (labels.of[x] != labels.of[y]) if below == 0 else (x <= y)
         x, y, parent = x[keep], y[keep], parent[keep]
         known = (fixed[level][a] & fixed[level][b])[parent]
         newly = fixed[below][x] & fixed[below][y] & ~known
         diff = so_far[parent] + np.bitwise_count((low[below][x] ^ low[below][y]) & newly).sum(axis=1, dtype=np.int64)
         keep = diff <= max_diff
         x, y, diff = x[keep], y[keep], diff[keep]
+        if not len(x):
+            continue
         if below:
-            if len(x):
-                stack.append((below, x, y, diff))
-        elif labels.link(x, y):
-            lowest = None
+            stack.append((below, x, y, diff))
+        else:
+            yield x, y
+
+
+def linked_rows(fp: np.ndarray, group: np.ndarray, max_diff: int) -> np.ndarray:
+    """The first row of each row's class among its group's links."""
+    labels = Labels(np.arange(len(fp)))
+    for x, y in near_rows(fp, group, max_diff, labels):
+        labels.link(x, y)
     return labels.of
 
 
-def _routed(classes: DataFrame, routes: list[list[int]], with_fp: bool) -> DataFrame:
-    """``route, key`` for each class and route, and with them ``class, fp`` if asked for."""
+def _routed(classes: DataFrame, routes: list[list[int]], names: list[str]) -> DataFrame:
+    """``route, key`` for each class and route, and with them the columns ``names``."""
 
     def run(batches):
         for b in batches:
-            fp = b.column(1)
-            bit = np.unpackbits(np.frombuffer(b"".join(fp.to_pylist()), np.uint8).reshape(b.num_rows, -1), axis=1)
+            bit = np.unpackbits(np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(b.num_rows, -1), axis=1)
             for r, places in enumerate(routes):
                 key = bit[:, places].astype(np.int64) @ (1 << np.arange(len(places), dtype=np.int64))
-                columns = [pa.array(np.full(b.num_rows, r, np.int32)), pa.array(key)]
-                yield pa.RecordBatch.from_arrays(columns + [b.column(0), fp] * with_fp, names=["route", "key", "class", "fp"][: 2 + 2 * with_fp])
+                columns = [pa.array(np.full(b.num_rows, r, np.int32)), pa.array(key), *b.columns[1:]]
+                yield pa.RecordBatch.from_arrays(columns, names=["route", "key", *names])
 
-    return classes.select("class", "fp").mapInArrow(run, "route int, key long" + ", class long, fp binary" * with_fp)
+    types = dict(classes.dtypes)
+    return classes.select("fp", *names).mapInArrow(run, ", ".join(["route int, key long", *(f"{c} {types[c]}" for c in names)]))
 
 
-def links(classes: DataFrame, max_diff: int, routes: list[list[int]], cell_rows: int = 4096) -> DataFrame:
-    """``(a, b)``: links between classes ``(class, fp)`` of distinct fingerprints that span what the links connect."""
-    hot = _routed(classes, routes, False).groupBy("route", "key").count().where(F.col("count") > cell_rows)
+def near_pairs(classes: DataFrame, max_diff: int, routes: list[list[int]], spanning: bool = False, ratio: float = 0.0, cell_rows: int = 4096) -> DataFrame:
+    """``(a, b)``: classes ``(class, fp)`` that meet in a route and whose fingerprints differ in at most ``max_diff``
+    bits; with ``spanning`` only as many of these pairs as connect what they connect. Classes of one ``label``, a long
+    which ``classes`` may have, make no pair, nor do those of which the smaller ``size`` is under ``ratio`` times the other."""
+    hot = _routed(classes, routes, []).groupBy("route", "key").count().where(F.col("count") > cell_rows)
     hot = written(hot.select("route", "key", F.ceil(F.col("count") / cell_rows).cast("int").alias("salts")), "groups")
+    names = ["class", "fp", *(c for c in ("label", "size") if c in classes.columns)]
     cells = (
-        _routed(classes, routes, True).join(hot, ["route", "key"], "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+        _routed(classes, routes, names).join(hot, ["route", "key"], "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
         .withColumn("s", F.pmod(F.xxhash64("fp"), F.col("salts").cast("long")).cast("int"))
         .withColumn("t", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-        .select("route", "key", (F.least("s", "t") * F.col("salts") + F.greatest("s", "t")).alias("cell"), "class", "fp")
+        .select("route", "key", (F.least("s", "t") * F.col("salts") + F.greatest("s", "t")).alias("cell"), F.when(F.col("s") == F.col("t"), -1).otherwise(F.col("s")).alias("side"), *names)
     )
 
     def run(batches):
@@ -251,18 +269,35 @@ def links(classes: DataFrame, max_diff: int, routes: list[list[int]], cell_rows:
         if not tables:
             return
         t = pa.Table.from_batches(tables)
-        route, key, cell, cls = (t.column(i).to_numpy() for i in range(4))
-        fp = np.frombuffer(b"".join(t.column(4).to_pylist()), ">u8").reshape(len(cls), -1).astype(np.uint64)
+        del tables
+        route, key, cell, side, cls = (t.column(i).to_numpy() for i in range(5))
+        fp = np.frombuffer(b"".join(t.column(5).to_pylist()), ">u8").reshape(len(cls), -1).astype(np.uint64)
         order = np.lexsort((*gray_order(fp)[::-1], cell, key, route))
-        route, key, cell, cls, fp = route[order], key[order], cell[order], cls[order], fp[order]
+        route, key, cell, side, cls, fp = (x[order] for x in (route, key, cell, side, cls, fp))
+        label = t.column("label").to_numpy()[order] if "label" in names else cls
+        size = t.column("size").to_numpy()[order] if ratio else None
         group = np.cumsum(np.r_[0, (route[1:] != route[:-1]) | (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])])
-        of = linked_rows(fp, group, max_diff)
-        linked = np.flatnonzero(of != np.arange(len(of)))
-        yield pa.record_batch([pa.array(cls[linked]), pa.array(cls[of[linked]])], names=["a", "b"])
+        _, begins, place = np.unique(label, return_index=True, return_inverse=True)
+        labels = Labels(begins[place])
+        for x, y in near_rows(fp, group, max_diff, labels):
+            if ratio:
+                alike = np.minimum(size[x], size[y]) >= ratio * np.maximum(size[x], size[y])
+                x, y = x[alike], y[alike]
+            if spanning:
+                one = labels.link(x, y)
+            else:  # rows of one side meet in another cell
+                one = np.flatnonzero((side[x] < 0) | (side[x] != side[y]))
+            a, b = cls[x[one]], cls[y[one]]
+            yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return cells.repartition("route", "key", "cell").mapInArrow(run, "a long, b long").distinct()
 
 
+def links(classes: DataFrame, max_diff: int, routes: list[list[int]], cell_rows: int = 4096) -> DataFrame:
+    """``(a, b)``: links between classes ``(class, fp)`` of distinct fingerprints that span what the links connect."""
+    return near_pairs(classes, max_diff, routes, spanning=True, cell_rows=cell_rows)
+
+
 def near_duplicates(docs: DataFrame, width: int = 4, bits: int = 64, max_diff: int = 4, distinct: bool = False, routes: Callable[[int], list[list[int]]] | None = None) -> DataFrame:
     """``(doc_id, fingerprint, component_id)``: ``component_id`` is the smallest ``doc_id`` reachable by links.
     ``routes`` gets the number of different fingerprints; without it those are taken that lose no link."""

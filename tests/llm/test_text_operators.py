@@ -142,8 +142,9 @@ def test_long_fingerprints_find_similar_texts(spark):
         other = [w if r.random() < 0.9 else "else" for w in words]  # far below 0.8
         rows += [(i, " ".join(words)), (i + 1, " ".join(near)), (10_000 + i, " ".join(other))]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    limit = simhash.expected_diff(0.8, 1024, deviations=0.7)
-    out = simhash.near_duplicates(docs, 5, 1024, limit, True, lambda n: simhash.sampled_routes_for(n, 1024, 0.8)).collect()
+    share = simhash.share_of_bits(0.8)
+    limit = simhash.expected_diff(share, 1024, deviations=0.7)
+    out = simhash.near_duplicates(docs, 5, 1024, limit, True, lambda n: simhash.sampled_routes_for(n, 1024, share)).collect()
     found = {row.doc_id: row.component_id for row in out}
     assert sum(found[i + 1] == i for i in range(0, 400, 2)) >= 194
     assert all(found[i] == i for i in found if i >= 10_000 or i < 400 and i % 2 == 0)
@@ -171,7 +172,7 @@ def test_fingerprint_is_the_majority_of_shingle_hashes():
 def test_routes_keep_groups_small(n):
     blocks = simhash.block_routes_for(n, 64, 4)
     assert n >> min(map(len, blocks)) <= 2048 and len(blocks) >= 5
-    sampled = simhash.sampled_routes_for(n, 512, 0.8)
+    sampled = simhash.sampled_routes_for(n, 512, simhash.share_of_bits(0.8))
     meet = (1 - simhash.share_of_bits(0.8)) ** len(sampled[0])
     assert n <= 512 << len(sampled[0]) and 1 - (1 - meet) ** len(sampled) >= 0.98
 
