@@ -1,11 +1,12 @@
 """Near-duplicate vectors by lattice hashing.
 
-Each of ``TABLES`` tables projects a unit vector at random to ``BLOCKS`` times eight dimensions and decodes each
-eight to the nearest point of the E8 lattice; the points are the vector's cell. A vector is also filed under the
+Each of several tables projects a unit vector at random to so many blocks of eight dimensions and decodes each block
+to the nearest point of the E8 lattice; the points are the vector's cell. A vector is also filed under the
 ``PROBES`` neighbouring cells that it is nearest to, taken from the next best points of both of E8's cosets. Two
 vectors with the same label meet where a cell is the home of at least one of them, and their cosine is then computed
-in double precision. With the defaults, 98 of 100 pairs at cosine 0.93 meet, and more of closer ones; the tests
-measure it against brute force.
+in double precision. Blocks and tables grow with the vectors of a label (``shape_for``), so that about as many unlike
+vectors meet at every size and 98 of 100 pairs at cosine 0.93, more of closer ones; the tests measure it against brute
+force.
 
 Equal vectors of a label are one class with a count, so copies are never expanded into pairs. A cell with over
 ``cell_rows`` vectors is dealt by a salt into sub-cells in which each two salts meet, and a pair of different salts
@@ -20,6 +21,7 @@ are copies and link with each other; an empty table gives an empty result; other
 from __future__ import annotations
 
 from functools import lru_cache
+from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +31,14 @@ from pyspark.sql import functions as F
 from .common import components, written
 from .simhash import Labels
 
-TABLES, BLOCKS, PROBES = 4, 2, 2
+PROBES = 2
 #: The lattice's scale against unit vectors.
 SCALE = 1.1
+#: Measured with two blocks at this scale: pairs at cosine 0.93 that meet in a table, and unlike ones; and what is left
+#: of either with each block more.
+MEET, MEET_MORE, UNLIKE, UNLIKE_MORE = 0.635, 0.6, 0.0053, 0.04
+#: Pairs at 0.93 that meet, and unlike vectors that one may meet.
+RECALL, UNLIKE_ROWS = 0.98, 256
 SEED = 7
 
 
@@ -63,26 +70,37 @@ def e8(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.rint(2 * np.take_along_axis(points, order[:, :, None], 1)).astype(np.int64), np.take_along_axis(far, order, 1)
 
 
+def shape_for(n: int) -> tuple[int, int]:
+    """Tables and blocks for ``n`` vectors of a label: the fewest blocks with which a vector meets few unlike ones, and
+    tables that keep the recall."""
+    blocks = 2
+    while True:
+        tables = ceil(log(1 - RECALL) / log(1 - MEET * MEET_MORE ** (blocks - 2)))
+        if n * tables * UNLIKE * UNLIKE_MORE ** (blocks - 2) <= UNLIKE_ROWS:
+            return tables, blocks
+        blocks += 1
+
+
 @lru_cache(maxsize=8)
-def projections(dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def projections(dims: int, tables: int, blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Matrices (tables, blocks, dims, 8), shifts, and multipliers that hash a cell's coordinates."""
     r = np.random.default_rng([SEED, dims])
-    m = np.empty((TABLES, BLOCKS, dims, 8))
-    for t in range(TABLES):
-        for b in range(BLOCKS):
+    m = np.empty((tables, blocks, dims, 8))
+    for t in range(tables):
+        for b in range(blocks):
             g = r.standard_normal((dims, 8))
             # eight orthonormal directions where there are so many, lengthened so that lengths are kept on average
             m[t, b] = np.linalg.qr(g)[0] * np.sqrt(dims / 8) if dims >= 8 else g / np.sqrt(8)
-    return m / SCALE, r.random((TABLES, BLOCKS, 8)), r.integers(1, 1 << 62, (BLOCKS, 8)) * 2 + 1
+    return m / SCALE, r.random((tables, blocks, 8)), r.integers(1, 1 << 62, (blocks, 8)) * 2 + 1
 
 
-def cells(unit: np.ndarray) -> np.ndarray:
+def cells(unit: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
     """Hashed cells (row, table, 1 + probes) of unit vectors, the home cell first."""
-    m, shift, mix = projections(unit.shape[1])
-    out = np.empty((len(unit), TABLES, 1 + PROBES), np.int64)
-    for t in range(TABLES):
+    m, shift, mix = projections(unit.shape[1], *shape)
+    out = np.empty((len(unit), shape[0], 1 + PROBES), np.int64)
+    for t in range(shape[0]):
         part, extra = [], []
-        for b in range(BLOCKS):
+        for b in range(shape[1]):
             points, far = e8(unit @ m[t, b] + shift[t, b])
             part.append((points * mix[b]).sum(2))  # wraps around
             extra.append(far[:, 1:] - far[:, :1])
@@ -112,7 +130,7 @@ def first_meeting(a: np.ndarray, b: np.ndarray, table: int, cell: int) -> np.nda
     return ~met & (first == cell)
 
 
-def _group(unit, home, salt, copies, table, cell, one_salt, threshold, count, labels, rows, step=1024):
+def _group(unit, home, salt, copies, table, cell, one_salt, shape, threshold, count, labels, rows, step=1024):
     """Adds one group's links to ``count`` and ``labels``; ``rows`` are the group's places in those."""
     known = None
     for i in range(0, len(unit), step):
@@ -127,7 +145,7 @@ def _group(unit, home, salt, copies, table, cell, one_salt, threshold, count, la
             if not len(x):
                 continue
             if known is None:
-                known = cells(unit)
+                known = cells(unit, shape)
             for k in range(0, len(x), 1 << 17):
                 u, v = x[k : k + (1 << 17)], y[k : k + (1 << 17)]
                 mine = first_meeting(known[u], known[v], table, cell)
@@ -146,6 +164,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, cell_rows: int
     classes = written(classes.withColumn("class", F.monotonically_increasing_id()), "vectors")
     # the label as one number, so that groups are keyed alike whatever its type
     keyed = classes.select("class", F.xxhash64("label", F.size("v")).alias("kind"), "copies", "v")
+    shape = shape_for(keyed.groupBy("kind").count().agg(F.max("count")).first()[0] or 0)
 
     def file(with_vectors: bool):
         def run(batches):
@@ -156,12 +175,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, cell_rows: int
                 at = np.r_[0, np.cumsum(size)]
                 for d in np.unique(size):
                     own = np.flatnonzero(size == d)
-                    found = cells(unit_rows(flat[at[own][:, None] + np.arange(d)]))
-                    each = TABLES * (1 + PROBES)
+                    found = cells(unit_rows(flat[at[own][:, None] + np.arange(d)]), shape)
+                    each = shape[0] * (1 + PROBES)
                     again = pa.array(np.repeat(own, each))
                     columns = [
-                        b.column(1).take(again), pa.array(np.tile(np.repeat(np.arange(TABLES), 1 + PROBES), len(own)), pa.int32()), pa.array(found.ravel()),
-                        pa.array(np.tile(np.arange(1 + PROBES) == 0, len(own) * TABLES)),
+                        b.column(1).take(again), pa.array(np.tile(np.repeat(np.arange(shape[0]), 1 + PROBES), len(own)), pa.int32()), pa.array(found.ravel()),
+                        pa.array(np.tile(np.arange(1 + PROBES) == 0, len(own) * shape[0])),
                     ]
                     if with_vectors:
                         columns += [b.column(0).take(again), b.column(2).take(again), v.take(again)]
@@ -206,7 +225,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, cell_rows: int
             g = order[a:b]
             d = begin[g[0] + 1] - begin[g[0]]
             unit = unit_rows(flat[begin[g][:, None] + np.arange(d)])
-            _group(unit, home[g], s[g], copies[g], tab[g[0]], cell[g[0]], same[g[0]], threshold, count, labels, place[g])
+            _group(unit, home[g], s[g], copies[g], tab[g[0]], cell[g[0]], same[g[0]], shape, threshold, count, labels, place[g])
         linked = np.flatnonzero((count > 0) | (labels.of != np.arange(len(names))))
         yield pa.record_batch([pa.array(names[linked]), pa.array(names[labels.of[linked]]), pa.array(count[linked])], names=["a", "b", "n"])
 
