@@ -29,6 +29,7 @@ import uuid
 import zlib
 from bisect import bisect_right
 from dataclasses import dataclass
+from math import ceil
 from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
@@ -42,6 +43,8 @@ from .common import new_path, written
 BLOCK, ARCHIVE_BYTES = 1000, 256 << 20
 #: Touching records are read in one go up to so many bytes.
 READ_BYTES = 4 << 20
+#: Bytes of records that a task reads back, about.
+TASK_BYTES = 64 << 20
 NO_ID = -(1 << 63)
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -268,7 +271,7 @@ def lookup(wanted: DataFrame, index: Index, every_id: bool = False) -> DataFrame
     return keys.repartitionByRange("url_key", "page_id").sortWithinPartitions("url_key", "page_id").mapInArrow(run, CAPTURES)
 
 
-def read_records(captures: DataFrame, root: str) -> DataFrame:
+def read_records(captures: DataFrame, root: str, tasks: int | None = None) -> DataFrame:
     """``page_id, payload_bytes, payload_digest, record_type, refers_to, html`` from the records' byte ranges; html is
     null for revisits. A response whose payload doesn't have its digest is an error."""
 
@@ -300,7 +303,8 @@ def read_records(captures: DataFrame, root: str) -> DataFrame:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()))], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "html"])
 
     part = F.floor(F.col("offset") / (16 << 20))
-    near = captures.select("file", "offset", "length").repartition("file", part).sortWithinPartitions("file", "offset")
+    wanted = captures.select("file", "offset", "length")
+    near = (wanted.repartition(tasks, "file", part) if tasks else wanted.repartition("file", part)).sortWithinPartitions("file", "offset")
     return near.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, html string")
 
 
@@ -309,4 +313,7 @@ def round_trip(spark: SparkSession, pages: DataFrame, min_bytes: int = 0) -> Dat
     root = new_path(spark, "warc")
     captures = write_archives(pages, f"{root}/archives", min_bytes)
     index = build_index(captures, f"{root}/index")
-    return read_records(lookup(keys_of(pages), index), f"{root}/archives")
+    # by what is read, which the index's rows don't show
+    size = captures.agg(F.sum("length")).first()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, ceil(size / TASK_BYTES))
+    return read_records(lookup(keys_of(pages), index), f"{root}/archives", tasks)
