@@ -29,28 +29,36 @@ class Recent(dict):
         return found
 
 
-def salted_rank(df: DataFrame, keys: list[str], order: list, seed_col, name: str = "rank", per_task: int = 2000) -> DataFrame:
-    """Adds ``name``: each row's number (from 0) among the rows of its ``keys``, without gaps.
-
-    A key of any size is dealt by ``seed_col``'s hash into groups of about ``per_task`` rows; the rows are numbered
-    within a group, and a table of group sizes (one row for each ``per_task`` rows) gives each group its first
-    number. No task gets a whole key. The numbers depend on the rows alone, so reruns and retries agree.
+def salted_rank(df: DataFrame, keys: list[str], alike: list[str], at: str, seed: int = 0, name: str = "rank", per_task: int = 500) -> DataFrame:
+    """Adds ``name``: each row's number (from 0) among the rows of its ``keys``, without gaps. ``at`` is a number that
+    no two rows of ``df``, a written table, share.
+
+    A key of any size is dealt by a hash of ``alike`` into groups of about ``per_task`` rows, and rows that are equal in
+    ``alike``, if more than that, by ``at`` into groups of their own. Rows are numbered within a group, and a table of
+    group sizes gives each group its first number. No task gets a whole key, nor all equal rows. Which numbers the
+    rows of equal ``alike`` have depends on the rows alone, so reruns and retries agree on them.
     """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).withColumn("_parts", F.ceil(F.col("_n") / per_task).cast("int"))
-    same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]
-    hot = sizes.where("_parts > 1").select(*keys, "_parts")
-    dealt = (
-        df.alias("d").join(hot.alias("h"), same("d", "h"), "left")
-        .select("d.*", F.pmod(seed_col, F.coalesce(F.col("h._parts"), F.lit(1)).cast("long")).alias("_salt"))
-    )
-    group = Window.partitionBy(*keys, "_salt")
-    dealt = dealt.withColumn("_in", F.row_number().over(group.orderBy(*order)) - 1)
-    counts = dealt.groupBy(*keys, "_salt").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    null_safe = lambda a, b, names: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in names]
+    hashed = F.xxhash64(F.lit(seed), *alike)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    large = sizes.where(F.col("_n") > per_task).select(*keys, F.ceil(F.col("_n") / per_task).alias("_parts"))
+    same = df.groupBy(*keys, *alike).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > per_task)
+    same = same.select(*keys, *alike, F.ceil(F.col("_n") / per_task).alias("_own"), hashed.alias("_hash"))
+    dealt = df.alias("d").join(large.alias("h"), null_safe("d", "h", keys), "left").join(same.alias("s"), null_safe("d", "s", keys + alike), "left")
+    # groups are known by their hash part or by the hash of their equal rows, and a number among those
+    part = F.when(F.col("s._own").isNull(), F.pmod(F.xxhash64(F.lit(seed), *[f"d.{c}" for c in alike]), F.coalesce("h._parts", F.lit(1)))).otherwise(F.col("s._hash"))
+    number = F.when(F.col("s._own").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64(f"d.{at}"), F.col("s._own")))
+    dealt = dealt.select("d.*", part.alias("_part"), number.cast("long").alias("_no"))
+    group = [*keys, "_part", "_no"]
+    order = [F.xxhash64(F.lit(seed), *alike), *alike, at]
+    dealt = dealt.withColumn("_in", F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1)
+    counts = dealt.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_part", "_no").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
     # groups that come first of their key need no row of the table
-    before = before.where("_before > 0").select(*keys, "_salt", "_before")
-    out = dealt.alias("d").join(before.alias("b"), [*same("d", "b"), F.col("d._salt") == F.col("b._salt")], "left")
-    return out.select("d.*", (F.col("d._in") + F.coalesce(F.col("b._before"), F.lit(0))).alias(name)).drop("_salt", "_in")
+    before = before.where("_before > 0").select(*group, "_before")
+    out = dealt.alias("d").join(before.alias("b"), [*null_safe("d", "b", keys), F.col("d._part") == F.col("b._part"), F.col("d._no") == F.col("b._no")], "left")
+    return out.select("d.*", (F.col("d._in") + F.coalesce(F.col("b._before"), F.lit(0))).alias(name)).drop("_part", "_no", "_in")
 
 
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:

@@ -7,8 +7,8 @@ running sums give the common level at once.
 
 Choice: every document is taken as often as the target holds the whole source; for the rest, documents are counted
 by exact word count. Each count gives the same share of its documents, rounded down; then counts, in seeded order,
-give one more each until less than ``KEEP`` words are missing; bounded-knapsack dynamic programming over what is
-left finds the reachable sum nearest to the target from below. Within a count, documents are chosen by their rank
+give one more each, and then as many as fit, until ``KEEP`` words or fewer are missing or no document fits;
+bounded-knapsack dynamic programming over what is left finds the reachable sum nearest to the target from below. Within a count, documents are chosen by their rank
 in a seeded hash order, which no task computes for a whole count. What a task holds is one source's histogram:
 one row for each different word count.
 
@@ -69,12 +69,15 @@ def choose(sizes: np.ndarray, counts: np.ndarray, target: int, seed: int) -> tup
     extra = np.array([int(n) * rest // total if s else 0 for s, n in zip(sizes, counts)], np.int64)
     missing = rest - sum(int(s) * int(n) for s, n in zip(sizes, extra))
     order = np.random.default_rng(seed).permutation(len(sizes))
-    for i in order:
-        if missing <= KEEP:
-            break
-        if 0 < sizes[i] <= missing and extra[i] < counts[i]:
-            extra[i] += 1
-            missing -= int(sizes[i])
+    for most in (1, None):
+        for i in order:
+            if missing <= KEEP:
+                break
+            size, left = int(sizes[i]), int(counts[i] - extra[i])
+            if size:
+                n = min(left, missing // size, most or -((KEEP - missing) // size))
+                extra[i] += n
+                missing -= n * size
     open_ = order[(sizes[order] > 0) & (sizes[order] <= missing) & (extra[order] < counts[order])]
     extra[open_] += subset_sum(sizes[open_], (counts - extra)[open_], missing)
     return base, extra
@@ -99,7 +102,8 @@ def targets(totals: DataFrame, weights: tuple[float, ...], share: float, most: f
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 9) -> DataFrame:
     """``(doc_id, size, source_size, target, taken)``, one row per document; ``taken`` counts words, repeats included."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size")), "sizes")
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"))
+    sized = written(sized.withColumn("at", F.monotonically_increasing_id()), "sizes")
     histogram = written(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "lengths")
     totals = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     goal = written(targets(totals, weights, share, most), "targets")
@@ -114,7 +118,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
         .select("h.source", "h.size", "h.n", "g.source_size", "g.target")
         .groupBy("source").applyInPandas(pick, "source string, size long, source_size long, target double, base long, extra long")
     )
-    ranked = salted_rank(sized, ["source", "size"], [F.xxhash64(F.lit(seed), "doc_id"), "doc_id"], F.xxhash64(F.lit(seed), "doc_id"))
+    ranked = salted_rank(sized, ["source", "size"], ["doc_id"], "at", seed)
     return (
         ranked.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.size") == F.col("p.size")))
         .select("doc_id", "d.size", "source_size", "target", (F.col("d.size") * (F.col("base") + (F.col("rank") < F.col("extra")).cast("long"))).alias("taken"))

@@ -151,8 +151,8 @@ def slots(histogram: dict[int, int], seq_len: int, first_sequence: int) -> list[
 def pack(docs: DataFrame, tokenizer_file: str, seq_len: int = 2048, end_id: int = 1) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``."""
     spark = docs.sparkSession
-    cut = written(pieces(docs, tokenizer_file, seq_len, end_id), "pieces")
-    ranked = salted_rank(cut, ["length"], ["doc_id", "start", "ids_crc32", "doc_tokens"], F.xxhash64("doc_id", "start", "ids_crc32"))
+    cut = written(pieces(docs, tokenizer_file, seq_len, end_id).withColumn("at", F.monotonically_increasing_id()), "pieces")
+    ranked = salted_rank(cut, ["length"], ["doc_id", "start", "ids_crc32", "doc_tokens"], "at")
     histogram = {r.length: r.n for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # seq_len rows at most
     full = histogram.pop(seq_len, 0)
     table = [(seq_len, 0, full, 1, 0, 0), *slots(histogram, seq_len, full)]
