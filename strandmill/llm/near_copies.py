@@ -7,9 +7,10 @@ than ``DEVIATIONS`` standard deviations over what is expected there (all but one
 apart, so ``SIZES`` gives the share of differing bits by size; sets of under four shingles are alike only where they
 are equal.
 
-First come pairs that are surely alike by their fingerprints, of which only a spanning forest is proposed; then all
-pairs that may be alike and that the forest leaves apart. Where a pair of the forest turns out not to be alike, its
-class is searched once more with what the checked pairs alone connect. So no pair is missed for the sake of another.
+Only a spanning forest of the proposed pairs leaves the search, surely alike ones first. Those are checked one by one.
+What the forest connects is a group; where a group holds several classes of checked links, the sets of its largest class
+and of all others meet block by block, and every pair of different classes is compared. So groups of any size give no
+more rows than sets and blocks, and no pair of a group is missed for the sake of another.
 
 Defined results: null and empty texts have equal sets; a text of fewer words than a shingle has one shingle, the whole.
 Sets are known by 64-bit hashes, their size included.
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Recent, components, drop_written, written
-from .simhash import SEED, expected_diff, majority, near_pairs, sampled_routes_for
+from .simhash import SEED, Labels, expected_diff, links, majority, sampled_routes_for
 
 WIDTH, SIMILARITY = 5, 0.8
 BITS, DEVIATIONS, RECALL, ROWS = 1024, 4.0, 0.999, 256
@@ -33,6 +34,8 @@ BITS, DEVIATIONS, RECALL, ROWS = 1024, 4.0, 0.999, 256
 SIZES = ((4, 6, 0.1875), (5, 1 << 62, 0.162))
 #: Rows, of 8 bytes, that a join broadcasts at most.
 BROADCAST_ROWS = 1_000_000
+#: Sets and shingles of a block.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 18
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -101,10 +104,8 @@ def _sets(docs: DataFrame, row: str, nodes: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "node long, own binary")
 
 
-def _checked(pairs: DataFrame, docs: DataFrame, row: str, nodes: DataFrame) -> DataFrame:
+def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those pairs whose whole sets are alike."""
-    met = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "met")
-    sets = written(_sets(docs, row, written(nodes.join(met, "node", "left_semi"), "least")), "sets")
 
     def run(batches):
         for b in _slices(batches):
@@ -113,37 +114,85 @@ def _checked(pairs: DataFrame, docs: DataFrame, row: str, nodes: DataFrame) -> D
             yield pa.record_batch([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
 
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
-    kept = written(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
-    drop_written(sets)
-    return kept
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def linked_sets(own: list[np.ndarray], label: np.ndarray, first: np.ndarray):
+    """Pairs of rows that are alike and span what such pairs of different labels connect. Rows not in ``first`` are not
+    compared with each other."""
+    size = np.array([len(s) for s in own])
+    names, place = np.unique(np.concatenate(own), return_inverse=True)
+    begins = np.r_[0, np.cumsum(size)[:-1]]
+    _, at, of = np.unique(label, return_index=True, return_inverse=True)
+    labels, mark = Labels(at[of]), np.zeros(len(names), bool)
+    for u in np.flatnonzero(first):
+        if (labels.of == labels.of[u]).all():
+            continue
+        mine = place[begins[u] : begins[u] + size[u]]
+        mark[mine] = True
+        shared = np.add.reduceat(mark[place], begins, dtype=np.int64)
+        mark[mine] = False
+        v = np.flatnonzero(9 * shared >= 4 * (size + size[u]))
+        one = labels.link(np.full(len(v), u), v)
+        for k in v[one]:
+            yield u, k
+
+
+def _blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(a, b)``: links between different labels of a group, from ``members`` (``node, size, group, label``)."""
+    by = members.groupBy("group", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"))
+    parts = lambda n, shingles: F.greatest(F.ceil(n / BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
+    plan = by.groupBy("group").agg(F.max(F.struct("n", "shingles", "label")).alias("main"), F.sum("n").alias("n"), F.sum("shingles").alias("shingles")).where("n > main.n")
+    plan = written(plan.select("group", F.col("main.label").alias("main"), parts(F.col("main.n"), F.col("main.shingles")).alias("mains"), parts(F.col("n") - F.col("main.n"), F.col("shingles") - F.col("main.shingles")).alias("others")), "plan")
+    dealt = members.join(plan, "group").withColumn("first", F.col("label") != F.col("main"))
+    dealt = dealt.withColumn("s", F.pmod(F.xxhash64("node"), F.when(F.col("first"), F.col("others")).otherwise(F.col("mains")).cast("long")).cast("int"))
+    # all others meet each other and all of the main label; blocks of that come behind those of the others
+    dealt = dealt.withColumn("t", F.explode(F.when(F.col("first"), F.sequence(F.lit(0), F.col("others") + F.col("mains") - 1)).otherwise(F.sequence(F.lit(0), F.col("others") - 1))))
+    dealt = dealt.withColumn("s", F.when(F.col("first"), F.col("s")).otherwise(F.col("others") + F.col("s")))
+    cells = dealt.select("group", F.least("s", "t").alias("x"), F.greatest("s", "t").alias("y"), "node", "label", "first").join(sets, "node")
 
+    def run(batches):
+        group: list = []
+        cell = None
+        for b in _slices(batches):
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if row[:3] != cell:
+                    yield from found(group)
+                    cell, group = row[:3], []
+                group.append(row[3:])
+        yield from found(group)
 
-def _labelled(part: DataFrame, links: DataFrame) -> DataFrame:
-    """``part`` with the class that the links give as ``label``."""
-    found = written(components(links), "labels")
-    return part.join(found, F.col("class") == F.col("node"), "left").withColumn("label", F.coalesce("component", "class")).drop("node", "component")
+    def found(group):
+        if len(group) > 1:
+            node, label, first, own = zip(*group)
+            pairs = list(linked_sets([np.frombuffer(x, np.uint64) for x in own], np.array(label), np.array(first)))
+            if pairs:
+                yield pa.record_batch([pa.array([node[u] for u, _ in pairs], pa.int64()), pa.array([node[v] for _, v in pairs], pa.int64())], names=["a", "b"])
+
+    cells = cells.select("group", "x", "y", "node", "label", "first", "own").repartition("group", "x", "y").sortWithinPartitions("group", "x", "y")
+    return cells.mapInArrow(run, "a long, b long")
 
 
 def classes(docs: DataFrame, row: str, order: list[str], cell_rows: int = 4096) -> DataFrame:
     """``first``: of each class of near copies of ``docs`` (with ``text``), the ``row`` of the row that is smallest by the
     columns ``order``. ``row`` is a number that only equal rows share."""
     nodes = written(_nodes(docs, list(dict.fromkeys([*order, row]))), "nodes")
-    links = None
+    proposed = None
     for low, high, share in SIZES:
         part = nodes.where((F.col("size") >= low) & (F.col("size") < high)).select(F.col("node").alias("class"), "fp", "size")
         routes = sampled_routes_for(part.count(), BITS, share, RECALL, ROWS)
-        most = expected_diff(share, BITS, DEVIATIONS)
-        search = dict(routes=routes, ratio=SIMILARITY, cell_rows=cell_rows)
-        sure = written(near_pairs(part, expected_diff(share, BITS, -DEVIATIONS), spanning=True, **search), "sure")
-        labelled = written(_labelled(part, sure), "labelled")
-        found = _checked(written(sure.unionByName(near_pairs(labelled, most, **search)), "pairs"), docs, row, nodes)
-        failed = sure.join(found, ["a", "b"], "left_anti")
-        again = labelled.join(failed.select(F.col("a").alias("class")), "class", "left_semi").select("label").distinct()
-        again = written(labelled.join(again, "label", "left_semi").drop("label"), "again")
-        if not again.isEmpty():
-            more = written(near_pairs(written(_labelled(again, found), "labelled"), most, **search), "pairs")
-            found = found.unionByName(_checked(more, docs, row, nodes))
-        links = found if links is None else links.unionByName(found)
-    found = written(components(links).distinct(), "components")
+        sure, most = (expected_diff(share, BITS, d) for d in (-DEVIATIONS, DEVIATIONS))
+        found = links(part, most, routes, cell_rows, sure, SIMILARITY)
+        proposed = found if proposed is None else proposed.unionByName(found)
+    proposed = written(proposed, "proposed")
+    groups = written(components(proposed).select("node", F.col("component").alias("group")).distinct(), "met")
+    met = written(nodes.join(groups, "node"), "members")
+    sets = written(_sets(docs, row, met), "sets")
+    sure = written(_checked(proposed.where("sure").select("a", "b").distinct(), sets), "links")
+    labels = components(sure).distinct()
+    members = met.select("node", "size", "group").join(labels, "node", "left").select("node", "size", "group", F.coalesce("component", "node").alias("label"))
+    more = written(_blocks(written(members, "labelled"), sets), "links")
+    drop_written(sets)
+    found = written(components(sure.unionByName(more)).distinct(), "components")
     ids = nodes.select("node", "least").join(found, "node", "left").withColumn("node", F.coalesce("component", "node"))
     return ids.groupBy("node").agg(F.min("least").alias("least")).select(F.col(f"least.{row}").alias("first"))

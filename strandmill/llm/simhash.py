@@ -250,18 +250,18 @@ def _routed(classes: DataFrame, routes: list[list[int]], names: list[str]) -> Da
     return classes.select("fp", *names).mapInArrow(run, ", ".join(["route int, key long", *(f"{c} {types[c]}" for c in names)]))
 
 
-def near_pairs(classes: DataFrame, max_diff: int, routes: list[list[int]], spanning: bool = False, ratio: float = 0.0, cell_rows: int = 4096) -> DataFrame:
-    """``(a, b)``: classes ``(class, fp)`` that meet in a route and whose fingerprints differ in at most ``max_diff``
-    bits; with ``spanning`` only as many of these pairs as connect what they connect. Classes of one ``label``, a long
-    which ``classes`` may have, make no pair, nor do those of which the smaller ``size`` is under ``ratio`` times the other."""
+def links(classes: DataFrame, max_diff: int, routes: list[list[int]], cell_rows: int = 4096, sure: int = -1, ratio: float = 0.0) -> DataFrame:
+    """``(a, b, sure)``: links between classes ``(class, fp)`` of distinct fingerprints that span what the links connect;
+    those of at most ``sure`` bits are taken first. With ``ratio`` classes have a ``size``, and those link of which the
+    smaller is at least so many times the other."""
     hot = _routed(classes, routes, []).groupBy("route", "key").count().where(F.col("count") > cell_rows)
     hot = written(hot.select("route", "key", F.ceil(F.col("count") / cell_rows).cast("int").alias("salts")), "groups")
-    names = ["class", "fp", *(c for c in ("label", "size") if c in classes.columns)]
+    names = ["class", "fp"] + ["size"] * (ratio > 0)
     cells = (
         _routed(classes, routes, names).join(hot, ["route", "key"], "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
         .withColumn("s", F.pmod(F.xxhash64("fp"), F.col("salts").cast("long")).cast("int"))
         .withColumn("t", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-        .select("route", "key", (F.least("s", "t") * F.col("salts") + F.greatest("s", "t")).alias("cell"), F.when(F.col("s") == F.col("t"), -1).otherwise(F.col("s")).alias("side"), *names)
+        .select("route", "key", (F.least("s", "t") * F.col("salts") + F.greatest("s", "t")).alias("cell"), *names)
     )
 
     def run(batches):
@@ -270,32 +270,24 @@ def near_pairs(classes: DataFrame, max_diff: int, routes: list[list[int]], spann
             return
         t = pa.Table.from_batches(tables)
         del tables
-        route, key, cell, side, cls = (t.column(i).to_numpy() for i in range(5))
-        fp = np.frombuffer(b"".join(t.column(5).to_pylist()), ">u8").reshape(len(cls), -1).astype(np.uint64)
+        route, key, cell, cls = (t.column(i).to_numpy() for i in range(4))
+        fp = np.frombuffer(b"".join(t.column(4).to_pylist()), ">u8").reshape(len(cls), -1).astype(np.uint64)
         order = np.lexsort((*gray_order(fp)[::-1], cell, key, route))
-        route, key, cell, side, cls, fp = (x[order] for x in (route, key, cell, side, cls, fp))
-        label = t.column("label").to_numpy()[order] if "label" in names else cls
+        route, key, cell, cls, fp = (x[order] for x in (route, key, cell, cls, fp))
         size = t.column("size").to_numpy()[order] if ratio else None
         group = np.cumsum(np.r_[0, (route[1:] != route[:-1]) | (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])])
-        _, begins, place = np.unique(label, return_index=True, return_inverse=True)
+        _, begins, place = np.unique(cls, return_index=True, return_inverse=True)
         labels = Labels(begins[place])
-        for x, y in near_rows(fp, group, max_diff, labels):
-            if ratio:
-                alike = np.minimum(size[x], size[y]) >= ratio * np.maximum(size[x], size[y])
-                x, y = x[alike], y[alike]
-            if spanning:
+        for limit in (sure, max_diff) if sure >= 0 else (max_diff,):
+            for x, y in near_rows(fp, group, limit, labels):
+                if ratio:
+                    fit = np.minimum(size[x], size[y]) >= ratio * np.maximum(size[x], size[y])
+                    x, y = x[fit], y[fit]
                 one = labels.link(x, y)
-            else:  # rows of one side meet in another cell
-                one = np.flatnonzero((side[x] < 0) | (side[x] != side[y]))
-            a, b = cls[x[one]], cls[y[one]]
-            yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                a, b = cls[x[one]], cls[y[one]]
+                yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(one), limit == sure))], names=["a", "b", "sure"])
 
-    return cells.repartition("route", "key", "cell").mapInArrow(run, "a long, b long").distinct()
-
-
-def links(classes: DataFrame, max_diff: int, routes: list[list[int]], cell_rows: int = 4096) -> DataFrame:
-    """``(a, b)``: links between classes ``(class, fp)`` of distinct fingerprints that span what the links connect."""
-    return near_pairs(classes, max_diff, routes, spanning=True, cell_rows=cell_rows)
+    return cells.repartition("route", "key", "cell").mapInArrow(run, "a long, b long, sure boolean").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, bits: int = 64, max_diff: int = 4, distinct: bool = False, routes: Callable[[int], list[list[int]]] | None = None) -> DataFrame:

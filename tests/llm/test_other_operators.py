@@ -41,7 +41,9 @@ def brute_links(ids, x, labels, threshold=0.93):
 
 
 @pytest.mark.parametrize("cell_rows", [4096, 40])
-def test_lattice_links_against_brute_force(spark, cell_rows):
+def test_lattice_links_against_brute_force(spark, cell_rows, monkeypatch):
+    if cell_rows == 40:  # more blocks and tables, as for many vectors
+        monkeypatch.setattr(lattice, "shape_for", lambda n, shape=lattice.shape_for(60_000): shape)
     r = np.random.default_rng(0)
     x = r.standard_normal((700, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -62,6 +64,27 @@ def test_lattice_links_against_brute_force(spark, cell_rows):
     assert (found.kept == (found.vec_id == found.component_id)).all()
 
 
+@pytest.mark.parametrize("n", [1_000, 10_000, 40_000, 160_000, 10**6])
+def test_lattice_recall_by_cosine_and_unlike_vectors(n):
+    shape, r = lattice.shape_for(n), np.random.default_rng(3)
+
+    def units(many):
+        x = r.standard_normal((many, 64))
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    def meet(a, b):
+        a, b = lattice.cells(a, shape), lattice.cells(b, shape)
+        return ((a[:, :, :1] == b) | (a == b[:, :, :1])).any(2)
+
+    for cosine, least in ((0.93, 0.96), (0.94, 0.97), (0.96, 0.99), (0.99, 0.995)):
+        x, y = units(1500), units(1500)
+        y -= (y * x).sum(1, keepdims=True) * x
+        y /= np.linalg.norm(y, axis=1, keepdims=True)
+        assert meet(x, cosine * x + np.sqrt(1 - cosine**2) * y).any(1).mean() >= least
+    many = 100_000
+    assert n * meet(units(many), units(many)).any(1).mean() <= 512
+
+
 def test_e8_points_are_nearest():
     r = np.random.default_rng(1)
     x = r.uniform(-2, 2, (300, 8))
@@ -216,12 +239,26 @@ def test_components(spark):
 
 
 def test_ranks_have_no_gaps(spark):
-    rows = [(k, i) for k, n in (("a", 900), ("b", 3), (None, 250)) for i in range(n)] + [("b", 1)] * 3
-    df = spark.createDataFrame(rows, "k string, i long")
-    got = common.salted_rank(df, ["k"], ["i"], F.xxhash64("i"), per_task=100).toPandas()
+    rows = [(k, i) for k, n in (("a", 900), ("b", 3), (None, 250)) for i in range(n)] + [("b", 1)] * 3 + [("a", None)] * 700 + [(None, 7)] * 120
+    df = spark.createDataFrame([(*x, k) for k, x in enumerate(rows)], "k string, i long, at long")
+    got = common.salted_rank(df, ["k"], ["i"], "at", per_task=100).toPandas()
     for k in ("a", "b", None):
         own = got[got.k.isna() if k is None else got.k == k]
         assert sorted(own["rank"]) == list(range(len(own)))
+    # other numbers of the rows leave each value's ranks as they are
+    again = common.salted_rank(df.withColumn("at", 5000 - F.col("at")), ["k"], ["i"], "at", per_task=100).toPandas()
+    ranks = lambda t: t.fillna(-1).groupby(["k", "i"])["rank"].agg(sorted).to_dict()
+    assert ranks(got) == ranks(again)
+
+
+def test_equal_rows_are_dealt_to_many_tasks(spark):
+    docs = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a").alias("source"), F.lit("one two").alias("text"))
+    from strandmill.llm import mixing
+
+    at = common.salted_rank(docs.withColumn("at", F.monotonically_increasing_id()), ["source"], ["doc_id"], "at")
+    assert at.agg(F.countDistinct("rank"), F.max("rank")).first() == (100_000, 99_999)
+    taken = mixing.mix(docs).groupBy("taken").count().collect()
+    assert {r.taken: r["count"] for r in taken} == {2: 50_000, 4: 50_000}
 
 
 def test_pipeline(spark):
@@ -322,16 +359,33 @@ def test_copies_are_found_in_every_bin_of_similarity(spark):
     assert len(bins) >= 7 and all(sum(gone) >= 0.97 * len(gone) for (_, near), gone in bins.items() if near)
 
 
-def test_a_class_with_a_false_pair_is_searched_again(spark, monkeypatch):
+def test_false_pairs_and_blocks_hide_no_link(spark, monkeypatch):
     from strandmill.llm import near_copies
 
     r = random.Random(9)
     rows = [x for k, s in enumerate((0.7, 0.75, 0.85, 0.9)) for x in copies_at(r, 300, s, 100 * k, 20)]
+    base = [f"b{k}" for k in range(204)]
+    star = []
+    for k in range(60):  # edits of one text: most pairs lie on both sides of the limit
+        words = list(base)
+        for at in r.sample(range(204), r.choice((1, 2, 3, 6, 9))):
+            words[at] = f"x{k}_{at}"
+        star.append((1000 + k, " ".join(words)))
+    rows += star
+    similar, first = similarities(rows)
+    reach = {i: i for i, _ in rows}
+    for _ in rows:
+        for (a, b), x in similar.items():
+            if x >= 0.8:
+                reach[a] = reach[b] = min(reach[a], reach[b])
+    assert len({reach[i] for i, _ in star}) > 1
     keyed = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_row", F.col("doc_id"))
-    # every pair that may be alike counts as surely alike, so the forest holds false ones
-    monkeypatch.setattr(near_copies, "expected_diff", lambda share, bits, deviations: 260)
-    first = {x.first for x in near_copies.classes(keyed, "_row", ["doc_id"]).collect()}
-    assert first == {i for i, _ in rows if i < 200 or i % 2 == 0}
+    want = {reach[first[i]] for i, _ in rows}
+    for sure, block in ((True, 512), (False, 512), (False, 7)):
+        # every pair that may be alike counts as surely alike, or none does, and blocks are small
+        monkeypatch.setattr(near_copies, "expected_diff", lambda share, bits, deviations: 260 if sure or deviations > 0 else 0)
+        monkeypatch.setattr(near_copies, "BLOCK", block)
+        assert {x.first for x in near_copies.classes(keyed, "_row", ["doc_id"]).collect()} == want
 
 
 def test_share_of_bits_between_small_sets():
