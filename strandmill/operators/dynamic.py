@@ -1,7 +1,8 @@
 """An index that grows by batches.
 
-Added sequences are staged and can be found after ``merge``, which appends their postings to a Parquet table
-partitioned by the k-mers' low bits. A name keeps its id; sequences added again under a name start at position 0
+Added sequences are staged and can be found after ``merge``, which writes their postings to a folder of their own,
+partitioned by the k-mers' low bits, and then the names. The names tell how many merges count, so one that fails
+changes nothing and can be called again, and an index can be opened again by its path. A name keeps its id; sequences added again under a name start at position 0
 again, or with ``append_offsets`` where the name's bases so far end. Searches look at both strands, whatever ``fr``.
 """
 
@@ -12,22 +13,26 @@ from pyspark.sql import functions as F
 
 from ..config import MapConfig
 from ..functions import sequence as S
-from ..storage import new_path, written
+from ..storage import finished, new_path, written
 from .index import positions, running
 from .search import map_queries
 
 NAMES = "ref_id long, name string, bases long"
-POSTINGS = "kmer int, ref_id long, pos long, shard int"
+POSTINGS = "kmer int, ref_id long, pos long, merge int, shard int"
 
 
 class DynamicIndex:
     def __init__(self, spark: SparkSession, cfg: MapConfig | None = None, path: str | None = None, append_offsets: bool = False):
         self.spark, self.cfg, self.append_offsets = spark, cfg or MapConfig(), append_offsets
         self.path = path or new_path(spark, "dynamic")
-        self.names = spark.createDataFrame([], NAMES)
+        done = [int(name) for name in finished(spark, f"{self.path}/names")]
+        self.merges = max(done, default=0)
+        self.names = self._names() if done else spark.createDataFrame([], NAMES)
         self.staged: list[DataFrame] = []
         self.order = 0
-        self.merged = False
+
+    def _names(self) -> DataFrame:
+        return self.spark.read.schema(NAMES).parquet(f"{self.path}/names/{self.merges}")
 
     def add(self, name: str, seq: str) -> None:
         self.add_batch(self.spark.createDataFrame([(0, name, seq)], "ord long, name string, seq string"))
@@ -45,27 +50,29 @@ class DynamicIndex:
         for more in self.staged[1:]:
             new = new.unionByName(more)
         new = written(new, "staged")
-        self.staged = []
         first = new.groupBy("name").agg(F.min(F.struct("batch", "ord")).alias("first"), F.sum(F.octet_length("seq")).alias("bases"))
         known = self.names.count()
         fresh = running(first.join(self.names, "name", "left_anti"), ["first", "name"], place=F.lit(1)).withColumn("ref_id", F.col("place") + F.lit(known))
         old = self.names.join(first.select("name", F.col("bases").alias("more")), "name", "left").select("ref_id", "name", (F.col("bases") + F.coalesce("more", F.lit(0))).alias("bases"))
         before = self.names.select("name", F.col("bases").alias("upto"))
-        self.names = written(old.unionByName(fresh.select(F.col("ref_id").cast("long"), "name", "bases")), "names")
+        names = written(old.unionByName(fresh.select(F.col("ref_id").cast("long"), "name", "bases")), "names")
         order = Window.partitionBy("name").orderBy("batch", "ord")
         earlier = F.coalesce(F.sum(F.octet_length("seq")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         placed = new.join(before, "name", "left").withColumn("base", (F.coalesce("upto", F.lit(0)) + earlier) if self.append_offsets else F.lit(0).cast("long"))
-        placed = placed.join(self.names.select("name", "ref_id"), "name")
+        placed = placed.join(names.select("name", "ref_id"), "name")
         piece = placed.select(F.struct("ref_id", "base").alias("ref_id"), "seq")
         rows = positions(piece, self.cfg.k).select("kmer", F.col("ref_id.ref_id").alias("ref_id"), (F.col("pos") + F.col("ref_id.base")).alias("pos"))
         sharded = rows.withColumn("shard", S.shard(F.col("kmer"), self.cfg.num_shard_bits))
-        sharded.repartition("shard").sortWithinPartitions("shard", "kmer", "ref_id", "pos").write.mode("append").partitionBy("shard").parquet(self.path)
-        self.merged = True
+        # by k-mer within a shard, so that row groups without a query k-mer are left out
+        sharded.repartition("shard").sortWithinPartitions("shard", "kmer").write.mode("overwrite").partitionBy("shard").parquet(f"{self.path}/postings/merge={self.merges + 1}")
+        names.write.mode("overwrite").parquet(f"{self.path}/names/{self.merges + 1}")
+        self.merges += 1
+        self.names, self.staged = self._names(), []
 
     def postings(self) -> DataFrame:
-        if not self.merged:
-            return self.spark.createDataFrame([], POSTINGS)
-        return self.spark.read.schema(POSTINGS).parquet(self.path)
+        if not self.merges:
+            return self.spark.createDataFrame([], POSTINGS).drop("merge")
+        return self.spark.read.schema(POSTINGS).parquet(f"{self.path}/postings").where(F.col("merge") <= self.merges).drop("merge")
 
     def query_batch(self, queries: DataFrame) -> DataFrame:
         """See ``search.map_queries``; the join is on shard and k-mer, so shards without a query k-mer are not read."""

@@ -45,3 +45,13 @@ def drop_written(df: DataFrame) -> None:
     spark = df.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(df._written_path)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def finished(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the tables under ``folder`` that were written to the end."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(path):
+        return []
+    child = spark._jvm.org.apache.hadoop.fs.Path
+    return [s.getPath().getName() for s in system.listStatus(path) if system.exists(child(s.getPath(), "_SUCCESS"))]
