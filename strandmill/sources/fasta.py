@@ -1,10 +1,11 @@
-"""FASTA sequences as tables, and mappings as tab-separated text."""
+"""FASTA and FASTQ sequences as tables, and mappings as tab-separated text."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+READ_FILES = (".fq", ".fastq", ".fq.gz", ".fastq.gz")
 SEQUENCE_FILES = (".fa", ".fasta", ".fna", ".fsa", ".fa.gz", ".fasta.gz")
 
 
@@ -16,14 +17,39 @@ def read_fasta(spark: SparkSession, path: str, id_name: str = "ref_id") -> DataF
     clean = F.regexp_replace("value", "^>", "")
     head = F.substring_index(clean, "\n", 1)
     body = F.substring(clean, F.length(head) + 2, F.length(clean))
-    rows = raw.where(F.length(F.trim(clean)) > 0).select(
-        "file", F.shiftright("at", 33).alias("split"), "at", F.element_at(F.split(F.trim(head), r"\s+"), 1).alias("name"), F.regexp_replace(body, r"\s+", "").alias("seq")
-    )
+    name = F.element_at(F.split(F.trim(head), r"\s+"), 1)
+    # a file of four-line records would else be one sequence
+    fastq = F.col("value").startswith("@") & F.col("value").rlike("\n\\+")
+    name = F.when(fastq, F.raise_error(F.concat(F.lit("FASTQ records in a file read as FASTA: "), "file"))).otherwise(name)
+    rows = raw.where(F.length(F.trim(clean)) > 0).select("file", F.shiftright("at", 33).alias("split"), "at", name.alias("name"), F.regexp_replace(body, r"\s+", "").alias("seq"))
+    return _numbered(rows, id_name).select(id_name, "name", "seq")
+
+
+def _numbered(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` (``file, split, at``) with their number over all files and splits in order."""
     splits = rows.groupBy("file", "split").agg(F.min("at").alias("first"), F.max("at").alias("last"))
     earlier = Window.orderBy("file", "first").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum(F.col("last") - F.col("first") + 1).over(earlier), F.lit(0))
     shifts = splits.select("file", "split", (before - F.col("first")).alias("shift"))
-    return rows.join(shifts, ["file", "split"]).select((F.col("at") + F.col("shift")).cast("long").alias(id_name), "name", "seq")
+    return rows.join(shifts, ["file", "split"]).withColumn(name, (F.col("at") + F.col("shift")).cast("long"))
+
+
+def read_fastq(spark: SparkSession, path: str, id_name: str = "ref_id") -> DataFrame:
+    """``<id_name>, name, seq`` of one or more FASTQ files of four-line records; other files are an error. Lines are
+    numbered as rows of FASTA are, since a quality line may begin with any sign, and four make a record."""
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+    lines = _numbered(raw.withColumn("split", F.shiftright("at", 33)), "line").select("value", F.floor(F.col("line") / 4).alias(id_name), (F.col("line") % 4).alias("of"))
+    line = lambda k: F.max(F.when(F.col("of") == k, F.regexp_replace("value", "\r$", "")))
+    rows = lines.groupBy(id_name).agg(line(0).alias("head"), line(1).alias("seq"), line(2).alias("plus"), line(3).alias("quality"))
+    whole = F.col("head").startswith("@") & F.col("plus").startswith("+") & (F.length("seq") == F.length("quality"))
+    name = F.element_at(F.split(F.substring("head", 2, 1 << 20), r"\s+"), 1)
+    checked = F.when(F.coalesce(whole, F.lit(False)), name).otherwise(F.raise_error(F.concat(F.lit("no FASTQ record of four lines: "), F.coalesce("head", F.lit("")))))
+    return rows.select(id_name, checked.alias("name"), "seq")
+
+
+def read_reads(spark: SparkSession, path: str, id_name: str = "q_id") -> DataFrame:
+    """Reads of a FASTQ file by its ending, of a FASTA file otherwise."""
+    return (read_fastq if path.lower().endswith(READ_FILES) else read_fasta)(spark, path, id_name)
 
 
 def write_tsv(mapped: DataFrame, path: str) -> None:

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from simulator import Simulator, kmers, revcomp
 
 from strandmill.config import MapConfig, size_in_bytes
@@ -139,6 +140,52 @@ def test_dynamic_index(spark):
     assert grown.query(SEQ[90:178])[:3] == ("a", True, 90)
 
 
+def test_dynamic_index_opens_again_and_survives_a_failed_merge(spark, tmp_path, monkeypatch):
+    from strandmill.operators import dynamic
+
+    cfg, path = MapConfig(k=10, num_shard_bits=2), str(tmp_path / "index")
+    index = DynamicIndex(spark, cfg, path)
+    index.add("a", SEQ)
+    index.merge()
+    index = DynamicIndex(spark, cfg, path)
+    assert index.query(SEQ[30:90])[:3] == ("a", True, 30)
+    other = SEQ[::-1]
+    index.add("b", other)
+    whole = dynamic.positions
+    monkeypatch.setattr(dynamic, "positions", lambda rows, k: whole(rows, k).withColumn("pos", F.raise_error(F.lit("lost")).cast("long")))
+    with pytest.raises(Exception, match="lost"):
+        index.merge()
+    monkeypatch.undo()
+    (tmp_path / "index/names/2").mkdir()  # names that were not written to the end
+    again = DynamicIndex(spark, cfg, path)
+    assert again.query(other[30:110])[0] == "*" and again.names.count() == 1
+    index.merge()
+    index.merge()
+    for found in (index, DynamicIndex(spark, cfg, path)):
+        assert found.query(other[30:110])[0] == "b" and found.query(SEQ[30:90])[:3] == ("a", True, 30)
+        assert sorted(r.ref_id for r in found.names.collect()) == [0, 1]
+
+
+def test_fastq(spark, tmp_path):
+    from strandmill.sources import fasta
+
+    a, b = tmp_path / "a.fastq", tmp_path / "b.fa"
+    a.write_text("".join(f"@r{k} more\nACGT{'N' * k}\n+\n{'>@+I'[k % 4]}III{'@' * k}\n" for k in range(30)))
+    rows = fasta.read_reads(spark, str(a)).orderBy("q_id").collect()
+    assert [(r.q_id, r.name, r.seq) for r in rows] == [(k, f"r{k}", "ACGT" + "N" * k) for k in range(30)]
+    fa, out = tmp_path / "r.fa", tmp_path / "out"
+    fa.write_text(f">r0\n{SEQ}\n")
+    (tmp_path / "q.fq").write_text(f"@x\n{SEQ[30:90]}\n+\n{'I' * 60}\n")
+    assert main(["--ref", str(fa), "--qry", str(tmp_path / "q.fq"), "--out", str(out), "--k", "10"], spark) == 0
+    assert spark.read.text(str(out)).first().value == "x\t60\tr0\t+\t30\t0.980392"
+    b.write_text(a.read_text())
+    with pytest.raises(Exception, match="FASTQ"):
+        fasta.read_reads(spark, str(b)).collect()
+    a.write_text("@r\nACGT\n+\nII\n")
+    with pytest.raises(Exception, match="four lines"):
+        fasta.read_reads(spark, str(a)).collect()
+
+
 def test_files_and_command_line(spark, tmp_path):
     fa, q, out = tmp_path / "r.fa", tmp_path / "q.fa", tmp_path / "out"
     fa.write_text(f">r0 first\n{SEQ[:70]}\n{SEQ[70:]}\n>r1\n{SEQ[::-1]}\n")
