@@ -20,7 +20,8 @@ class MapConfig:
     """``k``: k-mer length; ``bw``: width of a diagonal bin; ``pf``: least share of supporting k-mers; ``fr``: index
     both strands; ``jaccard``: bins are overlapping fragments of k-mers instead of diagonals; ``compressed``: store
     with the denser codec; ``max_occ``: leave out k-mers with more postings (off by default); ``compat``: literal
-    fragment-to-name rule of older releases. ``sort_blksz`` and ``n_threads`` are kept for files only: Spark sorts
+    fragment-to-name rule of older releases; ``encoder``: ``dna`` for bases, ``symbols`` for quantised signals of
+    ``sigma`` levels, which have one strand. ``sort_blksz`` and ``n_threads`` are kept for files only: Spark sorts
     and schedules by itself."""
 
     k: int = 15
@@ -38,10 +39,19 @@ class MapConfig:
     sigma: int = 4
     max_occ: int | None = None
     compat: bool = False
+    encoder: str = "dna"
 
     def __post_init__(self):
         if not 1 <= self.k <= 15:
             raise ValueError("k must be from 1 to 15")
+        if self.encoder not in ("dna", "symbols"):
+            raise ValueError("encoder must be dna or symbols")
+        if not 2 <= self.sigma <= 16 or self.encoder == "dna" and self.sigma != 4:
+            raise ValueError("sigma must be 4 for bases and from 2 to 16 for symbols")
+        if self.sigma**self.k > 1 << 31:
+            raise ValueError("k-mers of that many symbols do not fit into 31 bits")
+        if self.encoder != "dna" and (self.fr or self.dynamic):
+            raise ValueError("signals have no second strand and no dynamic index")
         if self.bw < 1:
             raise ValueError("bw must be positive")
         if not 0 <= self.jc_frag_ovlp_len < self.jc_frag_len:

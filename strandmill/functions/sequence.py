@@ -1,13 +1,14 @@
 """Column functions on sequences, k-mers and postings.
 
-Any byte is a base: its code is bits 1 and 2, so A, C, T, G are 0 to 3 in either case and N is 3.
+Any byte is a base: its code is bits 1 and 2, so A, C, T, G are 0 to 3 in either case and N is 3. Quantised signals
+are sequences too: texts of one hexadecimal digit per sample, whose codes are the digits' values.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +16,9 @@ from pyspark.sql import types as T
 CODE_OF_HEX = ("0123456789ABCDEF", "0011223300112233")
 LETTERS, COMPLEMENT_CODES = "ACTG", "2301"
 
+#: K-mers that one stretch of a sequence has at most.
+STRETCH = 1 << 20
+
 
 def base_code(c: Column) -> Column:
     """The code of a one-byte character."""
@@ -44,7 +48,8 @@ def encode_kmer(code_string: Column, start, k: int, sigma: int = 4) -> Column:
 
 
 def ipow(base: int, exponent: Column) -> Column:
-    return F.aggregate(F.sequence(F.lit(1), exponent), F.lit(1).cast("long"), lambda a, _: a * base)
+    """``base`` to a power from 0, in whole numbers."""
+    return F.aggregate(F.array_repeat(F.lit(base).cast("long"), exponent.cast("int")), F.lit(1).cast("long"), lambda a, b: a * b)
 
 
 def pack_posting(ref_id: Column, pos: Column) -> Column:
@@ -97,10 +102,25 @@ def rank_in(edges: Column, x: Column) -> Column:
     return F.size(F.filter(edges, lambda e: e < x))
 
 
+def symbol_text(symbols: Column) -> Column:
+    """Symbols from 0 to 15 as a text of one digit each."""
+    return F.lower(F.array_join(F.transform(symbols, lambda s: F.hex(s.cast("long"))), ""))
+
+
 def byte_codes(raw: bytes) -> np.ndarray:
     return (np.frombuffer(raw, np.uint8) >> 1) & 3
 
 
+def digit_codes(raw: bytes) -> np.ndarray:
+    """Values of hexadecimal digits; letters lie above 63 and begin with 1."""
+    b = np.frombuffer(raw, np.uint8)
+    return (b & 15) + 9 * (b >> 6)
+
+
+#: How the bytes of a sequence become codes.
+ENCODERS = {"dna": byte_codes, "symbols": digit_codes}
+
+
 def kmers_of(code: np.ndarray, k: int, sigma: int = 4) -> np.ndarray:
     """All k-mers of an array of codes, in k vector steps; none if it is shorter than k."""
     n = len(code) - k + 1
@@ -113,25 +133,31 @@ def kmers_of(code: np.ndarray, k: int, sigma: int = 4) -> np.ndarray:
     return out.astype(np.int32)
 
 
-def kmers(seq: Column, k: int, reverse: bool = False) -> Column:
-    """All k-mers of a sequence, or of its reverse complement, as an array in order of position. In time linear in
-    the sequence's length, which substrings of one long string are not."""
+def kmers(seq: Column, k: int, reverse: bool = False, encoder: str = "dna", sigma: int = 4) -> Column:
+    """All k-mers of a sequence (text or bytes), or of its reverse complement, as an array in order of position. In
+    time linear in the sequence's length, which substrings of one long string are not."""
+    if reverse and encoder != "dna":
+        raise ValueError("only bases have a complement")
+    encode = ENCODERS[encoder]
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def run(texts: pd.Series) -> pd.Series:
         def one(t):
             if t is None:
                 return None
-            c = byte_codes(t.encode("utf-8", "replace"))
-            return kmers_of(c[::-1] ^ 2 if reverse else c, k)
+            c = encode(t if isinstance(t, bytes) else t.encode("utf-8", "replace"))
+            return kmers_of(c[::-1] ^ 2 if reverse else c, k, sigma)
 
         return texts.map(one)
 
     return run(seq)
 
 
-def symbol_kmers(symbols: Column, k: int, sigma: int) -> Column:
-    """K-mers over an array of symbols below ``sigma``, such as quantised signals."""
-    n = F.size(symbols) - k + 1
-    at = lambda i: F.aggregate(F.slice(symbols, i, k), F.lit(0).cast("long"), lambda a, x: a * sigma + x)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), at)).otherwise(F.array().cast("array<bigint>"))
+def stretches(rows: DataFrame, k: int, size: int | None = None) -> DataFrame:
+    """``rows`` with ``seq`` cut into ``piece``s (bytes) of ``size`` k-mers, which begin at byte ``at`` and overlap by
+    k - 1 bytes, so that each k-mer lies in exactly one; pieces of one sequence can go to different tasks. Null
+    sequences have none, sequences that are too short for a k-mer have one."""
+    size = size or STRETCH
+    last = F.greatest(F.octet_length("seq") - k, F.lit(0))
+    cut = rows.withColumn("at", F.explode(F.sequence(F.lit(0), last, F.lit(size))))
+    return cut.withColumn("piece", F.substring(F.col("seq").cast("binary"), F.col("at") + 1, F.lit(size + k - 1))).drop("seq")

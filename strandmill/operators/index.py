@@ -21,11 +21,12 @@ def both_strands(refs: DataFrame) -> DataFrame:
     return plus.unionByName(minus)
 
 
-def positions(refs: DataFrame, k: int) -> DataFrame:
-    """``kmer, ref_id, pos`` for each k-mer of each reference. The sequences are dealt out first: a file with a few
-    row groups would otherwise be cut into k-mers by as few tasks."""
-    dealt = refs.select("ref_id", "seq").repartition("ref_id")
-    return dealt.select("ref_id", F.posexplode(S.kmers(F.col("seq"), k)).alias("pos", "kmer")).select("kmer", "ref_id", F.col("pos").cast("long").alias("pos"))
+def positions(refs: DataFrame, k: int, encoder: str = "dna", sigma: int = 4, stretch: int | None = None) -> DataFrame:
+    """``kmer, ref_id, pos`` for each k-mer of each reference. Stretches of the sequences are dealt out first: a file
+    with a few row groups, or one long sequence, would otherwise be cut into k-mers by as few tasks."""
+    dealt = S.stretches(refs.select("ref_id", "seq"), k, stretch).repartition("ref_id", "at")
+    found = dealt.select("ref_id", "at", F.posexplode(S.kmers(F.col("piece"), k, encoder=encoder, sigma=sigma)).alias("pos", "kmer"))
+    return found.select("kmer", "ref_id", (F.col("at").cast("long") + F.col("pos")).alias("pos"))
 
 
 def fragments_of(pos, n_kmers, length: int, stride: int):
@@ -59,7 +60,7 @@ def fragment_table(refs: DataFrame, cfg: MapConfig) -> DataFrame:
 
 def postings(refs: DataFrame, cfg: MapConfig) -> DataFrame:
     """The index's postings; ``refs`` as indexed, so with both strands already if those are wanted."""
-    rows = positions(refs, cfg.k)
+    rows = positions(refs, cfg.k, cfg.encoder, cfg.sigma)
     if cfg.fragments:
         frag = F.explode(fragments_of(F.col("pos"), None, cfg.jc_frag_len, cfg.stride))
         rows = rows.select("kmer", "ref_id", frag.alias("frag"))
@@ -106,11 +107,17 @@ def minimizers(rows: DataFrame, w: int, stretch: int = 1 << 16) -> DataFrame:
     return chosen.withColumn("before", before).where(own & (F.col("before").isNull() | (F.col("before") != F.col("pos")))).select("ref_id", "pos")
 
 
-def run_offsets(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """``key, run, start``: where runs of equal values begin, and the number of values as the last start."""
-    w = Window.partitionBy(key).orderBy(order)
-    at = rows.select(key, F.col(value).alias("v"), (F.row_number().over(w) - 1).alias("start"), F.lag(value).over(w).alias("before"))
-    starts = at.where((F.col("start") == 0) | ~F.col("v").eqNullSafe(F.col("before"))).select(key, "start")
-    ends = rows.groupBy(key).agg(F.count(F.lit(1)).cast("int").alias("start"))
-    both = starts.unionByName(ends)
-    return both.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("start")) - 1).alias("run"), "start")
+def run_offsets(rows: DataFrame, key: str, order: str, value: str, stretch: int = 1 << 16) -> DataFrame:
+    """``key, run, start``: where runs of equal values begin, and the number of values as the last start. ``order``
+    counts each key's values from 0 without gaps. Values are compared within stretches that share a value at their
+    edges, and runs are numbered over all tasks, so no task gets a long key whole."""
+    part, at_edge = F.floor(F.col(order) / stretch), F.col(order) % stretch == stretch - 1
+    dealt = rows.select(key, F.col(order).alias("start"), F.col(value).alias("v"), F.explode(F.array_compact(F.array(part, F.when(at_edge, part + 1)))).alias("part"))
+    w = Window.partitionBy(key, "part").orderBy("start")
+    marked = dealt.select(key, "start", "v", "part", F.lag("v").over(w).alias("before"))
+    own = F.floor(F.col("start") / stretch) == F.col("part")
+    starts = marked.where(own & ((F.col("start") == 0) | ~F.col("v").eqNullSafe(F.col("before")))).select(key, F.col("start").cast("long"))
+    ends = rows.groupBy(key).agg(F.count(F.lit(1)).alias("start"))
+    numbered = running(starts.unionByName(ends), [key, "start"], run=F.lit(1))
+    first = numbered.groupBy(F.col(key).alias("_key")).agg(F.min("run").alias("_first"))
+    return numbered.join(first, F.col(key).eqNullSafe(F.col("_key"))).select(key, (F.col("run") - F.col("_first")).alias("run"), "start")

@@ -26,8 +26,15 @@ def long_enough(queries: DataFrame, k: int) -> DataFrame:
 
 def query_kmers(queries: DataFrame, cfg: MapConfig, both: bool) -> DataFrame:
     """``q_id, fwd, j, kmer`` of the queries, and of their reverse complements if ``both``."""
-    dealt = long_enough(queries, cfg.k).select("q_id", "seq").repartition("q_id")
-    strand = lambda fwd: dealt.select("q_id", F.lit(fwd).alias("fwd"), F.posexplode(S.kmers(F.col("seq"), cfg.k, reverse=not fwd)).alias("j", "kmer"))
+    long = long_enough(queries, cfg.k).select("q_id", "seq", F.octet_length("seq").alias("n"))
+    dealt = S.stretches(long, cfg.k).repartition("q_id", "at")
+
+    def strand(fwd):
+        found = dealt.select("q_id", "at", "n", F.octet_length("piece").alias("m"), F.posexplode(S.kmers(F.col("piece"), cfg.k, not fwd, cfg.encoder, cfg.sigma)).alias("i", "kmer"))
+        # what follows a piece comes before it on the other strand
+        before = F.col("at") if fwd else F.col("n") - F.col("at") - F.col("m")
+        return found.select("q_id", F.lit(fwd).alias("fwd"), (before + F.col("i")).alias("j"), "kmer")
+
     return strand(True).unionByName(strand(False)) if both else strand(True)
 
 
@@ -81,7 +88,7 @@ def map_queries(queries: DataFrame, postings: DataFrame, refs: DataFrame, cfg: M
 
     ``refs`` has ``ref_id`` and ``name`` as indexed, and with ``compat`` the fragment table's columns.
     """
-    both = not cfg.fr if both is None else both
+    both = not cfg.fr and cfg.encoder == "dna" if both is None else both
     best = better_strand(supported(top_bins(votes(hits(queries, postings, cfg, both, on), cfg)), queries, cfg))
     if cfg.fragments and cfg.compat:
         best, refs = _literal_fragment(best, refs, cfg), refs.select("ref_id", "name")

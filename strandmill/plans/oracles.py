@@ -20,31 +20,31 @@ def revcomp(x: str) -> str:
     return f"translate({complement(codes(x))}, '0123', 'ACTG')"
 
 
-def number(s: str, k: int) -> str:
+def number(s: str, k: int, sigma: int = 4) -> str:
     """The k-mer code of a string of k code digits."""
-    return "(" + " + ".join(f"(ascii({s}[{i + 1}]) - 48) * {4 ** (k - 1 - i)}" for i in range(k)) + ")"
+    return "(" + " + ".join(f"(instr('0123456789abcdef', {s}[{i + 1}]) - 1) * {sigma ** (k - 1 - i)}" for i in range(k)) + ")"
 
 
-def kmer_rows(source: str, key: str, k: int) -> str:
+def kmer_rows(source: str, key: str, k: int, coder=codes) -> str:
     """``key, pos, s`` for each k-mer, ``s`` its code digits."""
-    return f"SELECT {key}, p.pos, substr(c, CAST(p.pos AS BIGINT) + 1, {k}) AS s FROM (SELECT {key}, {codes('seq')} AS c FROM ({source})), LATERAL (SELECT unnest(range(0, length(c) - {k} + 1)) AS pos) p"
+    return f"SELECT {key}, p.pos, substr(c, CAST(p.pos AS BIGINT) + 1, {k}) AS s FROM (SELECT {key}, {coder('seq')} AS c FROM ({source})), LATERAL (SELECT unnest(range(0, length(c) - {k} + 1)) AS pos) p"
 
 
-def mapping(refs: str = DOCS, queries: str = PASSAGES, k: int = 15, bw: int = 15, pf: float = 0.1, both: bool = True, fragments: tuple[int, int] | None = None, select: str | None = None) -> str:
+def mapping(refs: str = DOCS, queries: str = PASSAGES, k: int = 15, bw: int = 15, pf: float = 0.1, both: bool = True, fragments: tuple[int, int] | None = None, select: str | None = None, coder=codes) -> str:
     """The mapping query; ``fragments`` is length and stride of fragments of k-mers."""
     if fragments:
         length, stride = fragments
         first = f"greatest(0, CASE WHEN pos >= {length} THEN (pos - {length}) // {stride} + 1 ELSE 0 END)"
-        ix = f"SELECT ref_id, s, unnest(range({first}, pos // {stride} + 1)) AS pos FROM ({kmer_rows(refs, 'ref_id', k)})"
+        ix = f"SELECT ref_id, s, unnest(range({first}, pos // {stride} + 1)) AS pos FROM ({kmer_rows(refs, 'ref_id', k, coder)})"
         votes, unit = "SELECT q_id, fwd, ref_id, pos AS bin, j, pos, 0 AS sub FROM h", stride
     else:
-        ix, unit = kmer_rows(refs, "ref_id", k), bw
+        ix, unit = kmer_rows(refs, "ref_id", k, coder), bw
         votes = f"SELECT q_id, fwd, ref_id, b AS bin, j, pos, 0 AS sub FROM h UNION ALL SELECT q_id, fwd, ref_id, b - {bw}, j, pos, 1 FROM h WHERE b >= {bw}"
     reverse = f"UNION ALL SELECT q_id, false, {complement('c')} FROM q WHERE qlen > {2 * k}" if both else ""
     select = select or "q.q_id, q.name, q.qlen, coalesce(r.name, '*') AS ref, coalesce(fwd, true) AS fwd, coalesce(bin * {unit}, 0) AS pos, round(CAST(coalesce(support, 0) AS DOUBLE), 6) AS support"
     return f"""
         WITH r AS ({refs}), ix AS ({ix}),
-        q AS (SELECT q_id, name, octet_length(encode(seq)) AS qlen, {codes('seq')} AS c FROM ({queries})),
+        q AS (SELECT q_id, name, octet_length(encode(seq)) AS qlen, {coder('seq')} AS c FROM ({queries})),
         qs AS (SELECT q_id, true AS fwd, c FROM q WHERE qlen > {2 * k} {reverse}),
         qk AS (SELECT q_id, fwd, p.j, substr(c, CAST(p.j AS BIGINT) + 1, {k}) AS s FROM qs, LATERAL (SELECT unnest(range(0, length(c) - {k} + 1)) AS j) p),
         h AS (SELECT q_id, fwd, j, ref_id, pos, greatest(pos - j, 0) // {bw} AS b FROM qk JOIN ix USING (s)),
@@ -101,6 +101,12 @@ def all_sql(edges_16: tuple[float, ...], edges_8: tuple[float, ...]) -> dict[str
         )
         SELECT read_id, i, {dynamic('last')} AS code FROM walk WHERE kept
     """
+    levels = f"SELECT vec_id, i, {_edges(edges_16, 'x')} AS level FROM (SELECT read_id AS vec_id, i, x FROM ({scaled}))"
+    quantised = f"SELECT vec_id AS ref_id, 'v' || vec_id AS name, string_agg(substr('0123456789abcdef', level + 1, 1), '' ORDER BY i) AS seq FROM ({levels}) GROUP BY vec_id"
+    same = lambda x: x
+    n_frags = f"SELECT ref_id, name, CAST(ceil(greatest(octet_length(encode(seq)) - 14, 0) / 60) AS INTEGER) AS n_frags FROM ({DOCS})"
+    fragment_table = f"""
+        SELECT ref_id, name, row_number() OVER (ORDER BY ref_id) - 1 AS ordinal, CAST(coalesce(sum(n_frags) OVER (ORDER BY ref_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS frag_start, n_frags FROM ({n_frags})"""
     return {
         "encode_bytes": f"SELECT item_id, {codes('text')} AS codes FROM benchmark",
         "revcomp": f"SELECT doc_id, md5({revcomp('text')}) AS revcomp_md5 FROM documents",
@@ -128,9 +134,22 @@ def all_sql(edges_16: tuple[float, ...], edges_8: tuple[float, ...]) -> dict[str
         "map_coordinate_fr": mapping(refs=fr_refs, queries=both_ways, both=False),
         "map_fragment": mapping(fragments=(180, 60)),
         "map_fragment_compressed": mapping(fragments=(180, 60)),
-        "fragment_table": f"""
-            WITH n AS (SELECT ref_id, name, CAST(ceil(greatest(octet_length(encode(seq)) - 14, 0) / 60) AS INTEGER) AS n_frags FROM ({DOCS}))
-            SELECT ref_id, name, row_number() OVER (ORDER BY ref_id) - 1 AS ordinal, CAST(coalesce(sum(n_frags) OVER (ORDER BY ref_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS frag_start, n_frags FROM n""",
+        "map_fragment_compat": f"""
+            WITH t AS ({fragment_table}), b AS ({mapping(fragments=(180, 60), select="q.q_id, q.name, q.qlen, best.ref_id, fwd, bin, support")}),
+            p AS (SELECT b.*, frag_start, ordinal + CAST(bin <> 0 AS INTEGER) AS place FROM b LEFT JOIN t ON t.ref_id = b.ref_id)
+            SELECT q_id, p.name, qlen, coalesce(m.name, '*') AS ref, m.name IS NULL OR fwd AS fwd, CASE WHEN m.name IS NULL THEN 0 ELSE (p.frag_start + bin - place) * 60 END AS pos,
+                   CASE WHEN m.name IS NULL THEN 0.0::DOUBLE ELSE round(CAST(support AS DOUBLE), 6) END AS support
+            FROM p LEFT JOIN t m ON m.ordinal + 1 = place""",
+        "fragment_table": fragment_table,
+        "ipow": "SELECT p_partkey, CAST(power(3, p_partkey % 33) AS BIGINT) AS power FROM part",
+        "split64": "SELECT o_orderkey, (CAST(o_orderkey AS BIGINT) << 32) | o_custkey AS packed, o_orderkey AS high, o_custkey AS low FROM orders",
+        "picoamps": "SELECT event_id, round((value + 10) * (1400.0::DOUBLE / 8192.0::DOUBLE), 6) AS pa FROM events",
+        "trimmed_means": f"""
+            WITH s AS (SELECT read_id, i // 12 AS segment, x, row_number() OVER (PARTITION BY read_id, i // 12 ORDER BY x) - 1 AS place, count(*) OVER (PARTITION BY read_id, i // 12) AS n FROM ({SIGNALS})),
+            q AS (SELECT read_id, segment, max(x) FILTER (place = n // 4) AS q1, max(x) FILTER (place = 3 * n // 4) AS q3 FROM s GROUP BY ALL)
+            SELECT read_id, segment, round(avg(x), 6) AS mean FROM s JOIN q USING (read_id, segment) WHERE x >= q1 - (q3 - q1) AND x <= q3 + (q3 - q1) GROUP BY ALL""",
+        "signal_kmers": f"SELECT ref_id AS read_id, pos, {number('s', 6, 16)} AS kmer FROM ({kmer_rows(quantised, 'ref_id', 6, same)})",
+        "map_signal": mapping(quantised, f"SELECT ref_id AS q_id, name, substr(seq, 11) AS seq FROM ({quantised})", k=6, bw=5, both=False, coder=same),
         "guard_short": "SELECT doc_id, octet_length(encode(text)) AS bytes FROM documents WHERE octet_length(encode(text)) > 30",
         "support_threshold": f"SELECT q_id, ref, fwd, pos, support FROM ({mapping(pf=0.6)}) WHERE ref <> '*'",
         "strand_choice": f"SELECT fwd, count(*) AS n FROM ({mapping(queries=both_ways)}) GROUP BY fwd",

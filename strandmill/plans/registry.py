@@ -96,6 +96,21 @@ def shard_key(spark, d):
     return kmer_extract(spark, d).select("item_id", "pos", S.shard(F.col("kmer"), 10).alias("shard"), S.shard_key(F.col("kmer"), 10).alias("skey"))
 
 
+def ipow(spark, d):
+    return _table(spark, d, "part").select("p_partkey", S.ipow(3, F.col("p_partkey") % 33).alias("power"))
+
+
+def split64(spark, d):
+    both = _table(spark, d, "orders").select("o_orderkey", S.make64(F.col("o_orderkey"), F.col("o_custkey")).alias("packed"))
+    return both.select("o_orderkey", "packed", S.high32(F.col("packed")).alias("high"), S.low32(F.col("packed")).alias("low"))
+
+
+def picoamps(spark, d):
+    """Event values as raw samples of a device with a range of 1,400 pA."""
+    current = S.picoamps(F.col("value"), F.lit(8192.0), F.lit(10.0), F.lit(1400.0))
+    return _table(spark, d, "events").select("event_id", F.round(current, 6).alias("pa"))
+
+
 def xxh64(spark, d):
     return _table(spark, d, "benchmark").select("item_id", S.xxh64(F.col("item_id")).alias("hash"))
 
@@ -220,6 +235,28 @@ def quantise_deadband(spark, d):
     return codes.select("read_id", F.size("q").cast("long").alias("n"), F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x).alias("code_sum"))
 
 
+def trimmed_means(spark, d):
+    """Trimmed means of every twelve samples of a signal."""
+    segments = _signals(spark, d).groupBy("read_id", F.expr("i div 12").alias("segment")).agg(F.collect_list("x").alias("xs"))
+    return segments.select("read_id", "segment", F.round(N.trimmed(F.col("xs")), 6).alias("mean"))
+
+
+def _quantised(spark: SparkSession, d: str) -> DataFrame:
+    level = F.transform("embedding", lambda x: N.quantise_static(x.cast("double") * 8))
+    return _table(spark, d, "embeddings").select(F.col("vec_id").alias("ref_id"), F.concat(F.lit("v"), "vec_id").alias("name"), S.symbol_text(level).alias("seq"))
+
+
+def signal_kmers(spark, d):
+    return X.positions(_quantised(spark, d), 6, "symbols", 16).select(F.col("ref_id").alias("read_id"), "pos", "kmer")
+
+
+def map_signal(spark, d):
+    """Quantised signals from their eleventh sample on, mapped to all whole ones."""
+    refs = _quantised(spark, d)
+    queries = refs.select(F.col("ref_id").alias("q_id"), "name", F.expr("substr(seq, 11)").alias("seq"))
+    return _rounded(_map(refs, queries, MapConfig(k=6, bw=5, encoder="symbols", sigma=16)))
+
+
 def segment_events(spark, d):
     return N.events(_arrays(spark, d)).select("read_id", F.size("events").alias("n_events"), F.transform("events", lambda e: F.round(e, 6)).alias("events"))
 
@@ -236,9 +273,10 @@ QUERIES = {
     f.__name__.removesuffix("_query"): f
     for f in (
         map_coordinate, map_both_strands, map_coordinate_fr, map_fragment, map_fragment_compressed, map_fragment_compat, fragment_table,
-        encode_bytes, revcomp, kmer_extract, kmer_sql_equal, pack_posting, shard_key, xxh64, index_histogram, index_offsets, occ_profile,
+        encode_bytes, revcomp, kmer_extract, kmer_sql_equal, pack_posting, shard_key, ipow, split64, picoamps, xxh64, index_histogram, index_offsets, occ_profile,
         minimizers, run_offsets, guard_short, support_threshold, strand_choice, dyn_two_batches, tsv_sink, alignments, map_reads_query,
-        signal_normalise, signal_tstat, quantise_static16, quantise_static8, quantise_dynamic, quantise_deadband, segment_events, squiggle,
+        signal_normalise, signal_tstat, quantise_static16, quantise_static8, quantise_dynamic, quantise_deadband, trimmed_means, segment_events, squiggle,
+        signal_kmers, map_signal,
     )
 }
 
