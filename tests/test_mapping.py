@@ -248,6 +248,68 @@ def test_hash_is_xxh64(spark):
         assert spark.range(1).select(S.xxh64(F.lit(x))).first()[0] == expected
 
 
+@pytest.mark.parametrize("stretch", [1, 7, 169, 170])
+def test_kmers_and_searches_by_stretches(spark, stretch, monkeypatch):
+    monkeypatch.setattr(S, "STRETCH", stretch)
+    seqs = [SEQ, SEQ[:10], SEQ[:9], "", None, "é" * 20]
+    found = sorted((r.ref_id, r.pos, r.kmer) for r in X.positions(refs_of(spark, [(f"r{i}", s) for i, s in enumerate(seqs)]), 10).collect())
+    assert found == [(i, p, v) for i, s in enumerate(seqs) for p, v in enumerate(kmers((s or "").encode(), 10))]
+    refs = [("a", SEQ), ("b", SEQ[::-1])]
+    sim = Simulator([(n, s.encode()) for n, s in refs], 10, 5, 0.1)
+    queries = [SEQ[20:100], rc(SEQ[11:130]), rc(SEQ[::-1][40:77]), SEQ]
+    assert mapped(Index.of(refs_of(spark, refs), MapConfig(k=10, bw=5)).query_batch(queries_of(spark, queries))) == [sim.search(q.encode()) for q in queries]
+
+
+def test_long_sequence_goes_to_many_tasks(spark):
+    n, k = 3_000_000, 15
+    seq = np.random.default_rng(0).choice(np.frombuffer(b"ACGT", np.uint8), n).tobytes()
+    rows = X.positions(spark.createDataFrame([(1, seq.decode())], "ref_id long, seq string"), k, stretch=1 << 17)
+    total = rows.agg(F.count(F.lit(1)), F.sum(F.col("pos") * (F.col("kmer") % 1000)), F.countDistinct("pos")).first()
+    code = S.kmers_of(S.byte_codes(seq), k).astype(np.int64)
+    assert tuple(total) == (len(code), int((np.arange(len(code)) * (code % 1000)).sum()), len(code))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # a few MB would be read by one task
+    try:
+        assert rows.groupBy(F.spark_partition_id()).count().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("stretch", [1, 5, 1 << 16])
+def test_run_offsets_by_stretches(spark, stretch):
+    values = {1: [3, 3, 3, 1, 1, 2], 2: [5], None: [None, None, 1, 1], 4: [7] * 11}
+    rows = spark.createDataFrame([(k, i, v) for k, vs in values.items() for i, v in enumerate(vs)], "key int, i long, v int")
+    found = sorted(((r.key or 0, r.run, r.start) for r in X.run_offsets(rows, "key", "i", "v", stretch).collect()))
+    expected = []
+    for k, vs in values.items():
+        starts = [i for i, v in enumerate(vs) if i == 0 or v != vs[i - 1]] + [len(vs)]
+        expected += [(k or 0, n, s) for n, s in enumerate(starts)]
+    assert found == sorted(expected)
+
+
+def test_index_over_symbols(spark):
+    r = np.random.default_rng(4)
+    signals = r.integers(0, 16, (5, 60)).tolist()
+    rows = spark.createDataFrame([(i, f"s{i}", x) for i, x in enumerate(signals)], "ref_id long, name string, x array<int>").withColumn("seq", S.symbol_text(F.col("x")))
+    assert [r.seq for r in rows.orderBy("ref_id").collect()] == ["".join(f"{v:x}" for v in x) for x in signals]
+    cfg = MapConfig(k=5, bw=3, encoder="symbols", sigma=16)
+    index = Index.of(rows, cfg)
+    found = sorted((r.ref_id, r.pos, r.kmer) for r in index.postings.collect())
+    assert found == [(i, p, int("".join(f"{v:x}" for v in x[p : p + 5]), 16)) for i, x in enumerate(signals) for p in range(56)]
+    queries = queries_of(spark, ["".join(f"{v:x}" for v in signals[3][12:50]), "0" * 30])
+    assert [m[:3] for m in mapped(index.query_batch(queries))] == [("s3", True, 12), ("*", True, 0)]
+    for bad in ({"k": 9, "encoder": "symbols", "sigma": 16}, {"sigma": 5}, {"encoder": "sound"}, {"k": 5, "encoder": "symbols", "fr": True}):
+        with pytest.raises(ValueError):
+            MapConfig(**bad)
+
+
+def test_scalars(spark):
+    row = spark.range(1).select(
+        S.ipow(4, F.lit(0)).alias("a"), S.ipow(4, F.lit(14)).alias("b"), S.base_code(F.lit("g")).alias("c"),
+        S.low32(S.make64(F.lit(7), F.lit(-1))).alias("d"), S.high32(S.make64(F.lit(7), F.lit(-1))).alias("e"), S.picoamps(F.lit(90), F.lit(8192.0), F.lit(10.0), F.lit(1400.0)).alias("f"),
+    ).first()
+    assert tuple(row) == (1, 4**14, 3, 0xFFFFFFFF, 7, 100 * 1400 / 8192)
+
+
 @pytest.mark.parametrize("stretch", [6, 25, 1 << 16])
 def test_minimizers_by_stretches(spark, stretch):
     k, w, seqs = 4, 6, [SEQ, SEQ[:9], SEQ[:8], "", "A" * 70]
