@@ -6,7 +6,7 @@ lower-case form, for its shape, in which runs of small letters, capitals and dig
 the one before it once more. So the score is a mean over tokens, and scoring is one pass without a shuffle.
 
 Fitting takes at most ``sample`` rated documents, one text and the lowest grade of an id: those whose
-``doc_id`` comes first in a seeded hash order. Their
+``doc_id`` comes first in a seeded hash order, and of those the texts of at most ``longest`` bytes. Their
 hashed counts, not their texts, go to the driver; that is the only part that doesn't see all rows.
 
 Results: the expected grade, the probability of at least grade ``at_least`` (the highest rated grade by default) and
@@ -121,7 +121,7 @@ def counted(docs: DataFrame, dims: int) -> DataFrame:
     return docs.select(*keep, "text").mapInArrow(run, schema)
 
 
-def fit(docs: DataFrame, ratings: DataFrame, grade: str, dims: int = 1 << 16, sample: int = 6000, seed: int = 3) -> Ordinal | None:
+def fit(docs: DataFrame, ratings: DataFrame, grade: str, dims: int = 1 << 16, sample: int = 6000, seed: int = 3, longest: int = 1 << 17) -> Ordinal | None:
     """The model from rated documents, or None with fewer than two different grades among them."""
     rated = ratings.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(grade).cast("double").alias("grade")).dropna()
     rated = rated.groupBy("doc_id").agg(F.min("grade").alias("grade"))
@@ -129,7 +129,8 @@ def fit(docs: DataFrame, ratings: DataFrame, grade: str, dims: int = 1 << 16, sa
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # a broadcast of ``sample`` rows of two numbers at most
     one = texts.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text", "grade")).alias("one"))
-    pdf = counted(one.select("one.text", "one.grade"), dims).toPandas()
+    short = one.select("one.text", "one.grade").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= longest)
+    pdf = counted(short, dims).toPandas()
     if pdf["grade"].nunique() < 2:
         return None
     rows = np.repeat(np.arange(len(pdf)), pdf["places"].map(len))

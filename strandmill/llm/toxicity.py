@@ -15,7 +15,8 @@ calibration alone.
 
 Fitting takes one text and the highest label of an id, at most ``per_class`` labelled documents with
 label 1 and as many with label 0, those that come first
-in a seeded hash order; that bounded sample is the only part that doesn't see all rows. Scoring is one pass over
+in a seeded hash order, and of those the texts of at most ``longest`` bytes, so that what the driver gets is bounded;
+that sample is the only part that doesn't see all rows. Scoring is one pass over
 whole texts without a shuffle; inputs of known tokens are kept per worker, up to a bound.
 
 Defined results: null and empty texts, and others without tokens, score 0; any length of text is taken whole; null labels
@@ -376,7 +377,7 @@ def _no_token() -> Inputs:
     return none
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str, per_class: int = 2500, seed: int = 10) -> Network | float:
+def fit(docs: DataFrame, labels: DataFrame, label: str, per_class: int = 2500, seed: int = 10, longest: int = 1 << 17) -> Network | float:
     """The network, or the share of label 1 where there are no two labels to learn from."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
@@ -386,7 +387,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, per_class: int = 2500, s
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # a broadcast of 2 * per_class rows of two numbers at most
     one = texts.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text", "y")).alias("one"))
-    pdf = one.select("doc_id", "one.text", "one.y").toPandas().sort_values(["doc_id", "text"], ignore_index=True)
+    one = one.select("doc_id", "one.text", "one.y").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= longest)
+    pdf = one.toPandas().sort_values(["doc_id", "text"], ignore_index=True)
     if pdf["y"].nunique() < 2:
         return float(pdf["y"].mean()) if len(pdf) else 0.5
     return train(pdf["text"].tolist(), pdf["y"].to_numpy(np.int64), seed=seed)

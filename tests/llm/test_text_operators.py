@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 import zlib
@@ -226,6 +227,29 @@ def test_ordinal_gradient():
     assert loss(fit.weights, fit.thresholds + np.array([0.05, 0.05])) > at - 1e-4
 
 
+def test_quality_scores_equal_direct_ones(spark, monkeypatch):
+    monkeypatch.setattr(quality, "REMEMBER", 4)
+    r = np.random.default_rng(6)
+    model = quality.Ordinal([1.0, 2.0, 4.0], np.array([-0.5, 0.75]), r.normal(0, 1, 64))
+    words = ["Ab", "ab", "x1", "12", "...", "É" * 50, "win", "win"]
+    texts = [" ".join(r.choice(words, n)) for n in (1, 2, 9, 300)] + ["win win win", "", None, " \t\n"]
+
+    def direct(text):
+        tokens, total = (text or "").split(), 0.0
+        for i, t in enumerate(tokens):
+            total += sum(model.weights[p] for p in quality.token_features(t, 64)) + model.weights[0] * (i > 0 and tokens[i - 1] == t)
+        return total * quality.SCALE / len(tokens) if tokens else 0.0
+
+    expected = np.array([direct(t) for t in texts])
+    known = {}
+    for _ in range(2):
+        assert np.allclose(quality.scores(texts, model, known), expected) and len(known) <= 4
+    p = 1 / (1 + np.exp(expected[:, None] - model.thresholds))
+    found = quality.grade(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), model).toPandas().sort_values("doc_id")
+    assert np.allclose(found.tail_probability, 1 - p[:, 1]) and np.allclose(found.expected_grade, p[:, 0] + 2 * (p[:, 1] - p[:, 0]) + 4 * (1 - p[:, 1]))
+    assert (found.kept == (found.tail_probability >= 0.5)).all()
+
+
 def test_quality_on_the_tables_and_odd_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     held = labels.where("doc_id % 3 = 0")
@@ -303,6 +327,7 @@ def test_redaction_and_rows(spark):
     out = pii.redact(odd)
     assert out.columns == odd.columns and out.where("text is null").count() == odd.where("text is null").count()
     row = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row.base_sha256 == hashlib.sha256(b"email:6:15,phone:22:39").hexdigest()
     assert row.spans == "email:6:15,phone:22:39" and (row.n_email, row.n_ip, row.n_card, row.n_phone) == (1, 0, 0, 1)
 
 
@@ -461,6 +486,44 @@ def test_windows_cover_the_text():
         assert all(s + toxicity.WIDTH <= max(n, toxicity.WIDTH) for s in w)
 
 
+def test_toxic_scores_equal_those_of_single_windows(monkeypatch):
+    r = np.random.default_rng(2)
+    net = toxicity.Network(5)
+    net.p = {k: (v + r.normal(0, 0.2, np.shape(v))).astype("f4") for k, v in net.p.items()}
+    net.calibration = np.array([-0.2, 0.9, 0.4, 0.1])
+    names = [f"w{i}é"[: 1 + i % 4] + str(i) for i in range(60)]
+    texts = [" ".join(r.choice(names, n)) for n in (1, 5, 24, 25, 36, 37, 200)] + ["", None, "!!! ..."]
+
+    def direct(text):
+        tokens, logits = toxicity.tokens_of(text), []
+        if not tokens:
+            return 0.0
+        for s in toxicity.windows(max(len(tokens), toxicity.WIDTH)):
+            part = tokens[s : s + toxicity.WIDTH]
+            gates = np.concatenate([net.project(toxicity.Inputs([t]), np.zeros(1, np.int64)) for t in part])
+            logits.append(net.forward(gates[:, None], np.ones((len(part), 1), bool))[0])
+        return 1 / (1 + np.exp(-toxicity.summary(np.array(logits)) @ net.calibration))
+
+    expected = np.array([direct(t) for t in texts])
+    assert len(set(expected.round(4))) > 6
+    for most, step in ((150_000, 10), (70, 1), (20, 3), (3, 10)):  # all kept, tables that fill up, batches that are larger
+        monkeypatch.setattr(toxicity, "REMEMBER", most)
+        scorer = toxicity.Scorer(net)
+        for _ in range(2):
+            found = np.concatenate([scorer.scores(texts[a : a + step]) for a in range(0, len(texts), step)])
+            assert np.allclose(found, expected, atol=1e-4)
+
+
+def test_an_insult_is_found_wherever_it_stands(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels, "toxic")
+    clean = "Is and retitioning ouen the of nterti thorreou ndernt Is ndble whst the by for".split() * 20
+    insult = "thou art reble stupid idiot anth worthless the moron erean of loser".split() * 2
+    texts = [" ".join(clean[:at] + insult[:24] + clean[at:]) for at in range(0, 60)]
+    s = toxicity.Scorer(model).scores([" ".join(clean), *texts])
+    assert s[0] < 0.5 and (s[1:] >= 0.5).all()
+
+
 def test_toxicity_on_the_tables(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     from pyspark.sql import functions as F
@@ -490,4 +553,8 @@ def test_fitting_takes_one_row_of_an_id(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "train", lambda texts, y, seed: seen.append(len(texts)))
     quality.fit(docs, labels, "quality")
     toxicity.fit(docs, labels, "toxic")
-    assert seen == [3, 3]
+    long = docs.selectExpr("doc_id", "if(doc_id = 1, repeat(text, 100), text) as text")
+    for longest in (599, 700):
+        quality.fit(long, labels, "quality", longest=longest)
+        toxicity.fit(long, labels, "toxic", longest=longest)
+    assert seen == [3, 3, 2, 2, 3, 3]
