@@ -47,7 +47,7 @@ def running(rows: DataFrame, order: list[str], **amounts: Column | str) -> DataF
     carried = totals.select("_task", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_carried") for c in values])
     own = Window.partitionBy("_task").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     inside = ordered.withColumns({f"{c}_inside": F.coalesce(F.sum(c).over(own), F.lit(0)) for c in values})
-    sums = [(F.col(f"_{name}_inside") + F.col(f"_{name}_carried")).cast("long").alias(name) for name in amounts]
+    sums = [(F.col(f"_{name}_inside") + F.col(f"_{name}_carried")).alias(name) for name in amounts]
     return inside.join(F.broadcast(carried), "_task").select(*rows.columns, *sums)
 
 

@@ -112,23 +112,27 @@ def all_sql(edges_16: tuple[float, ...], edges_8: tuple[float, ...]) -> dict[str
         "revcomp": f"SELECT doc_id, md5({revcomp('text')}) AS revcomp_md5 FROM documents",
         "kmer_extract": f"SELECT ref_id AS item_id, pos, {number('s', 15)} AS kmer FROM ({kmer_rows(item, 'ref_id', 15)})",
         "kmer_sql_equal": "SELECT item_id, true AS equal FROM benchmark",
-        "pack_posting": f"SELECT (ref_id << 44) | pos AS packed, ref_id, pos FROM ({kmer_rows(item, 'ref_id', 15)})",
-        "shard_key": f"SELECT item_id, pos, kmer & 1023 AS shard, kmer >> 10 AS skey FROM (SELECT ref_id AS item_id, pos, {number('s', 15)} AS kmer FROM ({kmer_rows(item, 'ref_id', 15)}))",
+        "pack_posting": f"SELECT ref_id AS doc_id, count(*) AS n, CAST(sum(((ref_id << 44) | pos) % 1000003) AS BIGINT) AS packed, CAST(sum(pos) AS BIGINT) AS places FROM ({kmer_rows(DOCS, 'ref_id', 15)}) GROUP BY ref_id",
+        "shard_key": f"""
+            SELECT ref_id AS doc_id, count(*) AS n, CAST(sum((kmer & 1023) * (pos % 1009)) AS BIGINT) AS shards, CAST(sum((kmer >> 10) * (pos % 1009)) AS BIGINT) AS skeys
+            FROM (SELECT ref_id, pos, {number('s', 15)} AS kmer FROM ({kmer_rows(DOCS, 'ref_id', 15)})) GROUP BY ref_id""",
         "index_histogram": f"SELECT {number('s', 8)} AS kmer, n FROM (SELECT s, count(*) AS n FROM ({kmer_rows(DOCS, 'ref_id', 8)}) GROUP BY s)",
         "index_offsets": f"SELECT kmer, n, CAST(coalesce(sum(n) OVER (ORDER BY kmer ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM (SELECT {number('s', 8)} AS kmer, n FROM (SELECT s, count(*) AS n FROM ({kmer_rows(DOCS, 'ref_id', 8)}) GROUP BY s))",
         "occ_profile": f"""
             WITH c AS (SELECT n, row_number() OVER (ORDER BY n) - 1 AS place, count(*) OVER () AS total FROM (SELECT count(*) AS n FROM ({kmer_rows(DOCS, 'ref_id', 15)}) GROUP BY s))
             SELECT min(n) AS min_occ, max(n) FILTER (place = total // 2) AS median_occ, max(n) FILTER (place = total * 99 // 100) AS p99_occ, max(n) AS max_occ FROM c""",
         "minimizers": f"""
-            WITH m AS (SELECT ref_id, pos, {number('s', 10)} AS kmer, max(pos) OVER (PARTITION BY ref_id) AS last FROM ({kmer_rows(item, 'ref_id', 10)})),
+            WITH m AS (SELECT ref_id, pos, {number('s', 10)} AS kmer, max(pos) OVER (PARTITION BY ref_id) AS last FROM ({kmer_rows(DOCS, 'ref_id', 10)})),
             c AS (SELECT ref_id, pos AS place, last, min(row(kmer, pos)) OVER (PARTITION BY ref_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS least FROM m),
             d AS (SELECT ref_id, place, least[2] AS pos FROM c WHERE place + 4 <= last),
             e AS (SELECT ref_id, pos, lag(pos) OVER (PARTITION BY ref_id ORDER BY place) AS before FROM d)
-            SELECT ref_id AS item_id, pos FROM e WHERE before IS NULL OR before <> pos""",
+            SELECT ref_id AS doc_id, count(*) AS n, CAST(sum(pos * (pos % 1009)) AS BIGINT) AS places FROM e WHERE before IS NULL OR before <> pos GROUP BY ref_id""",
         "run_offsets": f"""
-            WITH k AS ({kmer_rows(item, 'ref_id', 1)}), l AS (SELECT ref_id, pos, s, lag(s) OVER (PARTITION BY ref_id ORDER BY pos) AS before FROM k),
+            WITH k AS ({kmer_rows(DOCS, 'ref_id', 1)}), l AS (SELECT ref_id, pos, s, lag(s) OVER (PARTITION BY ref_id ORDER BY pos) AS before FROM k),
             b AS (SELECT ref_id, pos AS start FROM l WHERE before IS NULL OR before <> s UNION ALL SELECT ref_id, count(*) FROM k GROUP BY ref_id)
-            SELECT ref_id AS item_id, row_number() OVER (PARTITION BY ref_id ORDER BY start) - 1 AS run, start FROM b""",
+,
+            r AS (SELECT ref_id, row_number() OVER (PARTITION BY ref_id ORDER BY start) - 1 AS run, start FROM b)
+            SELECT ref_id AS doc_id, count(*) AS n, CAST(sum(start * (run % 1009 + 1)) AS BIGINT) AS starts FROM r GROUP BY ref_id""",
         "map_coordinate": mapping(),
         "map_both_strands": mapping(queries=both_ways),
         "map_coordinate_fr": mapping(refs=fr_refs, queries=both_ways, both=False),
@@ -165,5 +169,6 @@ def all_sql(edges_16: tuple[float, ...], edges_8: tuple[float, ...]) -> dict[str
         "quantise_deadband": f"SELECT read_id, count(*) AS n, CAST(sum(code) AS BIGINT) AS code_sum FROM ({band}) GROUP BY read_id",
         "squiggle": f"""
             WITH m AS (SELECT range AS code, CAST(range * 7919 % 4096 AS DOUBLE) AS level FROM range(4096)), s AS (SELECT code, (level - (SELECT avg(level) FROM m)) / (SELECT stddev_pop(level) FROM m) AS level FROM m)
-            SELECT item_id, pos, round(level, 6) AS level FROM (SELECT ref_id AS item_id, pos, {number('s', 6)} AS kmer FROM ({kmer_rows(item, 'ref_id', 6)})) JOIN s ON code = kmer""",
+            SELECT ref_id AS doc_id, count(*) AS n, CAST(sum(CAST(round(level * 1000000) AS BIGINT) * (pos % 1009)) AS BIGINT) AS level_sum
+            FROM (SELECT ref_id, pos, {number('s', 6)} AS kmer FROM ({kmer_rows(DOCS, 'ref_id', 6)})) JOIN s ON code = kmer GROUP BY ref_id""",
     }

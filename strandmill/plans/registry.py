@@ -6,7 +6,7 @@ values by user, or the embeddings' components.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import MapConfig
@@ -43,8 +43,11 @@ def _items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _signals(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return _table(spark, d, "events").select(F.col("user_id").alias("read_id"), (F.row_number().over(w) - 1).cast("long").alias("i"), F.col("value").alias("x"))
+    """Samples numbered over all tasks, so that no user's events are in one task whole."""
+    rows = _table(spark, d, "events").select(F.col("user_id").alias("read_id"), "ts", "event_id", F.col("value").alias("x"))
+    placed = X.running(rows, ["read_id", "ts", "event_id"], place=F.lit(1))
+    first = placed.groupBy(F.col("read_id").alias("_read")).agg(F.min("place").alias("_first"))
+    return placed.join(first, F.col("read_id").eqNullSafe(F.col("_read"))).select("read_id", (F.col("place") - F.col("_first")).alias("i"), "x")
 
 
 def _arrays(spark: SparkSession, d: str) -> DataFrame:
@@ -87,13 +90,22 @@ def kmer_sql_equal(spark, d):
     return rows.select("item_id", (F.col("fast") == slow).alias("equal"))
 
 
+def _digest(rows: DataFrame, n: str, **sums: str) -> DataFrame:
+    """Per document the rows with ``n``, and sums."""
+    return rows.groupBy(F.col("ref_id").alias("doc_id")).agg(F.count(n).alias("n"), *[F.sum(F.expr(e)).alias(name) for name, e in sums.items()])
+
+
 def pack_posting(spark, d):
-    packed = X.positions(_items(spark, d), 15).select(S.pack_posting(F.col("ref_id"), F.col("pos")).alias("packed"))
-    return packed.select("packed", S.posting_ref(F.col("packed")).alias("ref_id"), S.posting_pos(F.col("packed")).alias("pos"))
+    """Checksums of each document's packed postings and of what they are unpacked to."""
+    packed = X.positions(_refs(spark, d), 15).select(S.pack_posting(F.col("ref_id"), F.col("pos")).alias("packed"))
+    both = packed.select("packed", S.posting_ref(F.col("packed")).alias("ref_id"), S.posting_pos(F.col("packed")).alias("pos"))
+    return _digest(both, n="packed", packed="packed % 1000003", places="pos")
 
 
 def shard_key(spark, d):
-    return kmer_extract(spark, d).select("item_id", "pos", S.shard(F.col("kmer"), 10).alias("shard"), S.shard_key(F.col("kmer"), 10).alias("skey"))
+    """Checksums of the shards and keys of each document's k-mers."""
+    both = X.positions(_refs(spark, d), 15).select("ref_id", "pos", S.shard(F.col("kmer"), 10).alias("shard"), S.shard_key(F.col("kmer"), 10).alias("skey"))
+    return _digest(both, n="pos", shards="shard * (pos % 1009)", skeys="skey * (pos % 1009)")
 
 
 def ipow(spark, d):
@@ -128,11 +140,15 @@ def occ_profile(spark, d):
 
 
 def minimizers(spark, d):
-    return X.minimizers(X.positions(_items(spark, d), 10), 5).withColumnRenamed("ref_id", "item_id")
+    """Each document's number of minimizers and a checksum of their places."""
+    found = X.minimizers(X.positions(_refs(spark, d), 10), 5)
+    return _digest(found, n="pos", places="pos * (pos % 1009)")
 
 
 def run_offsets(spark, d):
-    return X.run_offsets(X.positions(_items(spark, d), 1), "ref_id", "pos", "kmer").withColumnRenamed("ref_id", "item_id")
+    """Each document's number of runs and a checksum of where they begin."""
+    found = X.run_offsets(X.positions(_refs(spark, d), 1), "ref_id", "pos", "kmer")
+    return _digest(found, n="run", starts="start * (run % 1009 + 1)")
 
 
 def map_coordinate(spark, d):
@@ -262,11 +278,12 @@ def segment_events(spark, d):
 
 
 def squiggle(spark, d):
-    """Levels of a made-up 6-mer model."""
+    """Each document's number of levels and a checksum of them, by a made-up 6-mer model."""
     letters = lambda code: F.translate(F.lpad(F.conv(code.cast("string"), 10, 4), 6, "0"), "0123", S.LETTERS)
     model = spark.range(4096).select(letters(F.col("id")).alias("kmer"), (F.col("id") * 7919 % 4096).cast("double").alias("level_mean"))
     scored, k = pore_model.normalised(model)
-    return N.squiggles(_items(spark, d), scored, k).select(F.col("ref_id").alias("item_id"), "pos", F.round("level", 6).alias("level"))
+    levels = N.squiggles(_refs(spark, d), scored, k)
+    return _digest(levels, n="pos", level_sum="cast(round(level * 1000000) as bigint) * (pos % 1009)")
 
 
 QUERIES = {
