@@ -21,9 +21,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.index import running
 from .common import salted_rank, written
 
 #: Words that the dynamic programming fits at most.
@@ -84,19 +85,19 @@ def choose(sizes: np.ndarray, counts: np.ndarray, target: int, seed: int) -> tup
 
 
 def targets(totals: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
-    """``(source, source_size, target)`` from ``(source, source_size)``, one row per source."""
-    turn = F.array(*[F.lit(float(w)) for w in weights])
-    by_name = Window.orderBy(F.asc_nulls_last("source"))
-    w = totals.withColumn("weight", F.element_at(turn, ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int")))
-    w = w.withColumn("cap", F.col("source_size") * F.lit(float(most))).withColumn("level", F.col("cap") / F.col("weight"))
-    order = Window.orderBy("level", F.asc_nulls_last("source"))
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    onward = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    pool = F.sum("source_size").over(Window.partitionBy()) * F.lit(float(share))
-    w = w.withColumn("common", (pool - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(onward))
+    """``(source, source_size, target)`` from ``(source, source_size)``, one row per source. Sources are numbered and
+    summed over all tasks; what the driver sees is the sums and the common level."""
+    by_name = [F.col("source").isNull().alias("_none"), "source"]
+    numbered = running(totals.select(*by_name, "source_size"), ["_none", "source"], place=F.lit(1))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    w = numbered.withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(float(most)))
+    w = running(w.withColumn("level", F.col("cap") / F.col("weight")), ["level", "_none", "source"], capped="cap", weighed="weight")
+    words, weighed = w.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+    common = (F.lit(words * float(share)) - F.col("capped")) / (F.lit(weighed) - F.col("weighed"))
     # the first source whose cap is not below the common level of it and all after it ends the capped prefix
-    w = w.withColumn("final", F.min(F.when(F.col("level") >= F.col("common"), F.struct("level", "common"))).over(Window.partitionBy())["common"])
-    return w.select("source", "source_size", F.least("cap", F.col("weight") * F.coalesce("final", F.col("level"))).alias("target"))
+    first = w.withColumn("common", common).agg(F.min(F.when(F.col("level") >= F.col("common"), F.struct("level", "common")))["common"]).first()[0]
+    level = F.col("level") if first is None else F.lit(first)
+    return w.select("source", "source_size", F.least("cap", F.col("weight") * level).alias("target"))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 9) -> DataFrame:

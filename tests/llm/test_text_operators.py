@@ -432,6 +432,17 @@ def test_mix(spark, small):
     assert again.sort_values("doc_id").taken.tolist() == found.sort_values("doc_id").taken.tolist()
 
 
+def test_targets_of_many_sources(spark):
+    r = np.random.default_rng(7)
+    names = [f"host{i:03d}" for i in range(150)] + [None]
+    sizes = [int(x) for x in r.integers(0, 5000, 151) ** 2 % 90_001 * r.integers(0, 2, 151)]
+    totals = spark.createDataFrame(list(zip(names, sizes))[::-1], "source string, source_size long").repartition(5)
+    found = {x.source: x.target for x in mixing.targets(totals, (5, 2, 1), 1.5, 2.0).collect()}
+    expected = water_level(sizes, [(5, 2, 1)[i % 3] for i in range(151)], 1.5, 2.0)
+    assert len(found) == 151 and np.allclose([found[n] for n in names], expected)
+    assert np.isclose(sum(found.values()), 1.5 * sum(sizes)) and any(found[n] < 2 * s for n, s in zip(names, sizes))
+
+
 def test_subset_sum_is_the_best():
     r = random.Random(0)
     for _ in range(200):
