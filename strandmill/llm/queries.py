@@ -95,11 +95,10 @@ ORACLE_SQL: dict[str, str] = {
         WITH v AS (
           SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
           FROM embeddings
-          WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+          WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ), scored AS (
           SELECT q.vec_id AS query_id, p.vec_id AS vec_id,
-                 CAST(list_sum(list_transform(range(1, len(q.w) + 1), lambda i: q.w[i] * p.w[i])) AS BIGINT) AS score
+                 CAST(coalesce(list_sum(list_transform(range(1, len(q.w) + 1), lambda i: q.w[i] * p.w[i])), 0) AS BIGINT) AS score
           FROM v q JOIN v p ON p.vec_id <> q.vec_id AND len(p.w) = len(q.w)
           WHERE q.vec_id % 100 = 0
         )

@@ -8,14 +8,15 @@ and cover it; where ``CHILDREN`` of them don't, rows go to the nearest and radii
 with centres q, p and radii r, s no inner product below them exceeds ``q.p + r|p| + s|q| + r s``; a pair of nodes
 whose bound stays below the worst k-th score in the query node is dropped, the likeliest pairs are opened first, and
 leaves are scored by a matrix product. Where data have no structure to prune, that is a blocked product of all rows,
-so the work is never more than brute force plus the trees.
+so the work is never more than brute force plus the trees. Equal vectors are one leaf, however many: its scores are
+equal, so only the smallest ids of it can be among the k best, and queries are scored some rows at a time.
 
 Each task returns k rows per query; the k best of those are taken first per run of candidate blocks, then overall.
 
 Scores are exact: below 2**53 in double precision (checked from the largest components), in whole numbers of any
 size otherwise; results beyond a long are held at its ends, as are components that ``floor`` takes beyond a long.
-Defined results: vectors that are null, empty or hold null or non-finite components, and rows with a null
-``vec_id``, take no part; a query meets vectors of its own length only; a query's own rows are those with its id;
+Defined results: vectors that are null or hold null or non-finite components, and rows with a null ``vec_id``, take
+no part; a query meets vectors of its own length only, vectors without components score 0; a query's own rows are those with its id;
 each different row with a query's id is a query; ties go to the smaller id; fewer candidates than k give all; an
 empty table gives an empty result; other columns are not looked at.
 """
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 LEAF, CHILDREN = 48, 64
+#: Rows of queries that are scored at once.
+AT_ONCE = 1024
 #: Blocks of candidates get smaller, down to so many rows, while there are fewer tasks than this.
 LEAST_ROWS, TASKS = 2048, 128
 LONG = (1 << 63) - 1
@@ -95,6 +98,14 @@ class Best:
         self.score[rows], self.id[rows] = np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
 
 
+def smallest(ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k smallest ids whichever one id is left out, each id k times at most."""
+    order = np.argsort(ids, kind="stable")
+    own = ids[order]
+    nth = np.arange(len(own)) - np.searchsorted(own, own)
+    return order[nth < k][: 2 * k]
+
+
 def search(q: np.ndarray, q_ids: np.ndarray, p: np.ndarray, p_ids: np.ndarray, k: int) -> Best:
     """The k best of ``p`` for each row of ``q`` (whole numbers in doubles), other ids than its own."""
     best = Best(len(q), k)
@@ -117,9 +128,12 @@ def search(q: np.ndarray, q_ids: np.ndarray, p: np.ndarray, p_ids: np.ndarray, k
             continue
         if not a.children[i] and not b.children[j]:
             cols = b.order[b.begin[j] : b.end[j]]
-            score = q[rows] @ p[cols].T
-            score[q_ids[rows][:, None] == p_ids[cols][None, :]] = -np.inf
-            best.add(rows, score, p_ids[cols])
+            if b.radius[j] == 0 and len(cols) > 2 * k:
+                cols = cols[smallest(p_ids[cols], k)]
+            for some in np.array_split(rows, len(rows) // AT_ONCE + 1):
+                score = q[some] @ p[cols].T
+                score[q_ids[some][:, None] == p_ids[cols][None, :]] = -np.inf
+                best.add(some, score, p_ids[cols])
             continue
         below = b.children[j] or [j]
         opened = []
@@ -141,7 +155,7 @@ def _search_whole(q: list, q_ids: np.ndarray, p: list, p_ids: np.ndarray, k: int
 def top_k(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = 1024, query_rows: int = 16384, block_rows: int = 32768) -> DataFrame:
     """``(query_id, rank, vec_id, score)`` for the rows whose ``vec_id`` is divisible by ``every`` against all rows."""
     plain = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
-    usable = F.coalesce(F.col("vec_id").isNotNull() & (F.size("v") > 0) & F.forall("v", plain), F.lit(False))
+    usable = F.coalesce(F.col("vec_id").isNotNull() & F.forall("v", plain), F.lit(False))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where(usable)
     whole = written(rows.select("vec_id", F.transform("v", lambda x: F.floor(F.lit(float(scale)) * x)).alias("v")), "whole")
     queries = whole.where(F.col("vec_id") % every == 0).distinct()
@@ -165,7 +179,7 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = 1024,
             q_ids, p_ids = q["q_id"].to_numpy(), p["p_id"].to_numpy()
             key = pd.util.hash_array(np.array([v.tobytes() for v in q["q"]], object), categorize=False).view(np.int64)
             x, y = np.stack(q["q"].to_numpy()), np.stack(p["p"].to_numpy())
-            most = [float(np.abs(m.astype(float)).max()) for m in (x, y)]
+            most = [float(np.abs(m.astype(float)).max(initial=0)) for m in (x, y)]
             if most[0] * most[1] * d < 2**53 and max(most) < 2**26:
                 best = search(x.astype(float), q_ids, y.astype(float), p_ids, k)
                 i, j = np.nonzero(best.score > -np.inf)

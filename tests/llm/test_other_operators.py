@@ -121,6 +121,20 @@ def test_search_prunes_and_is_exact():
         assert (best.id == expected).all()
 
 
+def test_equal_candidates_of_a_dual_tree_search():
+    """Thousands of equal vectors on both sides, one id on many of them, against brute force."""
+    r = np.random.default_rng(5)
+    p = np.vstack([np.full((4000, 6), 3.0), r.integers(-5, 6, (500, 6)).astype(float)])
+    ids = np.r_[np.full(40, 7), r.permutation(4460) + 8]
+    q, q_ids = np.vstack([p[:2500], p[4000:4100]]), np.r_[ids[:2500], ids[4000:4100]]
+    best = topk.search(q, q_ids, p, ids, 10)
+    for i in [*range(0, 60), *range(2400, 2600)]:
+        s = q[i] @ p.T
+        rows = sorted((-s[j], ids[j]) for j in np.flatnonzero(ids != q_ids[i]))[:10]
+        assert list(zip(-best.score[i], best.id[i])) == rows
+    assert topk.smallest(np.array([5, 1, 1, 1, 9, 2]), 2).tolist() == [1, 2, 5, 0]
+
+
 def test_cover_tree_covers():
     r = np.random.default_rng(2)
     x = np.vstack([r.standard_normal((300, 5)) + c for c in (0, 40, 90)])
@@ -145,6 +159,8 @@ def test_top_k_of_odd_vectors(spark):
     rows = topk.top_k(vectors_of(spark, odd_vectors())).orderBy("rank").collect()
     assert {r.query_id for r in rows} == {100} and [(r.vec_id, r.score) for r in rows] == [(7, 0), (1, -(1024**2)), (2, -(1024**2)), (2, -(1024**2)), (4, -(1024**2)), (5, -(1024**2)), (3, -2 * 1024**2)]
     assert topk.top_k(vectors_of(spark, [])).count() == 0
+    none = topk.top_k(vectors_of(spark, [(200, [], 1), (4, [], 1), (3, [], 2), (2, [1.0], 1)])).orderBy("rank")
+    assert [tuple(r) for r in none.collect()] == [(200, 1, 3, 0), (200, 2, 4, 0)]
     huge = vectors_of(spark, [(100, [3e38, 1.0], 1), (1, [3e38, 1.0], 1), (2, [-3e38, 0.0], 1), (3, [1e9, 1.0], 1)])
     assert [(r.vec_id, r.score) for r in topk.top_k(huge).orderBy("rank").collect()][0] == (1, topk.LONG)
 
