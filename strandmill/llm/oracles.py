@@ -79,3 +79,24 @@ def spelling(every: int = 199, shortest: int = 6, least: int = 5, ratio: int = 5
         SELECT word, form, root, n, n_near, form_n FROM named JOIN followed USING (word)
         WHERE NOT EXISTS (SELECT 1 FROM named x WHERE x.word = root AND x.form IS NOT NULL)
     """
+
+
+def repeated_passages(window: int = 50) -> str:
+    return f"""
+        WITH t AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS size FROM documents),
+        w AS MATERIALIZED (SELECT doc_id, i, substr(x, 2 * i + 1, {2 * window}) AS s FROM t, LATERAL (SELECT unnest(range(size - {window - 1})) AS i)),
+        first AS (SELECT s, min(doc_id) AS first_id FROM w GROUP BY s),
+        hit AS (SELECT doc_id, i, i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {window} AS apart FROM w JOIN first USING (s) WHERE first_id < doc_id),
+        run AS (
+          SELECT doc_id, min(i) AS begin_at, max(i) + {window} AS end_at
+          FROM (SELECT doc_id, i, sum(CAST(coalesce(apart, false) AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM hit) GROUP BY doc_id, g
+        ),
+        gone AS (SELECT doc_id, sum(end_at - begin_at) AS n_removed, count(*) AS n_spans, max(end_at) AS last FROM run GROUP BY doc_id),
+        piece AS (
+          SELECT doc_id, lag(end_at, 1, 0) OVER (PARTITION BY doc_id ORDER BY begin_at) AS a, begin_at AS z FROM run
+          UNION ALL SELECT doc_id, coalesce(last, 0), size FROM t LEFT JOIN gone USING (doc_id)
+        ),
+        kept AS (SELECT doc_id, string_agg(substr(x, CAST(2 * a + 1 AS BIGINT), CAST(2 * (z - a) AS BIGINT)), '' ORDER BY a) AS k FROM piece JOIN t USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, CAST(size AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(k)) AS kept_sha256
+        FROM t JOIN kept USING (doc_id) LEFT JOIN gone USING (doc_id)
+    """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import codes, lattice, mixing, oracles, packing, pii, quality, simhash, spelling, token_counts, topk, toxicity, warc
+from . import codes, lattice, mixing, oracles, packing, passages, pii, quality, simhash, spelling, token_counts, topk, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,12 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.encode(_table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2, scale=256)
 
 
+def op12_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.without_repeats(_table(spark, sf_dir, "documents"), window=50)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(_table(spark, sf_dir, "documents"))
 
@@ -82,6 +88,7 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_toxicity": op10_toxicity,
     "op11_vector_codes": op11_vector_codes,
+    "op12_repeated_passages": op12_repeated_passages,
     "op13_spelling": op13_spelling,
 }
 
@@ -116,5 +123,6 @@ ORACLE_SQL: dict[str, str] = {
         FROM scored QUALIFY rank <= 10
     """,
     "op11_vector_codes": oracles.vector_codes(),
+    "op12_repeated_passages": oracles.repeated_passages(),
     "op13_spelling": oracles.spelling(),
 }
