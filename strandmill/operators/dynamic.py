@@ -1,9 +1,14 @@
 """An index that grows by batches.
 
 Added sequences are staged and can be found after ``merge``, which writes their postings to a folder of their own,
-partitioned by the k-mers' low bits, and then the names. The names tell how many merges count, so one that fails
-changes nothing and can be called again, and an index can be opened again by its path. A name keeps its id; sequences added again under a name start at position 0
-again, or with ``append_offsets`` where the name's bases so far end. Searches look at both strands, whatever ``fr``.
+partitioned by the k-mers' low bits (the shard), and then the batch's names. Within a merge postings are dealt by ranges
+of shard, k-mer and place, so a hot shard, or a k-mer that fills one, is many tasks' work and many files. ``compact``
+writes all merges so far as one, with one run of files a shard.
+
+The folder of a batch's names is called after the merge and the first merge that counts with it, and is written last: a
+merge or compaction that fails changes nothing and can be called again, and an index can be opened again by its path. A
+name keeps its id; sequences added again under a name start at position 0 again, or with ``append_offsets`` where the
+name's bases so far end. Searches look at both strands, whatever ``fr``.
 """
 
 from __future__ import annotations
@@ -13,11 +18,11 @@ from pyspark.sql import functions as F
 
 from ..config import MapConfig
 from ..functions import sequence as S
-from ..storage import finished, new_path, written
+from ..storage import drop_folder, finished, new_path, written
 from .index import positions, running
 from .search import map_queries
 
-NAMES = "ref_id long, name string, bases long"
+NAMES = "ref_id long, name string, bases long, fresh boolean"
 POSTINGS = "kmer int, ref_id long, pos long, merge int, shard int"
 
 
@@ -25,14 +30,21 @@ class DynamicIndex:
     def __init__(self, spark: SparkSession, cfg: MapConfig | None = None, path: str | None = None, append_offsets: bool = False):
         self.spark, self.cfg, self.append_offsets = spark, cfg or MapConfig(), append_offsets
         self.path = path or new_path(spark, "dynamic")
-        done = [int(name) for name in finished(spark, f"{self.path}/names")]
-        self.merges = max(done, default=0)
-        self.names = self._names() if done else spark.createDataFrame([], NAMES)
+        #: the last merge, and the first that counts with it
+        self.merges, self.first = max((tuple(map(int, name.split("-"))) for name in finished(spark, f"{self.path}/names")), default=(0, 1))
+        self.known = self.names.count()
         self.staged: list[DataFrame] = []
         self.order = 0
 
-    def _names(self) -> DataFrame:
-        return self.spark.read.schema(NAMES).parquet(f"{self.path}/names/{self.merges}")
+    def _deltas(self) -> DataFrame:
+        """``ref_id, name, bases, fresh``: what each batch added to each of its names."""
+        live = [f"{self.path}/names/{name}" for name in finished(self.spark, f"{self.path}/names") if self.first <= int(name.split("-")[0]) <= self.merges]
+        return self.spark.read.schema(NAMES).parquet(*live) if live else self.spark.createDataFrame([], NAMES)
+
+    @property
+    def names(self) -> DataFrame:
+        """``ref_id, name``."""
+        return self._deltas().where("fresh").select("ref_id", "name")
 
     def add(self, name: str, seq: str) -> None:
         self.add_batch(self.spark.createDataFrame([(0, name, seq)], "ord long, name string, seq string"))
@@ -51,31 +63,57 @@ class DynamicIndex:
             new = new.unionByName(more)
         new = written(new, "staged")
         first = new.groupBy("name").agg(F.min(F.struct("batch", "ord")).alias("first"), F.sum(F.octet_length("seq")).alias("bases"))
-        known = self.names.count()
-        fresh = running(first.join(self.names, "name", "left_anti"), ["first", "name"], place=F.lit(1)).withColumn("ref_id", F.col("place") + F.lit(known))
-        old = self.names.join(first.select("name", F.col("bases").alias("more")), "name", "left").select("ref_id", "name", (F.col("bases") + F.coalesce("more", F.lit(0))).alias("bases"))
-        before = self.names.select("name", F.col("bases").alias("upto"))
-        names = written(old.unionByName(fresh.select(F.col("ref_id").cast("long"), "name", "bases")), "names")
-        order = Window.partitionBy("name").orderBy("batch", "ord")
-        earlier = F.coalesce(F.sum(F.octet_length("seq")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        placed = new.join(before, "name", "left").withColumn("base", (F.coalesce("upto", F.lit(0)) + earlier) if self.append_offsets else F.lit(0).cast("long"))
-        placed = placed.join(names.select("name", "ref_id"), "name")
-        piece = placed.select(F.struct("ref_id", "base").alias("ref_id"), "seq")
-        rows = positions(piece, self.cfg.k).select("kmer", F.col("ref_id.ref_id").alias("ref_id"), (F.col("pos") + F.col("ref_id.base")).alias("pos"))
+        if self.known:
+            first = first.join(self.names.withColumnRenamed("ref_id", "old_id"), "name", "left")
+        else:
+            first = first.withColumn("old_id", F.lit(None).cast("long"))
+        first = written(first, "names")
+        numbered = running(first.where("old_id is null"), ["first", "name"], place=F.lit(1))
+        fresh = numbered.select((F.col("place") + F.lit(self.known)).cast("long").alias("ref_id"), "name", "bases", F.lit(True).alias("fresh"))
+        again = first.where("old_id is not null").select(F.col("old_id").alias("ref_id"), "name", "bases", F.lit(False).alias("fresh"))
+        added = written(fresh.unionByName(again), "names")
+        placed = new.join(added.select("name", "ref_id"), "name").withColumn("base", F.lit(0).cast("long"))
+        if self.append_offsets:
+            upto = self._deltas().groupBy("name").agg(F.sum("bases").alias("upto"))
+            before = Window.partitionBy("name").orderBy("batch", "ord").rowsBetween(Window.unboundedPreceding, -1)
+            earlier = F.coalesce(F.sum(F.octet_length("seq")).over(before), F.lit(0))
+            placed = placed.join(upto, "name", "left").withColumn("base", F.coalesce("upto", F.lit(0)) + earlier)
+        rows = positions(placed.select(F.struct("ref_id", "base").alias("ref_id"), "seq"), self.cfg.k)
+        self._write(rows.select("kmer", F.col("ref_id.ref_id").alias("ref_id"), (F.col("pos") + F.col("ref_id.base")).alias("pos")), added, self.first)
+        self.known += added.where("fresh").count()
+        self.staged = []
+
+    def compact(self, drop: bool = False) -> None:
+        """Writes all merges' postings as one, and with ``drop`` deletes the folders that this replaces, which no search
+        that was planned before may read any more."""
+        if self.merges == self.first:
+            return
+        was, deltas = range(self.first, self.merges + 1), self._deltas()
+        names = deltas.groupBy("ref_id", "name").agg(F.sum("bases").alias("bases")).withColumn("fresh", F.lit(True))
+        self._write(self.postings().select("kmer", "ref_id", "pos"), names, self.merges + 1)
+        if drop:
+            for name in finished(self.spark, f"{self.path}/names"):
+                if int(name.split("-")[0]) in was:
+                    drop_folder(self.spark, f"{self.path}/names/{name}")
+            for merge in was:
+                drop_folder(self.spark, f"{self.path}/postings/merge={merge}")
+
+    def _write(self, rows: DataFrame, names: DataFrame, first: int) -> None:
+        at = self.merges + 1
         sharded = rows.withColumn("shard", S.shard(F.col("kmer"), self.cfg.num_shard_bits))
         # by k-mer within a shard, so that row groups without a query k-mer are left out
-        sharded.repartition("shard").sortWithinPartitions("shard", "kmer").write.mode("overwrite").partitionBy("shard").parquet(f"{self.path}/postings/merge={self.merges + 1}")
-        names.write.mode("overwrite").parquet(f"{self.path}/names/{self.merges + 1}")
-        self.merges += 1
-        self.names, self.staged = self._names(), []
+        dealt = sharded.repartitionByRange("shard", "kmer", "ref_id", "pos").sortWithinPartitions("shard", "kmer")
+        dealt.write.mode("overwrite").partitionBy("shard").parquet(f"{self.path}/postings/merge={at}")
+        names.write.mode("overwrite").parquet(f"{self.path}/names/{at}-{first}")
+        self.merges, self.first = at, first
 
     def postings(self) -> DataFrame:
         if not self.merges:
             return self.spark.createDataFrame([], POSTINGS).drop("merge")
-        return self.spark.read.schema(POSTINGS).parquet(f"{self.path}/postings").where(F.col("merge") <= self.merges).drop("merge")
+        return self.spark.read.schema(POSTINGS).parquet(f"{self.path}/postings").where(F.col("merge").between(self.first, self.merges)).drop("merge")
 
     def query_batch(self, queries: DataFrame) -> DataFrame:
-        """See ``search.map_queries``; the join is on shard and k-mer, so shards without a query k-mer are not read."""
+        """See ``search.map_queries``; shards that no k-mer of some few queries has are not read."""
         cfg = self.cfg.with_(jaccard=False, compressed=False)
         return map_queries(queries, self.postings(), self.names, cfg, both=True, on=["shard", "kmer"])
 

@@ -9,6 +9,8 @@ strand and bin; the winner is a minimum aggregate, so no query's votes are sorte
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from ..functions import sequence as S
 
 #: Up to so many query k-mers (12 bytes each) are broadcast to the postings; more are joined by shuffle.
 BROADCAST_KMERS = 2_000_000
+#: So few query k-mers name the shards to be read before the search.
+FEW_KMERS = 4096
 
 
 def long_enough(queries: DataFrame, k: int) -> DataFrame:
@@ -38,14 +42,18 @@ def query_kmers(queries: DataFrame, cfg: MapConfig, both: bool) -> DataFrame:
     return strand(True).unionByName(strand(False)) if both else strand(True)
 
 
-def hits(queries: DataFrame, postings: DataFrame, cfg: MapConfig, both: bool, on: list[str] | None = None) -> DataFrame:
-    """Query k-mers joined with equal k-mers' postings."""
+def hits(queries: DataFrame, postings: DataFrame | list[DataFrame], cfg: MapConfig, both: bool, on: list[str] | None = None, broadcast: int | None = None) -> DataFrame:
+    """Query k-mers joined with equal k-mers' postings, of one table or several."""
     asked = query_kmers(queries, cfg, both)
+    size = (long_enough(queries, cfg.k).agg(F.sum(F.octet_length("seq"))).first()[0] or 0) * (2 if both else 1)
+    small = size <= (BROADCAST_KMERS if broadcast is None else broadcast)
+    tables = postings if isinstance(postings, list) else [postings]
     if on:
         asked = asked.withColumn("shard", S.shard(F.col("kmer"), cfg.num_shard_bits))
-    size = long_enough(queries, cfg.k).agg(F.sum(F.octet_length("seq"))).first()[0] or 0
-    small = size * (2 if both else 1) <= BROADCAST_KMERS
-    return postings.join(F.broadcast(asked) if small else asked, on or ["kmer"])
+        if size < min(1 << cfg.num_shard_bits, FEW_KMERS):  # with more there is hardly a shard to leave out
+            shards = [row.shard for row in asked.select("shard").distinct().collect()]
+            tables = [rows.where(F.col("shard").isin(shards)) for rows in tables]
+    return reduce(DataFrame.unionByName, [rows.join(F.broadcast(asked) if small else asked, on or ["kmer"]) for rows in tables])
 
 
 def votes(found: DataFrame, cfg: MapConfig) -> DataFrame:
@@ -83,13 +91,16 @@ def better_strand(rows: DataFrame) -> DataFrame:
     return best.select("q_id", (~F.col("b.rev")).alias("fwd"), "b.ref_id", "b.bin", (-F.col("b.neg")).alias("support"))
 
 
-def map_queries(queries: DataFrame, postings: DataFrame, refs: DataFrame, cfg: MapConfig, both: bool | None = None, on: list[str] | None = None) -> DataFrame:
+def map_queries(
+    queries: DataFrame, postings: DataFrame | list[DataFrame], refs: DataFrame, cfg: MapConfig, both: bool | None = None, on: list[str] | None = None, broadcast: int | None = None
+) -> DataFrame:
     """``q_id, name, qlen, ref, fwd, pos, support``, one row per query; ``*``, forward, 0, 0 where nothing matches.
 
-    ``refs`` has ``ref_id`` and ``name`` as indexed, and with ``compat`` the fragment table's columns.
+    ``refs`` has ``ref_id`` and ``name`` as indexed, and with ``compat`` the fragment table's columns. ``broadcast`` takes
+    the place of ``BROADCAST_KMERS``.
     """
     both = not cfg.fr and cfg.encoder == "dna" if both is None else both
-    best = better_strand(supported(top_bins(votes(hits(queries, postings, cfg, both, on), cfg)), queries, cfg))
+    best = better_strand(supported(top_bins(votes(hits(queries, postings, cfg, both, on, broadcast), cfg)), queries, cfg))
     if cfg.fragments and cfg.compat:
         best, refs = _literal_fragment(best, refs, cfg), refs.select("ref_id", "name")
     else:

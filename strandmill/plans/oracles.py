@@ -134,6 +134,7 @@ def all_sql(edges_16: tuple[float, ...], edges_8: tuple[float, ...]) -> dict[str
             r AS (SELECT ref_id, row_number() OVER (PARTITION BY ref_id ORDER BY start) - 1 AS run, start FROM b)
             SELECT ref_id AS doc_id, count(*) AS n, CAST(sum(start * (run % 1009 + 1)) AS BIGINT) AS starts FROM r GROUP BY ref_id""",
         "map_coordinate": mapping(),
+        "map_saved_index": mapping(),
         "map_both_strands": mapping(queries=both_ways),
         "map_coordinate_fr": mapping(refs=fr_refs, queries=both_ways, both=False),
         "map_fragment": mapping(fragments=(180, 60)),

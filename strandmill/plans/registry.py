@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 
 from ..config import MapConfig
 from ..functions import sequence as S
-from ..mapper import Index, map_reads
+from ..mapper import INDEX_SUFFIX, Index, map_reads
 from ..operators import index as X
 from ..operators import search
 from ..operators import signal as N
 from ..operators.dynamic import DynamicIndex
 from ..sources import fasta, pore_model
+from ..storage import new_path
 from . import oracles
 
 
@@ -169,15 +170,18 @@ def map_fragment(spark, d):
 
 def map_fragment_compressed(spark, d):
     """By way of an index that is stored with the denser codec and loaded again."""
-    from ..sources import store
-    from ..storage import new_path
+    return _rounded(_saved(spark, d, MapConfig(compressed=True)).query_batch(_passages(spark, d)))
 
-    cfg, path = MapConfig(compressed=True), new_path(spark, "index")
-    refs = _refs(spark, d)
-    rows = X.postings(refs, cfg)
-    store.save_index(path, rows, X.fragment_table(refs, cfg), X.occupancy(rows), cfg)
-    postings, names, _, cfg = store.load_index(spark, path)
-    return _rounded(search.map_queries(_passages(spark, d), postings, names, cfg))
+
+def map_saved_index(spark, d):
+    """By way of a stored index, whose buckets the queries' k-mers are shuffled to."""
+    return _rounded(_saved(spark, d, MapConfig()).query_batch(_passages(spark, d), broadcast=0))
+
+
+def _saved(spark: SparkSession, d: str, cfg: MapConfig) -> Index:
+    path = new_path(spark, "index") + INDEX_SUFFIX
+    Index.of(_refs(spark, d), cfg).dump(path)
+    return Index(spark, path)
 
 
 def map_fragment_compat(spark, d):
@@ -289,7 +293,7 @@ def squiggle(spark, d):
 QUERIES = {
     f.__name__.removesuffix("_query"): f
     for f in (
-        map_coordinate, map_both_strands, map_coordinate_fr, map_fragment, map_fragment_compressed, map_fragment_compat, fragment_table,
+        map_coordinate, map_both_strands, map_coordinate_fr, map_fragment, map_fragment_compressed, map_saved_index, map_fragment_compat, fragment_table,
         encode_bytes, revcomp, kmer_extract, kmer_sql_equal, pack_posting, shard_key, ipow, split64, picoamps, xxh64, index_histogram, index_offsets, occ_profile,
         minimizers, run_offsets, guard_short, support_threshold, strand_choice, dyn_two_batches, tsv_sink, alignments, map_reads_query,
         signal_normalise, signal_tstat, quantise_static16, quantise_static8, quantise_dynamic, quantise_deadband, trimmed_means, segment_events, squiggle,

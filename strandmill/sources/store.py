@@ -1,29 +1,60 @@
-"""Indexes on disk: Parquet tables beside the settings they were built with."""
+"""Indexes on disk: Parquet tables beside the settings they were built with.
+
+Postings are bucketed by k-mer: a search whose queries are too many to broadcast shuffles them to the buckets, and the
+postings stay where they are. K-mers of over ``HEAVY`` postings, which would make a bucket of one task's work too large,
+lie in a table of their own in order of k-mer and place, over as many files as they need.
+"""
 
 from __future__ import annotations
 
 import json
+from math import ceil
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..config import MapConfig
+from ..storage import read_buckets, write_buckets
 
-
-def save_index(path: str, postings: DataFrame, refs: DataFrame, stats: DataFrame, cfg: MapConfig) -> None:
-    """Writes ``postings`` by k-mer range and sorted, so that equal k-mers lie together and files prune by k-mer."""
-    codec = "zstd" if cfg.compressed else "snappy"
-    ordered = postings.repartitionByRange("kmer").sortWithinPartitions(*postings.columns)
-    ordered.write.mode("overwrite").option("compression", codec).parquet(f"{path}/postings")
-    refs.drop("seq").write.mode("overwrite").parquet(f"{path}/refs")
-    stats.write.mode("overwrite").parquet(f"{path}/stats")
-    spark = postings.sparkSession
-    spark.createDataFrame([(cfg.to_json(),)], "config string").coalesce(1).write.mode("overwrite").json(f"{path}/config")
+#: Postings of a bucket on average, and of a k-mer in it at most.
+BUCKET_ROWS, HEAVY = 16_000_000, 4_000_000
 
 
-def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame, MapConfig]:
-    """Postings, references and statistics, with the settings that were stored."""
-    cfg = MapConfig.from_json(spark.read.schema("config string").json(f"{path}/config").first().config)
-    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/refs"), spark.read.parquet(f"{path}/stats"), cfg
+def save_index(path: str, postings: list[DataFrame], refs: DataFrame, stats: DataFrame, cfg: MapConfig, buckets: int | None = None) -> None:
+    """Writes an index whose ``postings`` are these tables together. ``buckets`` is chosen by their rows if not given."""
+    spark, codec = refs.sparkSession, "zstd" if cfg.compressed else "snappy"
+    rows = postings[0]
+    for more in postings[1:]:
+        rows = rows.unionByName(more)
+    order = rows.columns
+    stats.write.mode("overwrite").parquet(f"{path}/stats")
+    most = spark.read.schema(stats.schema).parquet(f"{path}/stats").first().max_occ or 0
+    heavy = most > HEAVY
+    buckets = buckets or max(1, ceil(rows.count() / BUCKET_ROWS))
+    previous = spark.conf.get("spark.sql.parquet.compression.codec")
+    spark.conf.set("spark.sql.parquet.compression.codec", codec)  # of tables, which take no option for it when bucketed
+    try:
+        if heavy:
+            many = rows.groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HEAVY).select("kmer")
+            rows.join(many, "kmer", "left_semi").repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{path}/heavy")
+            rows = rows.join(many, "kmer", "left_anti")
+        write_buckets(rows, f"{path}/postings", "kmer", buckets, order)
+    finally:
+        spark.conf.set("spark.sql.parquet.compression.codec", previous)
+    refs.drop("seq").write.mode("overwrite").parquet(f"{path}/refs")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    layout = json.dumps({"buckets": buckets, "order": order, "schema": schema, "heavy": heavy})
+    spark.createDataFrame([(cfg.to_json(), layout)], "config string, layout string").coalesce(1).write.mode("overwrite").json(f"{path}/config")
+
+
+def load_index(spark: SparkSession, path: str) -> tuple[list[DataFrame], DataFrame, DataFrame, MapConfig]:
+    """Tables of postings, references and statistics, with the settings that were stored."""
+    row = spark.read.schema("config string, layout string").json(f"{path}/config").first()
+    cfg, layout = MapConfig.from_json(row.config), json.loads(row.layout)
+    postings = [read_buckets(spark, f"{path}/postings", layout["schema"], "kmer", layout["buckets"], layout["order"])]
+    if layout["heavy"]:
+        postings.append(spark.read.schema(layout["schema"]).parquet(f"{path}/heavy"))
+    return postings, spark.read.parquet(f"{path}/refs"), spark.read.parquet(f"{path}/stats"), cfg
 
 
 def describe(cfg: MapConfig) -> str:

@@ -42,11 +42,38 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def drop_written(df: DataFrame) -> None:
     """Deletes the files of a table that ``written`` made and that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._written_path)
+    drop_folder(df.sparkSession, df._written_path)
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The whole name of a folder, with its file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+def write_buckets(df: DataFrame, path: str, key: str, buckets: int, order: list[str]) -> None:
+    """``df`` as Parquet, one file for each bucket of ``key``, sorted by ``order``. A catalog table is made for the writing
+    alone."""
+    spark, name = df.sparkSession, f"strandmill_{uuid.uuid4().hex}"
+    writer = df.repartition(buckets, key).write.format("parquet").mode("overwrite").bucketBy(buckets, key).sortBy(*order)
+    writer.option("path", qualified(spark, path)).saveAsTable(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay
+
+
+def read_buckets(spark: SparkSession, path: str, schema: str, key: str, buckets: int, order: list[str]) -> DataFrame:
+    """What ``write_buckets`` wrote. Joins and aggregates by ``key`` find its rows dealt out already."""
+    name, place = f"strandmill_{uuid.uuid4().hex}", qualified(spark, path).replace("'", "\\'")
+    spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY ({key}) SORTED BY ({', '.join(order)}) INTO {buckets} BUCKETS LOCATION '{place}'")
+    found = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # what was read knows the files and how they are dealt
+    return found
+
+
 def finished(spark: SparkSession, folder: str) -> list[str]:
     """Names of the tables under ``folder`` that were written to the end."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)

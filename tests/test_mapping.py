@@ -9,6 +9,7 @@ from strandmill.config import MapConfig, size_in_bytes
 from strandmill.functions import sequence as S
 from strandmill.mapper import Aligner, Index, main, map_reads
 from strandmill.operators import index as X
+from strandmill.operators import search
 from strandmill.operators.dynamic import DynamicIndex
 
 RNG = random.Random(5)
@@ -156,7 +157,7 @@ def test_dynamic_index_opens_again_and_survives_a_failed_merge(spark, tmp_path,
     with pytest.raises(Exception, match="lost"):
         index.merge()
     monkeypatch.undo()
-    (tmp_path / "index/names/2").mkdir()  # names that were not written to the end
+    (tmp_path / "index/names/2-1").mkdir()  # names that were not written to the end
     again = DynamicIndex(spark, cfg, path)
     assert again.query(other[30:110])[0] == "*" and again.names.count() == 1
     index.merge()
@@ -166,6 +167,80 @@ def test_dynamic_index_opens_again_and_survives_a_failed_merge(spark, tmp_path,
         assert sorted(r.ref_id for r in found.names.collect()) == [0, 1]
 
 
+def test_compaction_gives_equal_answers(spark, tmp_path):
+    r, cfg = random.Random(8), MapConfig(k=8, num_shard_bits=2)
+    seqs = ["".join(r.choice("ACGT") for _ in range(150)) for _ in range(11)]
+    index = DynamicIndex(spark, cfg, str(tmp_path / "index"), append_offsets=True)
+    for i, s in enumerate(seqs):
+        index.add(f"n{i % 10}", s)  # the last goes behind the first
+        index.merge()
+    asked = queries_of(spark, [s[20:90] for s in seqs] + [rc(seqs[3][10:100])])
+    before = mapped(index.query_batch(asked))
+    assert [x[:3] for x in before[:3]] == [("n0", True, 15), ("n1", True, 15), ("n2", True, 15)] and before[10][:3] == ("n0", True, 165)
+    rows = sorted(map(tuple, index.postings().collect()))
+    index.compact(drop=True)
+    for found in (index, DynamicIndex(spark, cfg, str(tmp_path / "index"), append_offsets=True)):
+        assert (found.first, found.merges, found.known) == (12, 12, 10)
+        assert sorted(map(tuple, found.postings().collect())) == rows and mapped(found.query_batch(asked)) == before
+        assert len(found.postings().inputFiles()) <= 4 + spark.sparkContext.defaultParallelism
+    assert [x.name for x in (tmp_path / "index/postings").iterdir() if x.is_dir()] == ["merge=12"]
+    index.add("n0", seqs[5][::-1])
+    index.merge()
+    again = DynamicIndex(spark, cfg, str(tmp_path / "index"), append_offsets=True)
+    assert again.query(seqs[5][::-1][30:120])[:3] == ("n0", True, 330) and mapped(again.query_batch(asked)) == before
+
+
+def test_hot_shards_are_many_tasks_and_unasked_ones_are_not_read(spark, tmp_path):
+    index = DynamicIndex(spark, MapConfig(k=8, num_shard_bits=8), str(tmp_path / "index"))
+    index.add_batch(spark.createDataFrame([(0, "polyA", "A" * 200_000), (1, "other", SEQ)], "ord long, name string, seq string"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as if they were large
+    index.merge()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "index/postings/merge=1/shard=0").glob("*.parquet"))) >= 3
+    wanted = {f"shard={int(digit * 8, 4) % 256}" for digit in "13"}  # of C and of its complement
+    folders = [x for x in (tmp_path / "index/postings/merge=1").iterdir() if x.is_dir()]
+    assert len(folders) > 10
+    for folder in folders:
+        for file in () if folder.name in wanted else folder.iterdir():
+            file.write_bytes(b"") if file.name.endswith(".crc") else file.write_bytes(b"not to be read")
+    assert mapped(index.query_batch(queries_of(spark, ["C" * 40])))[0][0] == "*"
+    with pytest.raises(Exception, match="(?i)parquet|checksum"):
+        index.query("A" * 40)
+
+
+@pytest.mark.parametrize("heavy", [4_000_000, 30])
+def test_saved_postings_are_not_shuffled(spark, tmp_path, heavy, monkeypatch):
+    from strandmill.sources import store
+
+    monkeypatch.setattr(store, "HEAVY", heavy)
+    r = random.Random(3)
+    refs = refs_of(spark, [("poly", "A" * 90 + SEQ), *((f"r{i}", "".join(r.choice("ACGT") for _ in range(120))) for i in range(20))])
+    index, path = Index.of(refs, MapConfig(k=7, pf=0.05)), str(tmp_path / "it's.cidx")
+    index.dump(path, buckets=3)
+    index.dump(path, buckets=5)  # again, over what is there
+    tables = spark.catalog.listTables()
+    loaded = Index(spark, path)
+    assert len(loaded.postings) == (2 if heavy == 30 else 1) and spark.catalog.listTables() == tables
+    assert sorted(map(tuple, loaded.postings[0].union(loaded.postings[-1]).distinct().collect())) == sorted(map(tuple, index.postings[0].distinct().collect()))
+    asked = queries_of(spark, ["A" * 60, SEQ[10:90], rc(SEQ[30:120]), "ACGT" * 12])
+    assert mapped(loaded.query_batch(asked, broadcast=0)) == mapped(loaded.query_batch(asked)) == mapped(index.query_batch(asked))
+    joined = search.hits(asked, loaded.postings[0], loaded.cfg, True, None, 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning(kmer") == 1 and "Bucketed: true" in plan and "5 out of 5" in plan
+
+
+def test_reads_keep_columns_of_any_name(spark):
+    index = Index.of(refs_of(spark, [("a", SEQ)]), MapConfig(k=10))
+    names = "_k _q alignment key q_id data read name alignment_data".split()
+    reads = spark.createDataFrame([(1, "r", SEQ[20:90], *names), (2, "s", "", *names)], "channel int, read_id string, seq string, " + ", ".join(f"{n} string" for n in names))
+    found = map_reads(reads, index)
+    assert found.columns == [*reads.columns[:-1], "alignment_data"]
+    rows = sorted(found.collect())
+    assert [len(x.alignment_data) for x in rows] == [1, 0] and all(x[3:-1] == tuple(names[:-1]) for x in rows)
+
+
 def test_fastq(spark, tmp_path):
     from strandmill.sources import fasta
 
