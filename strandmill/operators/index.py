@@ -51,6 +51,13 @@ def running(rows: DataFrame, order: list[str], **amounts: Column | str) -> DataF
     return inside.join(F.broadcast(carried), "_task").select(*rows.columns, *sums)
 
 
+def numbered(rows: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
+    """``rows`` with their number (from 0) among those of equal ``key``, in order, counted over all tasks."""
+    placed = running(rows, [key, *order], _place=F.lit(1))
+    first = placed.groupBy(F.col(key).alias("_key")).agg(F.min("_place").alias("_first"))
+    return placed.join(first, F.col(key).eqNullSafe(F.col("_key"))).select(*rows.columns, (F.col("_place") - F.col("_first")).alias(name))
+
+
 def fragment_table(refs: DataFrame, cfg: MapConfig) -> DataFrame:
     """``ref_id, name, ordinal, frag_start, n_frags``: the fragments of each reference in one global numbering."""
     n = F.greatest(F.octet_length("seq") - cfg.k + 1, F.lit(0))

@@ -79,6 +79,63 @@ def dynamic(x: str) -> str:
     return f"CAST(trunc((CASE WHEN {x} >= -2 AND {x} <= 2 THEN {fine} ELSE {coarse} END) * 15) AS INTEGER) & 15"
 
 
+def statistic(w: int) -> str:
+    """The windowed t-statistic of ``z`` in order of ``p``, windows ``l`` and ``r`` of that width."""
+    l, r = f"l{w}", f"r{w}"  # noqa: E741
+    spread = f"(avg(z * z) OVER {l} - avg(z) OVER {l} * avg(z) OVER {l} + avg(z * z) OVER {r} - avg(z) OVER {r} * avg(z) OVER {r}) / {w}"
+    return f"CASE WHEN p >= {w} AND p <= n - {w} THEN abs(avg(z) OVER {r} - avg(z) OVER {l}) / sqrt(greatest({spread}, 2.220446049250313e-16)) ELSE 0 END"
+
+
+def detector(a: str, t: str, half: int, threshold: float) -> dict[str, str]:
+    """Columns of one peak detector behind one more value ``t`` at place ``s.p``; ``a`` is the state before, by column."""
+    peak, high, top = "CAST(0.4000000059604645 AS DOUBLE)", f"greatest({a}val, {t})", f"CASE WHEN {t} > {a}val THEN s.p ELSE {a}top END"
+    over = f"({a}over OR {high} > {threshold})"
+    fallen = f"({a}fallen OR {high} > {threshold} AND {high} - {t} > {peak})"
+    closed = f"({a}top IS NOT NULL AND {fallen} AND s.p - ({top}) > {half})"
+    rise = f"({a}top IS NULL AND {t} - {a}low > {peak})"
+    return {
+        "low": f"CASE WHEN {closed} THEN {t} WHEN {a}top IS NULL AND NOT {rise} THEN least({a}low, {t}) ELSE {a}low END",
+        "top": f"CASE WHEN {closed} THEN NULL WHEN {rise} THEN s.p WHEN {a}top IS NULL THEN NULL ELSE {top} END",
+        "val": f"CASE WHEN {rise} THEN {t} WHEN {a}top IS NULL OR {closed} THEN 0 ELSE {high} END",
+        "over": f"{a}top IS NOT NULL AND NOT {closed} AND {over}",
+        "fallen": f"{a}top IS NOT NULL AND NOT {closed} AND {fallen}",
+        "out": f"CASE WHEN {closed} THEN {top} END",
+    }
+
+
+def segment_events(z: str) -> str:
+    """Both detectors as a walk over each signal, sample by sample; the long window's one starts anew behind the other's."""
+    fine, wide = detector("f_", "s.t3", 1, 4.0), detector("g_", "g.t9", 4, 3.5)
+    new = "'infinity'::DOUBLE AS {0}low, NULL::BIGINT AS {0}top, 0::DOUBLE AS {0}val, false AS {0}over, false AS {0}fallen, NULL::BIGINT AS {0}out"
+    frame = "l{0} AS (PARTITION BY read_id ORDER BY p ROWS BETWEEN {0} PRECEDING AND 1 PRECEDING), r{0} AS (PARTITION BY read_id ORDER BY p ROWS BETWEEN CURRENT ROW AND {1} FOLLOWING)"
+    first = "CASE WHEN s.f_over OR s.f_out IS NOT NULL THEN {1} ELSE s.g_{0} END AS g_{0}"
+    begun = ", ".join(first.format(c, v) for c, v in (("low", "'infinity'::DOUBLE"), ("top", "NULL"), ("val", "0"), ("over", "false"), ("fallen", "false")))
+    seen = "NOT g.f_over AND g.p >= g.free"
+    return f"""
+        WITH RECURSIVE k AS MATERIALIZED (
+          SELECT read_id, z, row_number() OVER (PARTITION BY read_id ORDER BY i) - 1 AS p, count(*) OVER (PARTITION BY read_id) AS n FROM ({z}) WHERE z < 3 AND z > -3
+        ),
+        t AS MATERIALIZED (SELECT read_id, p, n, {statistic(3)} AS t3, {statistic(9)} AS t9 FROM k WINDOW {frame.format(3, 2)}, {frame.format(9, 8)}),
+        walk AS (
+          SELECT read_id, 0::BIGINT AS p, 1::BIGINT AS free, {new.format("f_")}, {new.format("g_")} FROM t WHERE p = 0
+          UNION ALL
+          SELECT g.read_id, g.p, g.free, {", ".join(f"g.f_{c}" for c in fine)}, {", ".join(f"CASE WHEN {seen} THEN {e.replace('s.p', 'g.p')} ELSE {'NULL' if c == 'out' else 'g.g_' + c} END" for c, e in wide.items())}
+          FROM (
+            SELECT s.* EXCLUDE (free, g_low, g_top, g_val, g_over, g_fallen), CASE WHEN s.f_out IS NULL THEN s.free ELSE greatest(s.p, s.f_out + 4) END AS free, {begun}
+            FROM (
+              SELECT w.read_id, s.p, w.free AS free, s.t9, {", ".join(f"{e.replace('f_', 'w.f_')} AS f_{c}" for c, e in fine.items())}, w.g_low, w.g_top, w.g_val, w.g_over, w.g_fallen
+              FROM walk w JOIN t s ON s.read_id = w.read_id AND s.p = w.p + 1
+            ) s
+          ) g
+        ),
+        border AS (SELECT read_id, f_out AS b FROM walk WHERE f_out IS NOT NULL UNION SELECT read_id, g_out FROM walk WHERE g_out IS NOT NULL),
+        placed AS (SELECT read_id, z, (SELECT count(*) FROM border x WHERE x.read_id = k.read_id AND x.b <= k.p) AS event, (SELECT count(*) FROM border x WHERE x.read_id = k.read_id) AS total FROM k),
+        o AS (SELECT read_id, event, z, row_number() OVER (PARTITION BY read_id, event ORDER BY z) - 1 AS place, count(*) OVER (PARTITION BY read_id, event) AS m FROM placed WHERE event < total),
+        q AS (SELECT read_id, event, max(z) FILTER (place = m // 4) AS q1, max(z) FILTER (place = 3 * m // 4) AS q3 FROM o GROUP BY ALL)
+        SELECT read_id, event, round(avg(z), 6) AS mean FROM o JOIN q USING (read_id, event) WHERE z >= q1 - (q3 - q1) AND z <= q3 + (q3 - q1) GROUP BY ALL
+    """
+
+
 def all_sql(edges_16: tuple[float, ...], edges_8: tuple[float, ...]) -> dict[str, str]:
     item = "SELECT item_id AS ref_id, text AS seq FROM benchmark"
     z = f"SELECT read_id, i, (x - avg(x) OVER w) / sqrt(avg(x * x) OVER w - avg(x) OVER w * avg(x) OVER w) AS z FROM ({SIGNALS}) WINDOW w AS (PARTITION BY read_id)"
@@ -101,6 +158,7 @@ def all_sql(edges_16: tuple[float, ...], edges_8: tuple[float, ...]) -> dict[str
         )
         SELECT read_id, i, {dynamic('last')} AS code FROM walk WHERE kept
     """
+    events = segment_events(z)
     levels = f"SELECT vec_id, i, {_edges(edges_16, 'x')} AS level FROM (SELECT read_id AS vec_id, i, x FROM ({scaled}))"
     quantised = f"SELECT vec_id AS ref_id, 'v' || vec_id AS name, string_agg(substr('0123456789abcdef', level + 1, 1), '' ORDER BY i) AS seq FROM ({levels}) GROUP BY vec_id"
     same = lambda x: x
@@ -168,6 +226,7 @@ def all_sql(edges_16: tuple[float, ...], edges_8: tuple[float, ...]) -> dict[str
         "quantise_static8": f"SELECT read_id, i, {_edges(edges_8, 'x')} AS level FROM ({scaled})",
         "quantise_dynamic": f"SELECT read_id, i, {dynamic('x')} AS code FROM ({scaled})",
         "quantise_deadband": f"SELECT read_id, count(*) AS n, CAST(sum(code) AS BIGINT) AS code_sum FROM ({band}) GROUP BY read_id",
+        "segment_events": events,
         "squiggle": f"""
             WITH m AS (SELECT range AS code, CAST(range * 7919 % 4096 AS DOUBLE) AS level FROM range(4096)), s AS (SELECT code, (level - (SELECT avg(level) FROM m)) / (SELECT stddev_pop(level) FROM m) AS level FROM m)
             SELECT ref_id AS doc_id, count(*) AS n, CAST(sum(CAST(round(level * 1000000) AS BIGINT) * (pos % 1009)) AS BIGINT) AS level_sum

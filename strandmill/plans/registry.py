@@ -46,14 +46,7 @@ def _items(spark: SparkSession, d: str) -> DataFrame:
 def _signals(spark: SparkSession, d: str) -> DataFrame:
     """Samples numbered over all tasks, so that no user's events are in one task whole."""
     rows = _table(spark, d, "events").select(F.col("user_id").alias("read_id"), "ts", "event_id", F.col("value").alias("x"))
-    placed = X.running(rows, ["read_id", "ts", "event_id"], place=F.lit(1))
-    first = placed.groupBy(F.col("read_id").alias("_read")).agg(F.min("place").alias("_first"))
-    return placed.join(first, F.col("read_id").eqNullSafe(F.col("_read"))).select("read_id", (F.col("place") - F.col("_first")).alias("i"), "x")
-
-
-def _arrays(spark: SparkSession, d: str) -> DataFrame:
-    rows = _table(spark, d, "events").select("user_id", F.struct("ts", "event_id", "value").alias("s")).groupBy("user_id").agg(F.array_sort(F.collect_list("s")).alias("s"))
-    return rows.select(F.col("user_id").alias("read_id"), F.transform("s", lambda s: s["value"]).alias("signal"))
+    return X.numbered(rows, "read_id", ["ts", "event_id"], "i").select("read_id", "i", "x")
 
 
 def _scaled(spark: SparkSession, d: str) -> DataFrame:
@@ -251,8 +244,8 @@ def quantise_dynamic(spark, d):
 
 
 def quantise_deadband(spark, d):
-    codes = _arrays(spark, d).select("read_id", N.quantise(F.col("signal")).alias("q"))
-    return codes.select("read_id", F.size("q").cast("long").alias("n"), F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x).alias("code_sum"))
+    kept = N.dead_band_long(_signals(spark, d)).select("read_id", N.quantise_dynamic(F.col("x")).alias("code"))
+    return kept.groupBy("read_id").agg(F.count(F.lit(1)).alias("n"), F.sum("code").alias("code_sum"))
 
 
 def trimmed_means(spark, d):
@@ -278,7 +271,7 @@ def map_signal(spark, d):
 
 
 def segment_events(spark, d):
-    return N.events(_arrays(spark, d)).select("read_id", F.size("events").alias("n_events"), F.transform("events", lambda e: F.round(e, 6)).alias("events"))
+    return N.events_long(_signals(spark, d)).withColumn("mean", F.round("mean", 6))
 
 
 def squiggle(spark, d):
