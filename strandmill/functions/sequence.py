@@ -153,11 +153,13 @@ def kmers(seq: Column, k: int, reverse: bool = False, encoder: str = "dna", sigm
     return run(seq)
 
 
-def stretches(rows: DataFrame, k: int, size: int | None = None) -> DataFrame:
+def stretches(rows: DataFrame, k: int, size: int | None = None, before: int = 0, after: int = 0) -> DataFrame:
     """``rows`` with ``seq`` cut into ``piece``s (bytes) of ``size`` k-mers, which begin at byte ``at`` and overlap by
-    k - 1 bytes, so that each k-mer lies in exactly one; pieces of one sequence can go to different tasks. Null
-    sequences have none, sequences that are too short for a k-mer have one."""
+    k - 1 bytes, so that each k-mer lies in exactly one; pieces of one sequence can go to different tasks. A piece has
+    ``before`` and ``after`` more bytes on its sides where there are so many. Null sequences have none, sequences that are
+    too short for a k-mer have one."""
     size = size or STRETCH
     last = F.greatest(F.octet_length("seq") - k, F.lit(0))
-    cut = rows.withColumn("at", F.explode(F.sequence(F.lit(0), last, F.lit(size))))
-    return cut.withColumn("piece", F.substring(F.col("seq").cast("binary"), F.col("at") + 1, F.lit(size + k - 1))).drop("seq")
+    cut = rows.where(F.col("seq").isNotNull()).withColumn("at", F.explode(F.sequence(F.lit(0), last, F.lit(size))))
+    begin = F.greatest(F.col("at") - before, F.lit(0))
+    return cut.withColumn("piece", F.substring(F.col("seq").cast("binary"), begin + 1, F.col("at") - begin + F.lit(size + k - 1 + after))).drop("seq")

@@ -6,6 +6,8 @@ postings: ``kmer, ref_id, pos`` for diagonals, ``kmer, ref_id, frag`` for fragme
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,6 +116,61 @@ def minimizers(rows: DataFrame, w: int, stretch: int = 1 << 16) -> DataFrame:
     return chosen.withColumn("before", before).where(own & (F.col("before").isNull() | (F.col("before") != F.col("pos")))).select("ref_id", "pos")
 
 
+def leftmost_minima(keys: np.ndarray, w: int) -> np.ndarray:
+    """Place of the leftmost smallest of each ``w`` consecutive keys, which are below 2^31."""
+    least = keys.astype(np.int64) << 32 | np.arange(len(keys))
+    reach = 1
+    while reach < w:
+        step = min(reach, w - reach)
+        least = np.minimum(least[: max(0, len(least) - step)], least[step:])
+        reach += step
+    return least & 0xFFFFFFFF
+
+
+def sequence_minimizers(refs: DataFrame, k: int, w: int, stretch: int | None = None) -> DataFrame:
+    """``minimizers`` of sequences' k-mers, found where the k-mers are made: stretches of sequences are dealt out, with a
+    window more behind them and one k-mer before them, and minimizers alone come back."""
+    size = stretch or S.STRETCH
+    kind = refs.schema["ref_id"].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            for row, (at, piece) in enumerate(zip(b.column(1).to_pylist(), b.column(2))):
+                begin = max(0, at - 1)
+                pos = leftmost_minima(S.kmers_of(S.byte_codes(piece.as_py()), k), w)[: at - begin + size]
+                new = np.r_[begin == at, pos[1:] != pos[:-1]] if len(pos) else np.zeros(0, bool)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.full(new.sum(), row))), pa.array(begin + pos[new])], names=["ref_id", "pos"])
+
+    dealt = S.stretches(refs.select("ref_id", "seq"), k, stretch, before=1, after=w - 1).repartition("ref_id", "at")
+    return dealt.select("ref_id", "at", "piece").mapInArrow(run, f"ref_id {kind}, pos long")
+
+
+def sequence_runs(refs: DataFrame, k: int, stretch: int | None = None) -> DataFrame:
+    """``ref_id, run, start``: ``run_offsets`` of sequences' k-mers, found where the k-mers are made. Runs are numbered
+    within stretches, and stretches' sums are carried over, one row a stretch."""
+    size = stretch or S.STRETCH
+    kind = refs.schema["ref_id"].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            found = []
+            for at, n, piece in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)):
+                begin = max(0, at - 1)
+                kmer = S.kmers_of(S.byte_codes(piece.as_py()), k)
+                new = np.r_[begin == at, kmer[1:] != kmer[:-1]] if len(kmer) else np.zeros(0, bool)
+                starts = begin + np.flatnonzero(new)
+                found.append(np.r_[starts, n] if 0 < n <= at + size else starts)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int64()))], names=["ref_id", "at", "starts"])
+
+    n = F.octet_length("seq").cast("long") - (k - 1)
+    dealt = S.stretches(refs.select("ref_id", n.alias("n"), "seq"), k, stretch, before=1).repartition("ref_id", "at")
+    found = written(dealt.select("ref_id", F.col("at").cast("long"), "n", "piece").mapInArrow(run, f"ref_id {kind}, at long, starts array<long>"), "runs")
+    carried = F.sum(F.size("starts")).over(Window.partitionBy("ref_id").orderBy("at")) - F.size("starts")
+    before = found.select(F.col("ref_id").alias("of"), F.col("at").alias("of_at"), carried.alias("before"))
+    dealt = found.join(before, F.col("ref_id").eqNullSafe(F.col("of")) & (F.col("at") == F.col("of_at")))
+    return dealt.select("ref_id", "before", F.posexplode("starts").alias("place", "start")).select("ref_id", (F.col("before") + F.col("place")).alias("run"), "start")
+
+
 def run_offsets(rows: DataFrame, key: str, order: str, value: str, stretch: int = 1 << 16) -> DataFrame:
     """``key, run, start``: where runs of equal values begin, and the number of values as the last start. ``order``
     counts each key's values from 0 without gaps. Values are compared within stretches that share a value at their

@@ -135,13 +135,13 @@ def occ_profile(spark, d):
 
 def minimizers(spark, d):
     """Each document's number of minimizers and a checksum of their places."""
-    found = X.minimizers(X.positions(_refs(spark, d), 10), 5)
+    found = X.sequence_minimizers(_refs(spark, d), 10, 5)
     return _digest(found, n="pos", places="pos * (pos % 1009)")
 
 
 def run_offsets(spark, d):
     """Each document's number of runs and a checksum of where they begin."""
-    found = X.run_offsets(X.positions(_refs(spark, d), 1), "ref_id", "pos", "kmer")
+    found = X.sequence_runs(_refs(spark, d), 1)
     return _digest(found, n="run", starts="start * (run % 1009 + 1)")
 
 

@@ -396,3 +396,23 @@ def test_minimizers_by_stretches(spark, stretch):
         chosen = [min(range(a, a + w), key=lambda p: (codes[p], p)) for a in range(len(codes) - w + 1)]
         expected += [(i, p) for n, p in enumerate(chosen) if n == 0 or chosen[n - 1] != p]
     assert found == sorted(expected) and len(found) > 40
+
+
+@pytest.mark.parametrize("stretch", [1, 3, 7, None])
+def test_minimizers_and_runs_of_sequences(spark, stretch):
+    r = random.Random(7)
+    seqs = ["".join(r.choice("AC") for _ in range(n)) for n in (0, 1, 3, 4, 5, 6, 9, 40, 41)] + ["A" * 30, SEQ]
+    refs = spark.createDataFrame([*enumerate(seqs), (None, "ACGT" * 3), (99, None)], "ref_id long, seq string")
+    for k, w in ((4, 1), (4, 3), (2, 6)):
+        want, runs = [], []
+        for i, s in [*enumerate(seqs), (None, "ACGT" * 3)]:
+            keys = kmers(s.encode(), k)
+            last = None
+            for a in range(len(keys) - w + 1):
+                at = min(range(a, a + w), key=lambda j: (keys[j], j))
+                want += [(i, at)] if at != last else []
+                last = at
+            starts = [j for j in range(len(keys)) if j == 0 or keys[j] != keys[j - 1]] + [len(keys)] * bool(keys)
+            runs += [(i, j, at) for j, at in enumerate(starts)]
+        assert sorted(map(tuple, X.sequence_minimizers(refs, k, w, stretch).collect()), key=str) == sorted(want, key=str)
+        assert sorted(map(tuple, X.sequence_runs(refs, k, stretch).collect()), key=str) == sorted(runs, key=str)
