@@ -40,19 +40,21 @@ from .common import drop_written, written
 #: Bytes that anchors are chosen by.
 GRAM = 16
 #: Bytes and documents of a block at most, save where one text has more.
-BLOCK_BYTES, BLOCK_DOCS = 8 << 20, 1 << 15
+BLOCK_BYTES, BLOCK_DOCS = 2 << 20, 1 << 15
 #: Positions whose hashes are computed at once.
 STEP = 1 << 18
 #: Bytes of hashes in a bucket of the sieve, and records in a bucket of suffixes, on average.
-SIEVE_BYTES, BUCKET_ROWS = 16 << 20, 150_000
+SIEVE_BYTES, BUCKET_ROWS = 6 << 20, 80_000
 #: Sampled records for each splitter.
 SAMPLES = 16
-#: Bytes of a table that a join broadcasts at most.
-BROADCAST_BYTES = 16 << 20
 NO_ID = (1 << 63) - 1
 LARGER = 1 << 31  # marks places in documents larger than their record's smallest
 
 
+def _squeezed(raw: bytes) -> bytes:
+    return pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ x >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15)
     return x ^ x >> np.uint64(32)
@@ -198,7 +200,7 @@ class Records:
     def pack(self) -> bytes:
         head = np.array([len(self.n), len(self.place), self.rows.shape[1]], "<u8").tobytes()
         body = head + b"".join(x.tobytes() for x in (self.rows, self.least.astype("<i8"), self.block.astype("<i8"), self.n.astype("<u4"), self.place.astype("<u4")))
-        return np.uint64(len(body)).tobytes() + pa.compress(body, "zstd", asbytes=True)
+        return np.uint64(len(body)).tobytes() + _squeezed(body)
 
     @staticmethod
     def unpack(packed: list[bytes]) -> Records:
@@ -249,7 +251,7 @@ def blocks(docs: DataFrame) -> DataFrame:
 
     def row(block, ids, texts):
         sizes = [len(t) for t in texts]
-        z = pa.compress(b"".join(texts), "zstd", asbytes=True) if texts else b""
+        z = _squeezed(b"".join(texts)) if texts else b""
         return pa.record_batch([pa.array([block]), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([sum(sizes)]), pa.array([z], pa.binary())], names=["block", "ids", "sizes", "bytes", "z"])
 
     def run(batches):
@@ -519,10 +521,6 @@ def _across(found: DataFrame, window: int, group_rows: int) -> DataFrame:
     return done
 
 
-def _small(table: DataFrame, size: int) -> DataFrame:
-    return F.broadcast(table) if size <= BROADCAST_BYTES else table
-
-
 def repeated_spans(packed: DataFrame, window: int, group_rows: int = 200_000) -> DataFrame:
     """``block, spans``: the covered spans of the documents of ``blocks``, in lists by document number and bytes."""
     spark = packed.sparkSession
@@ -534,7 +532,7 @@ def repeated_spans(packed: DataFrame, window: int, group_rows: int = 200_000) ->
     count = kept.agg(F.sum("n")).first()[0]
     if not count:
         return spark.createDataFrame([], "block long, spans binary")
-    joined = packed.select("block", "ids", "sizes", "z").join(_small(by_block, 6 * count), "block")
+    joined = packed.select("block", "ids", "sizes", "z").join(by_block, "block")
     n = max(least_tasks, ceil(count / BUCKET_ROWS))
     # some blocks are enough for splitters, which decide on sizes of buckets alone
     some = [row.block for row in by_block.select("block").orderBy(F.xxhash64("block")).limit(max(16, SAMPLES * n // 2000)).collect()]
@@ -554,7 +552,6 @@ def without_repeats(docs: DataFrame, window: int = 50, group_rows: int = 200_000
         raise ValueError(f"windows have from {GRAM} to 250 bytes")
     packed = written(blocks(docs), "blocks")
     spans = written(repeated_spans(packed, window, group_rows), "spans")
-    size = spans.agg(F.sum(F.octet_length("spans"))).first()[0] or 0
     by_block = spans.groupBy("block").agg(F.collect_list("spans").alias("spans"))
 
     def run(batches):
@@ -572,5 +569,5 @@ def without_repeats(docs: DataFrame, window: int = 50, group_rows: int = 200_000
                 kinds = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
                 yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(removed, kinds), pa.array(left, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
-    joined = packed.select("block", "ids", "sizes", "z").join(_small(by_block, size), "block", "left").select("ids", "sizes", "z", "spans")
+    joined = packed.select("block", "ids", "sizes", "z").join(by_block, "block", "left").select("ids", "sizes", "z", "spans")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<begin: long, end: long>>, kept binary")
