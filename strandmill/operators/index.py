@@ -1,7 +1,11 @@
 """K-mer indexes over reference sequences and statistics of them.
 
 References are ``ref_id INT, name STRING, seq STRING``; ``ref_id`` is the order of arrival. An index is one table of
-postings: ``kmer, ref_id, pos`` for diagonals, ``kmer, ref_id, frag`` for fragments.
+postings, ``kmer, ref_id, pos``. Fragments follow from positions, so those of a posting are derived where it votes and a
+k-mer is stored once, not once for each fragment that holds it.
+
+A sequence may also come in pieces, ``ref_id, at, piece``: bytes from ``at`` on, no piece being empty, so that none has to
+fit into a row.
 """
 
 from __future__ import annotations
@@ -18,8 +22,9 @@ from ..storage import written
 
 def both_strands(refs: DataFrame) -> DataFrame:
     """Each reference twice, ``name+`` and ``name-``, with ids in order of arrival."""
-    plus = refs.select((F.col("ref_id") * 2).alias("ref_id"), F.concat("name", F.lit("+")).alias("name"), "seq")
-    minus = refs.select((F.col("ref_id") * 2 + 1).alias("ref_id"), F.concat("name", F.lit("-")).alias("name"), S.revcomp(F.col("seq")).alias("seq"))
+    last = [F.col("bases")] * 2 if "bases" in refs.columns else [F.col("seq"), S.revcomp(F.col("seq")).alias("seq")]
+    plus = refs.select((F.col("ref_id") * 2).alias("ref_id"), F.concat("name", F.lit("+")).alias("name"), last[0])
+    minus = refs.select((F.col("ref_id") * 2 + 1).alias("ref_id"), F.concat("name", F.lit("-")).alias("name"), last[1])
     return plus.unionByName(minus)
 
 
@@ -31,7 +36,7 @@ def positions(refs: DataFrame, k: int, encoder: str = "dna", sigma: int = 4, str
     return found.select("kmer", "ref_id", (F.col("at").cast("long") + F.col("pos")).alias("pos"))
 
 
-def fragments_of(pos, n_kmers, length: int, stride: int):
+def fragments_of(pos: Column, length: int, stride: int) -> Column:
     """Fragments that hold the k-mer at ``pos``: they start every ``stride`` k-mers and the last ones are short."""
     first = F.greatest(F.lit(0), F.floor((pos - length) / stride).cast("int") + 1)
     return F.sequence(first, F.floor(pos / stride).cast("int"))
@@ -62,26 +67,59 @@ def numbered(rows: DataFrame, key: str, order: list[str], name: str) -> DataFram
 
 def fragment_table(refs: DataFrame, cfg: MapConfig) -> DataFrame:
     """``ref_id, name, ordinal, frag_start, n_frags``: the fragments of each reference in one global numbering."""
-    n = F.greatest(F.octet_length("seq") - cfg.k + 1, F.lit(0))
+    n = F.greatest(bases_of(refs) - cfg.k + 1, F.lit(0))
     counted = refs.select("ref_id", "name", F.ceil(n / cfg.stride).cast("int").alias("n_frags"))
     return running(counted, ["ref_id"], ordinal=F.lit(1), frag_start="n_frags").select("ref_id", "name", "ordinal", "frag_start", "n_frags")
 
 
+def bases_of(refs: DataFrame) -> Column:
+    """The lengths of references with their sequences, or with ``bases``."""
+    return F.col("bases") if "bases" in refs.columns else F.octet_length("seq")
+
+
 def postings(refs: DataFrame, cfg: MapConfig) -> DataFrame:
     """The index's postings; ``refs`` as indexed, so with both strands already if those are wanted."""
-    rows = positions(refs, cfg.k, cfg.encoder, cfg.sigma)
-    if cfg.fragments:
-        frag = F.explode(fragments_of(F.col("pos"), None, cfg.jc_frag_len, cfg.stride))
-        rows = rows.select("kmer", "ref_id", frag.alias("frag"))
+    return _rare(positions(refs, cfg.k, cfg.encoder, cfg.sigma), cfg)
+
+
+def _rare(rows: DataFrame, cfg: MapConfig) -> DataFrame:
     if cfg.max_occ:
-        rare = histogram(rows).where(F.col("n") <= cfg.max_occ).select("kmer")
+        rare = histogram(rows, cfg).where(F.col("n") <= cfg.max_occ).select("kmer")
         rows = rows.join(rare, "kmer", "left_semi")
     return rows
 
 
-def histogram(rows: DataFrame) -> DataFrame:
-    """``kmer, n``: postings of each k-mer that has any."""
-    return rows.groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
+def whole_pieces(pieces: DataFrame, k: int) -> DataFrame:
+    """``ref_id, at, own, piece``: pieces with the k - 1 bytes that follow them, ``own`` being the bytes before those. What
+    meets in order is the beginnings of pieces, one short row each."""
+    head = pieces.select("ref_id", "at", F.substring("piece", 1, max(1, k - 1)).alias("head"))
+    later = Window.partitionBy("ref_id").orderBy("at").rowsBetween(1, max(1, k - 1))
+    tails = head.select(F.col("ref_id").alias("of"), F.col("at").alias("of_at"), F.collect_list("head").over(later).alias("heads"))
+    tail = F.substring(F.aggregate("heads", F.lit(bytearray()), lambda a, h: F.concat(a, h)), 1, k - 1)
+    joined = pieces.join(tails, (F.col("ref_id") == F.col("of")) & (F.col("at") == F.col("of_at")))
+    return joined.select("ref_id", "at", F.octet_length("piece").alias("own"), F.concat("piece", tail).alias("piece"))
+
+
+def piece_postings(pieces: DataFrame, refs: DataFrame, cfg: MapConfig) -> DataFrame:
+    """``postings`` of references in pieces, ``refs`` having their ``bases``; with ``fr`` of both strands, numbered as by
+    ``both_strands``."""
+    whole = whole_pieces(pieces, cfg.k)
+    found = whole.select("ref_id", "at", F.posexplode(S.kmers(F.col("piece"), cfg.k)).alias("i", "kmer"))
+    plus = found.select("kmer", (F.col("ref_id") * 2 if cfg.fr else F.col("ref_id")).alias("ref_id"), (F.col("at") + F.col("i")).alias("pos"))
+    if not cfg.fr:
+        return _rare(plus, cfg)
+    length = F.octet_length("piece")
+    back = whole.select("ref_id", "at", length.alias("m"), F.posexplode(S.kmers(F.col("piece"), cfg.k, True)).alias("i", "kmer")).join(refs.select("ref_id", "bases"), "ref_id")
+    minus = back.select("kmer", (F.col("ref_id") * 2 + 1).alias("ref_id"), (F.col("bases") - F.col("at") - F.col("m") + F.col("i")).alias("pos"))
+    return _rare(plus.unionByName(minus), cfg)
+
+
+def histogram(rows: DataFrame, cfg: MapConfig | None = None) -> DataFrame:
+    """``kmer, n``: postings of each k-mer that has any; in fragment indexes (``cfg``) each counts once for each fragment
+    that holds it."""
+    if cfg is None or not cfg.fragments:
+        return rows.groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
+    return rows.groupBy("kmer").agg(F.sum(F.size(fragments_of(F.col("pos"), cfg.jc_frag_len, cfg.stride)).cast("long")).alias("n"))
 
 
 def offsets(rows: DataFrame) -> DataFrame:
@@ -89,11 +127,11 @@ def offsets(rows: DataFrame) -> DataFrame:
     return running(histogram(rows), ["kmer"], offset="n")
 
 
-def occupancy(rows: DataFrame) -> DataFrame:
+def occupancy(rows: DataFrame, cfg: MapConfig | None = None) -> DataFrame:
     """One row: ``min_occ, median_occ, p99_occ, max_occ`` of the k-mers' posting counts; elements n/2 and 99n/100
     (from 0) of the sorted counts, nulls for an empty index. Counts are grouped first, so what is ordered is one row
     for each different count."""
-    by_count = histogram(rows).groupBy("n").agg(F.count(F.lit(1)).alias("m"))
+    by_count = histogram(rows, cfg).groupBy("n").agg(F.count(F.lit(1)).alias("m"))
     ranked = by_count.select("n", F.sum("m").over(Window.orderBy("n")).alias("upto"), F.sum("m").over(Window.partitionBy()).alias("total"))
     at = lambda place: F.min(F.when(F.col("upto") > place, F.col("n")))
     return ranked.agg(F.min("n").alias("min_occ"), at(F.expr("total div 2")).alias("median_occ"), at(F.expr("total * 99 div 100")).alias("p99_occ"), F.max("n").alias("max_occ"))

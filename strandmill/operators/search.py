@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..config import MapConfig
 from ..functions import sequence as S
+from .index import fragments_of
 
 #: Up to so many query k-mers (12 bytes each) are broadcast to the postings; more are joined by shuffle.
 BROADCAST_KMERS = 2_000_000
@@ -59,7 +60,8 @@ def hits(queries: DataFrame, postings: DataFrame | list[DataFrame], cfg: MapConf
 def votes(found: DataFrame, cfg: MapConfig) -> DataFrame:
     """``q_id, fwd, ref_id, bin, cnt, last``: each bin's votes, and its last vote's place in the order."""
     if cfg.fragments:
-        rows = found.select("q_id", "fwd", "ref_id", F.col("frag").cast("long").alias("bin"), F.struct(F.col("j"), F.col("ref_id"), F.col("frag").cast("long").alias("pos"), F.lit(0).alias("sub")).alias("at"))
+        found = found.select("q_id", "fwd", "ref_id", "j", F.explode(fragments_of(F.col("pos"), cfg.jc_frag_len, cfg.stride)).alias("frag")).withColumn("bin", F.col("frag").cast("long"))
+        rows = found.select("q_id", "fwd", "ref_id", "bin", F.struct("j", "ref_id", F.col("bin").alias("pos"), F.lit(0).alias("sub")).alias("at"))
     else:
         b = S.diagonal_bin(F.col("pos"), F.col("j"), cfg.bw)
         rows = found.withColumn("b", b)

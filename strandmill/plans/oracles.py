@@ -79,6 +79,28 @@ def dynamic(x: str) -> str:
     return f"CAST(trunc((CASE WHEN {x} >= -2 AND {x} <= 2 THEN {fine} ELSE {coarse} END) * 15) AS INTEGER) & 15"
 
 
+def xxh64(x: str, seed: int = 42) -> str:
+    """XXH64 of the eight bytes of a number from 0, as a signed number; products and sums are taken modulo 2^64."""
+    # The first to fifth prime of the hash.
+    p1, p2, p3, p4, p5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
+    mod = "18446744073709551616::UHUGEINT"
+    wrap = lambda e: f"CAST(({e}) % {mod} AS UBIGINT)"
+    times = lambda a, b: wrap(f"CAST({a} AS UHUGEINT) * {b}::UHUGEINT")
+    plus = lambda a, b: wrap(f"CAST({a} AS UHUGEINT) + {b}::UHUGEINT")
+    rotated = lambda a, n: f"CAST(({times(a, 1 << n)} | (({a}) >> {64 - n})) AS UBIGINT)"
+    steps = [
+        ("k", times(rotated("a", 31), p1), times(x, p2)),
+        ("h", plus(times(rotated("a", 27), p1), p4), f"xor({(seed + p5 + 8) % 2**64}::UBIGINT, k)"),
+        ("h2", times("a", p2), "xor(h, h >> 33)"),
+        ("h3", times("a", p3), "xor(h2, h2 >> 29)"),
+        ("h4", "xor(a, a >> 32)", "h3"),
+    ]
+    out = "CASE WHEN h4 >= 9223372036854775808::UBIGINT THEN CAST(CAST(h4 AS HUGEINT) - 18446744073709551616::HUGEINT AS BIGINT) ELSE CAST(h4 AS BIGINT) END"
+    for name, value, of in reversed(steps):
+        out = f"(SELECT {out} FROM (SELECT {value} AS {name} FROM (SELECT {of} AS a)))"
+    return out
+
+
 def statistic(w: int) -> str:
     """The windowed t-statistic of ``z`` in order of ``p``, windows ``l`` and ``r`` of that width."""
     l, r = f"l{w}", f"r{w}"  # noqa: E741
@@ -220,6 +242,10 @@ def all_sql(edges_16: tuple[float, ...], edges_8: tuple[float, ...]) -> dict[str
         "tsv_sink": f"SELECT q_id, concat_ws(chr(9), name, qlen, ref, CASE WHEN fwd THEN '+' ELSE '-' END, pos, printf('%.6f', support)) AS line FROM ({mapping()})",
         "alignments": f"SELECT q_id, ref AS ctg, CAST(pos AS INTEGER) AS r_st, CAST(pos + qlen AS INTEGER) AS r_en, CASE WHEN fwd THEN 1 ELSE -1 END AS strand, support AS pres_frac FROM ({mapping()})",
         "map_reads": f"SELECT item_id, CASE WHEN item_id IN ({best}) THEN 1 ELSE 0 END AS n_alignments FROM benchmark",
+        "stream_reads": f"""
+            SELECT q_id AS request, nullif(ref, '*') AS ctg, CASE WHEN ref <> '*' THEN CAST(pos AS INTEGER) END AS r_st, CASE WHEN ref = '*' THEN NULL WHEN fwd THEN 1 ELSE -1 END AS strand
+            FROM ({mapping()})""",
+        "xxh64": f"SELECT item_id, {xxh64('CAST(item_id AS BIGINT)')} AS hash FROM benchmark",
         "signal_normalise": f"SELECT read_id, i, round(z, 4) AS z FROM ({z}) WHERE z < 3 AND z > -3",
         "signal_tstat": tstat,
         "quantise_static16": f"SELECT read_id, i, {_edges(edges_16, 'x')} AS level FROM ({scaled})",

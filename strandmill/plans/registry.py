@@ -18,6 +18,7 @@ from ..operators import signal as N
 from ..operators.dynamic import DynamicIndex
 from ..sources import fasta, pore_model
 from ..storage import new_path
+from ..streaming import reads as streaming
 from . import oracles
 
 
@@ -223,6 +224,17 @@ def map_reads_query(spark, d):
     return map_reads(reads, Index.of(_refs(spark, d))).select("item_id", F.size("alignment_data").alias("n_alignments"))
 
 
+def stream_reads(spark, d):
+    """The passages as a stream of files, mapped batch by batch, written once each and read back."""
+    folder = new_path(spark, "stream")
+    reads = _table(spark, d, "benchmark").select(F.lit(1).alias("channel"), F.col("item_id").cast("string").alias("read_id"), F.col("text").alias("seq"), F.col("item_id").alias("request"))
+    reads.repartition(4, "request").write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(reads.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    streaming.query_stream(stream, Index.of(_refs(spark, d)), streaming.to_parquet(f"{folder}/out"), f"{folder}/checkpoint").awaitTermination()
+    found = streaming.read_back(spark, f"{folder}/out").withColumn("a", F.get("alignment_data", F.lit(0)))
+    return found.select("request", F.col("a.ctg").alias("ctg"), F.col("a.r_st").alias("r_st"), F.col("a.strand").alias("strand"))
+
+
 def signal_normalise(spark, d):
     return N.normalise_long(_signals(spark, d)).withColumn("z", F.round("z", 4))
 
@@ -288,7 +300,7 @@ QUERIES = {
     for f in (
         map_coordinate, map_both_strands, map_coordinate_fr, map_fragment, map_fragment_compressed, map_saved_index, map_fragment_compat, fragment_table,
         encode_bytes, revcomp, kmer_extract, kmer_sql_equal, pack_posting, shard_key, ipow, split64, picoamps, xxh64, index_histogram, index_offsets, occ_profile,
-        minimizers, run_offsets, guard_short, support_threshold, strand_choice, dyn_two_batches, tsv_sink, alignments, map_reads_query,
+        minimizers, run_offsets, guard_short, support_threshold, strand_choice, dyn_two_batches, tsv_sink, alignments, map_reads_query, stream_reads,
         signal_normalise, signal_tstat, quantise_static16, quantise_static8, quantise_dynamic, quantise_deadband, trimmed_means, segment_events, squiggle,
         signal_kmers, map_signal,
     )

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.index import running
+from ..storage import written
+from .ranges import FastaRanges
+
 READ_FILES = (".fq", ".fastq", ".fq.gz", ".fastq.gz")
 SEQUENCE_FILES = (".fa", ".fasta", ".fna", ".fsa", ".fa.gz", ".fasta.gz")
 
@@ -25,6 +29,22 @@ def read_fasta(spark: SparkSession, path: str, id_name: str = "ref_id") -> DataF
     return _numbered(rows, id_name).select(id_name, "name", "seq")
 
 
+def read_pieces(spark: SparkSession, path: str, range_bytes: int = 1 << 26, piece_bytes: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
+    """``ref_id, name, bases`` and ``ref_id, at, piece`` of one or more plain FASTA files, which are read by ranges of bytes: a
+    record of any length, of one line or many, is read by as many tasks as it has ranges and never is one row. Ids
+    follow the order of names in the files (file, then place); what is in order before the first name is left out."""
+    spark.dataSource.register(FastaRanges)
+    raw = written(spark.read.format("fasta_ranges").options(path=path, range_bytes=range_bytes, piece_bytes=piece_bytes).load(), "pieces")
+    by = ["file", "start", "segment"]
+    parts = raw.groupBy(*by).agg(F.max("name").alias("name"), F.sum(F.octet_length("piece")).alias("n"))
+    new = F.col("name").isNotNull().cast("int")
+    placed = written(running(parts, by, names=new, upto="n").withColumn("ref_id", (F.col("names") + new - 1).cast("long")).where("ref_id >= 0"), "segments")
+    first = placed.groupBy("ref_id").agg(F.max("name").alias("name"), F.min("upto").alias("begin"), F.sum("n").alias("bases"))
+    offsets = placed.join(first.select("ref_id", "begin"), "ref_id").select(*by, "ref_id", (F.col("upto") - F.col("begin")).alias("offset"))
+    pieces = raw.where("octet_length(piece) > 0").join(offsets, by).select("ref_id", (F.col("offset") + F.col("at")).alias("at"), "piece")
+    return first.select("ref_id", "name", "bases"), pieces
+
+
 def _numbered(rows: DataFrame, name: str) -> DataFrame:
     """``rows`` (``file, split, at``) with their number over all files and splits in order."""
     splits = rows.groupBy("file", "split").agg(F.min("at").alias("first"), F.max("at").alias("last"))

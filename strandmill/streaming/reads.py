@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..mapper import Index, map_reads
@@ -26,6 +27,18 @@ def to_parquet(path: str) -> Callable[[DataFrame, int], None]:
     return lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/batch={n}")
 
 
-def responses(mapped: DataFrame) -> Iterator[Row]:
-    """Mapped reads one by one, a partition at a time."""
+def read_back(spark: SparkSession, path: str) -> DataFrame:
+    """What ``to_parquet`` has written, with the number of each read's ``batch``."""
+    return spark.read.parquet(path)
+
+
+def responses(mapped: DataFrame, ordered: str | None = None, by: list[str] | None = None) -> Iterator[Row]:
+    """Mapped reads one by one, a partition at a time; with ``ordered="request"`` in the order of the columns ``by``, which
+    number the requests, with ``"reverse"`` in the reverse of it, as a stack of responses gives them."""
+    if ordered not in (None, "request", "reverse"):
+        raise ValueError("ordered must be request or reverse")
+    if ordered:
+        if not by:
+            raise ValueError("an order needs the columns that number the requests")
+        mapped = mapped.orderBy(*[F.col(c).asc() if ordered == "request" else F.col(c).desc() for c in by])
     return mapped.toLocalIterator(prefetchPartitions=True)

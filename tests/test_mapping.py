@@ -220,11 +220,11 @@ def test_saved_postings_are_not_shuffled(spark, tmp_path, heavy, monkeypatch):
     index.dump(path, buckets=5)  # again, over what is there
     tables = spark.catalog.listTables()
     loaded = Index(spark, path)
-    assert len(loaded.postings) == (2 if heavy == 30 else 1) and spark.catalog.listTables() == tables
-    assert sorted(map(tuple, loaded.postings[0].union(loaded.postings[-1]).distinct().collect())) == sorted(map(tuple, index.postings[0].distinct().collect()))
+    assert len(loaded.tables) == (2 if heavy == 30 else 1) and spark.catalog.listTables() == tables
+    assert sorted(map(tuple, loaded.postings.collect())) == sorted(map(tuple, index.postings.collect()))
     asked = queries_of(spark, ["A" * 60, SEQ[10:90], rc(SEQ[30:120]), "ACGT" * 12])
     assert mapped(loaded.query_batch(asked, broadcast=0)) == mapped(loaded.query_batch(asked)) == mapped(index.query_batch(asked))
-    joined = search.hits(asked, loaded.postings[0], loaded.cfg, True, None, 0)
+    joined = search.hits(asked, loaded.tables[0], loaded.cfg, True, None, 0)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     plan = joined._jdf.queryExecution().executedPlan().toString()
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
@@ -261,6 +261,54 @@ def test_fastq(spark, tmp_path):
         fasta.read_reads(spark, str(a)).collect()
 
 
+@pytest.mark.parametrize(("range_bytes", "piece_bytes"), [(1 << 26, 1 << 20), (7, 3), (40, 11), (1, 1)])
+def test_fasta_by_ranges_of_bytes(spark, tmp_path, range_bytes, piece_bytes):
+    from strandmill.sources import fasta
+
+    r = random.Random(2)
+    word = lambda n: "".join(r.choice("ACGT") for _ in range(n))
+    (tmp_path / "in").mkdir()
+    texts = ["left out\n>r0 a comment > here\nAC GT\r\nAC\n\n>r1\n>r2\n" + word(90) + "\nN>N\n" + word(5), "", ">s0\n" + word(60) + "\n>\nACGT\n>s2 last"]
+    for i, text in enumerate(texts):
+        (tmp_path / f"in/{i}.fa").write_text(text)
+    want = []
+    for text in texts:
+        for record in ("\n" + text).split("\n>")[1:]:
+            head, _, body = record.partition("\n")
+            want.append(((head.split() or [""])[0], "".join(body.split())))
+    refs, pieces = fasta.read_pieces(spark, str(tmp_path / "in"), range_bytes, piece_bytes)
+    assert [(x.name, x.bases) for x in refs.orderBy("ref_id").collect()] == [(n, len(s)) for n, s in want]
+    found = {}
+    for x in pieces.orderBy("ref_id", "at").collect():
+        assert len(found.setdefault(x.ref_id, b"")) == x.at and 0 < len(x.piece) <= piece_bytes
+        found[x.ref_id] += x.piece
+    assert [found.get(i, b"").decode() for i in range(len(want))] == [s for _, s in want]
+    whole = spark.createDataFrame([(i, n, s) for i, (n, s) in enumerate(want)], "ref_id long, name string, seq string")
+    for cfg in (MapConfig(k=5), MapConfig(k=1), MapConfig(k=4, fr=True)):
+        direct = X.postings(X.both_strands(whole) if cfg.fr else whole, cfg)
+        assert sorted(map(tuple, X.piece_postings(pieces, refs, cfg).collect())) == sorted(map(tuple, direct.select("kmer", "ref_id", "pos").collect()))
+
+
+def test_long_record_is_read_by_many_tasks(spark, tmp_path):
+    from strandmill.sources import fasta
+
+    (tmp_path / "one.fa").write_bytes(b">chromosome\n" + b"ACGTTGCA" * (40 << 17))  # one line of 40 MB
+    refs, pieces = fasta.read_pieces(spark, str(tmp_path / "one.fa"), 8 << 20)
+    assert refs.first().bases == 40 << 20 and pieces.agg(F.max(F.octet_length("piece"))).first()[0] == 1 << 20
+    assert spark.read.format("fasta_ranges").options(path=str(tmp_path / "one.fa"), range_bytes=8 << 20, piece_bytes=1 << 20).load().rdd.getNumPartitions() == 6
+    rows = X.piece_postings(pieces, refs, MapConfig(k=8)).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.col("pos") % 8), F.max("pos")).collect()
+    assert len(rows) == 8 and sum(x.n for x in rows) == (40 << 20) - 7 and {x[2] for x in rows} == {1}
+
+
+def test_fragment_index_stores_positions(spark):
+    refs = refs_of(spark, [("a", SEQ), ("b", SEQ[::-1])])
+    cfg = MapConfig(k=10, jaccard=True, jc_frag_len=30, jc_frag_ovlp_len=20)
+    index = Index.of(refs, cfg)
+    assert sorted(map(tuple, index.postings.collect())) == sorted(map(tuple, Index.of(refs, MapConfig(k=10)).postings.collect()))
+    frags = [(k, f) for s in (SEQ, SEQ[::-1]) for i, k in enumerate(kmers(s.encode(), 10)) for f in range(17) if 10 * f <= i < 10 * f + 30]
+    assert index.stats.first().max_occ == max(sum(1 for x, _ in frags if x == k) for k, _ in frags)
+
+
 def test_files_and_command_line(spark, tmp_path):
     fa, q, out = tmp_path / "r.fa", tmp_path / "q.fa", tmp_path / "out"
     fa.write_text(f">r0 first\n{SEQ[:70]}\n{SEQ[70:]}\n>r1\n{SEQ[::-1]}\n")
