@@ -2,12 +2,37 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import drop_written, new_path, written
 
-__all__ = ["Recent", "components", "drop_written", "new_path", "salted_rank", "written"]
+__all__ = ["Recent", "components", "drop_written", "new_path", "salted_rank", "whole_groups", "written"]
+
+
+def whole_groups(batches, keys: int, rows: int = 1 << 15):
+    """Arrow batches of a sorted partition as tables of about ``rows`` rows that cut no group, a group being rows of equal
+    first ``keys`` columns (numbers). So a worker holds some groups, and no partition."""
+    held, n = [], 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        n += b.num_rows
+        if n < rows:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        new = np.zeros(n - 1, bool)
+        for c in table.columns[:keys]:
+            new |= np.diff(c.to_numpy()) != 0
+        cut = int(np.flatnonzero(new)[-1]) + 1 if new.any() else 0
+        if cut:
+            yield table.slice(0, cut)
+        held, n = table.slice(cut).to_batches(), n - cut
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 class Recent(dict):

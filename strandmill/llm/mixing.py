@@ -23,6 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from ..operators.index import running
 from .common import salted_rank, written
@@ -101,9 +102,11 @@ def targets(totals: DataFrame, weights: tuple[float, ...], share: float, most: f
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 9) -> DataFrame:
-    """``(doc_id, size, source_size, target, taken)``, one row per document; ``taken`` counts words, repeats included."""
+    """``(doc_id, size, source_size, target, taken)``, one row per document; ``taken`` counts words, repeats included.
+    ``doc_id`` may be a number or bytes."""
+    doc_id = F.col("doc_id") if isinstance(docs.schema["doc_id"].dataType, BinaryType) else F.col("doc_id").cast("long").alias("doc_id")
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"))
+    sized = docs.select(doc_id, F.col("source").cast("string").alias("source"), size.alias("size"))
     sized = written(sized.withColumn("at", F.monotonically_increasing_id()), "sizes")
     histogram = written(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "lengths")
     totals = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))

@@ -1,11 +1,13 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more link.
 
 SimHash fingerprints of ``BITS`` bits propose pairs through the Gray-order index, and the whole sets, made from the
-texts, decide. Rows of equal sets are one node, so copies are never expanded into pairs. A pair at the similarity is
-proposed if its fingerprints meet in a route (``RECALL`` of the pairs at 0.8, more of closer ones) and differ in no more
-than ``DEVIATIONS`` standard deviations over what is expected there (all but one of 30,000). Sets of few shingles lie further
-apart, so ``SIZES`` gives the share of differing bits by size; sets of under four shingles are alike only where they
-are equal.
+texts, decide. Rows of equal sets are one node, so copies are never expanded into pairs. The index's routes are ``BANDS``
+bands of ``BAND`` minimum hashes of the sets each: sets of similarity s share a band's key with probability ``s ** BAND``,
+so 999 of 1,000 pairs at 0.8 meet, more of closer ones, and unlike sets don't, however many there are. Bands and key
+length are the same at every size. Keys and node numbers alone are dealt out first; keys of a single node, which are most,
+end there, and fingerprints join what is left. In a group pairs are proposed that differ in no more than ``DEVIATIONS``
+standard deviations over what is expected at 0.8 (all but one of 30,000). Sets of few shingles lie further apart, so
+``SIZES`` gives the share of differing bits by size; sets of under four shingles are alike only where they are equal.
 
 Only a spanning forest of the proposed pairs leaves the search, surely alike ones first. Those are checked one by one.
 What the forest connects is a group; where a group holds several classes of checked links, the sets of its largest class
@@ -13,7 +15,7 @@ and of all others meet block by block, and every pair of different classes is co
 more rows than sets and blocks, and no pair of a group is missed for the sake of another.
 
 Defined results: null and empty texts have equal sets; a text of fewer words than a shingle has one shingle, the whole.
-Sets are known by 64-bit hashes, their size included.
+Shingles are known by 64-bit hashes, sets by 128-bit ones of those.
 """
 
 from __future__ import annotations
@@ -25,10 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Recent, components, drop_written, written
-from .simhash import SEED, Labels, expected_diff, links, majority, sampled_routes_for
+from .simhash import SEED, Labels, expected_diff, linked, majority
 
 WIDTH, SIMILARITY = 5, 0.8
-BITS, DEVIATIONS, RECALL, ROWS = 1024, 4.0, 0.999, 256
+BITS, DEVIATIONS = 1024, 4.0
+BANDS, BAND = 14, 4
+#: Shingles whose minimum hashes are computed at once.
+STEP = 4096
 #: Sizes from, to (exclusive), and the most of their bits that differ on average between sets that link. Four shingles
 #: that are 2 to 2 and a fifth against them: 6/16 / 2; 12 of 15 shingles and larger sets: less than 0.162.
 SIZES = ((4, 6, 0.1875), (5, 1 << 62, 0.162))
@@ -55,9 +60,20 @@ def shingle_set(text: str | None, known: Recent) -> np.ndarray:
     return np.unique(out ^ out >> np.uint64(32))
 
 
-def node_of(own: np.ndarray) -> int:
+def node_of(own: np.ndarray) -> bytes:
     """What rows of equal sets have in common."""
-    return xxhash.xxh64_intdigest(own.tobytes(), len(own)) - (1 << 63)
+    return xxhash.xxh3_128_digest(own.tobytes(), len(own))
+
+
+def band_keys(own: np.ndarray) -> list[int]:
+    """One key for each band: a hash of the band's minimum hashes over the set."""
+    salt = np.arange(1, BANDS * BAND + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    least = np.full(BANDS * BAND, ~np.uint64(0))
+    for at in range(0, len(own), STEP):
+        x = (own[at : at + STEP, None] ^ salt) * _STEP
+        x = (x ^ x >> np.uint64(32)) * np.uint64(0xBF58476D1CE4E5B9)
+        least = np.minimum(least, (x ^ x >> np.uint64(29)).min(axis=0))
+    return [xxhash.xxh64_intdigest(b.tobytes(), SEED) - (1 << 63) for b in least.reshape(BANDS, BAND)]
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -74,19 +90,23 @@ def _slices(batches, rows: int = 256):
 
 
 def _nodes(docs: DataFrame, names: list[str]) -> DataFrame:
-    """``node, size, fp, least``: different sets, and the smallest row of each by ``names``."""
+    """``node, size, fp, keys, least``: different sets, numbered, and the smallest row of each by ``names``."""
 
     def run(batches):
         known = memory()
         for b in _slices(batches):
             own = [shingle_set(t, known) for t in b.column(0).to_pylist()]
-            made = [pa.array([node_of(s) for s in own], pa.int64()), pa.array([len(s) for s in own], pa.int64()), pa.array([majority(s, BITS) for s in own], pa.binary())]
-            yield pa.RecordBatch.from_arrays(made + b.columns[1:], names=["node", "size", "fp", *names])
+            made = [
+                pa.array([node_of(s) for s in own], pa.binary()), pa.array([len(s) for s in own], pa.int64()),
+                pa.array([majority(s, BITS) for s in own], pa.binary()), pa.array([band_keys(s) for s in own], pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays(made + b.columns[1:], names=["digest", "size", "fp", "keys", *names])
 
     rows = docs.select(F.col("text").cast("string"), *names)
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    rows = rows.mapInArrow(run, f"node long, size long, fp binary, {types}")
-    return rows.groupBy("node").agg(F.min("size").alias("size"), F.min("fp").alias("fp"), F.min(F.struct(*names)).alias("least"))
+    rows = rows.mapInArrow(run, f"digest binary, size long, fp binary, keys array<long>, {types}")
+    met = rows.groupBy("digest").agg(F.min("size").alias("size"), F.min("fp").alias("fp"), F.min("keys").alias("keys"), F.min(F.struct(*names)).alias("least"))
+    return met.drop("digest").withColumn("node", F.monotonically_increasing_id())
 
 
 def _sets(docs: DataFrame, row: str, nodes: DataFrame) -> DataFrame:
@@ -96,12 +116,12 @@ def _sets(docs: DataFrame, row: str, nodes: DataFrame) -> DataFrame:
         known = memory()
         for b in _slices(batches):
             own = [shingle_set(t, known) for t in b.column(0).to_pylist()]
-            yield pa.record_batch([pa.array([node_of(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], names=["node", "own"])
+            yield pa.record_batch([b.column(1), pa.array([s.tobytes() for s in own], pa.binary())], names=["node", "own"])
 
-    wanted = nodes.select(F.col(f"least.{row}").alias(row))
+    wanted = nodes.select(F.col(f"least.{row}").alias(row), "node")
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    texts = docs.select(row, F.col("text").cast("string").alias("text")).join(wanted, row, "left_semi").dropDuplicates([row])
-    return texts.select("text").mapInArrow(run, "node long, own binary")
+    texts = docs.select(row, F.col("text").cast("string").alias("text")).join(wanted, row).dropDuplicates([row])
+    return texts.select("text", "node").mapInArrow(run, "node long, own binary")
 
 
 def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -173,18 +193,27 @@ def _blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
     return cells.mapInArrow(run, "a long, b long")
 
 
+def _routed(nodes: DataFrame, cell_rows: int) -> DataFrame:
+    """``route, key, salts, class, fp, size`` of the nodes that share a band's key with another."""
+    keys = nodes.where(F.col("size") >= SIZES[0][0]).select("node", F.posexplode("keys").alias("route", "key"))
+    shared = keys.groupBy("route", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = written(shared.select("route", "key", F.ceil(F.col("n") / cell_rows).cast("int").alias("salts")), "groups")
+    met = keys.join(shared, ["route", "key"]).select("route", "key", "salts", "node")
+    return met.join(nodes.select("node", "fp", "size"), "node").select("route", "key", "salts", F.col("node").alias("class"), "fp", "size")
+
+
 def classes(docs: DataFrame, row: str, order: list[str], cell_rows: int = 4096) -> DataFrame:
     """``first``: of each class of near copies of ``docs`` (with ``text``), the ``row`` of the row that is smallest by the
-    columns ``order``. ``row`` is a number that only equal rows share."""
+    columns ``order``. ``row`` is something that only equal rows share."""
     nodes = written(_nodes(docs, list(dict.fromkeys([*order, row]))), "nodes")
+    routed = written(_routed(nodes, cell_rows), "routed")
     proposed = None
     for low, high, share in SIZES:
-        part = nodes.where((F.col("size") >= low) & (F.col("size") < high)).select(F.col("node").alias("class"), "fp", "size")
-        routes = sampled_routes_for(part.count(), BITS, share, RECALL, ROWS)
         sure, most = (expected_diff(share, BITS, d) for d in (-DEVIATIONS, DEVIATIONS))
-        found = links(part, most, routes, cell_rows, sure, SIMILARITY)
+        found = linked(routed.where((F.col("size") >= low) & (F.col("size") < high)), most, sure, SIMILARITY)
         proposed = found if proposed is None else proposed.unionByName(found)
     proposed = written(proposed, "proposed")
+    drop_written(routed)
     groups = written(components(proposed).select("node", F.col("component").alias("group")).distinct(), "met")
     met = written(nodes.join(groups, "node"), "members")
     sets = written(_sets(docs, row, met), "sets")

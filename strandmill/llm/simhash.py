@@ -13,8 +13,8 @@ into cells that hold two salts each, so that each two salts meet and no task get
 Within a group the fingerprints are sorted by Gray rank, which keeps similar ones together. Runs of ``FANOUT``
 become nodes that keep the bits all of them share (a mask and its pattern), runs of nodes become upper nodes, up to
 one root. The tree is joined with itself from the root: a pair of nodes carries the differences counted so far, a
-level adds those in the bits that it newly fixes, and a pair beyond ``max_diff`` is dropped with all below it. Only
-a spanning forest of a task's links leaves it. Connected components of those give the classes.
+level adds those in the bits that it newly fixes, and a pair beyond ``max_diff`` is dropped with all below it. A task
+takes some groups at a time, and only a spanning forest of their links leaves it. Connected components of those give the classes.
 
 Defined results: null and empty texts have fingerprint zero and link like others; a text of fewer words than a
 shingle has one shingle, the whole; a null ``doc_id`` gets its class's id; repeated rows stay; an empty table gives
@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, whole_groups, written
 
 FANOUT = 16
 #: Child pairs that one step of the traversal makes at most: bounds a task's memory.
@@ -250,44 +250,46 @@ def _routed(classes: DataFrame, routes: list[list[int]], names: list[str]) -> Da
     return classes.select("fp", *names).mapInArrow(run, ", ".join(["route int, key long", *(f"{c} {types[c]}" for c in names)]))
 
 
-def links(classes: DataFrame, max_diff: int, routes: list[list[int]], cell_rows: int = 4096, sure: int = -1, ratio: float = 0.0) -> DataFrame:
-    """``(a, b, sure)``: links between classes ``(class, fp)`` of distinct fingerprints that span what the links connect;
-    those of at most ``sure`` bits are taken first. With ``ratio`` classes have a ``size``, and those link of which the
-    smaller is at least so many times the other."""
+def links(classes: DataFrame, max_diff: int, routes: list[list[int]], cell_rows: int = 4096) -> DataFrame:
+    """``(a, b, sure)``: links between classes ``(class, fp)`` of distinct fingerprints that span what the links connect."""
     hot = _routed(classes, routes, []).groupBy("route", "key").count().where(F.col("count") > cell_rows)
     hot = written(hot.select("route", "key", F.ceil(F.col("count") / cell_rows).cast("int").alias("salts")), "groups")
+    routed = _routed(classes, routes, ["class", "fp"]).join(hot, ["route", "key"], "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    return linked(routed, max_diff)
+
+
+def linked(routed: DataFrame, max_diff: int, sure: int = -1, ratio: float = 0.0) -> DataFrame:
+    """The same for rows ``route, key, salts, class, fp`` whose groups are route and key, dealt into cells of two salts
+    each; links of at most ``sure`` bits are taken first. With ``ratio`` rows have a ``size``, and those link of which the
+    smaller is at least so many times the other."""
     names = ["class", "fp"] + ["size"] * (ratio > 0)
     cells = (
-        _routed(classes, routes, names).join(hot, ["route", "key"], "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
-        .withColumn("s", F.pmod(F.xxhash64("fp"), F.col("salts").cast("long")).cast("int"))
+        routed.withColumn("s", F.pmod(F.xxhash64("fp"), F.col("salts").cast("long")).cast("int"))
         .withColumn("t", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
         .select("route", "key", (F.least("s", "t") * F.col("salts") + F.greatest("s", "t")).alias("cell"), *names)
     )
 
     def run(batches):
-        tables = [b for b in batches if b.num_rows]
-        if not tables:
-            return
-        t = pa.Table.from_batches(tables)
-        del tables
-        route, key, cell, cls = (t.column(i).to_numpy() for i in range(4))
-        fp = np.frombuffer(b"".join(t.column(4).to_pylist()), ">u8").reshape(len(cls), -1).astype(np.uint64)
-        order = np.lexsort((*gray_order(fp)[::-1], cell, key, route))
-        route, key, cell, cls, fp = (x[order] for x in (route, key, cell, cls, fp))
-        size = t.column("size").to_numpy()[order] if ratio else None
-        group = np.cumsum(np.r_[0, (route[1:] != route[:-1]) | (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])])
-        _, begins, place = np.unique(cls, return_index=True, return_inverse=True)
-        labels = Labels(begins[place])
-        for limit in (sure, max_diff) if sure >= 0 else (max_diff,):
-            for x, y in near_rows(fp, group, limit, labels):
-                if ratio:
-                    fit = np.minimum(size[x], size[y]) >= ratio * np.maximum(size[x], size[y])
-                    x, y = x[fit], y[fit]
-                one = labels.link(x, y)
-                a, b = cls[x[one]], cls[y[one]]
-                yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(one), limit == sure))], names=["a", "b", "sure"])
-
-    return cells.repartition("route", "key", "cell").mapInArrow(run, "a long, b long, sure boolean").distinct()
+        for t in whole_groups(batches, 3):
+            route, key, cell, cls = (t.column(i).to_numpy() for i in range(4))
+            fp = np.frombuffer(b"".join(t.column(4).to_pylist()), ">u8").reshape(len(cls), -1).astype(np.uint64)
+            order = np.lexsort((*gray_order(fp)[::-1], cell, key, route))
+            route, key, cell, cls, fp = (x[order] for x in (route, key, cell, cls, fp))
+            size = t.column("size").to_numpy()[order] if ratio else None
+            group = np.cumsum(np.r_[0, (route[1:] != route[:-1]) | (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])])
+            _, begins, place = np.unique(cls, return_index=True, return_inverse=True)
+            labels = Labels(begins[place])
+            for limit in (sure, max_diff) if sure >= 0 else (max_diff,):
+                for x, y in near_rows(fp, group, limit, labels):
+                    if ratio:
+                        fit = np.minimum(size[x], size[y]) >= ratio * np.maximum(size[x], size[y])
+                        x, y = x[fit], y[fit]
+                    one = labels.link(x, y)
+                    a, b = cls[x[one]], cls[y[one]]
+                    yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(one), limit == sure))], names=["a", "b", "sure"])
+
+    by = ["route", "key", "cell"]
+    return cells.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a long, b long, sure boolean").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, bits: int = 64, max_diff: int = 4, distinct: bool = False, routes: Callable[[int], list[list[int]]] | None = None) -> DataFrame:
