@@ -12,7 +12,7 @@ rows like others; repeated rows are copies; an empty table stays empty.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandmill.llm import mixing, near_copies, packing, pii, quality
@@ -26,34 +26,36 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.keep(docs, model)
 
 
-def row_key(docs: DataFrame) -> Column:
-    """A number that only equal rows share, made from all columns."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    return F.xxhash64("doc_id", "text", F.col("doc_id").isNull(), F.to_json(F.struct(F.lit(0).alias("_"), *others)))
+def carried(docs: DataFrame) -> DataFrame:
+    """``doc, row``: each row whole as a struct, so that no column of it meets a name used beside it, and 16 bytes that only
+    equal rows share, two independent hashes of all columns."""
+    others = [F.col(f"doc.`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    parts = [F.col("doc.doc_id"), F.col("doc.doc_id").isNull(), F.col("doc.text"), F.to_json(F.struct(F.lit(0), *others))]
+    key = F.concat(*[F.lpad(F.hex(h), 16, "0") for h in (F.xxhash64(*parts), F.xxhash64(F.lit(7), *parts[::-1]))])
+    return docs.select(F.struct("*").alias("doc")).select("doc", F.unhex(key).alias("row"))
 
 
 def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies, the document with the smallest id, null last; among equal ids that with the
     smallest hash of its text. Near copies share eight of ten different five-word shingles or more."""
-    keyed = docs.withColumn("_row", row_key(docs))
-    ranked = keyed.select("text", "_row", F.col("doc_id").isNull().alias("_none"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"))
-    first = near_copies.classes(ranked, "_row", ["_none", "_id", "_hash"])
-    kept = keyed.join(first, F.col("_row") == F.col("first"), "left_semi")
-    return kept.dropDuplicates(["_row"]).select(*docs.columns)
+    rows = carried(docs)
+    ranked = rows.select(F.col("doc.text").alias("text"), "row", F.col("doc.doc_id").isNull().alias("none"), F.col("doc.doc_id").alias("id"), F.xxhash64("doc.text").alias("hash"))
+    first = near_copies.classes(ranked, "row", ["none", "id", "hash"])
+    return rows.join(first, F.col("row") == F.col("first"), "left_semi").dropDuplicates(["row"]).select("doc.*")
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by its kind, and ``n_chars`` that fits."""
-    return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, up to twice. Equal rows are taken together."""
-    keyed = docs.withColumn("_row", row_key(docs))
-    times = mixing.mix(keyed.select(F.col("_row").alias("doc_id"), "source", "text")).where("taken > 0")
-    times = times.groupBy("doc_id").agg(F.sum(F.expr("taken div size")).cast("int").alias("_times")).withColumnRenamed("doc_id", "_key")
-    taken = keyed.dropDuplicates(["_row"]).join(times, F.col("_row") == F.col("_key")).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times")))
-    return taken.select(*docs.columns)
+    rows = carried(docs)
+    times = mixing.mix(rows.select(F.col("row").alias("doc_id"), "doc.source", "doc.text")).where("taken > 0")
+    times = times.groupBy(F.col("doc_id").alias("of")).agg(F.sum(F.expr("taken div size")).cast("int").alias("times"))
+    taken = rows.dropDuplicates(["row"]).join(times, F.col("row") == F.col("of"))
+    return taken.select("doc", F.explode(F.sequence(F.lit(1), "times"))).select("doc.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
