@@ -8,8 +8,10 @@ in double precision. Blocks and tables grow with the vectors of a label (``shape
 vectors meet at every size and 98 of 100 pairs at cosine 0.93, more of closer ones; the tests measure it against brute
 force.
 
-Equal vectors of a label are one class with a count, so copies are never expanded into pairs. A cell with over
-``cell_rows`` vectors is dealt by a salt into sub-cells in which each two salts meet, and a pair of different salts
+Equal vectors of a label are one class with a count, so copies are never expanded into pairs; rows know theirs by the
+label and 128 bits of hash. Cells and class numbers alone are dealt out first: a cell of one class, or that is nobody's
+home, ends there, and vectors join what is left. A task takes some cells at a time. A cell with over ``cell_rows``
+vectors is dealt by a salt into sub-cells in which each two salts meet, and a pair of different salts
 counts there only. A pair that meets more than once counts where it meets first, which both vectors' cells tell. Out
 of a task come a vector's number of links and a spanning forest of the links, never the pairs.
 
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, whole_groups, written
 from .simhash import Labels
 
 PROBES = 2
@@ -160,51 +162,46 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, cell_rows: int
     plain = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
     usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.forall("v", plain) & F.exists("v", lambda x: x != 0)
     usable = F.coalesce(usable, F.lit(False))
-    classes = rows.where(usable).groupBy("label", "v").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
+    rows = rows.withColumns({"usable": usable, "k1": F.xxhash64("v"), "k2": F.xxhash64(F.lit(SEED), "v")})
+    same = ["label", "k1", "k2"]
+    classes = rows.where("usable").groupBy(*same).agg(F.first("v").alias("v"), F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
     classes = written(classes.withColumn("class", F.monotonically_increasing_id()), "vectors")
     # the label as one number, so that groups are keyed alike whatever its type
-    keyed = classes.select("class", F.xxhash64("label", F.size("v")).alias("kind"), "copies", "v")
+    keyed = classes.select("class", F.xxhash64("label", F.size("v")).alias("kind"), "v")
     shape = shape_for(keyed.groupBy("kind").count().agg(F.max("count")).first()[0] or 0)
 
-    def file(with_vectors: bool):
-        def run(batches):
-            for b in batches:
-                v = b.column(3)
-                size = np.diff(v.offsets.to_numpy())
-                flat = v.flatten().to_numpy(zero_copy_only=False)
-                at = np.r_[0, np.cumsum(size)]
-                for d in np.unique(size):
-                    own = np.flatnonzero(size == d)
-                    found = cells(unit_rows(flat[at[own][:, None] + np.arange(d)]), shape)
-                    each = shape[0] * (1 + PROBES)
-                    again = pa.array(np.repeat(own, each))
-                    columns = [
-                        b.column(1).take(again), pa.array(np.tile(np.repeat(np.arange(shape[0]), 1 + PROBES), len(own)), pa.int32()), pa.array(found.ravel()),
-                        pa.array(np.tile(np.arange(1 + PROBES) == 0, len(own) * shape[0])),
-                    ]
-                    if with_vectors:
-                        columns += [b.column(0).take(again), b.column(2).take(again), v.take(again)]
-                    yield pa.RecordBatch.from_arrays(columns, names=names[: len(columns)])
-
-        names = ["kind", "tab", "cell", "home", "class", "copies", "v"]
-        schema = "kind long, tab int, cell long, home boolean"
-        return keyed.mapInArrow(run, schema + (f", class long, copies long, v {dict(keyed.dtypes)['v']}" if with_vectors else ""))
+    def file(batches):
+        for b in batches:
+            v = b.column(2)
+            size = np.diff(v.offsets.to_numpy())
+            flat = v.flatten().to_numpy(zero_copy_only=False)
+            at = np.r_[0, np.cumsum(size)]
+            for d in np.unique(size):
+                own = np.flatnonzero(size == d)
+                found = cells(unit_rows(flat[at[own][:, None] + np.arange(d)]), shape)
+                again = pa.array(np.repeat(own, shape[0] * (1 + PROBES)))
+                columns = [
+                    b.column(1).take(again), pa.array(np.tile(np.repeat(np.arange(shape[0]), 1 + PROBES), len(own)), pa.int32()), pa.array(found.ravel()),
+                    pa.array(np.tile(np.arange(1 + PROBES) == 0, len(own) * shape[0])), b.column(0).take(again),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["kind", "tab", "cell", "home", "class"])
 
     group = ["kind", "tab", "cell"]
-    hot = file(False).groupBy(*group).count().where(F.col("count") > cell_rows)
-    hot = written(hot.select(*group, F.ceil(F.col("count") / cell_rows).cast("int").alias("salts")), "cells")
+    filed = written(keyed.select("class", "kind", "v").mapInArrow(file, "kind long, tab int, cell long, home boolean, class long"), "filed")
+    met = filed.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.max("home").alias("any_home")).where("n > 1 and any_home")
+    met = written(met.select(*group, F.ceil(F.col("n") / cell_rows).cast("int").alias("salts")), "cells")
     dealt = (
-        file(True).join(hot, group, "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+        filed.join(met, group).join(classes.select("class", "copies", "v"), "class")
         .withColumn("s", F.pmod(F.xxhash64("class"), F.col("salts").cast("long")).cast("int"))
         .withColumn("t", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
         .select(*group, (F.least("s", "t") * F.col("salts") + F.greatest("s", "t")).alias("sub"), (F.least("s", "t") == F.greatest("s", "t")).alias("same"), "s", "home", "class", "copies", "v")
     )
 
     def verify(batches):
-        tables = [b for b in batches if b.num_rows]
-        if not tables:
-            return
-        t = pa.Table.from_batches(tables).combine_chunks()
+        for t in whole_groups(batches, 4):
+            yield links_of(t)
+
+    def links_of(t):
         kind, tab, cell, sub, s, cls, copies = (t.column(c).to_numpy() for c in ("kind", "tab", "cell", "sub", "s", "class", "copies"))
         home, same = (t.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("home", "same"))
         v = t.column("v").chunk(0)
@@ -227,17 +224,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, cell_rows: int
             unit = unit_rows(flat[begin[g][:, None] + np.arange(d)])
             _group(unit, home[g], s[g], copies[g], tab[g[0]], cell[g[0]], same[g[0]], shape, threshold, count, labels, place[g])
         linked = np.flatnonzero((count > 0) | (labels.of != np.arange(len(names))))
-        yield pa.record_batch([pa.array(names[linked]), pa.array(names[labels.of[linked]]), pa.array(count[linked])], names=["a", "b", "n"])
+        return pa.record_batch([pa.array(names[linked]), pa.array(names[labels.of[linked]]), pa.array(count[linked])], names=["a", "b", "n"])
 
-    found = written(dealt.repartition(*group, "sub").mapInArrow(verify, "a long, b long, n long"), "links")
+    found = written(dealt.repartition(*group, "sub").sortWithinPartitions(*group, "sub").mapInArrow(verify, "a long, b long, n long"), "links")
     counts = found.groupBy("a").agg(F.sum("n").alias("n"))
     reached = components(found.select("a", "b"))
     named = (
         classes.join(counts, classes["class"] == counts.a, "left").join(reached, F.col("class") == reached.node, "left")
-        .select("label", "v", "first_id", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "class").alias("component"))
+        .select(*same, "first_id", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "class").alias("component"))
     )
     smallest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = named.join(smallest, "component").select("label", "v", "n_links", "component_id")
-    linked = rows.where(usable).join(named, ["label", "v"]).select("vec_id", "n_links", "component_id")
-    alone = rows.where(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    named = named.join(smallest, "component").select(*same, "n_links", "component_id")
+    linked = rows.where("usable").join(named, same).select("vec_id", "n_links", "component_id")
+    alone = rows.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
