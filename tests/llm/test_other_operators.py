@@ -440,10 +440,11 @@ def test_registered_queries_have_their_columns(spark, small):
     expected = {
         "op2_simhash": "doc_id fingerprint component_id", "op4_pii": "doc_id n_email n_ip n_card n_phone base_sha256 spans", "op5_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
         "op6_warc": "page_id payload_bytes payload_digest record_type refers_to", "op7_lattice": "vec_id n_links component_id kept", "op8_topk": "query_id rank vec_id score", "op9_mixing": "doc_id size source_size target taken",
+        "op11_vector_codes": "vec_id code error label_error codebooks_sha256", "op12_repeated_passages": "doc_id n_bytes n_removed n_spans kept_sha256", "op13_spelling": "word form root n n_near form_n",
     }
     for name, columns in expected.items():
         assert queries.QUERIES[name](spark, small).columns == columns.split(), name
-    assert len(queries.QUERIES) == 10
+    assert len(queries.QUERIES) == 13
     assert pd.DataFrame(queries.op7_lattice(spark, small).dtypes).loc[3, 1] == "boolean"
 
 
@@ -507,3 +508,71 @@ def test_rows_under_null_and_repeated_ids_stay(spark):
     assert found == sorted([(0, text(k)) for k in range(4)] + [(7, text(k)) for k in range(4, 8)] + [(1, text(9))])
     mixed = [x.text for x in pipeline.mix(spark, kept, "").collect()]
     assert set(mixed) == {text(k) for k in (*range(8), 9)} and max(map(mixed.count, mixed)) == 2
+
+
+#: Names that stages use beside the documents' columns.
+BESIDE = "row first doc of times none id hash a b at size fp node keys least key route salts rank group label base extra n own kept judged _row _key _copy _times col".split()
+
+
+def test_stages_carry_columns_of_any_name(spark):
+    import corpus_pipeline as pipeline
+
+    text = lambda k: " ".join(f"w{k}_{i}" for i in range(40))
+    plain = [(k, text(k % 9), "en", f"s{k % 2}", 1) for k in range(12)] + [(None, None, None, None, None), (30, "", "en", "s1", 0), (5, text(5), "en", "s1", 1)]
+    extra = [f"`{c}` string" for c in BESIDE] + ["`with space` map<string,int>", "`a.b` int"]
+    rows = [(*x, *(f"{c}{i}" for c in BESIDE), {"k": i}, i) for i, x in enumerate(plain)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(extra))
+    given = {x[5]: x[5:] for x in rows}
+    for name, stage in pipeline.STAGES[1:4]:
+        found = stage(spark, docs, "")
+        assert found.columns == docs.columns, name
+        found = found.collect()
+        assert found and all(tuple(x)[5:] == given[x[5]] for x in found), name
+        if name == "near_copies":
+            assert sorted((x.doc_id is None, x.doc_id) for x in found) == [(False, k) for k in range(9)] + [(False, 30)]
+
+
+@pytest.mark.parametrize("bands", [3, 14])
+def test_band_keys_meet_as_often_as_they_should(bands, monkeypatch):
+    from strandmill.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "BANDS", bands)
+    r = np.random.default_rng(2)
+    for similarity in (0.3, 0.8):
+        met = []
+        for _ in range(400):
+            both, alone = round(300 * similarity), round(300 * (1 - similarity) / 2)
+            x = r.integers(0, 1 << 63, both + 2 * alone, dtype=np.uint64)
+            a, b = np.sort(x[: both + alone]), np.sort(np.r_[x[:both], x[both + alone :]])
+            met.append(any(p == q for p, q in zip(near_copies.band_keys(a), near_copies.band_keys(b))))
+        assert abs(np.mean(met) - (1 - (1 - similarity**near_copies.BAND) ** bands)) < 0.08
+
+
+def test_whole_groups_cut_no_group():
+    import pyarrow as pa
+
+    r = np.random.default_rng(1)
+    a, b = np.sort(r.integers(0, 5, 1000)), np.zeros(1000, int)
+    for k in range(5):
+        b[a == k] = np.sort(r.integers(0, 30, (a == k).sum()))
+    batches = [pa.record_batch([pa.array(a[i : i + n]), pa.array(b[i : i + n])], names=["a", "b"]) for i, n in zip(range(0, 1000, 37), [37] * 100)]
+    parts = list(common.whole_groups(batches, 2, 50))
+    assert sum(t.num_rows for t in parts) == 1000 and len(parts) > 8
+    keys = [set(zip(t.column(0).to_pylist(), t.column(1).to_pylist())) for t in parts]
+    assert all(not x & y for x, y in zip(keys, keys[1:])) and list(common.whole_groups([], 2)) == []
+
+
+def test_simhash_components_on_a_table(spark):
+    from strandmill.llm import simhash
+
+    rows = queries.op2_simhash(spark, "/root/testdata/sf0.01").collect()
+    fp = np.array([int(x.fingerprint, 16) for x in rows], np.uint64)
+    near = np.bitwise_count(fp[:, None] ^ fp[None]) <= 4
+    reach = np.array([x.doc_id for x in rows])
+    while True:
+        least = np.where(near, reach[None], reach.max()).min(axis=1)
+        if (least == reach).all():
+            break
+        reach = least
+    assert [x.component_id for x in rows] == reach.tolist() and len(set(reach.tolist())) < len(rows)
+    assert all(simhash.fingerprint(r.text).hex() == x.fingerprint for r, x in zip(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").sort("doc_id").limit(50).collect(), sorted(rows, key=lambda x: x.doc_id)))
