@@ -12,7 +12,7 @@ from ..storage import drop_written, new_path, written
 __all__ = ["Recent", "components", "drop_written", "new_path", "salted_rank", "whole_groups", "written"]
 
 
-def whole_groups(batches, keys: int, rows: int = 1 << 15):
+def whole_groups(batches, keys: int, rows: int = 1 << 13):
     """Arrow batches of a sorted partition as tables of about ``rows`` rows that cut no group, a group being rows of equal
     first ``keys`` columns (numbers). So a worker holds some groups, and no partition."""
     held, n = [], 0

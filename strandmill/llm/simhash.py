@@ -37,7 +37,7 @@ from .common import components, whole_groups, written
 
 FANOUT = 16
 #: Child pairs that one step of the traversal makes at most: bounds a task's memory.
-STEP = 1 << 21
+STEP = 1 << 19
 SEED = 42
 #: Bits of one place that a byte can count.
 RUN = 255
