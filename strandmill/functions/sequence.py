@@ -6,8 +6,11 @@ are sequences too: texts of one hexadecimal digit per sample, whose codes are th
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +21,8 @@ LETTERS, COMPLEMENT_CODES = "ACTG", "2301"
 
 #: K-mers that one stretch of a sequence has at most.
 STRETCH = 1 << 20
+#: K-mers that an Arrow batch has at most, and bytes of those pieces whose k-mers are held at once, or one piece.
+BATCH = 1 << 18
 
 
 def base_code(c: Column) -> Column:
@@ -122,15 +127,56 @@ ENCODERS = {"dna": byte_codes, "symbols": digit_codes}
 
 
 def kmers_of(code: np.ndarray, k: int, sigma: int = 4) -> np.ndarray:
-    """All k-mers of an array of codes, in k vector steps; none if it is shorter than k."""
+    """All k-mers of an array of codes, none if it is shorter than k; the lengths that k has in binary are joined."""
     n = len(code) - k + 1
     if n < 1:
         return np.zeros(0, np.int32)
-    out = np.zeros(n, np.int64)
-    for i in range(k):
-        out *= sigma
-        out += code[i : i + n]
-    return out.astype(np.int32)
+    part, size, out, length = code.astype(np.int32), 1, None, 0
+    while True:
+        if k & size:
+            out, length = (part, size) if out is None else (part[: len(part) - length] * np.int32(sigma**length) + out[size:], length + size)
+        if length == k:
+            return out
+        part = part[: len(part) - size] * np.int32(sigma**size) + part[size:]
+        size *= 2
+
+
+def grouped(pieces: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """``pieces`` (bytes) in groups of at most ``BATCH`` bytes, or of one: the first one's place, and each as an array."""
+    first, held, size = 0, [], 0
+    for row, piece in enumerate(pieces):
+        piece = np.frombuffer(piece.as_buffer(), np.uint8)
+        if held and size + len(piece) > BATCH:
+            yield first, held
+            first, held, size = row, [], 0
+        held.append(piece)
+        size += len(piece)
+    if held:
+        yield first, held
+
+
+def kmer_rows(pieces: DataFrame, k: int, reverse: bool = False, encoder: str = "dna", sigma: int = 4) -> DataFrame:
+    """Every k-mer of every ``piece`` (bytes), or of its reverse complement: the other columns, the place ``i`` in the piece
+    and ``kmer``. Batches are bounded by k-mers, not by pieces, so a worker's memory doesn't grow with its task."""
+    if reverse and encoder != "dna":
+        raise ValueError("only bases have a complement")
+    encode, kept = ENCODERS[encoder], [c for c in pieces.columns if c != "piece"]
+    schema = pieces.select(*kept).schema.add("i", T.IntegerType()).add("kmer", T.IntegerType())
+
+    def run(batches):
+        for b in batches:
+            others = b.select(kept).columns
+            for first, held in grouped(b.column("piece")):
+                found = [kmers_of(c[::-1] ^ 2 if reverse else c, k, sigma) for c in map(encode, held)]
+                lengths = [len(f) for f in found]
+                rows = np.repeat(np.arange(first, first + len(held)), lengths)
+                places, kmer = np.concatenate([np.arange(n, dtype=np.int32) for n in lengths]), np.concatenate(found)
+                for at in range(0, len(kmer), BATCH):
+                    here = slice(at, at + BATCH)
+                    row = pa.array(rows[here])
+                    yield pa.RecordBatch.from_arrays([*(c.take(row) for c in others), pa.array(places[here]), pa.array(kmer[here])], names=[*kept, "i", "kmer"])
+
+    return pieces.select(*kept, "piece").mapInArrow(run, schema)
 
 
 def kmers(seq: Column, k: int, reverse: bool = False, encoder: str = "dna", sigma: int = 4) -> Column:

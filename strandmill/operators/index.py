@@ -32,8 +32,8 @@ def positions(refs: DataFrame, k: int, encoder: str = "dna", sigma: int = 4, str
     """``kmer, ref_id, pos`` for each k-mer of each reference. Stretches of the sequences are dealt out first: a file
     with a few row groups, or one long sequence, would otherwise be cut into k-mers by as few tasks."""
     dealt = S.stretches(refs.select("ref_id", "seq"), k, stretch).repartition("ref_id", "at")
-    found = dealt.select("ref_id", "at", F.posexplode(S.kmers(F.col("piece"), k, encoder=encoder, sigma=sigma)).alias("pos", "kmer"))
-    return found.select("kmer", "ref_id", (F.col("at").cast("long") + F.col("pos")).alias("pos"))
+    found = S.kmer_rows(dealt, k, encoder=encoder, sigma=sigma)
+    return found.select("kmer", "ref_id", (F.col("at").cast("long") + F.col("i")).alias("pos"))
 
 
 def fragments_of(pos: Column, length: int, stride: int) -> Column:
@@ -104,12 +104,12 @@ def piece_postings(pieces: DataFrame, refs: DataFrame, cfg: MapConfig) -> DataFr
     """``postings`` of references in pieces, ``refs`` having their ``bases``; with ``fr`` of both strands, numbered as by
     ``both_strands``."""
     whole = whole_pieces(pieces, cfg.k)
-    found = whole.select("ref_id", "at", F.posexplode(S.kmers(F.col("piece"), cfg.k)).alias("i", "kmer"))
+    found = S.kmer_rows(whole.select("ref_id", "at", "piece"), cfg.k)
     plus = found.select("kmer", (F.col("ref_id") * 2 if cfg.fr else F.col("ref_id")).alias("ref_id"), (F.col("at") + F.col("i")).alias("pos"))
     if not cfg.fr:
         return _rare(plus, cfg)
     length = F.octet_length("piece")
-    back = whole.select("ref_id", "at", length.alias("m"), F.posexplode(S.kmers(F.col("piece"), cfg.k, True)).alias("i", "kmer")).join(refs.select("ref_id", "bases"), "ref_id")
+    back = S.kmer_rows(whole.select("ref_id", "at", length.alias("m"), "piece"), cfg.k, True).join(refs.select("ref_id", "bases"), "ref_id")
     minus = back.select("kmer", (F.col("ref_id") * 2 + 1).alias("ref_id"), (F.col("bases") - F.col("at") - F.col("m") + F.col("i")).alias("pos"))
     return _rare(plus.unionByName(minus), cfg)
 
@@ -191,14 +191,17 @@ def sequence_runs(refs: DataFrame, k: int, stretch: int | None = None) -> DataFr
 
     def run(batches):
         for b in batches:
-            found = []
-            for at, n, piece in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)):
-                begin = max(0, at - 1)
-                kmer = S.kmers_of(S.byte_codes(piece.as_py()), k)
-                new = np.r_[begin == at, kmer[1:] != kmer[:-1]] if len(kmer) else np.zeros(0, bool)
-                starts = begin + np.flatnonzero(new)
-                found.append(np.r_[starts, n] if 0 < n <= at + size else starts)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int64()))], names=["ref_id", "at", "starts"])
+            ats, ns = b.column(1).to_pylist(), b.column(2).to_pylist()
+            for first, held in S.grouped(b.column(3)):  # starts are eight bytes each, and of most bases
+                found = []
+                for at, n, piece in zip(ats[first:], ns[first:], held):
+                    begin = max(0, at - 1)
+                    kmer = S.kmers_of(S.byte_codes(piece), k)
+                    new = np.r_[begin == at, kmer[1:] != kmer[:-1]] if len(kmer) else np.zeros(0, bool)
+                    starts = begin + np.flatnonzero(new)
+                    found.append(np.r_[starts, n] if 0 < n <= at + size else starts)
+                own = b.slice(first, len(held))
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(found, pa.list_(pa.int64()))], names=["ref_id", "at", "starts"])
 
     n = F.octet_length("seq").cast("long") - (k - 1)
     dealt = S.stretches(refs.select("ref_id", n.alias("n"), "seq"), k, stretch, before=1).repartition("ref_id", "at")

@@ -35,7 +35,7 @@ def query_kmers(queries: DataFrame, cfg: MapConfig, both: bool) -> DataFrame:
     dealt = S.stretches(long, cfg.k).repartition("q_id", "at")
 
     def strand(fwd):
-        found = dealt.select("q_id", "at", "n", F.octet_length("piece").alias("m"), F.posexplode(S.kmers(F.col("piece"), cfg.k, not fwd, cfg.encoder, cfg.sigma)).alias("i", "kmer"))
+        found = S.kmer_rows(dealt.select("q_id", "at", "n", F.octet_length("piece").alias("m"), "piece"), cfg.k, not fwd, cfg.encoder, cfg.sigma)
         # what follows a piece comes before it on the other strand
         before = F.col("at") if fwd else F.col("n") - F.col("at") - F.col("m")
         return found.select("q_id", F.lit(fwd).alias("fwd"), (before + F.col("i")).alias("j"), "kmer")

@@ -464,3 +464,25 @@ def test_minimizers_and_runs_of_sequences(spark, stretch):
             runs += [(i, j, at) for j, at in enumerate(starts)]
         assert sorted(map(tuple, X.sequence_minimizers(refs, k, w, stretch).collect()), key=str) == sorted(want, key=str)
         assert sorted(map(tuple, X.sequence_runs(refs, k, stretch).collect()), key=str) == sorted(runs, key=str)
+
+
+def test_workers_hold_few_kmers_at_once(spark, monkeypatch):
+    """A task of 40 MB of sequences, whose k-mers are 160 MB: what its worker holds doesn't grow with them."""
+    began = []
+
+    def watched(raw):
+        with open("/proc/self/statm") as f:
+            held = int(f.read().split()[1]) * 4096
+        began.append(held)
+        if held - began[0] > 80 << 20:
+            raise MemoryError(f"{(held - began[0]) >> 20} MB more than at the beginning")
+        return S.byte_codes(raw)
+
+    monkeypatch.setitem(S.ENCODERS, "dna", watched)
+    refs = spark.range(100, numPartitions=1).select(F.col("id").alias("ref_id"), F.repeat(F.lit("ACGTTGCA"), 50_000).alias("seq"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        assert X.positions(refs, 15).agg(F.count("kmer"), F.max("pos")).first() == (100 * 399_986, 399_985)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
