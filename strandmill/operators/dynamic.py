@@ -100,10 +100,14 @@ class DynamicIndex:
 
     def _write(self, rows: DataFrame, names: DataFrame, first: int) -> None:
         at = self.merges + 1
-        sharded = rows.withColumn("shard", S.shard(F.col("kmer"), self.cfg.num_shard_bits))
-        # by k-mer within a shard, so that row groups without a query k-mer are left out
-        dealt = sharded.repartitionByRange("shard", "kmer", "ref_id", "pos").sortWithinPartitions("shard", "kmer")
-        dealt.write.mode("overwrite").partitionBy("shard").parquet(f"{self.path}/postings/merge={at}")
+        bits = self.cfg.num_shard_bits
+        # by k-mer within a shard, so that row groups without a query k-mer are left out; one number holds both, since Spark sorts
+        # by one number in time linear in the rows, but by two columns with comparisons
+        key = S.make64(S.shard(F.col("kmer"), bits), S.shard_key(F.col("kmer"), bits))
+        dealt = rows.select(key.alias("key"), "ref_id", "pos").repartitionByRange("key", "ref_id", "pos").sortWithinPartitions("key")
+        shard = S.high32(F.col("key")).cast("int")
+        sharded = dealt.select((F.shiftleft(S.low32(F.col("key")).cast("int"), bits).bitwiseOR(shard)).alias("kmer"), "ref_id", "pos", shard.alias("shard"))
+        sharded.write.mode("overwrite").partitionBy("shard").parquet(f"{self.path}/postings/merge={at}")
         names.write.mode("overwrite").parquet(f"{self.path}/names/{at}-{first}")
         self.merges, self.first = at, first
 

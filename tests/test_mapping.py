@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -486,3 +487,19 @@ def test_workers_hold_few_kmers_at_once(spark, monkeypatch):
         assert X.positions(refs, 15).agg(F.count("kmer"), F.max("pos")).first() == (100 * 399_986, 399_985)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_merges_sort_by_one_number(spark, tmp_path):
+    """Two columns are sorted by comparisons, one number is not."""
+    index = DynamicIndex(spark, MapConfig(k=10, num_shard_bits=3), str(tmp_path / "index"))
+    index.add("a", SEQ)
+    orders = []
+    kind = type(spark.range(0))
+    plain = kind.sortWithinPartitions
+    kind.sortWithinPartitions = lambda self, *by, **k: orders.append((by, dict(self.dtypes).get(by[0]))) or plain(self, *by, **k)
+    try:
+        index.merge()
+    finally:
+        kind.sortWithinPartitions = plain
+    assert orders[-1] == (("key",), "bigint")
+    assert sorted(map(tuple, index.postings().select("kmer", "ref_id", "pos").collect())) == sorted(map(tuple, X.positions(refs_of(spark, [("a", SEQ)]), 10).collect()))
