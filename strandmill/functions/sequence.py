@@ -155,9 +155,9 @@ def grouped(pieces: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
         yield first, held
 
 
-def kmer_rows(pieces: DataFrame, k: int, reverse: bool = False, encoder: str = "dna", sigma: int = 4) -> DataFrame:
-    """Every k-mer of every ``piece`` (bytes), or of its reverse complement: the other columns, the place ``i`` in the piece
-    and ``kmer``. Batches are bounded by k-mers, not by pieces, so a worker's memory doesn't grow with its task."""
+def kmer_rows(pieces: DataFrame, k: int, reverse: bool | str = False, encoder: str = "dna", sigma: int = 4) -> DataFrame:
+    """Every k-mer of every ``piece`` (bytes), or of its reverse complement (a column's name: where that is true): the other
+    columns, the place ``i`` in the piece and ``kmer``. Batches are bounded by k-mers, not by pieces, so a worker's memory doesn't grow with its task."""
     if reverse and encoder != "dna":
         raise ValueError("only bases have a complement")
     encode, kept = ENCODERS[encoder], [c for c in pieces.columns if c != "piece"]
@@ -166,8 +166,9 @@ def kmer_rows(pieces: DataFrame, k: int, reverse: bool = False, encoder: str = "
     def run(batches):
         for b in batches:
             others = b.select(kept).columns
+            back = b.column(reverse).to_pylist() if isinstance(reverse, str) else [reverse] * b.num_rows
             for first, held in grouped(b.column("piece")):
-                found = [kmers_of(c[::-1] ^ 2 if reverse else c, k, sigma) for c in map(encode, held)]
+                found = [kmers_of(c[::-1] ^ 2 if r else c, k, sigma) for c, r in zip(map(encode, held), back[first:])]
                 lengths = [len(f) for f in found]
                 rows = np.repeat(np.arange(first, first + len(held)), lengths)
                 places, kmer = np.concatenate([np.arange(n, dtype=np.int32) for n in lengths]), np.concatenate(found)

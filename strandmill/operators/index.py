@@ -10,6 +10,8 @@ fit into a row.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -82,6 +84,18 @@ def postings(refs: DataFrame, cfg: MapConfig) -> DataFrame:
     return _rare(positions(refs, cfg.k, cfg.encoder, cfg.sigma), cfg)
 
 
+def strand_postings(refs: DataFrame, cfg: MapConfig) -> DataFrame:
+    """``postings`` of references as they came, with ``fr`` of both strands, numbered as by ``both_strands``: the sequences are
+    dealt out once and read in both directions, so no reverse complement is ever written as text."""
+    if not cfg.fr:
+        return postings(refs, cfg)
+    cut = S.stretches(refs.select("ref_id", F.octet_length("seq").alias("n"), "seq"), cfg.k).repartition("ref_id", "at")
+    dealt = cut.select("ref_id", "at", "n", F.octet_length("piece").alias("m"), "piece", F.explode(F.array(F.lit(False), F.lit(True))).alias("back"))
+    found = S.kmer_rows(dealt, cfg.k, "back")
+    begin = F.when(F.col("back"), F.col("n") - F.col("at") - F.col("m")).otherwise(F.col("at"))
+    return _rare(found.select("kmer", (F.col("ref_id") * 2 + F.col("back").cast("int")).alias("ref_id"), (begin.cast("long") + F.col("i")).alias("pos")), cfg)
+
+
 def _rare(rows: DataFrame, cfg: MapConfig) -> DataFrame:
     if cfg.max_occ:
         rare = histogram(rows, cfg).where(F.col("n") <= cfg.max_occ).select("kmer")
@@ -127,11 +141,12 @@ def offsets(rows: DataFrame) -> DataFrame:
     return running(histogram(rows), ["kmer"], offset="n")
 
 
-def occupancy(rows: DataFrame, cfg: MapConfig | None = None) -> DataFrame:
-    """One row: ``min_occ, median_occ, p99_occ, max_occ`` of the k-mers' posting counts; elements n/2 and 99n/100
+def occupancy(rows: DataFrame | list[DataFrame], cfg: MapConfig | None = None) -> DataFrame:
+    """Of one table or several that share no k-mer, one row: ``min_occ, median_occ, p99_occ, max_occ`` of the k-mers' posting counts; elements n/2 and 99n/100
     (from 0) of the sorted counts, nulls for an empty index. Counts are grouped first, so what is ordered is one row
     for each different count."""
-    by_count = histogram(rows, cfg).groupBy("n").agg(F.count(F.lit(1)).alias("m"))
+    found = reduce(DataFrame.unionByName, [histogram(r, cfg) for r in (rows if isinstance(rows, list) else [rows])])
+    by_count = found.groupBy("n").agg(F.count(F.lit(1)).alias("m"))
     ranked = by_count.select("n", F.sum("m").over(Window.orderBy("n")).alias("upto"), F.sum("m").over(Window.partitionBy()).alias("total"))
     at = lambda place: F.min(F.when(F.col("upto") > place, F.col("n")))
     return ranked.agg(F.min("n").alias("min_occ"), at(F.expr("total div 2")).alias("median_occ"), at(F.expr("total * 99 div 100")).alias("p99_occ"), F.max("n").alias("max_occ"))

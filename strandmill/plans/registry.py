@@ -55,9 +55,10 @@ def _scaled(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _map(refs: DataFrame, queries: DataFrame, cfg: MapConfig) -> DataFrame:
+    postings = X.strand_postings(refs, cfg)
     refs = X.both_strands(refs) if cfg.fr else refs
     named = X.fragment_table(refs, cfg) if cfg.compat else refs.select("ref_id", "name")
-    return search.map_queries(queries, X.postings(refs, cfg), named, cfg)
+    return search.map_queries(queries, postings, named, cfg)
 
 
 def _rounded(mapped: DataFrame) -> DataFrame:

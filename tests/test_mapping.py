@@ -503,3 +503,11 @@ def test_merges_sort_by_one_number(spark, tmp_path):
         kind.sortWithinPartitions = plain
     assert orders[-1] == (("key",), "bigint")
     assert sorted(map(tuple, index.postings().select("kmer", "ref_id", "pos").collect())) == sorted(map(tuple, X.positions(refs_of(spark, [("a", SEQ)]), 10).collect()))
+
+
+def test_postings_of_both_strands_come_from_one_reading(spark):
+    refs = refs_of(spark, [("a", SEQ), ("é", "é" + SEQ[::-1]), ("short", "ACG")])
+    cfg = MapConfig(k=10, fr=True)
+    found = X.strand_postings(refs, cfg)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, X.postings(X.both_strands(refs), cfg).collect()))
+    assert "regexp_replace" not in found._jdf.queryExecution().optimizedPlan().toString()
