@@ -14,47 +14,62 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import MapConfig
-from ..storage import read_buckets, write_buckets
+from ..functions import sequence as S
+from ..operators.index import occupancy
+from ..storage import read_buckets, write_buckets, written
 
 #: Postings of a bucket on average, and of a k-mer in it at most.
 BUCKET_ROWS, HEAVY = 16_000_000, 4_000_000
+#: K-mers are counted by so many last bits (a mask) before they are counted one by one, where at most so many ends are frequent.
+LAST, FEW = (1 << 16) - 1, 1000
 
 
-def save_index(path: str, postings: list[DataFrame], refs: DataFrame, stats: DataFrame, cfg: MapConfig, buckets: int | None = None) -> None:
-    """Writes an index whose ``postings`` are these tables together. ``buckets`` is chosen by their rows if not given."""
+def save_index(path: str, postings: list[DataFrame], refs: DataFrame, cfg: MapConfig, buckets: int | None = None) -> None:
+    """Writes an index whose ``postings`` are these tables together. ``buckets`` is chosen by their rows if not given. The
+    postings are shuffled once, to their buckets: a count by the k-mers' last bits shows whether any can be heavy, and the
+    statistics are those of the buckets, which hold whole k-mers."""
     spark, codec = refs.sparkSession, "zstd" if cfg.compressed else "snappy"
     rows = postings[0]
     for more in postings[1:]:
         rows = rows.unionByName(more)
     order = rows.columns
-    stats.write.mode("overwrite").parquet(f"{path}/stats")
-    most = spark.read.schema(stats.schema).parquet(f"{path}/stats").first().max_occ or 0
-    heavy = most > HEAVY
-    buckets = buckets or max(1, ceil(rows.count() / BUCKET_ROWS))
+    last = F.col("kmer").bitwiseAND(F.lit(LAST))
+    counted = rows.groupBy(last.alias("last")).agg(F.count(F.lit(1)).alias("n")).collect()
+    maybe = [r["last"] for r in counted if r["n"] > HEAVY]
+    many = rows.where(last.isin(maybe)) if len(maybe) <= FEW else rows
+    many = many.groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HEAVY).select("kmer")
+    many = written(many, "heavy") if maybe else many
+    heavy = bool(maybe) and not many.isEmpty()
+    buckets = buckets or max(1, ceil(sum(r["n"] for r in counted) / BUCKET_ROWS))
     previous = spark.conf.get("spark.sql.parquet.compression.codec")
     spark.conf.set("spark.sql.parquet.compression.codec", codec)  # of tables, which take no option for it when bucketed
     try:
         if heavy:
-            many = rows.groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HEAVY).select("kmer")
             rows.join(many, "kmer", "left_semi").repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{path}/heavy")
             rows = rows.join(many, "kmer", "left_anti")
-        write_buckets(rows, f"{path}/postings", "kmer", buckets, order)
+        write_buckets(rows, f"{path}/postings", "kmer", buckets, S.make64(F.col("kmer"), F.col("ref_id")))
     finally:
         spark.conf.set("spark.sql.parquet.compression.codec", previous)
     refs.drop("seq").write.mode("overwrite").parquet(f"{path}/refs")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    layout = json.dumps({"buckets": buckets, "order": order, "schema": schema, "heavy": heavy})
-    spark.createDataFrame([(cfg.to_json(), layout)], "config string, layout string").coalesce(1).write.mode("overwrite").json(f"{path}/config")
+    layout = {"buckets": buckets, "schema": schema, "heavy": heavy}
+    occupancy(_tables(spark, path, layout), cfg).write.mode("overwrite").parquet(f"{path}/stats")
+    spark.createDataFrame([(cfg.to_json(), json.dumps(layout))], "config string, layout string").coalesce(1).write.mode("overwrite").json(f"{path}/config")
 
 
 def load_index(spark: SparkSession, path: str) -> tuple[list[DataFrame], DataFrame, DataFrame, MapConfig]:
     """Tables of postings, references and statistics, with the settings that were stored."""
     row = spark.read.schema("config string, layout string").json(f"{path}/config").first()
     cfg, layout = MapConfig.from_json(row.config), json.loads(row.layout)
-    postings = [read_buckets(spark, f"{path}/postings", layout["schema"], "kmer", layout["buckets"], layout["order"])]
+    return _tables(spark, path, layout), spark.read.parquet(f"{path}/refs"), spark.read.parquet(f"{path}/stats"), cfg
+
+
+def _tables(spark: SparkSession, path: str, layout: dict) -> list[DataFrame]:
+    """The postings in buckets, and those of heavy k-mers if there are any."""
+    postings = [read_buckets(spark, f"{path}/postings", layout["schema"], "kmer", layout["buckets"])]
     if layout["heavy"]:
         postings.append(spark.read.schema(layout["schema"]).parquet(f"{path}/heavy"))
-    return postings, spark.read.parquet(f"{path}/refs"), spark.read.parquet(f"{path}/stats"), cfg
+    return postings
 
 
 def describe(cfg: MapConfig) -> str:

@@ -489,6 +489,27 @@ def test_workers_hold_few_kmers_at_once(spark, monkeypatch):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_stored_index_writes_postings_once(spark, tmp_path):
+    """Beside the folder of the index nothing of its size is written, and its statistics are those of all postings."""
+    from strandmill.storage import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(folder.iterdir())
+    refs = refs_of(spark, [("a", SEQ * 3), ("b", SEQ[::-1])])
+    index = Index.of(refs, MapConfig(k=10))
+    index.dump(str(tmp_path / "x.cidx"))
+    assert set(folder.iterdir()) == before
+    assert Index(spark, str(tmp_path / "x.cidx")).stats.first() == index.stats.first()
+
+
+def test_postings_of_both_strands_come_from_one_reading(spark):
+    refs = refs_of(spark, [("a", SEQ), ("é", "é" + SEQ[::-1]), ("short", "ACG")])
+    cfg = MapConfig(k=10, fr=True)
+    found = X.strand_postings(refs, cfg)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, X.postings(X.both_strands(refs), cfg).collect()))
+    assert "regexp_replace" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_merges_sort_by_one_number(spark, tmp_path):
     """Two columns are sorted by comparisons, one number is not."""
     index = DynamicIndex(spark, MapConfig(k=10, num_shard_bits=3), str(tmp_path / "index"))
@@ -503,11 +524,3 @@ def test_merges_sort_by_one_number(spark, tmp_path):
         kind.sortWithinPartitions = plain
     assert orders[-1] == (("key",), "bigint")
     assert sorted(map(tuple, index.postings().select("kmer", "ref_id", "pos").collect())) == sorted(map(tuple, X.positions(refs_of(spark, [("a", SEQ)]), 10).collect()))
-
-
-def test_postings_of_both_strands_come_from_one_reading(spark):
-    refs = refs_of(spark, [("a", SEQ), ("é", "é" + SEQ[::-1]), ("short", "ACG")])
-    cfg = MapConfig(k=10, fr=True)
-    found = X.strand_postings(refs, cfg)
-    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, X.postings(X.both_strands(refs), cfg).collect()))
-    assert "regexp_replace" not in found._jdf.queryExecution().optimizedPlan().toString()
