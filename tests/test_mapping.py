@@ -524,3 +524,26 @@ def test_merges_sort_by_one_number(spark, tmp_path):
         kind.sortWithinPartitions = plain
     assert orders[-1] == (("key",), "bigint")
     assert sorted(map(tuple, index.postings().select("kmer", "ref_id", "pos").collect())) == sorted(map(tuple, X.positions(refs_of(spark, [("a", SEQ)]), 10).collect()))
+
+
+def test_batches_of_runs_are_bounded(spark, monkeypatch):
+    """A task of 5 MB of bases, nearly each of which begins a run: starts leave its worker some at a time."""
+    whole, most = type(spark.range(0)).mapInArrow, 16 * S.BATCH
+
+    def watched(self, run, *args, **more):
+        def bounded(batches):
+            for b in run(batches):
+                if b.nbytes > most:
+                    raise MemoryError(f"a batch of {b.nbytes >> 20} MB")
+                yield b
+
+        return whole(self, bounded, *args, **more)
+
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", watched)
+    refs = spark.range(100, numPartitions=1).select(F.col("id").alias("ref_id"), F.repeat(F.lit("ACGT"), 12_500).alias("seq"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        assert X.sequence_runs(refs, 1).agg(F.count("run"), F.max("start")).first() == (100 * 50_001, 50_000)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
