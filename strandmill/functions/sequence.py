@@ -6,7 +6,7 @@ are sequences too: texts of one hexadecimal digit per sample, whose codes are th
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -158,28 +158,49 @@ def grouped(pieces: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
 def kmer_rows(pieces: DataFrame, k: int, reverse: bool | str = False, encoder: str = "dna", sigma: int = 4) -> DataFrame:
     """Every k-mer of every ``piece`` (bytes), or of its reverse complement (a column's name: where that is true): the other
     columns, the place ``i`` in the piece and ``kmer``. Batches are bounded by k-mers, not by pieces, so a worker's memory doesn't grow with its task."""
+    kinds = T.StructType().add("i", T.IntegerType()).add("kmer", T.IntegerType())
+
+    def made(code):
+        kmer = kmers_of(code, k, sigma)
+        return np.arange(len(kmer), dtype=np.int32), kmer
+
+    return piece_rows(pieces, kinds, made, reverse, encoder)
+
+
+def piece_rows(pieces: DataFrame, kinds: T.StructType, made: Callable[[np.ndarray], tuple[np.ndarray, ...]], reverse: bool | str = False, encoder: str = "dna") -> DataFrame:
+    """``kmer_rows``, with other rows ``made`` of a piece's codes: an array for each column of ``kinds``."""
     if reverse and encoder != "dna":
         raise ValueError("only bases have a complement")
-    encode, kept = ENCODERS[encoder], [c for c in pieces.columns if c != "piece"]
-    schema = pieces.select(*kept).schema.add("i", T.IntegerType()).add("kmer", T.IntegerType())
+    encode, kept, names = ENCODERS[encoder], [c for c in pieces.columns if c != "piece"], kinds.names
+    schema = T.StructType([*pieces.select(*kept).schema.fields, *kinds.fields])
 
     def run(batches):
         for b in batches:
             others = b.select(kept).columns
             back = b.column(reverse).to_pylist() if isinstance(reverse, str) else [reverse] * b.num_rows
             for first, held in grouped(b.column("piece")):
-                found = [kmers_of(c[::-1] ^ 2 if r else c, k, sigma) for c, r in zip(map(encode, held), back[first:])]
-                lengths = [len(f) for f in found]
-                rows = np.repeat(np.arange(first, first + len(held)), lengths)
-                places, kmer = np.concatenate([np.arange(n, dtype=np.int32) for n in lengths]), np.concatenate(found)
-                for at in range(0, len(kmer), BATCH):
+                found = [made(c[::-1] ^ 2 if r else c) for c, r in zip(map(encode, held), back[first:])]
+                rows = np.repeat(np.arange(first, first + len(held)), [len(f[0]) for f in found])
+                columns = [np.concatenate(c) for c in zip(*found)]
+                for at in range(0, len(rows), BATCH):
                     here = slice(at, at + BATCH)
                     row = pa.array(rows[here])
-                    yield pa.RecordBatch.from_arrays([*(c.take(row) for c in others), pa.array(places[here]), pa.array(kmer[here])], names=[*kept, "i", "kmer"])
+                    yield pa.RecordBatch.from_arrays([*(c.take(row) for c in others), *(pa.array(c[here]) for c in columns)], names=[*kept, *names])
 
     return pieces.select(*kept, "piece").mapInArrow(run, schema)
 
 
+def leftmost_minima(keys: np.ndarray, w: int) -> np.ndarray:
+    """Place of the leftmost smallest of each ``w`` consecutive keys, which are below 2^31."""
+    least = keys.astype(np.int64) << 32 | np.arange(len(keys))
+    reach = 1
+    while reach < w:
+        step = min(reach, w - reach)
+        least = np.minimum(least[: max(0, len(least) - step)], least[step:])
+        reach += step
+    return least & 0xFFFFFFFF
+
+
 def kmers(seq: Column, k: int, reverse: bool = False, encoder: str = "dna", sigma: int = 4) -> Column:
     """All k-mers of a sequence (text or bytes), or of its reverse complement, as an array in order of position. In
     time linear in the sequence's length, which substrings of one long string are not."""

@@ -1,7 +1,7 @@
 """K-mer indexes over reference sequences and statistics of them.
 
-References are ``ref_id INT, name STRING, seq STRING``; ``ref_id`` is the order of arrival. An index is one table of
-postings, ``kmer, ref_id, pos``. Fragments follow from positions, so those of a posting are derived where it votes and a
+References are ``ref_id INT, name STRING, seq STRING``; ``ref_id`` is the order of arrival. Postings are ``kmer, ref_id, pos``;
+what is written holds them as spans (``functions.spans``). Fragments follow from positions, so those of a posting are derived where it votes and a
 k-mer is stored once, not once for each fragment that holds it.
 
 A sequence may also come in pieces, ``ref_id, at, piece``: bytes from ``at`` on, no piece being empty, so that none has to
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..config import MapConfig
 from ..functions import sequence as S
+from ..functions import spans as R
 from ..storage import written
 
 
@@ -103,6 +104,43 @@ def _rare(rows: DataFrame, cfg: MapConfig) -> DataFrame:
     return rows
 
 
+def span_positions(refs: DataFrame, k: int, share: tuple[int, int] | None = None) -> DataFrame:
+    """``positions`` of bases as spans; of a share ``(r, of)`` those that fall to it."""
+    dealt = S.stretches(refs.select("ref_id", "seq"), k).repartition("ref_id", "at")
+    return _placed(R.span_rows(dealt, k, share=share), "ref_id", F.col("at"))
+
+
+def strand_spans(refs: DataFrame, cfg: MapConfig, share: tuple[int, int] | None = None) -> DataFrame:
+    """``strand_postings`` as spans; of a share ``(r, of)`` those that fall to it."""
+    cut = S.stretches(refs.select("ref_id", F.octet_length("seq").cast("long").alias("total"), "seq"), cfg.k).repartition("ref_id", "at")
+    return _rare_spans(_dealt_spans(cut, cfg, share), cfg)
+
+
+def piece_spans(pieces: DataFrame, refs: DataFrame, cfg: MapConfig, share: tuple[int, int] | None = None) -> DataFrame:
+    """``piece_postings`` as spans; of a share ``(r, of)`` those that fall to it."""
+    whole = whole_pieces(pieces, cfg.k).select("ref_id", "at", "piece")
+    if cfg.fr:
+        whole = whole.join(refs.select("ref_id", F.col("bases").alias("total")), "ref_id")
+    return _rare_spans(_dealt_spans(whole, cfg, share), cfg)
+
+
+def _dealt_spans(dealt: DataFrame, cfg: MapConfig, share: tuple[int, int] | None) -> DataFrame:
+    """Spans of ``ref_id, at, piece``, and with ``fr`` ``total``, the bases of the whole reference."""
+    if not cfg.fr:
+        return _placed(R.span_rows(dealt.select("ref_id", "at", "piece"), cfg.k, False, cfg.encoder, cfg.sigma, share), "ref_id", F.col("at"))
+    both = dealt.select("ref_id", "at", "total", F.octet_length("piece").alias("m"), "piece", F.explode(F.array(F.lit(False), F.lit(True))).alias("back"))
+    begin = F.when(F.col("back"), F.col("total") - F.col("at") - F.col("m")).otherwise(F.col("at"))
+    return _placed(R.span_rows(both, cfg.k, "back", share=share), F.col("ref_id") * 2 + F.col("back").cast("int"), begin)
+
+
+def _placed(found: DataFrame, ref_id: Column | str, begin: Column) -> DataFrame:
+    return found.select(*R.SPAN, (F.col(ref_id) if isinstance(ref_id, str) else ref_id).alias("ref_id"), (begin.cast("long") + F.col("i")).alias("pos"))
+
+
+def _rare_spans(rows: DataFrame, cfg: MapConfig) -> DataFrame:
+    return R.lone(_rare(R.expanded(rows, cfg.k, cfg.sigma), cfg)) if cfg.max_occ else rows
+
+
 def whole_pieces(pieces: DataFrame, k: int) -> DataFrame:
     """``ref_id, at, own, piece``: pieces with the k - 1 bytes that follow them, ``own`` being the bytes before those. What
     meets in order is the beginnings of pieces, one short row each."""
@@ -130,10 +168,12 @@ def piece_postings(pieces: DataFrame, refs: DataFrame, cfg: MapConfig) -> DataFr
 
 def histogram(rows: DataFrame, cfg: MapConfig | None = None) -> DataFrame:
     """``kmer, n``: postings of each k-mer that has any; in fragment indexes (``cfg``) each counts once for each fragment
-    that holds it."""
-    if cfg is None or not cfg.fragments:
-        return rows.groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
-    return rows.groupBy("kmer").agg(F.sum(F.size(fragments_of(F.col("pos"), cfg.jc_frag_len, cfg.stride)).cast("long")).alias("n"))
+    that holds it. Of spans (which need ``cfg``), those that are dealt by ``kmer_min`` are not dealt again."""
+    keys = ["kmer"]
+    if "kmer_min" in rows.columns:
+        rows, keys = R.expanded(rows, cfg.k, cfg.sigma) if "bases" in rows.columns else rows, ["kmer_min", "kmer"]
+    each = F.lit(1).cast("long") if cfg is None or not cfg.fragments else F.size(fragments_of(F.col("pos"), cfg.jc_frag_len, cfg.stride)).cast("long")
+    return rows.groupBy(*keys).agg(F.sum(each).alias("n")).select("kmer", "n")
 
 
 def offsets(rows: DataFrame) -> DataFrame:
@@ -169,17 +209,6 @@ def minimizers(rows: DataFrame, w: int, stretch: int = 1 << 16) -> DataFrame:
     return chosen.withColumn("before", before).where(own & (F.col("before").isNull() | (F.col("before") != F.col("pos")))).select("ref_id", "pos")
 
 
-def leftmost_minima(keys: np.ndarray, w: int) -> np.ndarray:
-    """Place of the leftmost smallest of each ``w`` consecutive keys, which are below 2^31."""
-    least = keys.astype(np.int64) << 32 | np.arange(len(keys))
-    reach = 1
-    while reach < w:
-        step = min(reach, w - reach)
-        least = np.minimum(least[: max(0, len(least) - step)], least[step:])
-        reach += step
-    return least & 0xFFFFFFFF
-
-
 def sequence_minimizers(refs: DataFrame, k: int, w: int, stretch: int | None = None) -> DataFrame:
     """``minimizers`` of sequences' k-mers, found where the k-mers are made: stretches of sequences are dealt out, with a
     window more behind them and one k-mer before them, and minimizers alone come back."""
@@ -190,7 +219,7 @@ def sequence_minimizers(refs: DataFrame, k: int, w: int, stretch: int | None = N
         for b in batches:
             for row, (at, piece) in enumerate(zip(b.column(1).to_pylist(), b.column(2))):
                 begin = max(0, at - 1)
-                pos = leftmost_minima(S.kmers_of(S.byte_codes(piece.as_py()), k), w)[: at - begin + size]
+                pos = S.leftmost_minima(S.kmers_of(S.byte_codes(piece.as_py()), k), w)[: at - begin + size]
                 new = np.r_[begin == at, pos[1:] != pos[:-1]] if len(pos) else np.zeros(0, bool)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.full(new.sum(), row))), pa.array(begin + pos[new])], names=["ref_id", "pos"])
 

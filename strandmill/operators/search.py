@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..config import MapConfig
 from ..functions import sequence as S
+from ..functions import spans
 from .index import fragments_of
 
 #: Up to so many query k-mers (12 bytes each) are broadcast to the postings; more are joined by shuffle.
@@ -44,17 +45,26 @@ def query_kmers(queries: DataFrame, cfg: MapConfig, both: bool) -> DataFrame:
 
 
 def hits(queries: DataFrame, postings: DataFrame | list[DataFrame], cfg: MapConfig, both: bool, on: list[str] | None = None, broadcast: int | None = None) -> DataFrame:
-    """Query k-mers joined with equal k-mers' postings, of one table or several."""
+    """Query k-mers joined with equal k-mers' postings, of one table or several; of tables of spans (and then of all) with the
+    spans of equal least m-mers, in each of which a k-mer can stand in one place."""
     asked = query_kmers(queries, cfg, both)
     size = (long_enough(queries, cfg.k).agg(F.sum(F.octet_length("seq"))).first()[0] or 0) * (2 if both else 1)
     small = size <= (BROADCAST_KMERS if broadcast is None else broadcast)
     tables = postings if isinstance(postings, list) else [postings]
+    spanned = "kmer_min" in tables[0].columns
+    if spanned:
+        asked = spans.with_least(asked, cfg.k, cfg.sigma).withColumnRenamed("kmer", "asked")
+    key = "kmer_min" if spanned else "kmer"
     if on:
-        asked = asked.withColumn("shard", S.shard(F.col("kmer"), cfg.num_shard_bits))
+        asked = asked.withColumn("shard", S.shard(F.col(key), cfg.num_shard_bits))
         if size < min(1 << cfg.num_shard_bits, FEW_KMERS):  # with more there is hardly a shard to leave out
             shards = [row.shard for row in asked.select("shard").distinct().collect()]
             tables = [rows.where(F.col("shard").isin(shards)) for rows in tables]
-    return reduce(DataFrame.unionByName, [rows.join(F.broadcast(asked) if small else asked, on or ["kmer"]) for rows in tables])
+    found = reduce(DataFrame.unionByName, [rows.join(F.broadcast(asked) if small else asked, on or [key]) for rows in tables])
+    if not spanned:
+        return found
+    place = F.col("off") - F.col("at")
+    return found.where(spans.kmer_at(place, cfg.k, cfg.sigma) == F.col("asked")).select("q_id", "fwd", "j", F.col("asked").alias("kmer"), "ref_id", (F.col("pos") + place).alias("pos"))
 
 
 def votes(found: DataFrame, cfg: MapConfig) -> DataFrame:

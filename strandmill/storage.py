@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
@@ -56,15 +58,36 @@ def qualified(spark: SparkSession, folder: str) -> str:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
-def write_buckets(df: DataFrame, path: str, key: str, buckets: int, order: Column) -> None:
-    """``df`` as Parquet, one file for each bucket of ``key``, in the order of the number ``order``: Spark sorts by one number in
-    time linear in the rows, but by several columns with comparisons. A catalog table is made for the writing alone."""
-    spark, name = df.sparkSession, f"strandmill_{uuid.uuid4().hex}"
-    writer = df.repartition(buckets, key).sortWithinPartitions(order).write.format("parquet").mode("overwrite").bucketBy(buckets, key)
-    writer.option("path", qualified(spark, path)).saveAsTable(name)
+def write_buckets(parts: list[DataFrame], path: str, key: str, buckets: int, order: Column) -> None:
+    """``parts`` one after another as Parquet, in each one file for each bucket of ``key``, in the order of the number ``order``:
+    Spark sorts by one number in time linear in the rows, but by several columns with comparisons. What a part shuffled goes
+    with it. A catalog table is made for the writing alone."""
+    spark, name, mode = parts[0].sparkSession, f"strandmill_{uuid.uuid4().hex}", "overwrite"
+    for df in parts:
+        writer = df.repartition(buckets, key).sortWithinPartitions(order).write.format("parquet").mode(mode).bucketBy(buckets, key)
+        with settings(spark, **LEAN):
+            writer.option("path", qualified(spark, path)).saveAsTable(name)
+        mode = "append"
     spark.sql(f"DROP TABLE {name}")  # the files stay
 
 
+#: Numbers are stored as differences, and the shuffle files of an action are deleted when it has ended, not when the driver happens to collect garbage.
+LEAN = {"parquet.writer.version": "v2", "parquet.enable.dictionary": "false", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Settings of the session that hold inside."""
+    before = {name: spark.conf.get(name, None) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def read_buckets(spark: SparkSession, path: str, schema: str, key: str, buckets: int) -> DataFrame:
     """What ``write_buckets`` wrote. Joins and aggregates by ``key`` find its rows dealt out already."""
     name, place = f"strandmill_{uuid.uuid4().hex}", qualified(spark, path).replace("'", "\\'")

@@ -547,3 +547,34 @@ def test_batches_of_runs_are_bounded(spark, monkeypatch):
         assert X.sequence_runs(refs, 1).agg(F.count("run"), F.max("start")).first() == (100 * 50_001, 50_000)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_stored_index_takes_less_than_its_postings(spark, tmp_path):
+    """Neighbouring k-mers are stored together: less than 4 bytes for a posting, and a row for several of them."""
+    seq = np.random.default_rng(1).choice(np.frombuffer(b"ACGT", np.uint8), 300_000).tobytes().decode()
+    refs = refs_of(spark, [(f"r{i}", seq[a : a + 3000]) for i, a in enumerate(range(0, len(seq), 3000))])
+    path = tmp_path / "x.cidx"
+    Index.of(refs, MapConfig()).dump(str(path))
+    loaded, n = Index(spark, str(path)), 100 * 2986
+    assert sum(f.stat().st_size for f in (path / "postings").rglob("*.parquet")) < 4 * n
+    assert 3 * sum(t.count() for t in loaded.tables) < n and loaded.postings.count() == n
+
+
+@pytest.mark.parametrize("cfg", [MapConfig(k=10), MapConfig(k=9, fr=True, compressed=True), MapConfig(k=3, max_occ=40), MapConfig(k=1), MapConfig(k=5, encoder="symbols", sigma=11)])
+def test_indexes_made_in_shares_are_whole(spark, tmp_path, cfg, monkeypatch):
+    from strandmill.sources import store
+
+    r = random.Random(6)
+    seqs = ["".join(r.choice("0123456789a" if cfg.encoder == "symbols" else "ACGT") for _ in range(n)) for n in (300, 4, 0, 41, 150)] + ["A" * 80]
+    refs = refs_of(spark, [(f"r{i}", s) for i, s in enumerate(seqs)])
+    want, path = sorted(map(tuple, X.strand_postings(refs, cfg).collect())), str(tmp_path / "x.cidx")
+    monkeypatch.setattr(store, "SHARE_ROWS", 20)
+    index = Index.of(refs, cfg)
+    shares, found = [], index._found
+    monkeypatch.setattr(index, "_found", lambda share=None: shares.append(share) or found(share))
+    index.dump(path, buckets=3)
+    loaded = Index(spark, path)
+    assert sorted(map(tuple, loaded.postings.collect())) == want and loaded.stats.first() == X.occupancy(X.strand_postings(refs, cfg), cfg).first()
+    assert [s for s in shares if s] == [(i, len(shares) - 1) for i in range(len(shares) - 1)]
+    loaded.dump(str(tmp_path / "again.cidx"), buckets=2)  # of an index that was loaded
+    assert sorted(map(tuple, Index(spark, str(tmp_path / "again.cidx")).postings.collect())) == want
