@@ -26,6 +26,10 @@ def width(k: int) -> int:
     return min(6, k // 2 + 1)
 
 
+def least_length(k: int) -> int:
+    return k - width(k) + 1
+
+
 def rank(mmer: np.ndarray) -> np.ndarray:
     """The order of m-mers, below 2^31: scattered, so that the frequent ones are seldom the least."""
     return ((mmer.astype(np.uint32) * np.uint32(2654435769)) >> np.uint32(1)).astype(np.int64)
@@ -35,7 +39,7 @@ def spans_of(code: np.ndarray, k: int, sigma: int = 4, share: tuple[int, int] |
     """``i, kmer_min, bases, n, off`` of an array of codes, ``i`` being the place of the first k-mer; of a share ``(r, of)``
     those whose least m-mers fall to it."""
     w, kmer = width(k), S.kmers_of(code, k, sigma)
-    mmer = S.kmers_of(code, k - w + 1, sigma)
+    mmer = S.kmers_of(code, least_length(k), sigma)
     at = S.leftmost_minima(rank(mmer), w) if len(kmer) else np.zeros(0, np.int64)
     first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(kmer) else at
     n = np.diff(np.r_[first, len(kmer)])
@@ -60,7 +64,7 @@ def with_least(rows: DataFrame, k: int, sigma: int = 4) -> DataFrame:
     def run(batches):
         for b in batches:
             kmer = b.column("kmer").to_numpy().astype(np.int64)
-            mmer = np.stack([kmer // sigma ** (w - 1 - i) % sigma ** (k - w + 1) for i in range(w)])
+            mmer = np.stack([kmer // sigma ** (w - 1 - i) % sigma ** least_length(k) for i in range(w)])
             at = np.argmin(rank(mmer), axis=0)  # the leftmost of equals
             least = mmer[at, np.arange(len(kmer))].astype(np.int32)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(least), pa.array(at.astype(np.int8))], names=[*b.schema.names, "kmer_min", "at"])

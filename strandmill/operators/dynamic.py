@@ -1,9 +1,10 @@
 """An index that grows by batches.
 
-Added sequences are staged and can be found after ``merge``, which writes their postings to a folder of their own,
-partitioned by the k-mers' low bits (the shard), and then the batch's names. Within a merge postings are dealt by ranges
-of shard, k-mer and place, so a hot shard, or a k-mer that fills one, is many tasks' work and many files. ``compact``
-writes all merges so far as one, with one run of files a shard.
+Added sequences are staged and can be found after ``merge``, which writes their postings as spans to a folder of their own,
+partitioned by the low bits of spans' least m-mers (the shard), and then the batch's names. Within a merge spans are dealt by
+ranges of shard, m-mer and place, so a hot shard, or an m-mer that fills one, is many tasks' work and many files. ``compact``
+writes all merges so far as one, with one run of files a shard. Large merges are written in shares, one after another, so that
+what is shuffled at once is a part of what is stored.
 
 The folder of a batch's names is called after the merge and the first merge that counts with it, and is written last: a
 merge or compaction that fails changes nothing and can be called again, and an index can be opened again by its path. A
@@ -13,17 +14,24 @@ name's bases so far end. Searches look at both strands, whatever ``fr``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from math import ceil
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import MapConfig
 from ..functions import sequence as S
-from ..storage import drop_folder, finished, new_path, written
-from .index import positions, running
+from ..functions import spans as R
+from ..storage import LEAN, drop_folder, drop_written, finished, new_path, settings, written
+from .index import running
+from .index import span_positions as positions
 from .search import map_queries
 
 NAMES = "ref_id long, name string, bases long, fresh boolean"
-POSTINGS = "kmer int, ref_id long, pos long, merge int, shard int"
+SPANS = "kmer_min int, bases long, n tinyint, off tinyint, ref_id long, pos long, merge int, shard int"
+#: Merges of more bases are written in shares, and in at most so many, since each share reads all sequences.
+SHARE_BASES, SHARES = 1 << 26, 8
 
 
 class DynamicIndex:
@@ -78,8 +86,15 @@ class DynamicIndex:
             before = Window.partitionBy("name").orderBy("batch", "ord").rowsBetween(Window.unboundedPreceding, -1)
             earlier = F.coalesce(F.sum(F.octet_length("seq")).over(before), F.lit(0))
             placed = placed.join(upto, "name", "left").withColumn("base", F.coalesce("upto", F.lit(0)) + earlier)
-        rows = positions(placed.select(F.struct("ref_id", "base").alias("ref_id"), "seq"), self.cfg.k)
-        self._write(rows.select("kmer", F.col("ref_id.ref_id").alias("ref_id"), (F.col("pos") + F.col("ref_id.base")).alias("pos")), added, self.first)
+        placed = written(placed.select(F.struct("ref_id", "base").alias("ref_id"), "seq"), "placed")
+        drop_written(new)
+
+        def rows(*share):
+            found = positions(placed, self.cfg.k, *share)
+            return found.select(*R.SPAN, F.col("ref_id.ref_id").alias("ref_id"), (F.col("pos") + F.col("ref_id.base")).alias("pos"))
+
+        self._write(rows, added.agg(F.sum("bases")).first()[0] or 0, added, self.first)
+        drop_written(placed)
         self.known += added.where("fresh").count()
         self.staged = []
 
@@ -90,7 +105,9 @@ class DynamicIndex:
             return
         was, deltas = range(self.first, self.merges + 1), self._deltas()
         names = deltas.groupBy("ref_id", "name").agg(F.sum("bases").alias("bases")).withColumn("fresh", F.lit(True))
-        self._write(self.postings().select("kmer", "ref_id", "pos"), names, self.merges + 1)
+        found = self._spans().drop("shard")
+        share = lambda r=None: found.where(F.pmod(F.xxhash64("kmer_min"), F.lit(r[1])) == r[0]) if r else found
+        self._write(share, names.agg(F.sum("bases")).first()[0] or 0, names, self.merges + 1)
         if drop:
             for name in finished(self.spark, f"{self.path}/names"):
                 if int(name.split("-")[0]) in was:
@@ -98,28 +115,40 @@ class DynamicIndex:
             for merge in was:
                 drop_folder(self.spark, f"{self.path}/postings/merge={merge}")
 
-    def _write(self, rows: DataFrame, names: DataFrame, first: int) -> None:
-        at = self.merges + 1
-        bits = self.cfg.num_shard_bits
-        # by k-mer within a shard, so that row groups without a query k-mer are left out; one number holds both, since Spark sorts
-        # by one number in time linear in the rows, but by two columns with comparisons
-        key = S.make64(S.shard(F.col("kmer"), bits), S.shard_key(F.col("kmer"), bits))
-        dealt = rows.select(key.alias("key"), "ref_id", "pos").repartitionByRange("key", "ref_id", "pos").sortWithinPartitions("key")
-        shard = S.high32(F.col("key")).cast("int")
-        sharded = dealt.select((F.shiftleft(S.low32(F.col("key")).cast("int"), bits).bitwiseOR(shard)).alias("kmer"), "ref_id", "pos", shard.alias("shard"))
-        sharded.write.mode("overwrite").partitionBy("shard").parquet(f"{self.path}/postings/merge={at}")
+    def _write(self, spans: Callable[..., DataFrame], bases: int, names: DataFrame, first: int) -> None:
+        """``spans`` of a merge, all or those of a share, then its names."""
+        at, shares = self.merges + 1, min(SHARES, max(1, ceil(bases / SHARE_BASES)))
+        bits, all_bits = self.cfg.num_shard_bits, (4 ** R.least_length(self.cfg.k) - 1).bit_length()
+        rest = max(0, all_bits - bits)
+        for r in range(shares):
+            rows = spans((r, shares)) if shares > 1 else spans()
+            # by m-mer within a shard, so that row groups without one of a query are left out; one number holds both and the first
+            # bases, since Spark sorts by one number in time linear in the rows, but by several columns with comparisons
+            turned = F.shiftleft(S.shard(F.col("kmer_min"), bits), rest).bitwiseOR(S.shard_key(F.col("kmer_min"), bits))
+            keyed = rows.select(S.make64(turned, R.first_bases(self.cfg.k)).alias("key"), "bases", "n", "off", "ref_id", "pos")
+            dealt = keyed.repartitionByRange("key", "ref_id", "pos").sortWithinPartitions("key")
+            turned = S.high32(F.col("key")).cast("int")
+            shard = F.shiftright(turned, rest)
+            kmer_min = F.shiftleft(turned.bitwiseAND(F.lit((1 << rest) - 1)), bits).bitwiseOR(shard)
+            sharded = dealt.select(kmer_min.alias("kmer_min"), "bases", "n", "off", "ref_id", "pos", shard.alias("shard"))
+            with settings(self.spark, **LEAN):
+                sharded.write.mode("append" if r else "overwrite").partitionBy("shard").parquet(f"{self.path}/postings/merge={at}")
         names.write.mode("overwrite").parquet(f"{self.path}/names/{at}-{first}")
         self.merges, self.first = at, first
 
-    def postings(self) -> DataFrame:
+    def _spans(self) -> DataFrame:
         if not self.merges:
-            return self.spark.createDataFrame([], POSTINGS).drop("merge")
-        return self.spark.read.schema(POSTINGS).parquet(f"{self.path}/postings").where(F.col("merge").between(self.first, self.merges)).drop("merge")
+            return self.spark.createDataFrame([], SPANS).drop("merge")
+        return self.spark.read.schema(SPANS).parquet(f"{self.path}/postings").where(F.col("merge").between(self.first, self.merges)).drop("merge")
+
+    def postings(self) -> DataFrame:
+        """``kmer, ref_id, pos, shard``."""
+        return R.expanded(self._spans(), self.cfg.k).drop("kmer_min", "at")
 
     def query_batch(self, queries: DataFrame) -> DataFrame:
         """See ``search.map_queries``; shards that no k-mer of some few queries has are not read."""
         cfg = self.cfg.with_(jaccard=False, compressed=False)
-        return map_queries(queries, self.postings(), self.names, cfg, both=True, on=["shard", "kmer"])
+        return map_queries(queries, self._spans(), self.names, cfg, both=True, on=["shard", "kmer_min"])
 
     def query(self, seq: str, name: str = "query") -> tuple[str, bool, int, float]:
         row = self.query_batch(self.spark.createDataFrame([(0, name, seq)], "q_id long, name string, seq string")).first()

@@ -578,3 +578,25 @@ def test_indexes_made_in_shares_are_whole(spark, tmp_path, cfg, monkeypatch):
     assert [s for s in shares if s] == [(i, len(shares) - 1) for i in range(len(shares) - 1)]
     loaded.dump(str(tmp_path / "again.cidx"), buckets=2)  # of an index that was loaded
     assert sorted(map(tuple, Index(spark, str(tmp_path / "again.cidx")).postings.collect())) == want
+
+
+def test_merges_take_less_than_their_postings(spark, tmp_path, monkeypatch):
+    """Less than 5 bytes for a posting, in one share or several, and nothing staged stays."""
+    from strandmill.operators import dynamic
+    from strandmill.storage import shared_dir
+
+    seq = np.random.default_rng(2).choice(np.frombuffer(b"ACGT", np.uint8), 200_000).tobytes().decode()
+    batch = spark.createDataFrame([(i, f"r{i}", seq[a : a + 4000]) for i, a in enumerate(range(0, len(seq), 4000))], "ord long, name string, seq string")
+    direct = X.positions(batch.select((F.col("ord") + 1).alias("ref_id"), "seq"), 15).agg(F.count("kmer"), F.sum(F.xxhash64("kmer", "ref_id", "pos").cast("decimal(38,0)"))).first()
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(folder.iterdir())
+    for most in (dynamic.SHARE_BASES, 70_000):
+        monkeypatch.setattr(dynamic, "SHARE_BASES", most)
+        index = DynamicIndex(spark, MapConfig(num_shard_bits=2), str(tmp_path / f"index{most}"))
+        index.add_batch(batch)
+        index.merge()
+        lowest = index.names.agg(F.min("ref_id")).first()[0]
+        found = index.postings().select("kmer", (F.col("ref_id") + (1 - lowest)).alias("ref_id"), "pos")
+        assert found.agg(F.count("kmer"), F.sum(F.xxhash64("kmer", "ref_id", "pos").cast("decimal(38,0)"))).first() == direct
+        assert sum(f.stat().st_size for f in (tmp_path / f"index{most}/postings").rglob("*.parquet")) < 5 * direct[0]
+    assert not [f.name for f in set(folder.iterdir()) - before if f.name.startswith(("staged", "placed"))]
