@@ -229,31 +229,47 @@ def sequence_minimizers(refs: DataFrame, k: int, w: int, stretch: int | None = N
 
 def sequence_runs(refs: DataFrame, k: int, stretch: int | None = None) -> DataFrame:
     """``ref_id, run, start``: ``run_offsets`` of sequences' k-mers, found where the k-mers are made. Runs are numbered
-    within stretches, and stretches' sums are carried over, one row a stretch."""
+    within stretches, and stretches' sums are carried over, one row a stretch: those of sequences of several stretches are made
+    twice, first to be counted, so that no run is ever written or shuffled."""
     size = stretch or S.STRETCH
     kind = refs.schema["ref_id"].dataType.simpleString()
 
     def run(batches):
         for b in batches:
-            ats, ns = b.column(1).to_pylist(), b.column(2).to_pylist()
-            for first, held in S.grouped(b.column(3)):  # starts are eight bytes each, and of most bases
-                found = []
-                for at, n, piece in zip(ats[first:], ns[first:], held):
-                    begin = max(0, at - 1)
-                    kmer = S.kmers_of(S.byte_codes(piece), k)
-                    new = np.r_[begin == at, kmer[1:] != kmer[:-1]] if len(kmer) else np.zeros(0, bool)
-                    starts = begin + np.flatnonzero(new)
-                    found.append(np.r_[starts, n] if 0 < n <= at + size else starts)
-                own = b.slice(first, len(held))
-                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(found, pa.list_(pa.int64()))], names=["ref_id", "at", "starts"])
+            others = b.select(["ref_id", "at", "before"]).columns
+            ats, ns = b.column("at").to_pylist(), b.column("n").to_pylist()
+            for first, held in S.grouped(b.column("piece")):  # starts are eight bytes each, and of most bases
+                found = [_run_starts(piece, at, n, k, size) for at, n, piece in zip(ats[first:], ns[first:], held)]
+                own = [c.slice(first, len(held)) for c in others]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(found, pa.list_(pa.int64()))], names=["ref_id", "at", "before", "starts"])
+
+    def count(batches):
+        for b in batches:
+            ats, ns = b.column("at").to_pylist(), b.column("n").to_pylist()
+            found = [len(_run_starts(np.frombuffer(piece.as_buffer(), np.uint8), at, n, k, size)) for at, n, piece in zip(ats, ns, b.column("piece"))]
+            yield pa.RecordBatch.from_arrays([b.column("ref_id"), b.column("at"), pa.array(found, pa.int64())], names=["ref_id", "at", "found"])
 
     n = F.octet_length("seq").cast("long") - (k - 1)
-    dealt = S.stretches(refs.select("ref_id", n.alias("n"), "seq"), k, stretch, before=1).repartition("ref_id", "at")
-    found = written(dealt.select("ref_id", F.col("at").cast("long"), "n", "piece").mapInArrow(run, f"ref_id {kind}, at long, starts array<long>"), "runs")
-    carried = F.sum(F.size("starts")).over(Window.partitionBy("ref_id").orderBy("at")) - F.size("starts")
-    before = found.select(F.col("ref_id").alias("of"), F.col("at").alias("of_at"), carried.alias("before"))
-    dealt = found.join(before, F.col("ref_id").eqNullSafe(F.col("of")) & (F.col("at") == F.col("of_at")))
-    return dealt.select("ref_id", "before", F.posexplode("starts").alias("place", "start")).select("ref_id", (F.col("before") + F.col("place")).alias("run"), "start")
+    rows = refs.select("ref_id", n.alias("n"), "seq").where(F.col("seq").isNotNull())
+    cut = lambda some: S.stretches(some, k, stretch, before=1).withColumn("at", F.col("at").cast("long")).select("ref_id", "at", "n", "piece")
+    long = cut(rows.where(F.col("n") > size)).repartition("ref_id", "at")
+    counted = long.mapInArrow(count, f"ref_id {kind}, at long, found long")
+    carried = F.sum("found").over(Window.partitionBy("ref_id").orderBy("at")) - F.col("found")
+    before = counted.select(F.col("ref_id").alias("of"), F.col("at").alias("of_at"), carried.alias("before"))
+    joined = long.join(before, F.col("ref_id").eqNullSafe(F.col("of")) & (F.col("at") == F.col("of_at"))).select("ref_id", "at", "n", "before", "piece")
+    short = cut(rows.where(F.col("n") <= size)).repartition("ref_id", "at").select("ref_id", "at", "n", F.lit(0).cast("long").alias("before"), "piece")
+    dealt = short.unionByName(joined).mapInArrow(run, f"ref_id {kind}, at long, before long, starts array<long>")
+    dealt = dealt.select("ref_id", "before", F.posexplode("starts").alias("place", "start"))
+    return dealt.select("ref_id", (F.col("before") + F.col("place")).alias("run"), "start")
+
+
+def _run_starts(piece: np.ndarray, at: int, n: int, k: int, size: int) -> np.ndarray:
+    """Where runs begin in a stretch of ``n`` k-mers that begins at ``at`` and has the base before it, and ``n`` in the last one."""
+    begin = max(0, at - 1)
+    kmer = S.kmers_of(S.byte_codes(piece), k)
+    new = np.r_[begin == at, kmer[1:] != kmer[:-1]] if len(kmer) else np.zeros(0, bool)
+    starts = begin + np.flatnonzero(new)
+    return np.r_[starts, n] if 0 < n <= at + size else starts
 
 
 def run_offsets(rows: DataFrame, key: str, order: str, value: str, stretch: int = 1 << 16) -> DataFrame:

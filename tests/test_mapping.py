@@ -600,3 +600,19 @@ def test_merges_take_less_than_their_postings(spark, tmp_path, monkeypatch):
         assert found.agg(F.count("kmer"), F.sum(F.xxhash64("kmer", "ref_id", "pos").cast("decimal(38,0)"))).first() == direct
         assert sum(f.stat().st_size for f in (tmp_path / f"index{most}/postings").rglob("*.parquet")) < 5 * direct[0]
     assert not [f.name for f in set(folder.iterdir()) - before if f.name.startswith(("staged", "placed"))]
+
+
+def test_runs_are_not_written_or_shuffled(spark):
+    """Starts, eight bytes for most bases, go from where they are made to what reads them; only stretches are dealt."""
+    from strandmill.storage import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(folder.iterdir())
+    refs = spark.createDataFrame([(0, SEQ), (None, SEQ[:50]), (2, "ACG"), (3, "A" * 40)], "ref_id long, seq string")
+    for stretch in (None, 30):
+        found = X.sequence_runs(refs, 1, stretch)
+        assert found.count() == sum(1 + sum(a != b for a, b in zip(" " + s, s)) for s in (SEQ, SEQ[:50], "ACG", "A" * 40))
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        dealt = plan[: plan.index("MapInArrow")]
+        assert "Repartition" not in dealt and "Join" not in dealt and "Window" not in dealt
+    assert not [f.name for f in set(folder.iterdir()) - before]
