@@ -172,8 +172,9 @@ def histogram(rows: DataFrame, cfg: MapConfig | None = None) -> DataFrame:
     keys = ["kmer"]
     if "kmer_min" in rows.columns:
         rows, keys = R.expanded(rows, cfg.k, cfg.sigma) if "bases" in rows.columns else rows, ["kmer_min", "kmer"]
-    each = F.lit(1).cast("long") if cfg is None or not cfg.fragments else F.size(fragments_of(F.col("pos"), cfg.jc_frag_len, cfg.stride)).cast("long")
-    return rows.groupBy(*keys).agg(F.sum(each).alias("n")).select("kmer", "n")
+    if cfg is None or not cfg.fragments:
+        return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).select("kmer", "n")
+    return rows.groupBy(*keys).agg(F.sum(F.size(fragments_of(F.col("pos"), cfg.jc_frag_len, cfg.stride)).cast("long")).alias("n")).select("kmer", "n")
 
 
 def offsets(rows: DataFrame) -> DataFrame:
