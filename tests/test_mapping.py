@@ -616,3 +616,14 @@ def test_runs_are_not_written_or_shuffled(spark):
         dealt = plan[: plan.index("MapInArrow")]
         assert "Repartition" not in dealt and "Join" not in dealt and "Window" not in dealt
     assert not [f.name for f in set(folder.iterdir()) - before]
+
+
+def test_spans_of_pieces_are_their_postings(spark, tmp_path):
+    from strandmill.functions import spans
+    from strandmill.sources import fasta
+
+    (tmp_path / "r.fa").write_text(f">a\n{SEQ}\n>b\nAC\n>c\n{SEQ[::-1]}{'A' * 30}\n")
+    refs, pieces = fasta.read_pieces(spark, str(tmp_path / "r.fa"), 70, 40)
+    cfg = MapConfig(k=7, fr=True)
+    found = spans.expanded(X.piece_spans(pieces, refs, cfg), cfg.k).select("kmer", "ref_id", "pos")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, X.piece_postings(pieces, refs, cfg).collect()))
